@@ -7,6 +7,7 @@ enter the plan as literals that reach the scan.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -149,13 +150,13 @@ def normalize(df: DataFrame, strategy: str = "none", columns: Sequence[str] | No
     return scalers[strategy](df, columns)
 
 
-def _box_cox(x: Column, lam: float) -> Column:
-    return F.log(x) if lam == 0 else (F.pow(x, F.lit(lam)) - 1) / lam
+def _box_cox(x: Column, lam: Column) -> Column:
+    return F.when(lam == 0, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
 
 
-def _yeo_johnson(x: Column, lam: float) -> Column:
-    up = F.log1p(x) if lam == 0 else (F.pow(x + 1, F.lit(lam)) - 1) / lam
-    down = -F.log1p(-x) if lam == 2 else -(F.pow(1 - x, F.lit(2 - lam)) - 1) / (2 - lam)
+def _yeo_johnson(x: Column, lam: Column) -> Column:
+    up = F.when(lam == 0, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    down = F.when(lam == 2, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / (2 - lam))
     return F.when(x >= 0, up).otherwise(down)
 
 
@@ -165,57 +166,51 @@ POWER_METHODS = {
     "yeo-johnson": (_yeo_johnson, lambda x: F.signum(x) * F.log1p(F.abs(x))),
 }
 GRID_POINTS = 41
+MAX_EXPONENT = 30
 
 
-def fit_power(df: DataFrame, columns: Sequence[str], method: str = "box-cox", passes: int = 5) -> dict[str, float]:
+def fit_power(df: DataFrame, columns: Sequence[str], method: str = "box-cox", passes: int = 4) -> dict[str, float]:
     """The exponent per column with the highest normal log-likelihood.
 
-    Each pass scores a grid of exponents for all columns in one aggregate and the next pass searches
-    between the neighbours of the best one; the driver sees one row per pass.
+    Each pass scores a grid of exponents for all columns in one aggregation keyed by (column,
+    exponent), combined per task before the shuffle; the next pass searches between the neighbours of
+    the best one. The driver sees one short row per exponent.
     """
     transform, jacobian = POWER_METHODS[method]
-    spans = {c: (-2.0, 2.0) for c in columns}
-    best = {c: 1.0 for c in columns}
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("i"), null_if_nan(df, c).cast("double").alias("x")) for i, c in enumerate(columns)]
+    )
+    long = df.select(F.inline(cells)).filter(F.col("x").isNotNull())
+    sums = {r["i"]: (r["n"], r["j"]) for r in long.groupBy("i").agg(F.count("x").alias("n"), F.sum(jacobian(F.col("x"))).alias("j")).collect()}
+    spans = {i: (-2.0, 2.0) for i in sums}
+    best = {i: 1.0 for i in range(len(columns))}
     done = 0
-    while done < passes:
-        grids = {
-            c: [round(a + (b - a) * k / (GRID_POINTS - 1), 12) for k in range(GRID_POINTS)]
-            for c, (a, b) in spans.items()
-        }
-        aggs = []
-        for i, c in enumerate(columns):
-            x = null_if_nan(df, c).cast("double")
-            aggs += [F.count(x).alias(f"n{i}"), F.sum(jacobian(x)).alias(f"j{i}")]
-            aggs += [F.var_pop(transform(x, lam)).alias(f"v{i}_{k}") for k, lam in enumerate(grids[c])]
-        row = df.agg(*[F.struct(*aggs).alias("s")]).first()["s"]
+    while spans and done < passes:
+        grids = {i: [a + (b - a) * k / (GRID_POINTS - 1) for k in range(GRID_POINTS)] for i, (a, b) in spans.items()}
+        lists = F.array(*[F.array(*[F.lit(round(v, 12)) for v in grids.get(i, [])]).cast("array<double>") for i in range(len(columns))])
+        scored = (
+            long.select("i", "x", F.posexplode(F.get(lists, F.col("i"))).alias("k", "lam"))
+            .groupBy("i", "k")
+            .agg(F.var_pop(transform(F.col("x"), F.col("lam"))).alias("var"))
+        )
+        top: dict[int, tuple[float, int]] = {}
+        for r in scored.collect():
+            if r["var"] is not None and 0 < r["var"] < math.inf:
+                n, j = sums[r["i"]]
+                score = -n / 2 * math.log(r["var"]) + (grids[r["i"]][r["k"]] - 1) * j
+                top[r["i"]] = max(top.get(r["i"], (-math.inf, 0)), (score, r["k"]))
+        spans = {i: s for i, s in spans.items() if i in top}
         at_edge = False
-        for i, c in enumerate(columns):
-            n, j, grid = row[f"n{i}"], row[f"j{i}"], grids[c]
-            scored = []
-            for k, lam in enumerate(grid):
-                var = row[f"v{i}_{k}"]
-                if var is not None and var > 0 and var == var:
-                    scored.append((-n / 2 * _ln(var) + (lam - 1) * j, k))
-            if not scored:
-                continue
-            k = max(scored)[1]
-            step = grid[1] - grid[0]
-            best[c] = grid[k]
-            if k in (0, GRID_POINTS - 1) and abs(grid[k]) < 30:
-                at_edge = True
-                half = (grid[-1] - grid[0]) / 2
-                spans[c] = (grid[k] - half, grid[k] + half)
-            else:
-                spans[c] = (grid[k] - step, grid[k] + step)
+        for i, (_, k) in top.items():
+            grid = grids[i]
+            best[i] = round(grid[k], 12)
+            step, half = grid[1] - grid[0], (grid[-1] - grid[0]) / 2
+            edge = k in (0, GRID_POINTS - 1) and abs(grid[k]) < MAX_EXPONENT
+            at_edge |= edge
+            spans[i] = (grid[k] - half, grid[k] + half) if edge else (grid[k] - step, grid[k] + step)
         if not at_edge:
             done += 1
-    return best
-
-
-def _ln(x: float) -> float:
-    from math import log
-
-    return log(x)
+    return {c: best[i] for i, c in enumerate(columns)}
 
 
 def power_transform(df: DataFrame, columns: Sequence[str] | None = None, method: str = "box-cox") -> DataFrame:
@@ -231,5 +226,5 @@ def power_transform(df: DataFrame, columns: Sequence[str] | None = None, method:
             raise ValueError("box-cox needs strictly positive values")
     exponents = fit_power(df, names, method)
     transform = POWER_METHODS[method][0]
-    shaped = df.withColumns({c: transform(null_if_nan(df, c).cast("double"), exponents[c]) for c in names})
+    shaped = df.withColumns({c: transform(null_if_nan(df, c).cast("double"), F.lit(exponents[c])) for c in names})
     return scale_standard(shaped, names)

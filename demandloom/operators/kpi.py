@@ -24,12 +24,12 @@ def revenue_column() -> Column:
 
 def _cut(sums: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
     """The one group in which the ``need``-th row lies, and the revenue of the groups before it."""
-    w = Window.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.orderBy(*[F.col(f"key_{k}").asc_nulls_last() for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
     running = sums.withColumns({"_rows": F.sum("n").over(w), "_rev": F.sum("rev").over(w)})
     before = F.col("_rows") - F.col("n")
     hit = running.filter((F.col("_rows") > F.col("need")) & (before <= F.col("need")))
     return hit.select(
-        *[F.col(k).alias(f"cut_{k}") for k in keys],
+        *[F.col(f"key_{k}").alias(f"cut_{k}") for k in keys],
         (F.col("need") - before).alias("need"),
         (F.col("prev_rev") + F.col("_rev") - F.col("rev")).alias("prev_rev"),
         "n",
@@ -46,9 +46,14 @@ def business_kpis(sales: DataFrame, products: DataFrame, order_keys: Sequence[st
     then its (instant, product), then its key. Each step sums in parallel and passes one row on, so
     the only ordered windows run over the groups of one step.
     """
-    keys = [k for k in order_keys if k in sales.columns]
+    base = {"product_id", "ds", "quantity", "rev"}
+    keys = [k for k in order_keys if k in sales.columns or k in base]
     rows = sales.select(
-        "product_id", "ds", *keys, F.col("quantity").cast("double").alias("quantity"), revenue_column().alias("rev")
+        "product_id",
+        "ds",
+        *[k for k in keys if k not in base],
+        F.col("quantity").cast("double").alias("quantity"),
+        revenue_column().alias("rev"),
     ).withColumns({"day": F.to_date("ds"), "second": F.date_trunc("second", "ds")})
     costs = products.select(F.col("id").alias("product_id"), F.col("unit_cost").cast("double").alias("unit_cost"))
     per_product_day = rows.groupBy("product_id", "day").agg(
@@ -56,7 +61,7 @@ def business_kpis(sales: DataFrame, products: DataFrame, order_keys: Sequence[st
     )
     per_day = (
         per_product_day.join(costs, on="product_id", how="left")
-        .groupBy("day")
+        .groupBy(F.col("day").alias("key_day"))
         .agg(
             F.sum("n").alias("n"),
             F.sum("qty").alias("qty"),
@@ -64,7 +69,7 @@ def business_kpis(sales: DataFrame, products: DataFrame, order_keys: Sequence[st
             F.sum(F.col("qty") * F.coalesce("unit_cost", F.lit(0.0))).alias("cost"),
         )
     )
-    everything = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    everything = Window.orderBy("key_day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = {f"total_{c}": F.sum(c).over(everything) for c in ("n", "qty", "rev", "cost")}
     carried = list(totals)
     first = per_day.withColumns(totals).withColumns(
@@ -79,7 +84,8 @@ def business_kpis(sales: DataFrame, products: DataFrame, order_keys: Sequence[st
         inside = rows.join(
             F.broadcast(cut.drop("n", "rev")), on=[F.col(k).eqNullSafe(F.col(f"cut_{k}")) for k in prefix]
         )
-        sums = inside.groupBy(*level, "need", "prev_rev", *carried).agg(
+        named = {k: F.col(k).alias(f"key_{k}") for k in level}
+        sums = inside.groupBy(*named.values(), "need", "prev_rev", *carried).agg(
             F.count(F.lit(1)).alias("n"), F.sum("rev").alias("rev")
         )
         cut, prefix = _cut(sums, level, carried), level

@@ -308,7 +308,8 @@ def complete_weeks(daily: DataFrame, by: Sequence[str] = ("product_id",)) -> Dat
     """Weekly sums with gaps as 0, without the last week of a key when it has fewer than 7 sale days."""
     filled = fill_gaps(weekly_totals(daily, by), "W", ["quantity", "sale_days"], by)
     is_last = F.lead("period_start").over(ordered_by(by, "period_start")).isNull()
-    return filled.filter(~(is_last & (F.col("sale_days") < 7))).drop("sale_days")
+    marked = filled.withColumn("_partial", is_last & (F.col("sale_days") < 7))
+    return marked.filter(~F.col("_partial")).drop("sale_days", "_partial")
 
 
 def series_stats(sales: DataFrame, scope: str = "day", by: Sequence[str] = ("product_id",)) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import importlib
-
+from demandloom.plans import (  # noqa: F401
+    queries_cleaning,
+    queries_decisions,
+    queries_kpi,
+    queries_models,
+    queries_orders,
+    queries_quality,
+    queries_series,
+    queries_streams,
+    queries_tables,
+)
 from demandloom.plans.registry import ORACLES, QUERIES
 
-for _module in ("tables", "quality", "cleaning", "orders", "kpi", "series", "decisions", "models", "streams"):
-    try:
-        importlib.import_module(f"demandloom.plans.queries_{_module}")
-    except ModuleNotFoundError as e:
-        print(e)
-
 __all__ = ["ORACLES", "QUERIES"]

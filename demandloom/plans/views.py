@@ -18,7 +18,7 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
         key.cast("int").alias("id"),
         F.concat(F.lit("SKU-"), key.cast("string")).alias("sku_code"),
         F.col("p_name").alias("name"),
-        F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("category_id"),
+        F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int").alias("category_id"),
         F.col("p_retailprice").alias("base_price"),
         F.round(F.col("p_retailprice") * 0.6, 2).alias("unit_cost"),
         ((key * 7) % 120).cast("int").alias("current_stock"),
@@ -31,7 +31,7 @@ def categories(spark: SparkSession, sf: str) -> DataFrame:
     """Every second brand is a named category, the others are left uncategorised."""
     brand = table(spark, sf, "part").select("p_brand").distinct()
     return brand.select(
-        F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int").alias("id"), F.col("p_brand").alias("name")
+        F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int").alias("id"), F.col("p_brand").alias("name")
     ).filter(F.col("id") % 2 == 0)
 
 
@@ -213,4 +213,8 @@ def with_views(names: tuple[str, ...] | list[str], body: str) -> str:
         add(n)
     if not ordered:
         return body
-    return "WITH " + ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in ordered) + "\n" + body
+    clauses = ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in ordered)
+    rest = body.lstrip()
+    # a body with clauses of its own continues the list
+    joint = ",\n" + rest[len("WITH ") :] if rest.startswith("WITH ") else "\n" + rest
+    return "WITH " + clauses + joint
