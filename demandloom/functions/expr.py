@@ -71,7 +71,11 @@ def round_half_even(c: Column, digits: int) -> Column:
     ``round`` and ``bround`` work on the shortest decimal text of the double and so differ on
     such values. Meant for result columns, since it goes through text.
     """
-    return F.replace(F.format_number(c, digits), F.lit(","), F.lit("")).try_cast("double")
+    exact = F.replace(F.format_number(c, digits), F.lit(","), F.lit("")).try_cast("double")
+    if digits == 0:
+        return exact
+    # number formatting drops 5e-05 at 4 digits, where no digit is left to round
+    return F.when(F.abs(c) < 10.0**-digits, F.round(c, digits)).otherwise(exact)
 
 
 def fixed_text(c: Column, digits: int) -> Column:

@@ -76,6 +76,25 @@ def fit_arma(w: np.ndarray, p: int, q: int, shocks: np.ndarray):
     return score, beta[0], phi, theta, sigma2, residuals
 
 
+def search_orders(w: np.ndarray, shocks: np.ndarray):
+    """(fit, p, q) of the lowest criterion, walking from the best small model to better neighbours."""
+    tried: dict[tuple[int, int], object] = {}
+
+    def score(order):
+        if order not in tried:
+            tried[order] = fit_arma(w, *order, shocks)
+        return tried[order][0] if tried[order] is not None else np.inf
+
+    here = min([(0, 0), (1, 0), (0, 1), (2, 2)], key=score)
+    while True:
+        p, q = here
+        near = [(p + i, q + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        best = min([o for o in near if 0 <= o[0] <= MAX_P and 0 <= o[1] <= MAX_Q], key=score)
+        if score(best) >= score(here):
+            return (tried[here], *here) if tried[here] is not None else None
+        here = best
+
+
 def arima_path(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, str]:
     """(point forecasts, standard errors, method). Falls back to the last value when nothing fits."""
     d = choose_difference(y)
@@ -87,11 +106,7 @@ def arima_path(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, str
         beta, *_ = np.linalg.lstsq(design, w[long_order:], rcond=None)
         shocks = np.full(len(w), np.nan)
         shocks[long_order:] = w[long_order:] - design @ beta
-        for p in range(MAX_P + 1):
-            for q in range(MAX_Q + 1):
-                fit = fit_arma(w, p, q, shocks)
-                if fit is not None and (best is None or fit[0] < best[0][0]):
-                    best = (fit, p, q)
+        best = search_orders(w, shocks)
     if best is None:
         steps = np.sqrt(np.arange(1, horizon + 1))
         spread = np.std(np.diff(y)) if len(y) > 1 else 0.0
@@ -114,6 +129,14 @@ def arima_path(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, str
     return path, np.sqrt(sigma2 * np.cumsum(psi**2)), f"arima({p},{d},{q})"
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys over many tasks: fitting costs far more than its few input bytes, by which adaptive
+    execution would put all keys into one task."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def _forecast_frame(keys: dict, y: np.ndarray, path, error, method: str, status: str = "success") -> pd.DataFrame:
     steps = np.arange(1, len(path) + 1)
     frame = pd.DataFrame({"step": steps, "forecast": path, "lower": path - Z_95 * error, "upper": path + Z_95 * error})
@@ -148,7 +171,7 @@ def forecast_arima(
         return _forecast_frame(keys, y, *arima_path(y, horizon))
 
     slim = series.select(*names, name_col(order), name_col(value).cast("double").alias(value))
-    return slim.groupBy(*names).applyInPandas(run, schema=_result_schema(series, names))
+    return spread(slim, names).groupBy(*names).applyInPandas(run, schema=_result_schema(series, names))
 
 
 def forecast_arimax(
@@ -178,8 +201,9 @@ def forecast_arimax(
     past = series.select(*names, name_col(order), *[name_col(c).cast("double").alias(c) for c in (value, *xs)])
     ahead = future.select(*names, name_col(step), *[name_col(c).cast("double").alias(c) for c in xs])
     return (
-        past.groupBy(*names)
-        .cogroup(ahead.groupBy(*names))
+        spread(past, names)
+        .groupBy(*names)
+        .cogroup(spread(ahead, names).groupBy(*names))
         .applyInPandas(run, schema=_result_schema(series, names))
     )
 

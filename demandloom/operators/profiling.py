@@ -366,10 +366,14 @@ def save_profile(profile_df: DataFrame, path: str, source_name: str) -> None:
 
 
 def latest_profile(spark: SparkSession, path: str, source_name: str) -> DataFrame:
-    """The newest snapshot of a source."""
+    """The newest snapshot of a source, one row per column, as a frame of its own.
+
+    It does not keep reading the history: Spark takes two scans of one folder for the same data even
+    when files were added in between, so an old and a new snapshot could not meet in one plan.
+    """
     history = spark.read.parquet(path).filter(F.col("source_name") == source_name)
     newest = history.agg(F.max("inferred_at").alias("m")).scalar()
-    return history.filter(F.col("inferred_at") == newest)
+    return spark.createDataFrame(history.filter(F.col("inferred_at") == newest).collect(), history.schema)
 
 
 def validate_schema(df: DataFrame, expected: DataFrame, strict: bool = False) -> DataFrame:

@@ -107,12 +107,12 @@ def stream_orders(
 
 def read_facts(spark: SparkSession, out_dir: str) -> DataFrame:
     """The items that passed."""
-    return spark.read.option("basePath", out_dir).parquet(out_dir).filter("passed").drop("passed", "batch_id", "violations")
+    return spark.read.option("basePath", out_dir).parquet(out_dir).filter(F.col("passed").cast("boolean")).drop("passed", "batch_id", "violations")
 
 
 def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
     """The items that failed, with the reasons."""
-    return spark.read.option("basePath", out_dir).parquet(out_dir).filter("not passed").drop("passed", "batch_id")
+    return spark.read.option("basePath", out_dir).parquet(out_dir).filter(~F.col("passed").cast("boolean")).drop("passed", "batch_id")
 
 
 def stream_daily_demand(facts: DataFrame, lateness: str = "2 days") -> DataFrame:
