@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
-
 def name_col(name: str) -> Column:
     """Column by exact name, also when the name holds dots."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -47,9 +44,12 @@ def is_empty(df: DataFrame, name: str) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Text to double; anything that is not a finite decimal literal becomes NULL."""
-    text = strip(c)
-    return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
+    """Text to double; anything that is not a finite decimal literal becomes NULL.
+
+    The cast ignores white space around the number. It also takes words (nan, inf), type suffixes and
+    hexadecimal floats, all of which hold a letter other than the exponent's.
+    """
+    return F.when(~c.rlike("[A-DF-Za-df-z]"), c.try_cast("double"))
 
 
 def as_double(df: DataFrame, name: str) -> Column:

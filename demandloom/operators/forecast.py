@@ -54,6 +54,17 @@ def _lagged(x: np.ndarray, count: int, start: int) -> list[np.ndarray]:
     return [x[start - k : len(x) - k] for k in range(1, count + 1)]
 
 
+def _inside(c: np.ndarray) -> bool:
+    """All roots of x^k - c1 x^(k-1) - ... - ck are inside the unit circle."""
+    if len(c) == 0:
+        return True
+    if len(c) == 1:
+        return abs(c[0]) < 0.999
+    if len(c) == 2:
+        return abs(c[1]) < 0.998 and abs(c[0]) < 0.999 - c[1]
+    return np.max(np.abs(np.roots(np.concatenate(([1.0], -c))))) < 0.999
+
+
 def fit_arma(w: np.ndarray, p: int, q: int, shocks: np.ndarray):
     """Hannan-Rissanen: regress on own lags and lagged shocks of a long autoregression."""
     start = max(p, q) + (np.flatnonzero(~np.isnan(shocks))[0] if q else 0)
@@ -64,9 +75,8 @@ def fit_arma(w: np.ndarray, p: int, q: int, shocks: np.ndarray):
         return None
     beta, *_ = np.linalg.lstsq(design, target, rcond=None)
     phi, theta = beta[1 : p + 1], beta[p + 1 :]
-    for coefficients in (phi, -theta):
-        if len(coefficients) and np.max(np.abs(np.roots(np.r_[1, -coefficients]))) >= 0.999:
-            return None
+    if not (_inside(phi) and _inside(-theta)):
+        return None
     residuals = target - design @ beta
     n, k = len(target), design.shape[1] + 1
     sigma2 = residuals @ residuals / n
@@ -137,16 +147,19 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
-def _forecast_frame(keys: dict, y: np.ndarray, path, error, method: str, status: str = "success") -> pd.DataFrame:
-    steps = np.arange(1, len(path) + 1)
-    frame = pd.DataFrame({"step": steps, "forecast": path, "lower": path - Z_95 * error, "upper": path + Z_95 * error})
-    for k, v in reversed(list(keys.items())):
-        frame.insert(0, k, v)
-    return frame.assign(status=status, method=method, data_points=len(y))
+def _series_arrays(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """One row per key with its series as arrays in time order.
 
-
-def _no_data(keys: dict, points: int) -> pd.DataFrame:
-    return pd.DataFrame([{**keys, "step": 0, "forecast": None, "lower": None, "upper": None, "status": "no_data", "method": None, "data_points": points}])
+    The input is bucketed, so an array is no longer than the number of buckets. Many keys then share
+    one Arrow batch, which spares the cost of a Python frame per key.
+    """
+    cells = F.struct(name_col(order).alias("_order"), *[name_col(c).cast("double").alias(c) for c in columns])
+    packed = (
+        spread(df.filter(name_col(columns[0]).isNotNull()), by)
+        .groupBy(*by)
+        .agg(F.sort_array(F.collect_list(cells)).alias("s"))
+    )
+    return packed.select(*by, *[F.col("s").getField(c).alias(c) for c in columns])
 
 
 def _result_schema(series: DataFrame, by: Sequence[str]) -> T.StructType:
@@ -154,24 +167,33 @@ def _result_schema(series: DataFrame, by: Sequence[str]) -> T.StructType:
     return T.StructType(keys.fields + T.StructType.fromDDL(FORECAST_SCHEMA).fields)
 
 
+def _result_rows(keys: tuple, y: np.ndarray, forecast) -> list[tuple]:
+    """Output rows of one key; ``forecast`` is (path, error, method), None for too little data."""
+    if forecast is None:
+        return [(*keys, 0, None, None, None, "no_data", None, len(y))]
+    path, error, method = forecast
+    return [
+        (*keys, step, float(f), float(f - Z_95 * e), float(f + Z_95 * e), "success", method, len(y))
+        for step, (f, e) in enumerate(zip(path, error), 1)
+    ]
+
+
 def forecast_arima(
     series: DataFrame, horizon: int, by: Sequence[str] = ("product_id",), order: str = "bucket", value: str = "quantity"
 ) -> DataFrame:
-    """Automatic ARIMA per key with 95 % intervals; fewer than 3 points give one no_data row.
-
-    A group is one key's bucketed series, so its size is bounded by the number of buckets.
-    """
+    """Automatic ARIMA per key with 95 % intervals; fewer than 3 points give one no_data row."""
     names = list(by)
+    schema = _result_schema(series, names)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = dict(zip(names, key))
-        y = pdf.sort_values(order)[value].to_numpy(dtype=float)
-        if len(y) < MIN_POINTS:
-            return _no_data(keys, len(y))
-        return _forecast_frame(keys, y, *arima_path(y, horizon))
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for *keys, values in pdf.itertuples(index=False, name=None):
+                y = np.asarray(values, dtype=float)
+                out += _result_rows(tuple(keys), y, arima_path(y, horizon) if len(y) >= MIN_POINTS else None)
+            yield pd.DataFrame(out, columns=schema.names)
 
-    slim = series.select(*names, name_col(order), name_col(value).cast("double").alias(value))
-    return spread(slim, names).groupBy(*names).applyInPandas(run, schema=_result_schema(series, names))
+    return _series_arrays(series, names, order, [value]).mapInPandas(run, schema=schema)
 
 
 def forecast_arimax(
@@ -185,27 +207,28 @@ def forecast_arimax(
 ) -> DataFrame:
     """Regression on exogenous columns with ARIMA errors; ``future`` holds their coming values."""
     names, xs = list(by), list(exogenous)
+    schema = _result_schema(series, names)
+    past = _series_arrays(series.na.drop(subset=[value, *xs]), names, order, [value, *xs])
+    ahead = _series_arrays(future, names, step, xs).withColumnsRenamed({c: f"_next_{c}" for c in xs})
 
-    def run(key, past: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
-        keys = dict(zip(names, key))
-        past, ahead = past.dropna().sort_values(order), ahead.sort_values(step)
-        y = past[value].to_numpy(dtype=float)
-        if len(y) < MIN_POINTS or ahead.empty:
-            return _no_data(keys, len(y))
-        x, x_new = past[xs].to_numpy(dtype=float), ahead[xs].to_numpy(dtype=float)
+    def fit(y, x, x_new):
         centre = x.mean(axis=0)
         beta, *_ = np.linalg.lstsq(x - centre, y - y.mean(), rcond=None)
-        path, error, method = arima_path(y - (x - centre) @ beta, len(ahead))
-        return _forecast_frame(keys, y, path + (x_new - centre) @ beta, error, method.replace("arima", "arimax"))
-
-    past = series.select(*names, name_col(order), *[name_col(c).cast("double").alias(c) for c in (value, *xs)])
-    ahead = future.select(*names, name_col(step), *[name_col(c).cast("double").alias(c) for c in xs])
-    return (
-        spread(past, names)
-        .groupBy(*names)
-        .cogroup(spread(ahead, names).groupBy(*names))
-        .applyInPandas(run, schema=_result_schema(series, names))
-    )
+        path, error, method = arima_path(y - (x - centre) @ beta, len(x_new))
+        return path + (x_new - centre) @ beta, error, method.replace("arima", "arimax")
+
+    def run(batches):
+        k = len(names)
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                y = np.asarray(row[k], dtype=float)
+                usable = len(y) >= MIN_POINTS and row[-1] is not None
+                x, x_new = (np.column_stack([np.asarray(c, dtype=float) for c in part]) if usable else None for part in (row[k + 1 : k + 1 + len(xs)], row[k + 1 + len(xs) :]))
+                out += _result_rows(row[:k], y, fit(y, x, x_new) if usable else None)
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return past.join(ahead, on=names, how="left").mapInPandas(run, schema=schema)
 
 
 def clean_forecast(df: DataFrame, horizon: int, column: str = "forecast") -> DataFrame:

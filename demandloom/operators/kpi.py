@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from demandloom.functions import money_text, name_col, percent_text, round_half_even, truncate
@@ -22,31 +22,71 @@ def revenue_column() -> Column:
     return F.col("quantity").cast("double") * F.col("price_at_sale").cast("double")
 
 
-def _cut(sums: DataFrame, keys: Sequence[str], carried: Sequence[str]) -> DataFrame:
-    """The one group in which the ``need``-th row lies, and the revenue of the groups before it."""
-    w = Window.orderBy(*[F.col(f"key_{k}").asc_nulls_last() for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
+def _split_group(sums: DataFrame, keys: Sequence[str], need: int) -> Row:
+    """The group in which row number ``need`` (from 0) lies when groups are laid end to end in key
+    order: its keys, its ``n`` and ``rev``, and the rows and revenue before it."""
+    w = Window.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
     running = sums.withColumns({"_rows": F.sum("n").over(w), "_rev": F.sum("rev").over(w)})
-    before = F.col("_rows") - F.col("n")
-    hit = running.filter((F.col("_rows") > F.col("need")) & (before <= F.col("need")))
-    return hit.select(
-        *[F.col(f"key_{k}").alias(f"cut_{k}") for k in keys],
-        (F.col("need") - before).alias("need"),
-        (F.col("prev_rev") + F.col("_rev") - F.col("rev")).alias("prev_rev"),
-        "n",
-        "rev",
-        *carried,
+    placed = running.withColumns({"rows_before": F.col("_rows") - F.col("n"), "rev_before": F.col("_rev") - F.col("rev")})
+    return placed.filter((F.col("_rows") > need) & (F.col("rows_before") <= need)).drop("_rows", "_rev").first()
+
+
+def _earlier_revenue(rows: DataFrame, per_day: DataFrame, half: int, keys: Sequence[str]) -> float:
+    """Revenue of the first ``half`` rows by (ds, product_id, *keys).
+
+    Instead of numbering all rows, the split row is found from group sums: its day, then its second,
+    then its (instant, product), then its key. Each step sums in parallel, and its literal bounds on
+    ``ds`` let the next one read that part of the table only. The ordered windows run over the groups
+    of one step: days, seconds of a day, instants and products of a second, keys of one product at one
+    instant.
+    """
+    ds_type = rows.schema["ds"].dataType
+    earlier, need, inside = 0.0, half, rows
+
+    def at(text: str) -> Column:
+        return F.lit(text).cast(ds_type)
+
+    second = F.date_trunc("second", "ds").cast(ds_type).cast("string")
+    steps = (
+        # group columns, then the filter that keeps the found group
+        (None, lambda g: F.col("ds").isNull() if g["day"] is None else (F.col("ds") >= at(g["day"])) & (F.col("ds") < F.date_add(F.lit(g["day"]).cast("date"), 1).cast(ds_type))),
+        ({"second": second}, lambda g: F.lit(True) if g["second"] is None else (F.col("ds") >= at(g["second"])) & (F.col("ds") < at(g["second"]) + F.expr("interval 1 second"))),
+        (
+            {"instant": F.col("ds").cast("string"), "product": F.col("product_id")},
+            lambda g: (F.lit(True) if g["instant"] is None else F.col("ds") == at(g["instant"])) & F.col("product_id").eqNullSafe(F.lit(g["product"])),
+        ),
+        ({k: F.col(k) for k in keys}, None),
     )
+    for groups, keep in steps:
+        if groups is None:
+            names, sums = ["day"], per_day
+        elif groups:
+            names = list(groups)
+            sums = inside.groupBy(*[c.alias(n) for n, c in groups.items()]).agg(
+                F.count(F.lit(1)).alias("n"), F.sum("rev").alias("rev")
+            )
+        else:
+            break
+        found = _split_group(sums, names, need)
+        earlier, need = earlier + found["rev_before"], need - found["rows_before"]
+        if need == 0:
+            return earlier
+        if keep is not None:
+            inside = inside.filter(keep(found))
+    # rows equal in every key share their revenue evenly
+    return earlier + found["rev"] * need / found["n"]
+
+
+KPI_SCHEMA = "qty double, rev double, cost double, prev double, recent double"
 
 
 def business_kpis(sales: DataFrame, products: DataFrame, order_keys: Sequence[str] = ("order_id", "line_no")) -> DataFrame:
     """One row: volume, revenue, margin, and revenue growth of the later half of the rows.
 
-    Rows are ordered by (ds, product_id, *order_keys) and split after floor(n/2). Rather than
-    numbering all rows, the split row is found from group totals: first its day, then its second,
-    then its (instant, product), then its key. Each step sums in parallel and passes one row on, so
-    the only ordered windows run over the groups of one step.
+    Rows are ordered by (ds, product_id, *order_keys) and split after floor(n/2). Costs are joined to
+    sums per product and day, never to the sales rows. No sales give no row.
     """
-    base = {"product_id", "ds", "quantity", "rev"}
+    base = ("product_id", "ds", "quantity", "rev")
     keys = [k for k in order_keys if k in sales.columns or k in base]
     rows = sales.select(
         "product_id",
@@ -54,14 +94,13 @@ def business_kpis(sales: DataFrame, products: DataFrame, order_keys: Sequence[st
         *[k for k in keys if k not in base],
         F.col("quantity").cast("double").alias("quantity"),
         revenue_column().alias("rev"),
-    ).withColumns({"day": F.to_date("ds"), "second": F.date_trunc("second", "ds")})
-    costs = products.select(F.col("id").alias("product_id"), F.col("unit_cost").cast("double").alias("unit_cost"))
-    per_product_day = rows.groupBy("product_id", "day").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("qty"), F.sum("rev").alias("rev")
     )
+    costs = products.select(F.col("id").alias("product_id"), F.col("unit_cost").cast("double").alias("unit_cost"))
     per_day = (
-        per_product_day.join(costs, on="product_id", how="left")
-        .groupBy(F.col("day").alias("key_day"))
+        rows.groupBy("product_id", F.to_date("ds").cast("string").alias("day"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("qty"), F.sum("rev").alias("rev"))
+        .join(costs, on="product_id", how="left")
+        .groupBy("day")
         .agg(
             F.sum("n").alias("n"),
             F.sum("qty").alias("qty"),
@@ -69,44 +108,27 @@ def business_kpis(sales: DataFrame, products: DataFrame, order_keys: Sequence[st
             F.sum(F.col("qty") * F.coalesce("unit_cost", F.lit(0.0))).alias("cost"),
         )
     )
-    everything = Window.orderBy("key_day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    totals = {f"total_{c}": F.sum(c).over(everything) for c in ("n", "qty", "rev", "cost")}
-    carried = list(totals)
-    first = per_day.withColumns(totals).withColumns(
-        {"need": F.floor(F.col("total_n") / 2), "prev_rev": F.lit(0.0)}
-    )
-    cut = _cut(first, ["day"], carried)
-    prefix = ["day"]
-    for level in (["second"], ["ds", "product_id"], keys):
-        if not level:
-            break
-        # `cut` is a single row
-        inside = rows.join(
-            F.broadcast(cut.drop("n", "rev")), on=[F.col(k).eqNullSafe(F.col(f"cut_{k}")) for k in prefix]
-        )
-        named = {k: F.col(k).alias(f"key_{k}") for k in level}
-        sums = inside.groupBy(*named.values(), "need", "prev_rev", *carried).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("rev").alias("rev")
-        )
-        cut, prefix = _cut(sums, level, carried), level
-    # rows equal in every key share their revenue evenly
-    prev = F.col("prev_rev") + F.col("rev") * F.col("need") / F.col("n")
-    split = cut.withColumn("prev", F.when(F.col("total_n") < 2, F.col("total_rev")).otherwise(prev))
-    split = split.withColumn(
-        "recent", F.when(F.col("total_n") < 2, F.col("total_rev")).otherwise(F.col("total_rev") - F.col("prev"))
-    )
+    # one short row per day: read once, used for the totals and for the first step of the split
+    spark = sales.sparkSession
+    days = spark.createDataFrame(per_day.collect(), per_day.schema)
+    total = days.agg(*[F.sum(c).alias(c) for c in ("n", "qty", "rev", "cost")]).first()
+    if not total["n"]:
+        facts = spark.createDataFrame([], KPI_SCHEMA)
+    else:
+        half = total["n"] // 2
+        prev = _earlier_revenue(rows, days, half, keys) if half else total["rev"]
+        recent = total["rev"] - prev if half else total["rev"]
+        facts = spark.createDataFrame([(total["qty"], total["rev"], total["cost"], prev, recent)], KPI_SCHEMA)
     change = F.when(F.col("prev") > 0, (F.col("recent") - F.col("prev")) / F.col("prev") * 100).otherwise(0.0)
-    margin = F.when(
-        F.col("total_rev") > 0, (F.col("total_rev") - F.col("total_cost")) / F.col("total_rev") * 100
-    ).otherwise(0.0)
-    out = split.withColumns({"rev_change": change, "margin_pct": margin})
+    margin = F.when(F.col("rev") > 0, (F.col("rev") - F.col("cost")) / F.col("rev") * 100).otherwise(0.0)
+    out = facts.withColumns({"rev_change": change, "margin_pct": margin})
     return out.select(
-        truncate(F.col("total_qty")).alias("total_volume"),
-        F.col("total_rev").alias("total_revenue"),
-        F.col("total_cost").alias("total_cost"),
+        truncate(F.col("qty")).alias("total_volume"),
+        F.col("rev").alias("total_revenue"),
+        F.col("cost").alias("total_cost"),
         "margin_pct",
         F.col("rev_change").alias("growth_pct"),
-        money_text(F.col("total_rev")).alias("revenue"),
+        money_text(F.col("rev")).alias("revenue"),
         percent_text(F.col("rev_change"), 1).alias("growth"),
         F.lit("Pending").alias("conversion"),
         percent_text(F.col("margin_pct"), 1).alias("margin"),

@@ -34,8 +34,9 @@ def _items(df: DataFrame, name: str) -> Column:
     """The item list as an array; text that is no JSON array gives NULL."""
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.StringType):
-        parsed = F.from_json(name_col(name), "array<map<string,string>>", {"allowSingleQuotes": "false"})
-        return F.when(name_col(name).rlike(r"(?s)^\s*\[.*\]\s*$"), parsed)
+        text = F.btrim(name_col(name), F.lit(" \t\r\n"))
+        parsed = F.from_json(text, "array<map<string,string>>", {"allowSingleQuotes": "false"})
+        return F.when(text.startswith("[") & text.endswith("]"), parsed)
     if isinstance(dtype, T.ArrayType):
         return name_col(name)
     return F.lit(None).cast("array<map<string,string>>")
@@ -71,17 +72,20 @@ def explode_orders(
             return F.col("item").getField(key) if key in struct_fields else F.lit(None)
         return F.col("item").getItem(key)
 
-    def number(name: str) -> Column:
-        value = field(name)
+    def number_text(name: str) -> Column:
+        """The value as text, "0" when the field is absent. A struct cannot tell absent from null."""
+        value = field(name).cast("string")
         if struct_fields is not None:
-            # a struct cannot tell an absent field from a null one
-            parsed = to_number(value.cast("string"))
-            return F.when(value.isNull(), F.lit(0.0)).otherwise(parsed)
-        key = _source(names, name)
-        return F.when(~F.map_contains_key("item", F.lit(key)), F.lit(0.0)).otherwise(to_number(value))
+            return F.coalesce(value, F.lit("0"))
+        return F.when(F.map_contains_key("item", F.lit(_source(names, name))), value).otherwise(F.lit("0"))
 
-    parsed = {n: number(n).alias(f"_{n}") for n in ITEM_NUMBERS}
-    rows = rows.select("order_id", "sale_date", field("product_id").cast("string").alias("product_id"), *parsed.values())
+    rows = rows.select(
+        "order_id",
+        "sale_date",
+        field("product_id").cast("string").alias("product_id"),
+        *[number_text(n).alias(f"_text_{n}") for n in ITEM_NUMBERS],
+    )
+    rows = rows.withColumns({f"_{n}": to_number(F.col(f"_text_{n}")) for n in ITEM_NUMBERS})
     usable = F.col("_quantity").isNotNull() & F.col("_unit_price").isNotNull() & F.col("_discount").isNotNull()
     checked = rows.select(
         "order_id",

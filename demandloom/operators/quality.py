@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,21 +201,35 @@ def ruleset(name: str) -> dict[str, Rule]:
     return RULESETS.get(name.lower(), RULESETS["sales"])
 
 
-def with_violations(df: DataFrame, rules: str = "sales") -> DataFrame:
-    """Coerced columns plus ``violations``, an array of ``column:check`` texts."""
-    coerced, checks = {}, []
-    for name, rule in ruleset(rules).items():
-        if name not in df.columns:
-            continue
-        raw, new = null_if_nan(df, name), _coerced(df, name, rule.kind)
-        coerced[name] = new
-        checks.append(F.when(raw.isNotNull() & new.isNull(), F.lit(f"{name}:coerce")))
+def _checked(df: DataFrame, rules: str) -> tuple[DataFrame, list[tuple[str, Column]], list[Column]]:
+    """(frame with the coerced values as extra columns, labelled failure conditions, output columns).
+
+    Coerced first, as columns of their own, so that each value is parsed once.
+    """
+    held = {name: rule for name, rule in ruleset(rules).items() if name in df.columns}
+    parsed = df.withColumns({f"_new_{name}": _coerced(df, name, rule.kind) for name, rule in held.items()})
+    checks = []
+    for name, rule in held.items():
+        raw, new = null_if_nan(df, name), name_col(f"_new_{name}")
+        checks.append((f"{name}:coerce", raw.isNotNull() & new.isNull()))
         if rule.non_negative:
-            checks.append(F.when(new < 0, F.lit(f"{name}:non_negative")))
+            checks.append((f"{name}:non_negative", F.coalesce(new < 0, F.lit(False))))
         if not rule.nullable:
-            checks.append(F.when(raw.isNull(), F.lit(f"{name}:not_null")))
-    failed = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
-    return df.withColumns({"violations": failed, **coerced})
+            checks.append((f"{name}:not_null", raw.isNull()))
+    kept = [name_col(f"_new_{c}").alias(c) if c in held else name_col(c) for c in df.columns]
+    return parsed, checks, kept
+
+
+def _violations(checks: list[tuple[str, Column]]) -> Column:
+    labels = [F.when(failed, F.lit(label)) for label, failed in checks]
+    array = F.array_compact(F.array(*labels)) if labels else F.array().cast("array<string>")
+    return array.alias("violations")
+
+
+def with_violations(df: DataFrame, rules: str = "sales") -> DataFrame:
+    """Coerced columns plus ``violations``, an array of ``column:check`` texts."""
+    parsed, checks, kept = _checked(df, rules)
+    return parsed.select(*kept, _violations(checks))
 
 
 def missing_required(df: DataFrame, rules: str = "sales") -> list[str]:
@@ -227,14 +242,14 @@ def gatekeeper(df: DataFrame, rules: str = "sales", strict: bool = True) -> tupl
     Strict: any violation, or a missing required column, raises instead. Otherwise a missing column
     concerns no row and drops none.
     """
-    checked = with_violations(df, rules)
     if strict:
         absent = [(c, "column_in_dataframe", 1) for c in missing_required(df, rules)]
         found = absent + [tuple(r) for r in violation_report(df, rules).collect()]
         if found:
             raise QualityError(f"Rules '{rules}' violated: {found}")
-    clean = checked.filter(F.size("violations") == 0).drop("violations")
-    return clean, checked.filter(F.size("violations") > 0)
+    parsed, checks, kept = _checked(df, rules)
+    bad = reduce(lambda a, b: a | b, [failed for _, failed in checks], F.lit(False))
+    return parsed.filter(~bad).select(*kept), parsed.filter(bad).select(*kept, _violations(checks))
 
 
 def violation_report(df: DataFrame, rules: str = "sales") -> DataFrame:

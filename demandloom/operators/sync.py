@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Mapping
 from typing import Any
@@ -17,13 +18,17 @@ MARK_SCHEMA = "source_id int, last_synced_at timestamp, rows_synced bigint, sync
 DEFAULT_INTERVAL_HOURS = 6
 
 
-def high_water_mark(marks: DataFrame, source_id: int) -> Any:
-    """The newest event time already loaded, None when the source was never synced."""
-    row = marks.filter(F.col("source_id") == source_id).agg(F.max("last_synced_at").alias("m")).first()
+def high_water_mark(marks: DataFrame, source_id: int) -> str | None:
+    """The newest event time already loaded, None when the source was never synced.
+
+    As text: a Python datetime would be moved by any difference between the zones of Python and of
+    the session.
+    """
+    row = marks.filter(F.col("source_id") == source_id).agg(F.max("last_synced_at").cast("string").alias("m")).first()
     return row["m"]
 
 
-def newer_than(df: DataFrame, mark: Any, date_col: str) -> DataFrame:
+def newer_than(df: DataFrame, mark: str | None, date_col: str) -> DataFrame:
     """Rows after the mark. The mark is a literal, so the comparison reaches the scan."""
     if mark is None:
         return df
@@ -31,7 +36,7 @@ def newer_than(df: DataFrame, mark: Any, date_col: str) -> DataFrame:
 
 
 def advance_marks(
-    marks: DataFrame, source_id: int, mark: Any, rows_synced: int, duration_s: float = 0.0
+    marks: DataFrame, source_id: int, mark: str, rows_synced: int, duration_s: float = 0.0
 ) -> DataFrame:
     """The control table with this source's mark moved to ``mark``, the newest event time loaded.
 
@@ -66,10 +71,10 @@ def incremental_sync(
     mark = high_water_mark(marks, source_id)
     column = (mapping or {}).get(date_col, date_col)
     fresh = newer_than(source, mark, column)
-    newest = fresh.agg(F.max(name_col(column)).alias("m")).first()["m"]
+    newest = fresh.agg(F.max(name_col(column)).cast("string").alias("m")).first()["m"]
     if newest is not None:
         fresh = fresh.filter(name_col(column) <= F.lit(newest).cast(source.schema[column].dataType))
-    load_id = f"{source_id}-{mark.isoformat() if mark is not None else 'first'}".replace(":", "")
+    load_id = re.sub(r"\W+", "", f"{source_id}x{mark or 'first'}")
     counts = load_orders(fresh, out_dir, mapping, source_id, load_id)
     if newest is None:
         return counts, marks
