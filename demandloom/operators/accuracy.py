@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.functions import name_col
 
 
 def error_metrics(
-    df: DataFrame, actual: str = "actual", predicted: str = "predicted", by: Sequence[str] = ()
+    df: DataFrame,
+    actual: str = "actual",
+    predicted: str = "predicted",
+    by: Sequence[str] = (),
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Mean absolute error, mean squared error and mean absolute percentage error (a fraction).
 
-    Rows with actual 0 do not enter the percentage error.
+    Rows with actual 0 do not enter the percentage error. ``extra`` are more aggregates of the same
+    groups.
     """
     y, p = name_col(actual).cast("double"), name_col(predicted).cast("double")
     return df.groupBy(*by).agg(
@@ -23,6 +28,7 @@ def error_metrics(
         F.avg((y - p) * (y - p)).alias("mse"),
         F.avg(F.when(y != 0, F.abs((y - p) / y))).alias("mape"),
         F.count(F.lit(1)).alias("n"),
+        *extra,
     )
 
 

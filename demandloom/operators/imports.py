@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from demandloom.functions import name_col, strip, to_number
 from demandloom.operators.maintenance import upsert
 from demandloom.operators.quality import require_columns
+from demandloom.session import materialize
 
 # The columns of both import files and the allowed product states.
 PRODUCT_COLUMNS = {
@@ -78,9 +79,10 @@ def assign_category_ids(names: DataFrame, categories: DataFrame) -> DataFrame:
     """(name, id, is_new): the known id, or a new one after the highest."""
     wanted = names.select(name_col(names.columns[0]).alias("name")).filter(F.col("name").isNotNull()).distinct()
     known = categories.groupBy("name").agg(F.min("id").cast("bigint").alias("id"))
+    looked_up = materialize(wanted.join(known, on="name", how="left"), "category-names")
     top = categories.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("m")).scalar()
-    new = number_new_keys(wanted.join(known, on="name", how="left_anti"), "name", top)
-    old = wanted.join(known, on="name")
+    old, missing = looked_up.filter(F.col("id").isNotNull()), looked_up.filter(F.col("id").isNull())
+    new = number_new_keys(missing, "name", top)
     return old.withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True)))
 
 
@@ -118,9 +120,10 @@ def import_products(
 ) -> ImportResult:
     """Insert or update products by ``sku_code``; empty cells leave a field as it is.
 
-    ``row_col`` numbers the input rows. Repeated codes apply in that order.
+    ``row_col`` numbers the input rows. Repeated codes apply in that order. The parsed rows are kept
+    in a table, since all results start from them.
     """
-    parsed = parse_products(rows, row_col)
+    parsed = materialize(parse_products(rows, row_col), "parsed-products")
     valid = parsed.filter(F.col("skip_reason").isNull())
     ids = assign_category_ids(valid.select("category_name"), categories)
     categories_after = categories.select("id", "name").unionByName(
@@ -229,10 +232,11 @@ def resolve_customers(lines: DataFrame, customers: DataFrame) -> DataFrame:
         .groupBy(F.col("name").alias("customer_name"))
         .agg(F.min("id").cast("string").alias("name_id"))
     )
-    found = (
+    found = materialize(
         first.join(by_email, on="email", how="left")
         .join(by_name, on="customer_name", how="left")
-        .withColumn("known_id", F.coalesce("email_id", "name_id"))
+        .withColumn("known_id", F.coalesce("email_id", "name_id")),
+        "customer-names",
     )
     fresh = found.filter(F.col("known_id").isNull())
     owners = (
@@ -270,8 +274,11 @@ def build_orders(accepted: DataFrame) -> DataFrame:
 def import_orders(
     rows: DataFrame, products: DataFrame, customers: DataFrame, row_col: str = "row_num"
 ) -> ImportResult:
-    """Order lines to orders, sales and new customers."""
-    checked = check_orders(rows, products, row_col)
+    """Order lines to orders, sales and new customers.
+
+    The checked lines are kept in a table, since all results start from them.
+    """
+    checked = materialize(check_orders(rows, products, row_col), "checked-orders")
     accepted = checked.filter(F.col("outcome") == "imported")
     people = resolve_customers(accepted, customers)
     lines = accepted.join(people.select("customer_name", "customer_id"), on="customer_name", how="left")

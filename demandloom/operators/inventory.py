@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from demandloom.functions import round_half_even, truncate
 from demandloom.operators import series as S
+from demandloom.session import materialize
 
 # Gate and coefficients of the reorder rules.
 MIN_SALE_ROWS = 14
@@ -141,10 +142,11 @@ def reorder_plan(products: DataFrame, sales: DataFrame, lead_days: int = LEAD_DA
 def insight_facts(products: DataFrame, sales: DataFrame, scope: str = "week", direction: str = "chronological") -> DataFrame:
     """One row per product with enough history: levels, trend, cover and the recent scope values.
 
-    The value list holds at most the scope's limit (60 days, 26 weeks, 24 months, 10 years).
+    The value list holds at most the scope's limit (60 days, 26 weeks, 24 months, 10 years). The facts
+    are read once, into a table of daily totals.
     """
-    stats = S.series_stats(sales, scope).filter(F.col("sale_rows") >= MIN_SALE_ROWS)
-    daily = S.daily_totals(sales)
+    daily = materialize(S.daily_totals(sales), "daily")
+    stats = S.series_stats(scope=scope, daily=daily).filter(F.col("sale_rows") >= MIN_SALE_ROWS)
     weeks = S.complete_weeks(daily)
     trend = S.trend(weeks, order="period_start", direction=direction).select(
         "product_id", F.col("trend").alias("trend_description"), F.col("pct_change").alias("trend_pct")

@@ -131,8 +131,5 @@ def score_predictions(
 def accuracy_by_version(scored: DataFrame) -> DataFrame:
     """Errors and drift share per model version over the completed predictions."""
     done = scored.filter(F.col("status") == "completed")
-    errors = error_metrics(done, "actual_value", "predicted_value", ["model_name", "model_version"])
-    drift = done.groupBy("model_name", "model_version").agg(
-        F.avg(F.col("drift_detected").cast("double")).alias("drift_share")
-    )
-    return errors.join(drift, on=["model_name", "model_version"])
+    drift = F.avg(F.col("drift_detected").cast("double")).alias("drift_share")
+    return error_metrics(done, "actual_value", "predicted_value", ["model_name", "model_version"], [drift])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from demandloom.functions import name_col, round_half_even, truncate
 from demandloom.operators.features import calendar_parts
 from demandloom.operators.relational import product_sales
+from demandloom.session import materialize
 
 FREQUENCIES = ("D", "W", "M", "Q", "Y")
 
@@ -312,10 +313,20 @@ def complete_weeks(daily: DataFrame, by: Sequence[str] = ("product_id",)) -> Dat
     return marked.filter(~F.col("_partial")).drop("sale_days", "_partial")
 
 
-def series_stats(sales: DataFrame, scope: str = "day", by: Sequence[str] = ("product_id",)) -> DataFrame:
-    """Per key: level and spread of the scope series, and daily, weekly and monthly averages."""
+def series_stats(
+    sales: DataFrame | None = None,
+    scope: str = "day",
+    by: Sequence[str] = ("product_id",),
+    daily: DataFrame | None = None,
+) -> DataFrame:
+    """Per key: level and spread of the scope series, and daily, weekly and monthly averages.
+
+    The facts are read once, into a table of daily totals that all statistics come from; pass
+    ``daily`` to use an existing one.
+    """
     by = list(by)
-    daily = daily_totals(sales, by)
+    if daily is None:
+        daily = materialize(daily_totals(sales, by), "daily")
     month = period_start(F.col("day"), "M")
     months = periods_between(F.min(month), F.max(month), "M")
     per_day = daily.groupBy(*by).agg(
