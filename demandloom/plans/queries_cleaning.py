@@ -116,7 +116,7 @@ def _rounded(df):
 @query(
     "scale_standard",
     """WITH s AS (SELECT avg(l_quantity) AS qm, stddev_pop(l_quantity) AS qs, avg(l_extendedprice) AS pm, stddev_pop(l_extendedprice) AS ps FROM lineitem)
-       SELECT l_orderkey, l_linenumber, round((l_quantity - qm) / qs, 6) AS quantity, round((l_extendedprice - pm) / ps, 6) AS price, 0.0 AS constant
+       SELECT l_orderkey, l_linenumber, round((l_quantity - qm) / qs, 6) AS quantity, round((l_extendedprice - pm) / ps, 6) AS price, CAST(0 AS DOUBLE) AS constant
        FROM lineitem, s""",
 )
 def scale_standard(spark, sf):
@@ -127,7 +127,7 @@ def scale_standard(spark, sf):
     "scale_minmax",
     """WITH s AS (SELECT min(l_quantity) AS q1, max(l_quantity) AS q2, min(l_extendedprice) AS p1, max(l_extendedprice) AS p2 FROM lineitem)
        SELECT l_orderkey, l_linenumber, round((l_quantity - q1) / (q2 - q1), 6) AS quantity, round((l_extendedprice - p1) / (p2 - p1), 6) AS price,
-              0.0 AS constant FROM lineitem, s""",
+              CAST(0 AS DOUBLE) AS constant FROM lineitem, s""",
 )
 def scale_minmax(spark, sf):
     return _rounded(C.normalize(_numbers(spark, sf), "minmax", SCALED))
@@ -137,7 +137,7 @@ def scale_minmax(spark, sf):
     "scale_robust",
     """WITH s AS (SELECT quantile_cont(l_quantity, [0.25, 0.5, 0.75]) AS q, quantile_cont(l_extendedprice, [0.25, 0.5, 0.75]) AS p FROM lineitem)
        SELECT l_orderkey, l_linenumber, round((l_quantity - q[2]) / (q[3] - q[1]), 6) AS quantity,
-              round((l_extendedprice - p[2]) / (p[3] - p[1]), 6) AS price, 0.0 AS constant FROM lineitem, s""",
+              round((l_extendedprice - p[2]) / (p[3] - p[1]), 6) AS price, CAST(0 AS DOUBLE) AS constant FROM lineitem, s""",
 )
 def scale_robust(spark, sf):
     return _rounded(C.normalize(_numbers(spark, sf), "robust", SCALED))
@@ -219,7 +219,7 @@ def row_sum_features(spark, sf):
 
 @query(
     "map_columns",
-    """SELECT o_orderkey AS order_id, o_custkey AS customer_id, NULL AS order_date, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS total_amount FROM orders""",
+    """SELECT o_orderkey AS order_id, o_custkey AS customer_id, CAST(NULL AS VARCHAR) AS order_date, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS total_amount FROM orders""",
 )
 def map_columns(spark, sf):
     rows = V.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")

@@ -40,7 +40,7 @@ def explode_orders(spark, sf):
 @query(
     "explode_orders_native",
     """SELECT l_orderkey AS order_id, 1 AS source_id, CAST(l_partkey AS VARCHAR) AS product_id, l_quantity AS quantity,
-              l_extendedprice AS unit_price, 0.0 AS discount, round(l_quantity * l_extendedprice, 4) AS gross_sale,
+              l_extendedprice AS unit_price, CAST(0 AS DOUBLE) AS discount, round(l_quantity * l_extendedprice, 4) AS gross_sale,
               round(l_quantity * l_extendedprice, 4) AS net_sale, strftime(l_shipdate, '%Y-%m-%d') AS sale_date FROM lineitem""",
 )
 def explode_orders_native(spark, sf):
@@ -79,7 +79,7 @@ def _order_customers(spark, sf):
 
 @query(
     "extract_customers",
-    """SELECT customer_id, name, NULL AS email, segment, NULL AS region FROM (
+    """SELECT customer_id, name, CAST(NULL AS VARCHAR) AS email, segment, CAST(NULL AS VARCHAR) AS region FROM (
          SELECT o_custkey AS customer_id, concat(name, '/', o_orderpriority) AS name, segment,
                 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
          FROM orders JOIN customers ON o_custkey = id WHERE o_orderkey % 11 <> 0) WHERE rn = 1""",

@@ -55,7 +55,7 @@ def stream_quarantine(spark, sf):
 @query(
     "stream_daily_demand",
     """SELECT product_id, strftime(d, '%Y-%m-%d') AS sale_date, sum(q) AS total_qty, count(*) AS order_count
-       FROM (SELECT DISTINCT l_orderkey, l_partkey AS product_id, CAST(l_shipdate AS DATE) AS d, 1.0 AS q FROM lineitem) GROUP BY 1, 2""",
+       FROM (SELECT DISTINCT l_orderkey, l_partkey AS product_id, CAST(l_shipdate AS DATE) AS d, CAST(1 AS DOUBLE) AS q FROM lineitem) GROUP BY 1, 2""",
 )
 def stream_daily_demand(spark, sf):
     """One unit per (order, product, day): arrives twice, is counted once."""
