@@ -3,15 +3,58 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.functions.expr import null_if_nan
 
-# Rows one `percentile` buffer may see. Above it the target rank is bracketed first.
-BUFFER_ROWS = 5_000_000
+# Values one `percentile` buffer may see per column. Above it the wanted ranks are bracketed first.
+BUFFER_ROWS = 1_000_000
 SKETCH_ACCURACY = 10_000
+# Bracket half-width in shares of the rows: twice the error of the sketch.
+PAD = 2.0 / SKETCH_ACCURACY
+
+
+@dataclass
+class _Rank:
+    """The search for the value with ``k`` values before it in sorted order."""
+
+    column: str
+    k: int
+    size: int  # rows still in the bracket
+    skipped: int = 0  # rows below the bracket
+    low: tuple[float, bool] | None = None  # (bound, bound included)
+    high: tuple[float, bool] | None = None
+    value: float | None = None
+    stuck: bool = False  # the bracket holds few distinct values, many times each
+
+    def inside(self) -> Column:
+        v, out = F.col(self.column), F.col(self.column).isNotNull()
+        if self.low is not None:
+            out = out & (v >= self.low[0] if self.low[1] else v > self.low[0])
+        if self.high is not None:
+            out = out & (v <= self.high[0] if self.high[1] else v < self.high[0])
+        return out
+
+    def marks(self) -> Column:
+        share = (self.k - self.skipped + 0.5) / self.size
+        ends = F.array(F.lit(max(0.0, share - PAD)), F.lit(min(1.0, share + PAD)))
+        return F.percentile_approx(F.when(self.inside(), F.col(self.column)), ends, SKETCH_ACCURACY)
+
+    def narrow(self, a: float, b: float, less: int, mid: int) -> None:
+        """Go to the part that holds the rank: below ``a``, ``a`` to ``b``, or above ``b``."""
+        if self.k < self.skipped + less:
+            self.high, self.size = (a, False), less
+        elif self.k >= self.skipped + less + mid:
+            self.low, self.skipped, self.size = (b, False), self.skipped + less + mid, self.size - less - mid
+        elif a == b:
+            self.value = a
+        else:
+            self.stuck = mid == self.size
+            self.low, self.high = (a, True), (b, True)
+            self.skipped, self.size = self.skipped + less, mid
 
 
 def exact_quantiles(
@@ -22,83 +65,61 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, as ``{column: [value, ...]}``.
 
-    ``percentile`` is exact but merges all distinct values of a column into one buffer. That is
-    fine while a column has at most ``buffer_rows`` values. A longer column is narrowed first: each
-    pass sketches the rows still in the bracket and counts the rows below it, so a bracket shrinks
-    by the sketch accuracy per scan and only its few distinct values are ever gathered.
+    ``percentile`` is exact but merges all distinct values of a column into one buffer. That is fine
+    while a column has at most ``buffer_rows`` values. In longer columns the wanted ranks are narrowed
+    first, all of them in the same scans: a pass sketches the rows still in each bracket and counts
+    the rows below it, so a bracket shrinks by the sketch accuracy per pass. Two passes reach from
+    10^11 rows to some ten thousand, and only those are gathered.
     """
-    values = [null_if_nan(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
-    narrow = df.select(*values)
-    counts = narrow.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
-    small = [i for i in range(len(columns)) if counts[f"n{i}"] <= buffer_rows]
+    names = {f"v{i}": c for i, c in enumerate(columns)}
+    narrow = df.select(*[null_if_nan(df, c).cast("double").alias(v) for v, c in names.items()])
+    counts = narrow.agg(*[F.count(v).alias(v) for v in names]).first()
     result: dict[str, list[float | None]] = {}
+    small = [v for v in names if counts[v] <= buffer_rows]
     if small:
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = narrow.agg(*[F.percentile(f"v{i}", probs).alias(f"q{i}") for i in small]).first()
-        for i in small:
-            got = row[f"q{i}"]
-            result[columns[i]] = list(got) if got is not None else [None] * len(probabilities)
-    for i, name in enumerate(columns):
-        if name not in result:
-            column = narrow.select(F.col(f"v{i}").alias("v")).filter(F.col("v").isNotNull())
-            n = counts[f"n{i}"]
-            result[name] = [_interpolate(column, n, p, buffer_rows) for p in probabilities]
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        row = narrow.agg(*[F.percentile(v, wanted).alias(v) for v in small]).first()
+        for v in small:
+            result[names[v]] = list(row[v]) if row[v] is not None else [None] * len(probabilities)
+    ranks: dict[tuple[str, int], _Rank] = {}
+    positions = {v: [p * (counts[v] - 1) for p in probabilities] for v in names if v not in small}
+    for v, places in positions.items():
+        for place in places:
+            for k in (math.floor(place), math.ceil(place)):
+                ranks.setdefault((v, k), _Rank(v, k, counts[v]))
+    _search(narrow, list(ranks.values()), buffer_rows)
+    for v, places in positions.items():
+        result[names[v]] = []
+        for place in places:
+            a, b = ranks[v, math.floor(place)].value, ranks[v, math.ceil(place)].value
+            result[names[v]].append(a + (b - a) * (place - math.floor(place)))
     return result
 
 
-def _interpolate(column: DataFrame, n: int, p: float, buffer_rows: int) -> float:
-    position = p * (n - 1)
-    low, high = math.floor(position), math.ceil(position)
-    below = _kth(column, n, low, buffer_rows)
-    if high == low:
-        return below
-    above = _kth(column, n, high, buffer_rows)
-    return below + (above - below) * (position - low)
-
-
-def _kth(column: DataFrame, n: int, k: int, buffer_rows: int) -> float:
-    """The value with ``k`` values before it in sorted order."""
-    lower, upper = None, None
-    skipped, size = 0, n
-    while size > buffer_rows:
-        inside = _between(column, lower, upper)
-        share = (k - skipped + 0.5) / size
-        # twice the sketch error on either side, so that the wanted rank stays inside
-        pad = 2.0 / SKETCH_ACCURACY
-        marks = inside.agg(
-            F.percentile_approx(
-                "v",
-                F.array(F.lit(max(0.0, share - pad)), F.lit(min(1.0, share + pad))),
-                SKETCH_ACCURACY,
-            ).alias("q")
-        ).first()["q"]
-        a, b = marks
-        parts = inside.agg(
-            F.count_if(F.col("v") < a).alias("less"),
-            F.count_if((F.col("v") >= a) & (F.col("v") <= b)).alias("mid"),
-        ).first()
-        less, mid = parts["less"], parts["mid"]
-        if k < skipped + less:
-            upper, size = (a, False), less
-        elif k >= skipped + less + mid:
-            lower, skipped, size = (b, False), skipped + less + mid, size - less - mid
-        else:
-            if a == b:
-                return a
-            if mid == size:
-                break
-            lower, upper = (a, True), (b, True)
-            skipped, size = skipped + less, mid
-    # The bracket is short, or holds few distinct values many times: one row per distinct value.
-    ladder = _between(column, lower, upper).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    running = ladder.withColumn("seen", F.sum("n").over(Window.orderBy("v")))
-    return running.filter(F.col("seen") > k - skipped).agg(F.min("v").alias("v")).first()["v"]
-
-
-def _between(column: DataFrame, lower, upper) -> DataFrame:
-    out = column
-    if lower is not None:
-        out = out.filter(F.col("v") >= lower[0] if lower[1] else F.col("v") > lower[0])
-    if upper is not None:
-        out = out.filter(F.col("v") <= upper[0] if upper[1] else F.col("v") < upper[0])
-    return out
+def _search(values: DataFrame, ranks: list[_Rank], buffer_rows: int) -> None:
+    """Fill in the value of every rank."""
+    while open_ranks := [r for r in ranks if r.value is None and not r.stuck and r.size > buffer_rows]:
+        ends = values.agg(*[r.marks().alias(f"m{i}") for i, r in enumerate(open_ranks)]).first()
+        parts = []
+        for i, r in enumerate(open_ranks):
+            (a, b), v = ends[f"m{i}"], F.col(r.column)
+            parts += [
+                F.count_if(r.inside() & (v < a)).alias(f"less{i}"),
+                F.count_if(r.inside() & (v >= a) & (v <= b)).alias(f"mid{i}"),
+            ]
+        sizes = values.agg(*parts).first()
+        for i, r in enumerate(open_ranks):
+            r.narrow(*ends[f"m{i}"], sizes[f"less{i}"], sizes[f"mid{i}"])
+    left = [r for r in ranks if r.value is None]
+    if not left:
+        return
+    # short brackets, or few distinct values: one row per distinct value of each rank's bracket
+    cells = F.array_compact(
+        F.array(*[F.when(r.inside(), F.struct(F.lit(i).alias("i"), F.col(r.column).alias("v"))) for i, r in enumerate(left)])
+    )
+    ladder = values.select(F.inline(cells)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    seen = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
+    need = F.get(F.array(*[F.lit(r.k - r.skipped) for r in left]), F.col("i"))
+    found = ladder.withColumn("seen", seen).filter(F.col("seen") > need).groupBy("i").agg(F.min("v").alias("v"))
+    for row in found.collect():
+        left[row["i"]].value = row["v"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from demandloom.functions import money_text, name_col, percent_text, round_half_even, truncate
 from demandloom.functions.expr import fixed_text
 from demandloom.operators.relational import scan
+from demandloom.session import materialize
 
 # Risk limits and defaults.
 MONITOR_VELOCITY = 15.0
@@ -108,9 +109,9 @@ def business_kpis(sales: DataFrame, products: DataFrame, order_keys: Sequence[st
             F.sum(F.col("qty") * F.coalesce("unit_cost", F.lit(0.0))).alias("cost"),
         )
     )
-    # one short row per day: read once, used for the totals and for the first step of the split
+    # one short row per day, kept for the totals and for the first step of the split
     spark = sales.sparkSession
-    days = spark.createDataFrame(per_day.collect(), per_day.schema)
+    days = materialize(per_day, "kpi-days")
     total = days.agg(*[F.sum(c).alias(c) for c in ("n", "qty", "rev", "cost")]).first()
     if not total["n"]:
         facts = spark.createDataFrame([], KPI_SCHEMA)

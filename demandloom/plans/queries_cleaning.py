@@ -155,6 +155,34 @@ def power_transform_box_cox(spark, sf):
     return C.power_transform(rows, ["l_extendedprice", "l_quantity"], "box-cox")
 
 
+def _exponent_sql(column: str) -> str:
+    return f"""SELECT '{column}' AS name, arg_max(lam, score) AS exponent FROM (
+        SELECT lam, -count(*) / 2 * ln(var_pop(CASE WHEN lam = 0 THEN ln({column}) ELSE (pow({column}, lam) - 1) / lam END)) + (lam - 1) * sum(ln({column})) AS score
+        FROM lineitem, (SELECT round(-2 + 0.1 * unnest(generate_series(0, 40)), 1)::DOUBLE AS lam) GROUP BY lam)"""
+
+
+@query("power_exponents", _exponent_sql("l_extendedprice") + " UNION ALL " + _exponent_sql("l_quantity"))
+def power_exponents(spark, sf):
+    """The best exponents of the first grid, which SQL can score as well."""
+    best = C.fit_power(V.table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"], "box-cox", passes=1)
+    return spark.createDataFrame(list(best.items()), "name string, exponent double")
+
+
+@query(
+    "power_transform_moments",
+    "SELECT count(*) AS n, round(count(*) * 0.0, 6)::DOUBLE AS mean, round(count(*) / count(*), 6)::DOUBLE AS spread FROM customer",
+)
+def power_transform_moments(spark, sf):
+    """Transformed values are standardised."""
+    rows = V.table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    out = C.power_transform(rows, ["c_acctbal"], "yeo-johnson")
+    return out.agg(
+        F.count("c_acctbal").alias("n"),
+        F.abs(F.round(F.avg("c_acctbal"), 6)).alias("mean"),
+        F.round(F.stddev_pop("c_acctbal"), 6).alias("spread"),
+    )
+
+
 @query(
     "log1p_skewed",
     """WITH s AS (SELECT skewness(value) AS sv, skewness(user_id) AS su FROM events)

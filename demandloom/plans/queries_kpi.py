@@ -178,6 +178,19 @@ def vif(spark, sf):
     return T.vif(V.table(spark, sf, "lineitem"), list(NUMBERS))
 
 
+@query(
+    "vif_three_columns",
+    """WITH g AS (SELECT sum(l_quantity * l_quantity) AS aa, sum(l_discount * l_discount) AS bb, sum(l_tax * l_tax) AS cc,
+                     sum(l_quantity * l_discount) AS ab, sum(l_quantity * l_tax) AS ac, sum(l_discount * l_tax) AS bc FROM lineitem),
+            d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM g)
+       SELECT 'l_quantity' AS feature, round(aa * (bb * cc - bc * bc) / det, 6) AS vif FROM d
+       UNION ALL SELECT 'l_discount', round(bb * (aa * cc - ac * ac) / det, 6) FROM d
+       UNION ALL SELECT 'l_tax', round(cc * (aa * bb - ab * ab) / det, 6) FROM d""",
+)
+def vif_three_columns(spark, sf):
+    return T.vif(V.table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"]).withColumn("vif", F.round("vif", 6))
+
+
 @query(
     "histogram",
     """WITH e AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 20 AS w FROM events),

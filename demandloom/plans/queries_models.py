@@ -32,6 +32,22 @@ def forecast_arima(spark, sf):
     return M.forecast_arima(S.scope_series(V.sales(spark, sf), "month"), 3)
 
 
+@query(
+    "forecast_arima_steps",
+    """SELECT product_id, CASE WHEN count(*) < 3 THEN 'no_data' ELSE 'success' END AS status, count(*) AS data_points,
+              CASE WHEN count(*) < 3 THEN 1 ELSE 2 END AS steps FROM (SELECT DISTINCT product_id, year(ds) AS y FROM sales WHERE product_id % 4 = 0 OR year(ds) < 1997)
+       GROUP BY 1""",
+    ["sales"],
+)
+def forecast_arima_steps(spark, sf):
+    """Which products get a forecast, from how many points: most have two years only."""
+    sales = V.sales(spark, sf).filter((F.col("product_id") % 4 == 0) | (F.year("ds") < 1997))
+    out = M.forecast_arima(S.scope_series(sales, "year"), 2)
+    return out.groupBy("product_id", "status").agg(
+        F.max("data_points").alias("data_points"), F.count(F.lit(1)).alias("steps")
+    )
+
+
 @query("forecast_arimax")
 def forecast_arimax(spark, sf):
     monthly = _monthly(spark, sf)

@@ -84,7 +84,7 @@ def _metric_sql(unit: str) -> str:
 
 def _metric_cache(spark, sf, bucket):
     out = scratch_path(spark, "metrics")
-    folder = V.folder_of(spark, V.events(spark, sf), "events", files=3)
+    folder = V.folder_of(spark, V.events(spark, sf), "events", files=2)
     metrics = J.stream_metric_cache(J.file_stream(spark, folder, max_files=1), bucket, lateness="60 days")
     J.finish(J.write_batches(metrics, out, scratch_path(spark, "ckpt"), "update"))
     state = J.read_latest(spark, out, ["metric_name", "bucket_start"])

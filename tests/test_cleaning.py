@@ -33,6 +33,10 @@ def test_exact_quantiles_beyond_the_buffer(spark):
     expected = np.quantile(values, probs)
     for limit in (50, 1000, 10**6):
         assert np.allclose(exact_quantiles(df, ["x"], probs, buffer_rows=limit)["x"], expected)
+    few = spark.createDataFrame([(float(v % 2), float(v)) for v in range(400)], "a double, b double")
+    got = exact_quantiles(few, ["a", "b"], [0.25, 0.5], buffer_rows=20)
+    assert got == {"a": [0.0, 0.5], "b": [99.75, 199.5]}
+    assert exact_quantiles(few.filter("a > 5"), ["a"], [0.5]) == {"a": [None]}
 
 
 def test_scalers(spark):

@@ -219,3 +219,45 @@ def test_insight_facts(spark):
     got = N.insight_facts(products, sales_of(spark, data), "week").collect()
     assert [r["product_id"] for r in got] == [1]
     assert got[0]["recent_values"] == [175.0, 126.0, 77.0, 28.0] and got[0]["trend_description"].startswith("Strong upward")
+
+
+def test_split_bounds_reach_the_scan(spark, sf):
+    """The later steps of the KPI split read the part of the table around the split only."""
+    from tests.conftest import plan_text
+
+    from demandloom.plans import views as V
+
+    rows_ = V.sales(spark, sf).select("product_id", "ds", "quantity", K.revenue_column().alias("rev"))
+    day = "1998-06-10"
+    ds_type = rows_.schema["ds"].dataType
+    kept = rows_.filter((F.col("ds") >= F.lit(day).cast(ds_type)) & (F.col("ds") < F.date_add(F.lit(day).cast("date"), 1).cast(ds_type)))
+    assert "GreaterThanOrEqual(l_shipdate,1998-06-10T00:00)" in plan_text(kept)
+
+
+def test_hot_product(spark):
+    """A product with a third of all rows gives the same results as any other."""
+    from demandloom.operators import orders as O
+
+    n = 3000
+    data = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise((F.col("id") % 50 + 2).cast("int")).alias("product_id"),
+        F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, int(id % 20))").alias("ds"),
+        (F.col("id") % 80).cast("double").alias("quantity"),
+        F.lit(2.0).alias("price_at_sale"),
+        F.col("id").alias("order_id"),
+    )
+    local = [r.asDict() for r in data.collect()]
+    products = products_of(spark, [(p, str(p), 1, 20, 1.0, 0.5) for p in range(1, 53)])
+    first = {}
+    for r in sorted(local, key=lambda r: (r["ds"], r["order_id"])):
+        if r["quantity"] > 60:
+            first.setdefault(r["product_id"], r["quantity"])
+    assert dict(rows(A.anomaly_scan(data, products, ["order_id"]), "product_id", "quantity")) == first
+    fact = data.select("product_id", F.col("ds").alias("sale_date"), "quantity", F.col("quantity").alias("gross_sale"), "order_id")
+    hot = [r for r in local if r["product_id"] == 1]
+    got = O.daily_demand(fact).filter("product_id = 1").agg(F.sum("total_qty"), F.sum("order_count"), F.count("*")).first()
+    assert tuple(got) == (sum(r["quantity"] for r in hot), len(hot), len({r["ds"] for r in hot}))
+    ordered = sorted(local, key=lambda r: (r["ds"], r["product_id"], r["order_id"]))
+    prev, recent = (sum(r["quantity"] for r in part) for part in (ordered[: n // 2], ordered[n // 2 :]))
+    kpis = K.business_kpis(data, products, ["order_id"]).first()
+    assert kpis["growth_pct"] == pytest.approx((recent - prev) / prev * 100)
