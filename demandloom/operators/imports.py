@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,12 +46,17 @@ class ImportResult:
     summary: DataFrame
 
 
-def _text(df: DataFrame, name: str) -> Column:
-    """Trimmed text of a cell, NULL when the column is absent or the cell empty."""
-    if name not in df.columns:
-        return F.lit(None).cast("string")
-    text = strip(name_col(name).cast("string"))
-    return F.when((text != "") & (text != "NaN"), text)
+def _cells(rows: DataFrame, columns: Sequence[str], row_col: str) -> DataFrame:
+    """``row_num`` and the named cells as trimmed text, NULL where absent or empty.
+
+    In steps, so that a cell is trimmed once however often it is looked at afterwards.
+    """
+    absent = F.lit(None).cast("string")
+    trimmed = rows.select(
+        name_col(row_col).alias("row_num"),
+        *[(strip(name_col(c).cast("string")) if c in rows.columns else absent).alias(c) for c in columns],
+    )
+    return trimmed.select("row_num", *[F.when(~F.col(c).isin("", "NaN"), F.col(c)).alias(c) for c in columns])
 
 
 def stable_uuid(*parts: Column) -> Column:
@@ -89,29 +95,30 @@ def assign_category_ids(names: DataFrame, categories: DataFrame) -> DataFrame:
 def parse_products(rows: DataFrame, row_col: str = "row_num") -> DataFrame:
     """Typed product fields, ``skip_reason`` and ``warnings`` per input row."""
     require_columns(rows, PRODUCT_COLUMNS["required"])
-    numbers = {c: to_number(_text(rows, c)) for c in ("base_price", "unit_cost", "weight")}
-    integers = {
-        c: to_number(_text(rows, c)).try_cast("bigint").alias(c) for c in ("current_stock", "safety_stock")
-    }
-    status = F.lower(_text(rows, "status"))
-    checks = [
-        F.when(_text(rows, c).isNotNull() & e.isNull(), F.lit(f"invalid {c}"))
-        for c, e in {**numbers, **integers}.items()
-    ]
-    checks.append(F.when(status.isNotNull() & ~status.isin(*PRODUCT_STATUS), F.lit("invalid status")))
-    return rows.select(
-        name_col(row_col).alias("row_num"),
-        _text(rows, "sku_code").alias("sku_code"),
-        _text(rows, "name").alias("name"),
-        *[e.alias(c) for c, e in numbers.items()],
-        *[e.alias(c) for c, e in integers.items()],
-        _text(rows, "dimensions").alias("dimensions"),
-        F.when(status.isin(*PRODUCT_STATUS), status).alias("status"),
-        _text(rows, "category_name").alias("category_name"),
+    cells = _cells(rows, [*PRODUCT_COLUMNS["required"], *PRODUCT_COLUMNS["optional"]], row_col)
+    reals, wholes = ("base_price", "unit_cost", "weight"), ("current_stock", "safety_stock")
+    parsed = cells.withColumns(
+        {
+            **{f"_{c}": to_number(F.col(c)) for c in reals},
+            **{f"_{c}": to_number(F.col(c)).try_cast("bigint") for c in wholes},
+            "_status": F.lower("status"),
+        }
+    )
+    known_status = F.col("_status").isin(*PRODUCT_STATUS)
+    checks = [F.when(F.col(c).isNotNull() & F.col(f"_{c}").isNull(), F.lit(f"invalid {c}")) for c in (*reals, *wholes)]
+    checks.append(F.when(~known_status, F.lit("invalid status")))
+    return parsed.select(
+        "row_num",
+        "sku_code",
+        "name",
+        *[F.col(f"_{c}").alias(c) for c in (*reals, *wholes)],
+        "dimensions",
+        F.when(known_status, F.col("_status")).alias("status"),
+        "category_name",
         F.array_compact(F.array(*checks)).alias("warnings"),
-    ).withColumn(
-        "skip_reason",
-        F.when(F.col("sku_code").isNull() | F.col("name").isNull(), F.lit("sku_code and name are required")),
+        F.when(F.col("sku_code").isNull() | F.col("name").isNull(), F.lit("sku_code and name are required")).alias(
+            "skip_reason"
+        ),
     )
 
 
@@ -177,19 +184,17 @@ ORDER_REASONS = (
 def check_orders(rows: DataFrame, products: DataFrame, row_col: str = "row_num") -> DataFrame:
     """Typed order lines with ``outcome`` and ``reason``; the first failing check decides."""
     require_columns(rows, ORDER_COLUMNS["required"])
-    date = _text(rows, "order_date")
-    parsed = rows.select(
-        name_col(row_col).alias("row_num"),
-        _text(rows, "order_id").alias("order_key"),
-        _text(rows, "product_sku").alias("product_sku"),
-        date.alias("date_text"),
-        F.try_to_timestamp(date).alias("ds"),
-        to_number(_text(rows, "quantity")).alias("quantity"),
-        to_number(_text(rows, "price_at_sale")).alias("price_at_sale"),
-        _text(rows, "customer_name").alias("customer_name"),
-        _text(rows, "customer_email").alias("customer_email"),
-        _text(rows, "status").alias("status"),
-        to_number(_text(rows, "total_amount")).alias("total_amount"),
+    cells = _cells(rows, [*ORDER_COLUMNS["required"], *ORDER_COLUMNS["optional"]], row_col)
+    parsed = cells.select(
+        "row_num",
+        F.col("order_id").alias("order_key"),
+        "product_sku",
+        F.col("order_date").alias("date_text"),
+        F.try_to_timestamp("order_date").alias("ds"),
+        *[to_number(F.col(c)).alias(c) for c in ("quantity", "price_at_sale", "total_amount")],
+        "customer_name",
+        "customer_email",
+        "status",
     )
     codes = products.select(F.col("sku_code").alias("product_sku"), F.col("id").alias("product_id"))
     joined = parsed.join(codes, on="product_sku", how="left")

@@ -147,13 +147,15 @@ def insight_facts(products: DataFrame, sales: DataFrame, scope: str = "week", di
     """
     daily = materialize(S.daily_totals(sales), "daily")
     stats = S.series_stats(scope=scope, daily=daily).filter(F.col("sale_rows") >= MIN_SALE_ROWS)
-    weeks = S.complete_weeks(daily)
+    weeks = S.complete_weeks(daily, last=S.TREND_POINTS)
     trend = S.trend(weeks, order="period_start", direction=direction).select(
         "product_id", F.col("trend").alias("trend_description"), F.col("pct_change").alias("trend_pct")
     )
-    buckets = S.resample(daily, S.FORECAST_FREQ.get(scope, "D"), by=["product_id"], date_col="day")
+    wanted = S.max_values(scope)
+    freq = S.FORECAST_FREQ.get(scope, "D")
+    buckets = S.resample(daily, freq, by=["product_id"], date_col="day", last=wanted)
     recent = (
-        S.last_n(buckets, S.max_values(scope), most_recent_first=True)
+        S.last_n(buckets, wanted, most_recent_first=True)
         .groupBy("product_id")
         .agg(F.sort_array(F.collect_list(F.struct("position", "quantity"))).alias("v"))
         .select("product_id", F.col("v.quantity").alias("recent_values"))

@@ -71,9 +71,9 @@ def _bad(freq: str):
     raise ValueError(f"unknown frequency {freq!r}, expected one of {FREQUENCIES}")
 
 
-def _step_back(start: Column, freq: str) -> Column:
+def _step_back(start: Column, freq: str, steps: int = 1) -> Column:
     days, months = {"D": 1, "W": 7}.get(freq), {"M": 1, "Q": 3, "Y": 12}.get(freq)
-    return F.date_sub(start, days) if days else F.add_months(start, -months)
+    return F.date_sub(start, days * steps) if days else F.add_months(start, -months * steps)
 
 
 def periods_between(first: Column, last: Column, freq: str) -> Column:
@@ -89,16 +89,29 @@ def ordered_by(by: Sequence[str], *order):
     return Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
 
 
-def fill_gaps(buckets: DataFrame, freq: str, values: Sequence[str], by: Sequence[str] = (), start: str = "period_start") -> DataFrame:
+def fill_gaps(
+    buckets: DataFrame,
+    freq: str,
+    values: Sequence[str],
+    by: Sequence[str] = (),
+    start: str = "period_start",
+    last: int | None = None,
+) -> DataFrame:
     """Add the missing buckets between the first and the last of each key, with 0.
 
-    Each bucket is stretched up to the one after it, so no calendar is joined.
+    Each bucket is stretched up to the one after it, so no calendar is joined. ``last`` keeps only
+    that many buckets at the end of each key, and no others are made.
     """
     following = F.lead(start).over(ordered_by(by, start))
-    until = F.coalesce(_step_back(following, freq), F.col(start))
-    stretched = buckets.withColumn("_until", until).withColumn(
-        "_bucket", F.explode(F.sequence(F.col(start), F.col("_until"), F.expr(_STEP[freq])))
+    spans = buckets.withColumns(
+        {"_from": F.col(start), "_until": F.coalesce(_step_back(following, freq), F.col(start))}
     )
+    if last is not None:
+        # the newest bucket of the key, by the same partitioning and order as above
+        newest = F.max(start).over(ordered_by(by, start).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        spans = spans.withColumn("_oldest", _step_back(newest, freq, last - 1))
+        spans = spans.filter(F.col("_until") >= F.col("_oldest")).withColumn("_from", F.greatest(start, "_oldest"))
+    stretched = spans.withColumn("_bucket", F.explode(F.sequence(F.col("_from"), F.col("_until"), F.expr(_STEP[freq]))))
     real = F.col("_bucket") == F.col(start)
     return stretched.select(
         *by,
@@ -118,10 +131,12 @@ def resample(
     by: Sequence[str] = (),
     date_col: str = "ds",
     fill: bool = True,
+    last: int | None = None,
 ) -> DataFrame:
     """Bucketed values per key: columns ``by``, period_start, period_end and the values.
 
-    Empty buckets between the first and the last are 0 for sums and counts (``fill``).
+    Empty buckets between the first and the last are 0 for sums and counts (``fill``). ``last`` keeps
+    the newest buckets of each key only.
     """
     exprs = values if isinstance(values, Mapping) else {v: name_col(v).cast("double") for v in values}
     start = period_start(F.to_date(name_col(date_col)), freq)
@@ -131,7 +146,9 @@ def resample(
         .agg(*[_REDUCERS[how](e).alias(v) for v, e in exprs.items()])
     )
     if fill and how in ("sum", "count"):
-        buckets = fill_gaps(buckets, freq, list(exprs), by)
+        buckets = fill_gaps(buckets, freq, list(exprs), by, last=last)
+    elif last is not None:
+        raise ValueError("last needs a gap-filled series")
     return buckets.select(
         *by, "period_start", period_end(F.col("period_start"), freq).alias("period_end"), *list(exprs)
     )
@@ -305,14 +322,42 @@ def weekly_totals(daily: DataFrame, by: Sequence[str] = ("product_id",)) -> Data
     )
 
 
-def complete_weeks(daily: DataFrame, by: Sequence[str] = ("product_id",)) -> DataFrame:
-    """Weekly sums with gaps as 0, without the last week of a key when it has fewer than 7 sale days."""
-    filled = fill_gaps(weekly_totals(daily, by), "W", ["quantity", "sale_days"], by)
+def complete_weeks(daily: DataFrame, by: Sequence[str] = ("product_id",), last: int | None = None) -> DataFrame:
+    """Weekly sums with gaps as 0, without the last week of a key when it has fewer than 7 sale days.
+
+    ``last`` makes no more weeks per key than are needed to have that many complete ones.
+    """
+    values = ["quantity", "sale_days"]
+    filled = fill_gaps(weekly_totals(daily, by), "W", values, by, last=None if last is None else last + 1)
     is_last = F.lead("period_start").over(ordered_by(by, "period_start")).isNull()
     marked = filled.withColumn("_partial", is_last & (F.col("sale_days") < 7))
     return marked.filter(~F.col("_partial")).drop("sale_days", "_partial")
 
 
+def filled_moments(buckets: DataFrame, freq: str, by: Sequence[str]) -> DataFrame:
+    """Count, mean, sample sd and last value of the gap-filled series, without filling it.
+
+    A missing bucket is 0: it adds one to the count and the squared mean to the squared deviations.
+    """
+    every = Window.partitionBy(*by)
+    start = F.col("period_start")
+    n = periods_between(F.min(start).over(every), F.max(start).over(every), freq)
+    placed = buckets.withColumns({"_n": n, "_total": F.sum("quantity").over(every)})
+    mean = F.col("_total") / F.col("_n")
+    per_key = placed.withColumn("_mean", mean).groupBy(*by).agg(
+        F.max("_n").alias("scope_count"),
+        F.max("_mean").alias("scope_mean"),
+        F.sum((F.col("quantity") - F.col("_mean")) * (F.col("quantity") - F.col("_mean"))).alias("_squares"),
+        F.count(F.lit(1)).alias("_held"),
+        F.max_by("quantity", start).alias("scope_last_value"),
+    )
+    gaps = (F.col("scope_count") - F.col("_held")) * F.col("scope_mean") * F.col("scope_mean")
+    spread = F.sqrt((F.col("_squares") + gaps) / (F.col("scope_count") - 1))
+    return per_key.select(
+        *by, "scope_count", "scope_mean", F.when(F.col("scope_count") > 1, spread).alias("scope_std"), "scope_last_value"
+    )
+
+
 def series_stats(
     sales: DataFrame | None = None,
     scope: str = "day",
@@ -347,13 +392,8 @@ def series_stats(
     kept_n = F.col("n") - F.when(partial, 1).otherwise(0)
     per_week = weeks.select(*by, F.coalesce(F.try_divide(kept_total, kept_n), F.lit(0.0)).alias("weekly_avg"))
     freq = FORECAST_FREQ.get(scope, "D")
-    buckets = resample(daily, freq, by=by, date_col="day")
-    per_scope = buckets.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("scope_count"),
-        F.avg("quantity").alias("scope_mean"),
-        F.stddev_samp("quantity").alias("scope_std"),
-        F.max_by("quantity", "period_end").alias("scope_last_value"),
-    )
+    buckets = resample(daily, freq, by=by, date_col="day", fill=False)
+    per_scope = filled_moments(buckets, freq, by)
     return per_day.join(per_week, on=by).join(per_scope, on=by)
 
 

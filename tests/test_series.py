@@ -261,3 +261,19 @@ def test_hot_product(spark):
     prev, recent = (sum(r["quantity"] for r in part) for part in (ordered[: n // 2], ordered[n // 2 :]))
     kpis = K.business_kpis(data, products, ["order_id"]).first()
     assert kpis["growth_pct"] == pytest.approx((recent - prev) / prev * 100)
+
+
+@pytest.mark.parametrize("freq", ["D", "W", "M", "Q", "Y"])
+def test_last_buckets_equal_the_tail_of_the_full_series(spark, freq):
+    data = [(p, f"{2020 + (i * p) % 5}-{1 + (i * 7) % 12:02d}-{1 + (i * 3) % 28:02d}", i) for p in (1, 2, 3) for i in range(6)]
+    sales = sales_of(spark, data + [(4, "2024-02-29", 1)])
+    full = S.last_n(S.resample(sales, freq, by=["product_id"]), 4).drop("position")
+    assert rows(S.resample(sales, freq, by=["product_id"], last=4)) == rows(full)
+
+
+def test_moments_without_filling(spark):
+    sales = sales_of(spark, [(1, "2024-01-01", 3), (1, "2024-03-10", 5), (1, "2024-07-04", 4), (2, "2024-01-01", 2)])
+    full = S.resample(sales, "M", by=["product_id"])
+    expected = rows(full.groupBy("product_id").agg(F.count("*"), F.avg("quantity"), F.round(F.stddev_samp("quantity"), 9), F.max_by("quantity", "period_end")))
+    got = S.filled_moments(S.resample(sales, "M", by=["product_id"], fill=False), "M", ["product_id"])
+    assert rows(got.withColumn("scope_std", F.round("scope_std", 9))) == expected
