@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import simhash
+from demandloom.llm import relative_lz, simhash
 from demandloom.llm.registry import query, table
 
 
@@ -14,3 +14,30 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its fingerprint and the smallest document it is a near-duplicate of."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS p FROM words WHERE len(w) >= 13
+), grams AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 12], ' ')) AS g FROM places
+), firsts AS (
+  SELECT g, min(doc_id) AS owner FROM grams GROUP BY g
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(p, p + 12)) AS i FROM grams JOIN firsts USING (g) WHERE doc_id > owner
+), removed AS (
+  SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string([x[1] FOR x IN list_zip(w, generate_series(1, len(w))) IF NOT list_contains(coalesce(gone, []), x[2])], ' '), '')) AS kept_sha256
+FROM words LEFT JOIN removed USING (doc_id)
+"""
+
+
+@query("op2_relative_lz", OP2_SQL)
+def relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without the passages that an earlier document has."""
+    found = relative_lz.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
