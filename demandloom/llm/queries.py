@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import relative_lz, simhash
+from demandloom.llm import relative_lz, simhash, token_files
 from demandloom.llm.registry import query, table
 
 
@@ -41,3 +41,9 @@ def relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without the passages that an earlier document has."""
     found = relative_lz.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op7_token_files")
+def token_files_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each document in the token files."""
+    return token_files.token_digest(table(spark, sf_dir, "documents"), token_files.vocabulary())
