@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import relative_lz, simhash, token_files
+from demandloom.llm import quality, relative_lz, simhash, token_files
 from demandloom.llm.registry import query, table
 
 
@@ -47,3 +47,11 @@ def relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_files_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of each document in the token files."""
     return token_files.token_digest(table(spark, sf_dir, "documents"), token_files.vocabulary())
+
+
+@query("op1_quality_rules")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances from the language references and verdict of each document."""
+    found = quality.assess(table(spark, sf_dir, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance"]
+    return found.select(F.col("source").getField("doc_id").alias("doc_id"), *counts, "base_failed", "kept")
