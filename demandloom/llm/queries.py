@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import quality, relative_lz, simhash, token_files
+from demandloom.llm import mixing, quality, relative_lz, simhash, token_files
 from demandloom.llm.registry import query, table
 
 
@@ -55,3 +55,55 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.assess(table(spark, sf_dir, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance"]
     return found.select(F.col("source").getField("doc_id").alias("doc_id"), *counts, "base_failed", "kept")
+
+
+OP6_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), sums AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM sums
+), weighed AS (
+  SELECT *, no % 3 + 1 AS w, 3.0 * source_size / (no % 3 + 1) AS ratio FROM ranked
+), stops AS (  -- if the k sources that are full soonest are full, the others share the rest
+  SELECT *, row_number() OVER (ORDER BY ratio, no) AS k,
+         (SELECT sum(source_size) FROM weighed) - 3 * coalesce(sum(source_size) OVER (ORDER BY ratio, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER (ORDER BY ratio, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w
+  FROM weighed
+), level AS (
+  SELECT k, rest, rest_w FROM stops WHERE CAST(rest AS DOUBLE) * w / rest_w <= 3 * source_size ORDER BY k LIMIT 1
+), targets AS (
+  SELECT source, no, source_size, CASE WHEN stops.k < level.k THEN 3.0::DOUBLE * source_size ELSE CAST(level.rest AS DOUBLE) * w / CAST(level.rest_w AS DOUBLE) END AS target
+  FROM stops, level
+), scale AS (
+  SELECT CAST(sum(source_size) AS BIGINT) AS total, CAST(ceil(sum(source_size) / 32.0) AS BIGINT) AS slots,
+         CAST(greatest(1, ceil(log2(ceil(sum(source_size) / 32.0)))) AS INT) AS bits
+  FROM targets
+), points AS (
+  SELECT list_sum([((t >> i) & 1) << (bits - 1 - i) FOR i IN range(0, bits)]) AS p
+  FROM (SELECT bits, unnest(range(0, slots)) AS t FROM scale)
+), shares AS (
+  SELECT no, source_size, target, (upto - target) * (CAST(1 << bits AS DOUBLE) / total) AS low,
+         CASE WHEN upto >= total * (1 - 1e-12) THEN CAST(1 << bits AS DOUBLE) ELSE upto * (CAST(1 << bits AS DOUBLE) / total) END AS high
+  FROM (SELECT *, sum(target) OVER (ORDER BY no) AS upto FROM targets), scale
+), asked AS (
+  SELECT no, count(p) AS n FROM shares LEFT JOIN points ON p >= low AND p < high GROUP BY no
+), places AS (
+  SELECT doc_id, no, size, source_size, target, CAST(ceil(source_size / 32.0) AS BIGINT) AS blocks,
+         sum(size) OVER (PARTITION BY no ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS a
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 WHEN n >= 3 * blocks THEN 3 * size
+            ELSE n // blocks * size + greatest(0, least(size, n % blocks * 32 - a)) END AS BIGINT) AS taken
+FROM places JOIN asked USING (no)
+"""
+
+
+@query("op6_mix_sources", OP6_SQL)
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
