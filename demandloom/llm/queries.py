@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import mixing, quality, relative_lz, simhash, token_files
+from demandloom.llm import mixing, quality, relative_lz, secret_scan, simhash, token_files
 from demandloom.llm.registry import query, table
 
 
@@ -107,3 +107,12 @@ FROM places JOIN asked USING (no)
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of each document."""
     return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+@query("op3_secret_scan")
+def secret_scan_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of the secrets in each document."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    counts = [F.size(secret_scan.of_kind("spans", k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
