@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import mixing, quality, relative_lz, secret_scan, simhash, token_files
+from demandloom.llm import mixing, packing, preference, quality, relative_lz, secret_scan, simhash, token_files
 from demandloom.llm.registry import query, table
 
 
@@ -116,3 +116,49 @@ def secret_scan_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "literal")
     counts = [F.size(secret_scan.of_kind("spans", k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+@query("op8_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence and place of each piece of each document."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, chosen ORDER BY turn NULLS FIRST, role, text) AS i,
+         '<|' || role || '|>' || chr(10) AS head, text || chr(10) || '<|end|>' || chr(10) AS tail
+  FROM turns
+), pairs AS (
+  SELECT pair_id, max(i) FILTER (chosen) AS nc, max(i) FILTER (NOT chosen) AS nr FROM numbered GROUP BY pair_id
+), differ AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, min(coalesce(c.i, r.i)) AS d
+  FROM (SELECT * FROM numbered WHERE chosen) c FULL JOIN (SELECT * FROM numbered WHERE NOT chosen) r ON c.pair_id = r.pair_id AND c.i = r.i
+  WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text
+  GROUP BY 1
+), prefixes AS (
+  SELECT pair_id, coalesce(d - 1, nc) AS n FROM pairs LEFT JOIN differ USING (pair_id)
+), placed AS (
+  SELECT *, sum(length(head || tail)) OVER (PARTITION BY pair_id, chosen ORDER BY i) AS upto FROM numbered JOIN prefixes USING (pair_id)
+)
+SELECT pair_id, CAST(any_value(n) AS BIGINT) AS n_prompt_turns,
+       coalesce(string_agg(head || tail, '' ORDER BY i) FILTER (chosen AND i <= n), '') AS prompt,
+       coalesce(string_agg(head || tail, '' ORDER BY i) FILTER (chosen AND i > n), '') AS chosen,
+       coalesce(string_agg(head || tail, '' ORDER BY i) FILTER (NOT chosen AND i > n), '') AS rejected,
+       coalesce(string_agg((upto - length(tail)) || ':' || upto, ',' ORDER BY i) FILTER (chosen AND i > n AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg((upto - length(tail)) || ':' || upto, ',' ORDER BY i) FILTER (NOT chosen AND i > n AND role = 'assistant'), '') AS rejected_spans
+FROM placed GROUP BY pair_id
+"""
+
+
+@query("op9_preference_format", OP9_SQL)
+def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) as prompt and two completions."""
+    turns = table(spark, sf_dir, "conversations")
+    pair, chosen = F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0
+    found = preference.preference_pairs(turns, pair, chosen, F.col("turn"), F.col("role"), F.col("text"))
+    spans = [preference.spans_text(c).alias(c) for c in ("chosen_spans", "rejected_spans")]
+    return found.select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", *spans)
