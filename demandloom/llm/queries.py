@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import mixing, packing, preference, quality, relative_lz, secret_scan, simhash, token_files
+from demandloom.llm import language, mixing, packing, preference, quality, relative_lz, secret_scan, simhash, token_files
 from demandloom.llm.registry import query, table
 
 
@@ -162,3 +162,10 @@ def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = preference.preference_pairs(turns, pair, chosen, F.col("turn"), F.col("role"), F.col("text"))
     spans = [preference.spans_text(c).alias(c) for c in ("chosen_spans", "rejected_spans")]
     return found.select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", *spans)
+
+
+@query("op4_byte_cnn_language")
+def byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of each document."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
