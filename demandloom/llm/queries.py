@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import language, mixing, packing, preference, quality, relative_lz, secret_scan, simhash, token_files
+from demandloom.llm import cover_tree, language, mixing, packing, preference, quality, relative_lz, secret_scan, simhash, token_files
 from demandloom.llm.registry import query, table
 
 
@@ -169,3 +169,24 @@ def byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of each document."""
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
+
+
+OP5_SQL = r"""
+WITH rows AS (
+  SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(max(list_sum([x[1] * x[2] FOR x IN list_zip(q.v, r.v)])) AS BIGINT) AS score
+  FROM rows q, rows r WHERE q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id AND len(q.v) = len(r.v)
+  GROUP BY q.vec_id, r.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 5
+"""
+
+
+@query("op5_dual_cover_tree", OP5_SQL)
+def dual_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with the highest inner products with each query."""
+    return cover_tree.nearest(table(spark, sf_dir, "embeddings"))
