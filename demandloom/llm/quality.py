@@ -159,3 +159,13 @@ def assess(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limi
     far_chars = (F.col("word_chars") >= limits.min_chars) & (F.coalesce("char_distance", F.lit(0.0)) > limits.char_distance)
     far_words = (F.col("n_words") >= limits.min_words) & (F.coalesce("word_distance", F.lit(0.0)) > limits.word_distance)
     return rows.select("*", base_failed.alias("base_failed"), (~base_failed & ~far_chars & ~far_words).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> DataFrame:
+    """The input rows that are kept, with the columns of the input.
+
+    The row number keeps the filter above the counts: pushed below, it would repeat the expressions
+    of every count it rests on.
+    """
+    judged = assess(docs, text_col, lang_col, limits).select("source", "kept", F.monotonically_increasing_id().alias("row"))
+    return judged.filter((F.col("row") >= 0) & F.col("kept")).select(*[F.col("source").getField(c).alias(c) for c in docs.columns])
