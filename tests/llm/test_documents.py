@@ -1,0 +1,251 @@
+"""Operators on single documents against brute force, with odd rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from demandloom.llm import language, quality, secret_scan, token_files
+from demandloom.llm.registry import QUERIES
+from demandloom.llm.words import Hasher, flat_text, word_bounds
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def quality_counts(text):
+    text = text or ""
+    w = words(text)
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in text.split("\n") if words(x)]
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_words_of_arrow_text():
+    texts = ["a  b\n", None, "", " ", "é\x0bü x", "last", "\tz"]
+    data, offsets = flat_text(pa.array(["skipped", *texts])[1:])
+    starts, ends = word_bounds(data, offsets)
+    found = [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)]
+    assert found == [w for t in texts for w in words(t)]
+    hashes = Hasher().words(data, starts, ends)
+    assert len(set(hashes.tolist())) == len(set(found))
+
+
+@pytest.mark.parametrize("which", ["odd", "documents"])
+def test_quality_counts(request, which):
+    df = request.getfixturevalue(which)
+    found = quality.assess(df).select("source.doc_id", F.col("source.text").alias("text"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    assert len(found) == df.count()
+    for r in found:
+        counts = quality_counts(r.text)
+        assert tuple(r[2:7]) == counts
+        assert r.base_failed == (counts[0] < 20 or 100 * counts[4] > 30 * counts[0])
+        assert not (r.base_failed and r.kept)
+
+
+def js(p, q):
+    def half(a, b):
+        return sum(x * np.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x > 0)
+
+    return np.sqrt((half(p, q) + half(q, p)) / 2)
+
+
+def test_quality_distances(documents):
+    bins = [w for ws in quality.COMMON_WORDS.values() for w in ws]
+    classes = list(quality.CHARACTER_CLASSES.values())
+
+    def histograms(text):
+        text = text or ""
+        found = Counter(w.lower() for w in words(text))
+        chars = [sum(text.count(c) for c in cls) for cls in classes]
+        common = [found[w] for w in bins]
+        return np.array([*chars, len(text) - sum(chars)]), np.array([*common, len(words(text)) - sum(common)])
+
+    rows = documents.collect()
+    made = {r.doc_id: histograms(r.text) for r in rows}
+    sums = {lang: [sum(made[r.doc_id][k] for r in rows if r.lang == lang) for k in (0, 1)] for lang in quality.COMMON_WORDS}
+    for r in quality.assess(documents).select("source.doc_id", "char_distance", "word_distance").collect():
+        for k, got in ((0, r.char_distance), (1, r.word_distance)):
+            own = made[r.doc_id][k]
+            want = min(js(own / own.sum(), s[k] / s[k].sum()) for s in sums.values())
+            assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_quality_rejects_what_is_far(spark, documents):
+    clean = documents.filter("lang = 'en'").limit(40)
+    symbols = spark.createDataFrame([(10**9, "### $$$ &&& %%% *** ||| " * 30 + " ".join(f"<<{i}>>" for i in range(300)), "en", "s", 0)], documents.schema)
+    found = {r.doc_id: r for r in quality.assess(documents.union(symbols)).select("source.doc_id", "base_failed", "kept").collect()}
+    assert not found[10**9].kept
+    share = [found[r.doc_id].kept for r in clean.collect() if not found[r.doc_id].base_failed]
+    assert sum(share) >= 0.9 * len(share)
+
+
+def test_quality_keeps_columns_and_empty_tables(odd, none):
+    assert quality.kept_documents(odd).schema == odd.schema
+    assert quality.kept_documents(none).collect() == []
+
+
+SECRETS = [
+    ('password = "hunter2222"', ["hunter2222"], 1),
+    ('k = "abc123XYZ99"\nfoo(1)\ndb_pwd = k\n', ["abc123XYZ99"], 0),
+    ('a = "pre1"\nb = a + "post22XY"\nprivate_key = b', ["post22XY"], 0),
+    ('conf.put("auth.credentials", "Zx9!kk2pQ")', ["Zx9!kk2pQ"], 0),
+    ("<dbPwd>s3cr3tV@lue</dbPwd>", ["s3cr3tV@lue"], 0),
+    ("export SIGNING_KEY=ab12CD34ef56", ["ab12CD34ef56"], 0),
+    ('pwd: str = "changeme"', [], 0),
+    ("max_token_count: 123456", [], 0),
+    ("it's the author: don't", [], 0),
+    ("token: short", [], 0),
+]
+
+
+@pytest.mark.parametrize("text,literals,assigns", SECRETS)
+def test_secret_flows(text, literals, assigns):
+    spans = secret_scan.scan(text)
+    found = " ".join(text[s.start : s.end] for s in spans)
+    assert sum(s.kind == "assign" for s in spans) == assigns
+    assert all(x in found for x in literals)
+    assert bool(spans) == bool(literals)
+
+
+def base_brute(text):
+    """The contract's patterns, read literally."""
+    text = text or ""
+    spans = [("assign", *m.span()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+    spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    spans += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return sorted(spans, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_secret_base_spans(spark, sf, documents):
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    for r in QUERIES["op3_secret_scan"](spark, sf).collect():
+        base = base_brute(texts[r.doc_id])
+        kinds = Counter(k for k, _, _ in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == (kinds["assign"], kinds["access"], kinds["hex"])
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+    tricky = ["PASSWORD=AKIA" + "0" * 30, "ſecret=abcdefgh toKen=abcdefgh", "secret== token=ab password:='x' passwd = 'abcdef'" + "f" * 30, "tokentoken=abcdefg", "AKIAAKIA" + "A" * 12]
+    for t in tricky:
+        assert [(s.kind, s.start, s.end) for s in secret_scan.scan(t) if s.kind != "literal"] == base_brute(t)
+
+
+def test_secret_scan_of_odd_rows(odd, none):
+    assert secret_scan.find_secrets(odd).count() == odd.count()
+    assert secret_scan.find_secrets(none).collect() == []
+    assert secret_scan.redact_secrets(none).collect() == []
+    clean = secret_scan.redact_secrets(odd)
+    assert clean.schema == odd.schema
+    assert sorted(map(str, clean.collect())) == sorted(map(str, odd.collect()))
+    assert secret_scan.redacted("a password = hunter2222 b", "[X]") == "a [X] b"
+
+
+def test_secret_lexer_is_linear():
+    for t in ("a" * 300_000, "token" + " " * 300_000, "auth " + "x.y-" * 100_000, "key='" * 50_000, "auth <a>" * 50_000):
+        secret_scan.scan(t)
+
+
+def test_language_on_held_out(spark, sf):
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
+    net = language.fit(docs)
+    found = language.identify(docs, net).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in found if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in found)
+
+
+def test_language_tables_equal_the_network():
+    rng = np.random.default_rng(3)
+    net = language.Network.fresh(["a", "b", "c"], rng)
+    texts = [bytes(rng.integers(0, 256, n).astype(np.uint8)) for n in (1, 2, 127, 128, 129, 1000)]
+    data, offsets = flat_text(pa.array(texts, pa.large_binary()))
+    windows, text, length = language.window_bytes(data, offsets)
+    embedded = net.embedding[windows]
+    pooled = [(np.concatenate([embedded[:, i : language.WINDOW - w + 1 + i] for i in range(w)], axis=2) @ f).max(axis=1) for w, f in zip(language.WIDTHS, net.filters, strict=True)]
+    share = language.softmax(np.maximum(np.concatenate(pooled, axis=1) + net.filter_bias, 0) @ net.dense + net.bias)
+    want = np.array([np.average(share[text == i], axis=0, weights=length[text == i]) for i in range(len(texts))])
+    assert np.allclose(language.probabilities(net, net.tables(), data, offsets), want, atol=1e-5)
+
+
+def test_language_gradients():
+    rng = np.random.default_rng(5)
+    net = language.Network.fresh(["a", "b"], rng)
+    windows, wanted = rng.integers(0, 257, (4, language.WINDOW)), np.array([0, 1, 1, 0])
+
+    def loss():
+        embedded = net.embedding.astype(np.float64)[windows]
+        pooled = [(np.concatenate([embedded[:, i : language.WINDOW - w + 1 + i] for i in range(w)], axis=2) @ f.astype(np.float64)).max(axis=1) for w, f in zip(language.WIDTHS, net.filters, strict=True)]
+        share = language.softmax(np.maximum(np.concatenate(pooled, axis=1) + net.filter_bias, 0) @ net.dense + net.bias)
+        return -np.log(share[np.arange(4), wanted]).mean()
+
+    for p, g in zip(net.parameters(), net.step(windows, wanted), strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old = p[at]
+        p[at] = old + 1e-3
+        up = loss()
+        p[at] = old - 1e-3
+        down = loss()
+        p[at] = old
+        assert g[at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=1e-4)
+
+
+def test_language_of_odd_rows(odd, none, documents):
+    net = language.fit(documents)
+    found = {(r.doc_id, r.lang_pred, r.score) for r in language.identify(odd, net).collect()}
+    assert {(1, "und", 0.0), (2, "und", 0.0), (3, "und", 0.0), (15, "und", 0.0)} <= found
+    assert language.identify(odd, net).count() == odd.count()
+    assert language.fit(none) is None
+    assert {r.lang_pred for r in language.identify(odd, None).collect()} == {"und"}
+    assert language.identify(none, net).collect() == []
+
+
+def tokens_brute(rows):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_files.vocabulary())
+    base, out = 0, []
+    for doc_id, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        out.append((doc_id, base, len(ids), zlib.crc32(ids.tobytes())))
+        base += len(ids)
+    return out
+
+
+def test_token_files(spark, sf, documents):
+    rows = sorted((r.doc_id, r.text) for r in documents.collect())
+    found = sorted(tuple(r) for r in QUERIES["op7_token_files"](spark, sf).collect())
+    assert found == tokens_brute(rows)
+
+
+def test_token_shards_and_odd_rows(spark, odd, odd_rows, none, tmp_path):
+    rows = sorted(((r[0], r[1]) for r in odd_rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    shards = token_files.write_tokens(odd, str(tmp_path / "a"), token_files.vocabulary(), shard_bytes=10_000)
+    assert len(shards) > 2
+    found = token_files.read_tokens(spark, str(tmp_path / "a"), shards).collect()
+    key = lambda r: (r[1], str(r))
+    assert sorted((tuple(r) for r in found), key=key) == sorted(tokens_brute(rows), key=key)
+    assert token_files.read_tokens(spark, str(tmp_path / "b"), token_files.write_tokens(none, str(tmp_path / "b"), token_files.vocabulary())).collect() == []
+
+
+def test_token_pieces_equal_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder, rng = Tokenizer.from_file(token_files.vocabulary()), token_files.Encoder(token_files.vocabulary()), random.Random(1)
+    parts = [" ", "  ", "\n", "\t", "a", "b", "it's", "'s", ",", ".", "é", "\xa0", "　", "1", "!", "<|endoftext|>", "ß", "\r\n", "don't", "\x85", "😀", "The", "ǅ", "中"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    found = []
+    for ids, sizes in encoder.batch(pa.array(texts)):
+        found += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert found == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
