@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import demandloom.llm.queries  # noqa: F401  (fills the registry)
 from demandloom.llm import components, cover_tree, mixing, packing, preference, relative_lz, simhash
-from tests.llm.conftest import PASSAGE, prose, table_of
+from demandloom.llm.registry import QUERIES
+from tests.llm.conftest import prose, table_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -455,8 +457,5 @@ def test_pipeline_of_odd_rows(spark, sf, odd, none):
 
 
 def test_digests_of_kept_words(spark, sf, documents):
-    from demandloom.llm.registry import QUERIES
-
     want = {d: hashlib.sha256(t.encode()).hexdigest() for d, _, _, t in repeats_brute([(r.doc_id, r.text) for r in documents.collect()])}
     assert {r.doc_id: r.kept_sha256 for r in QUERIES["op2_relative_lz"](spark, sf).collect()} == want
-    assert PASSAGE.split()[0] == "one"

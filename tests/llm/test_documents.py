@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import demandloom.llm.queries  # noqa: F401  (fills the registry)
 from demandloom.llm import language, quality, secret_scan, token_files
 from demandloom.llm.registry import QUERIES
 from demandloom.llm.words import Hasher, flat_text, word_bounds
