@@ -90,6 +90,38 @@ def percent_text(c: Column, digits: int) -> Column:
     return F.concat(fixed_text(c, digits), F.lit("%"))
 
 
+def exact_text(value: Column, dtype: T.DataType) -> Column:
+    """A text that is equal exactly for equal values and never NULL.
+
+    Parts are prefixed with their length, so no two lists of parts run together. NaN counts as
+    missing, minus zero as zero; timestamps keep their microseconds.
+    """
+    if isinstance(dtype, T.StructType):
+        text = F.concat(*[exact_text(value.getField(f.name), f.dataType) for f in dtype.fields]) if dtype.fields else F.lit("")
+    elif isinstance(dtype, T.ArrayType):
+        text = F.array_join(F.transform(value, lambda v: exact_text(v, dtype.elementType)), "")
+    elif isinstance(dtype, T.MapType):
+        entry = lambda e: F.concat(exact_text(e["key"], dtype.keyType), exact_text(e["value"], dtype.valueType))
+        text = F.array_join(F.sort_array(F.transform(F.map_entries(value), entry)), "")
+    elif isinstance(dtype, T.VariantType):
+        text = F.to_json(value)
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        text = F.unix_micros(value.cast("timestamp")).cast("string")
+    elif isinstance(dtype, T.BinaryType):
+        text = F.hex(value)
+    elif is_floating(dtype):
+        text = F.when(~F.isnan(value), (value + F.lit(0).cast(dtype)).cast("string"))
+    else:
+        text = value.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def digest(df: DataFrame, names: list[str] | None = None) -> Column:
+    """128-bit digest of some columns, all by default; equal values, missing ones included, have equal digests."""
+    fields = [df.schema[n] for n in (names if names is not None else df.columns)]
+    return F.md5(F.concat(F.lit(""), *[exact_text(name_col(f.name), f.dataType) for f in fields]))
+
+
 def is_json_container(c: Column) -> Column:
     """True when the text is one JSON object or array.
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from demandloom.functions import name_col, to_number
 from demandloom.operators.accuracy import error_metrics
 from demandloom.operators.series import last_n
-from demandloom.session import materialize
+from demandloom.session import checkpoint
 
 # Order limits of the automatic search and the least history.
 MAX_P, MAX_Q, MAX_D = 5, 5, 3
@@ -278,7 +278,7 @@ def backtest(
     since the split and every model start from it.
     """
     keys = list(by)
-    train, test = hold_out(materialize(series, "series"), horizon, keys, order)
+    train, test = hold_out(checkpoint(series), horizon, keys, order)
     models = {
         "naive": forecast_naive(train, horizon, keys, order, value),
         "arima": forecast_arima(train, horizon, keys, order, value).filter("status = 'success'"),
@@ -289,7 +289,7 @@ def backtest(
         part = frame.select(*keys, "step", "forecast", F.lit(name).alias("model"))
         forecasts = part if forecasts is None else forecasts.unionByName(part)
     scored = test.select(*keys, "step", name_col(value).alias("actual")).join(forecasts, on=[*keys, "step"])
-    errors = materialize(error_metrics(scored, "actual", "forecast", [*keys, "model"]), "errors")
+    errors = checkpoint(error_metrics(scored, "actual", "forecast", [*keys, "model"]))
     best = errors.groupBy(*keys).agg(F.min(F.struct("mae", "model")).alias("b"))
     return errors.join(best, on=keys).select(
         *keys, "model", "mae", "mse", "mape", "n", (F.col("model") == F.col("b.model")).alias("is_best")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from demandloom.functions import name_col, strip, to_number
 from demandloom.operators.maintenance import upsert
 from demandloom.operators.quality import require_columns
-from demandloom.session import materialize
+from demandloom.session import checkpoint
 
 # The columns of both import files and the allowed product states.
 PRODUCT_COLUMNS = {
@@ -85,7 +85,7 @@ def assign_category_ids(names: DataFrame, categories: DataFrame) -> DataFrame:
     """(name, id, is_new): the known id, or a new one after the highest."""
     wanted = names.select(name_col(names.columns[0]).alias("name")).filter(F.col("name").isNotNull()).distinct()
     known = categories.groupBy("name").agg(F.min("id").cast("bigint").alias("id"))
-    looked_up = materialize(wanted.join(known, on="name", how="left"), "category-names")
+    looked_up = checkpoint(wanted.join(known, on="name", how="left"))
     top = categories.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("m")).scalar()
     old, missing = looked_up.filter(F.col("id").isNotNull()), looked_up.filter(F.col("id").isNull())
     new = number_new_keys(missing, "name", top)
@@ -130,7 +130,7 @@ def import_products(
     ``row_col`` numbers the input rows. Repeated codes apply in that order. The parsed rows are kept
     in a table, since all results start from them.
     """
-    parsed = materialize(parse_products(rows, row_col), "parsed-products")
+    parsed = checkpoint(parse_products(rows, row_col))
     valid = parsed.filter(F.col("skip_reason").isNull())
     ids = assign_category_ids(valid.select("category_name"), categories)
     categories_after = categories.select("id", "name").unionByName(
@@ -237,11 +237,10 @@ def resolve_customers(lines: DataFrame, customers: DataFrame) -> DataFrame:
         .groupBy(F.col("name").alias("customer_name"))
         .agg(F.min("id").cast("string").alias("name_id"))
     )
-    found = materialize(
+    found = checkpoint(
         first.join(by_email, on="email", how="left")
         .join(by_name, on="customer_name", how="left")
-        .withColumn("known_id", F.coalesce("email_id", "name_id")),
-        "customer-names",
+        .withColumn("known_id", F.coalesce("email_id", "name_id"))
     )
     fresh = found.filter(F.col("known_id").isNull())
     owners = (
@@ -283,7 +282,7 @@ def import_orders(
 
     The checked lines are kept in a table, since all results start from them.
     """
-    checked = materialize(check_orders(rows, products, row_col), "checked-orders")
+    checked = checkpoint(check_orders(rows, products, row_col))
     accepted = checked.filter(F.col("outcome") == "imported")
     people = resolve_customers(accepted, customers)
     lines = accepted.join(people.select("customer_name", "customer_id"), on="customer_name", how="left")

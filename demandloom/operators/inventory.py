@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from demandloom.functions import round_half_even, truncate
 from demandloom.operators import series as S
-from demandloom.session import materialize
+from demandloom.session import checkpoint
 
 # Gate and coefficients of the reorder rules.
 MIN_SALE_ROWS = 14
@@ -145,7 +145,7 @@ def insight_facts(products: DataFrame, sales: DataFrame, scope: str = "week", di
     The value list holds at most the scope's limit (60 days, 26 weeks, 24 months, 10 years). The facts
     are read once, into a table of daily totals.
     """
-    daily = materialize(S.daily_totals(sales), "daily")
+    daily = checkpoint(S.daily_totals(sales))
     stats = S.series_stats(scope=scope, daily=daily).filter(F.col("sale_rows") >= MIN_SALE_ROWS)
     weeks = S.complete_weeks(daily, last=S.TREND_POINTS)
     trend = S.trend(weeks, order="period_start", direction=direction).select(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from demandloom.functions import money_text, name_col, percent_text, round_half_even, truncate
 from demandloom.functions.expr import fixed_text
 from demandloom.operators.relational import scan
-from demandloom.session import materialize
+from demandloom.session import checkpoint
 
 # Risk limits and defaults.
 MONITOR_VELOCITY = 15.0
@@ -111,7 +111,7 @@ def business_kpis(sales: DataFrame, products: DataFrame, order_keys: Sequence[st
     )
     # one short row per day, kept for the totals and for the first step of the split
     spark = sales.sparkSession
-    days = materialize(per_day, "kpi-days")
+    days = checkpoint(per_day)
     total = days.agg(*[F.sum(c).alias(c) for c in ("n", "qty", "rev", "cost")]).first()
     if not total["n"]:
         facts = spark.createDataFrame([], KPI_SCHEMA)

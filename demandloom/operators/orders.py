@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandloom.functions import name_col, to_number
-from demandloom.operators.features import map_columns
+from demandloom.functions.expr import digest
+from demandloom.session import materialize
 
 HEADER_FIELDS = ("order_id", "customer_id", "order_date", "status", "total_amount")
 CUSTOMER_FIELDS = {
@@ -19,7 +20,11 @@ CUSTOMER_FIELDS = {
     "customer_region": "region",
 }
 ITEM_NUMBERS = ("quantity", "unit_price", "discount")
-LOAD_TABLES = ("orders_backlog", "fact_sales", "dim_customers", "agg_daily_demand")
+LOAD_TABLES = ("orders_backlog", "fact_sales", "dim_customers", "agg_daily_demand", "dead_letters")
+COUNTED_TABLES = ("orders_backlog", "fact_sales")
+#: What a re-delivered message and its items have in common with the first delivery.
+MESSAGE_KEY = ("source_id", "order_id", "message_id")
+UNPARSED, UNDATED = "items:json_array", "order_date:missing"
 
 
 def _source(mapping: Mapping[str, str], name: str, default: str | None = None) -> str:
@@ -31,28 +36,81 @@ def _column(df: DataFrame, name: str) -> Column:
 
 
 def _items(df: DataFrame, name: str) -> Column:
-    """The item list as an array; text that is no JSON array gives NULL."""
+    """The item list as an array; text that is not one JSON array and nothing else gives NULL.
+
+    The parser stops after the first value, so the text is parsed as the first of two elements: more
+    text, or a bracket too many, spoils the second, which is an empty array.
+    """
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.StringType):
         text = F.btrim(name_col(name), F.lit(" \t\r\n"))
-        parsed = F.from_json(text, "array<map<string,string>>", {"allowSingleQuotes": "false"})
-        return F.when(text.startswith("[") & text.endswith("]"), parsed)
+        both = F.concat(F.lit("["), text, F.lit(",[]]"))
+        parsed = F.from_json(both, "array<array<map<string,string>>>", {"allowSingleQuotes": "false"})
+        whole = (F.size(parsed) == 2) & (F.size(F.get(parsed, F.lit(1))) == 0)
+        return F.when(text.startswith("[") & text.endswith("]") & whole, F.get(parsed, F.lit(0)))
     if isinstance(dtype, T.ArrayType):
         return name_col(name)
     return F.lit(None).cast("array<map<string,string>>")
 
 
+def message_id(df: DataFrame, mapping: Mapping[str, str] | None = None) -> Column:
+    """A digest of the order's number, date and items: equal for each delivery of one message."""
+    names = dict(mapping or {})
+    used = [_source(names, "order_id"), _source(names, "order_date"), _source(names, "items_column", "items")]
+    return digest(df, [c for c in used if c in df.columns])
+
+
+def unparsed_orders(
+    df: DataFrame,
+    mapping: Mapping[str, str] | None = None,
+    source_id: int = 0,
+    items_source_type: str = "json_column",
+) -> DataFrame:
+    """Orders whose items are given but are no JSON array: they have no facts, and are not lost."""
+    names = dict(mapping or {})
+    items_col = _source(names, "items_column", "items")
+    readable = items_source_type == "json_column" and items_col in df.columns
+    bad = name_col(items_col).isNotNull() & _items(df, items_col).isNull() if readable else F.lit(False)
+    return _dead_letters(df.filter(bad), names, source_id, UNPARSED)
+
+
+def undated_orders(df: DataFrame, mapping: Mapping[str, str] | None = None, source_id: int = 0) -> DataFrame:
+    """Orders without a date as dead letters."""
+    return _dead_letters(df, dict(mapping or {}), source_id, UNDATED)
+
+
+def _dead_letters(df: DataFrame, names: Mapping[str, str], source_id: int, reason: str) -> DataFrame:
+    return df.select(
+        _column(df, _source(names, "order_id")).cast("string").alias("order_id"),
+        F.lit(source_id).alias("source_id"),
+        _column(df, _source(names, "order_date")).cast("timestamp").alias("order_date"),
+        _raw_items(df, names).alias("raw_items"),
+        message_id(df, names).alias("message_id"),
+        F.lit(reason).alias("reason"),
+    )
+
+
+def _raw_items(df: DataFrame, names: Mapping[str, str]) -> Column:
+    items_col = _source(names, "items_column", "items")
+    raw = _column(df, items_col)
+    if items_col in df.columns and isinstance(df.schema[items_col].dataType, (T.ArrayType, T.StructType, T.MapType)):
+        raw = F.to_json(raw)
+    return raw
+
+
 def explode_orders(
     df: DataFrame,
     mapping: Mapping[str, str] | None = None,
     source_id: int = 0,
     items_source_type: str = "json_column",
+    tracked: bool = False,
 ) -> DataFrame:
     """One fact row per order item.
 
     ``mapping`` is ``{internal: source}`` for the order columns and the item fields. A missing
     quantity, price or discount is 0; when one of them is no number all three are 0. A product id that
-    is missing stays NULL. Other modes than ``json_column`` carry no items.
+    is missing stays NULL. Other modes than ``json_column`` carry no items. ``tracked`` adds the
+    message an item came with and its place there, by which re-deliveries are told from new lines.
     """
     names = dict(mapping or {})
     items_col = _source(names, "items_column", "items")
@@ -62,7 +120,9 @@ def explode_orders(
         items = F.lit(None).cast("array<map<string,string>>")
     else:
         items = _items(df, items_col)
-    rows = df.select(order_id, sale_date, F.explode(items).alias("item"))
+    origin = [message_id(df, names).alias("message_id")] if tracked else []
+    rows = df.select(order_id, sale_date, *origin, F.posexplode(items).alias("item_no", "item"))
+    kept = ["message_id", "item_no"] if tracked else []
     item_type = rows.schema["item"].dataType
     struct_fields = item_type.names if isinstance(item_type, T.StructType) else None
 
@@ -82,6 +142,7 @@ def explode_orders(
     rows = rows.select(
         "order_id",
         "sale_date",
+        *kept,
         field("product_id").cast("string").alias("product_id"),
         *[number_text(n).alias(f"_text_{n}") for n in ITEM_NUMBERS],
     )
@@ -93,6 +154,7 @@ def explode_orders(
         "product_id",
         *[F.when(usable, F.col(f"_{n}")).otherwise(F.lit(0.0)).alias(n) for n in ITEM_NUMBERS],
         "sale_date",
+        *kept,
     )
     gross = F.col("quantity") * F.col("unit_price")
     return checked.select(
@@ -103,43 +165,50 @@ def explode_orders(
         gross.alias("gross_sale"),
         (gross - F.col("discount")).alias("net_sale"),
         "sale_date",
+        *kept,
     )
 
 
-def order_backlog(df: DataFrame, mapping: Mapping[str, str] | None = None, source_id: int = 0) -> DataFrame:
-    """Order headers with the item list as JSON text."""
+def order_backlog(df: DataFrame, mapping: Mapping[str, str] | None = None, source_id: int = 0, tracked: bool = False) -> DataFrame:
+    """Order headers with the item list as JSON text; ``tracked`` adds the digest of the message."""
     names = dict(mapping or {})
-    items_col = _source(names, "items_column", "items")
-    raw = _column(df, items_col)
-    if items_col in df.columns and isinstance(df.schema[items_col].dataType, (T.ArrayType, T.StructType, T.MapType)):
-        raw = F.to_json(raw)
     return df.select(
         *[_column(df, _source(names, c)).alias(c) for c in HEADER_FIELDS],
         F.lit(source_id).alias("source_id"),
-        raw.alias("raw_items"),
+        _raw_items(df, names).alias("raw_items"),
+        *([message_id(df, names).alias("message_id")] if tracked else []),
     )
 
 
-def extract_customers(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
-    """One row per customer id: the details on its earliest order by (order_date, order_id).
+def _first_orders(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.min("first").alias("first"))
 
-    Kept as a minimum rather than a row number, so a customer with very many orders is reduced
-    before the shuffle.
-    """
+
+def _customer_rows(df: DataFrame, mapping: Mapping[str, str] | None) -> DataFrame:
     names = dict(mapping or {})
-    details = [_column(df, _source(names, c)).alias(out) for c, out in CUSTOMER_FIELDS.items()]
     date = _column(df, _source(names, "order_date"))
-    rows = df.select(
+    return df.select(
         _column(df, _source(names, "customer_id")).alias("customer_id"),
         F.struct(
             date.isNull().alias("undated"),
             date.alias("order_date"),
             _column(df, _source(names, "order_id")).alias("order_id"),
-            *details,
-        ).alias("r"),
+            *[_column(df, _source(names, c)).alias(out) for c, out in CUSTOMER_FIELDS.items()],
+        ).alias("first"),
     )
-    first = rows.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.min("r").alias("r"))
-    return first.select("customer_id", *[F.col(f"r.{c}").alias(c) for c in CUSTOMER_FIELDS.values()])
+
+
+def _customer_details(rows: DataFrame) -> DataFrame:
+    return rows.select("customer_id", *[F.col(f"first.{c}").alias(c) for c in CUSTOMER_FIELDS.values()])
+
+
+def extract_customers(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per customer id: the details on its earliest order by (order_date, order_id).
+
+    Kept as a minimum rather than a row number, so a customer with very many orders is reduced
+    before the shuffle.
+    """
+    return _customer_details(_first_orders(_customer_rows(df, mapping)))
 
 
 def daily_demand(fact: DataFrame) -> DataFrame:
@@ -162,46 +231,52 @@ def load_orders(
     mapping: Mapping[str, str] | None = None,
     source_id: int = 0,
     load_id: str = "0",
+    dead: DataFrame | None = None,
 ) -> DataFrame:
-    """Write backlog, facts, customers and daily demand; returns (table, rows, counted).
+    """Write backlog, facts, customers, daily demand and dead letters; returns (table, rows, counted).
 
-    Each table gets the folder ``load_id=...``, which a repeated load replaces. The demand table is
-    built from the facts as written, so the items are parsed once. ``counted`` tells whether a table
-    adds to the inserted total.
+    Each table gets the folder ``load_id=...``, which a repeated load replaces. The source is read
+    once, the demand table is built from the facts as written. Orders whose items are no JSON array
+    are in the backlog and in the dead letters, together with ``dead``, rows that the caller does
+    not load. ``counted`` tells whether a table adds to the inserted total.
     """
     spark = df.sparkSession
+    names = dict(mapping or {})
     paths = {t: f"{out_dir}/{t}/load_id={load_id}" for t in LOAD_TABLES}
+    with materialize(df, "orders") as source:
+
+        def put(table: str, frame: DataFrame) -> None:
+            frame.write.mode("overwrite").parquet(paths[table])
+
+        put("orders_backlog", order_backlog(source, names, source_id, tracked=True))
+        put("fact_sales", explode_orders(source, names, source_id, tracked=True))
+        put("dim_customers", _first_orders(_customer_rows(source, names)))
+        letters = unparsed_orders(source, names, source_id)
+        put("dead_letters", letters if dead is None else letters.unionByName(dead))
+    put("agg_daily_demand", daily_demand(_once(spark.read.parquet(paths["fact_sales"]))))
+    counts = [(t, spark.read.parquet(p).count(), t in COUNTED_TABLES) for t, p in paths.items()]
+    return spark.createDataFrame(counts, "table string, rows bigint, counted boolean")
 
-    def put(table: str, frame: DataFrame) -> None:
-        frame.write.mode("overwrite").parquet(paths[table])
 
-    put("orders_backlog", order_backlog(df, mapping, source_id))
-    put("fact_sales", explode_orders(df, mapping, source_id))
-    put("dim_customers", extract_customers(df, mapping))
-    put("agg_daily_demand", daily_demand(spark.read.parquet(paths["fact_sales"])))
-    counts = [
-        (t, spark.read.parquet(p).count(), t in ("orders_backlog", "fact_sales")) for t, p in paths.items()
-    ]
-    return spark.createDataFrame(counts, "table string, rows bigint, counted boolean")
+def _once(facts: DataFrame) -> DataFrame:
+    """The facts with re-delivered messages counted once."""
+    return facts.dropDuplicates([*MESSAGE_KEY, "item_no"])
 
 
 def read_loaded(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
-    """A loaded table over all its loads."""
-    frame = spark.read.option("basePath", f"{out_dir}/{table}").parquet(f"{out_dir}/{table}").drop("load_id")
+    """A loaded table over all its loads, each key once.
+
+    A message that was delivered again, in the same load or another, counts once; a further line of
+    the same product in an order is another message and counts. Customers have the details of their
+    earliest order of all loads. Daily demand is summed from the facts of all loads, since the lines
+    of one order may be spread over several.
+    """
+    path = f"{out_dir}/{'fact_sales' if table == 'agg_daily_demand' else table}"
+    frame = spark.read.option("basePath", path).parquet(path).drop("load_id")
+    if table == "dim_customers":
+        return _customer_details(_first_orders(frame))
     if table == "agg_daily_demand":
-        # loads hold different orders, so their sums and order counts add up
-        return frame.groupBy("product_id", "sale_date").agg(
-            *[F.sum(c).alias(c) for c in ("total_qty", "total_revenue", "order_count")]
-        )
-    return frame
-
-
-__all__ = [
-    "daily_demand",
-    "explode_orders",
-    "extract_customers",
-    "load_orders",
-    "map_columns",
-    "order_backlog",
-    "read_loaded",
-]
+        return daily_demand(_once(frame))
+    if table == "fact_sales":
+        return _once(frame).drop("message_id", "item_no")
+    return frame.dropDuplicates(list(MESSAGE_KEY))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandloom.functions import is_json_container, name_col, null_if_nan, round_half_even, to_number
-from demandloom.functions.expr import fixed_text, is_floating
+from demandloom.functions.expr import exact_text, fixed_text, is_floating
 
 # Text patterns in the order they are tested, and the shares that decide a type.
 PATTERNS = {
@@ -243,7 +243,7 @@ def profile(
 def _comparable(value: Column, dtype: T.DataType) -> Column:
     """A short text that is equal exactly for equal values."""
     if isinstance(dtype, (T.StructType, T.MapType, T.ArrayType, T.VariantType)):
-        return F.md5(F.to_json(value))
+        return F.when(value.isNotNull(), F.md5(exact_text(value, dtype)))
     text = value.cast("string")
     if isinstance(dtype, (T.StringType, T.BinaryType)):
         return F.when(F.length(text) > 32, F.concat(F.lit("#"), F.md5(text))).otherwise(text)

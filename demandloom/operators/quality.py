@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandloom.functions import as_double, name_col, null_if_nan
-from demandloom.functions.expr import fixed_text
+from demandloom.functions.expr import digest, fixed_text
 
 # The default limits of the quality check.
 MIN_ROWS = 10
@@ -65,15 +65,10 @@ def cast_to_profile(df: DataFrame, types: Mapping[str, str] | DataFrame, errors:
     return df.withColumns(changed) if changed else df
 
 
-def row_digest(df: DataFrame) -> Column:
-    """128-bit digest of a whole row; equal rows, nulls included, have equal digests."""
-    return F.md5(F.to_json(F.struct(*[name_col(c) for c in df.columns])))
-
-
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: total rows and how many repeat an earlier one. Only digests are shuffled."""
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return df.agg(F.count_distinct(row_digest(df)).alias("kept")).select(
+    return df.agg(F.count_distinct(digest(df)).alias("kept")).select(
         total.alias("record_count"), (total - F.col("kept")).alias("duplicate_count")
     )
 

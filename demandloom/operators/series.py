@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from demandloom.functions import name_col, round_half_even, truncate
 from demandloom.operators.features import calendar_parts
 from demandloom.operators.relational import product_sales
-from demandloom.session import materialize
+from demandloom.session import checkpoint
 
 FREQUENCIES = ("D", "W", "M", "Q", "Y")
 
@@ -371,7 +371,7 @@ def series_stats(
     """
     by = list(by)
     if daily is None:
-        daily = materialize(daily_totals(sales, by), "daily")
+        daily = checkpoint(daily_totals(sales, by))
     month = period_start(F.col("day"), "M")
     months = periods_between(F.min(month), F.max(month), "M")
     per_day = daily.groupBy(*by).agg(

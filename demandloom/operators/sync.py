@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from demandloom.functions import name_col
 from demandloom.operators.maintenance import upsert
-from demandloom.operators.orders import load_orders
+from demandloom.operators.orders import load_orders, message_id, read_loaded, undated_orders
+from demandloom.session import path_exists
 
 MARK_SCHEMA = "source_id int, last_synced_at timestamp, rows_synced bigint, sync_duration_s double, updated_at timestamp"
 DEFAULT_INTERVAL_HOURS = 6
@@ -28,11 +29,26 @@ def high_water_mark(marks: DataFrame, source_id: int) -> str | None:
     return row["m"]
 
 
-def newer_than(df: DataFrame, mark: str | None, date_col: str) -> DataFrame:
-    """Rows after the mark. The mark is a literal, so the comparison reaches the scan."""
+def since(df: DataFrame, mark: str | None, date_col: str) -> DataFrame:
+    """Dated rows from the mark on. The mark is a literal, so the comparison reaches the scan.
+
+    Rows at the mark itself are included: others of the same instant may have come after the load.
+    """
     if mark is None:
+        return df.filter(name_col(date_col).isNotNull())
+    return df.filter(name_col(date_col) >= F.lit(mark).cast(df.schema[date_col].dataType))
+
+
+def not_loaded(df: DataFrame, out_dir: str, table: str, source_id: int, mapping: Mapping[str, str], at: str | None = None) -> DataFrame:
+    """Rows whose message is not in a loaded table yet; ``at`` limits the look to one order date."""
+    spark = df.sparkSession
+    if not path_exists(spark, f"{out_dir}/{table}"):
         return df
-    return df.filter(name_col(date_col) > F.lit(mark).cast(df.schema[date_col].dataType))
+    known = read_loaded(spark, out_dir, table).filter(F.col("source_id") == source_id)
+    if at is not None:
+        known = known.filter(F.col("order_date") == F.lit(at).cast(known.schema["order_date"].dataType))
+    message = message_id(df, mapping)
+    return df.join(known.select(F.col("message_id").alias("_known")).distinct(), message == F.col("_known"), "left_anti")
 
 
 def advance_marks(
@@ -62,23 +78,31 @@ def incremental_sync(
     date_col: str = "order_date",
     mapping: Mapping[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Load the rows newer than the source's mark. Returns (rows per table, new control table).
+    """Load what the source's mark has not seen. Returns (rows per table, new control table).
 
     The newest event time is read first and bounds the load, so rows that arrive meanwhile are left
-    for the next run and the new mark never passes a row that was not loaded.
+    for the next run and the new mark never passes a row that was not loaded. Rows at the old mark
+    are loaded unless their message is in the backlog, so a row that comes later with the same event
+    time is not missed. Rows without a date go to the dead letters, once.
     """
     begun = time.monotonic()
+    names = dict(mapping or {})
     mark = high_water_mark(marks, source_id)
-    column = (mapping or {}).get(date_col, date_col)
-    fresh = newer_than(source, mark, column)
-    newest = fresh.agg(F.max(name_col(column)).cast("string").alias("m")).first()["m"]
-    if newest is not None:
-        fresh = fresh.filter(name_col(column) <= F.lit(newest).cast(source.schema[column].dataType))
-    load_id = re.sub(r"\W+", "", f"{source_id}x{mark or 'first'}")
-    counts = load_orders(fresh, out_dir, mapping, source_id, load_id)
-    if newest is None:
-        return counts, marks
+    column = names.get(date_col, date_col)
+    dated = since(source, mark, column)
+    newest = dated.agg(F.max(name_col(column)).cast("string").alias("m")).first()["m"]
+    fresh = dated.filter(name_col(column) <= F.lit(newest).cast(source.schema[column].dataType))
+    if mark is not None:
+        limit = F.lit(mark).cast(source.schema[column].dataType)
+        fresh = fresh.filter(name_col(column) > limit).unionByName(
+            not_loaded(fresh.filter(name_col(column) == limit), out_dir, "orders_backlog", source_id, names, mark)
+        )
+    undated = not_loaded(source.filter(name_col(column).isNull()), out_dir, "dead_letters", source_id, names)
+    load_id = re.sub(r"\W+", "", f"{source_id}x{mark or 'first'}x{newest}")
+    counts = load_orders(fresh, out_dir, names, source_id, load_id, undated_orders(undated, names, source_id))
     inserted = counts.filter("counted").agg(F.sum("rows").alias("n")).first()["n"]
+    if newest is None or newest == mark and not inserted:
+        return counts, marks
     return counts, advance_marks(marks, source_id, newest, inserted, time.monotonic() - begun)
 
 

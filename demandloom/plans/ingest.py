@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from demandloom.operators.cleaning import clean, normalize
 from demandloom.operators.orders import load_orders
 from demandloom.operators.profiling import drift_report, latest_profile, profile, save_profile, schema_drift, schema_issues
 from demandloom.operators.quality import cast_to_profile, gatekeeper, require_quality
+from demandloom.session import path_exists
 from demandloom.sources.writers import run_log, write_parquet
 
 
@@ -47,18 +47,13 @@ def ingest(
     """Run the chain on one source and write below ``out_dir``.
 
     ``mode="table"`` cleans, scales and casts ``columns`` and writes one table; ``mode="orders"``
-    explodes orders into the four order tables.
+    explodes orders into the order tables and the dead letters.
     """
     if mode not in ("table", "orders"):
         raise ValueError("mode must be table or orders")
     spark = source.sparkSession
     history = f"{out_dir}/schema_history"
-    before = None
-    if check_drift:
-        try:
-            before = latest_profile(spark, history, source_name)
-        except AnalysisException:  # no history yet
-            before = None
+    before = latest_profile(spark, history, source_name) if check_drift and path_exists(spark, history) else None
     save_profile(profile(source), history, source_name)
     current = latest_profile(spark, history, source_name)
     drift = None

@@ -10,7 +10,7 @@ from demandloom.operators import learn as L
 from demandloom.operators import series as S
 from demandloom.plans import views as V
 from demandloom.plans.registry import query
-from demandloom.session import materialize
+from demandloom.session import checkpoint
 
 
 def _monthly(spark, sf):
@@ -118,7 +118,7 @@ def predict_demand(spark, sf):
 
 def _naive_log(spark, sf):
     """Naive one-step predictions of every product, with the month they are for."""
-    monthly = materialize(_monthly(spark, sf), "monthly")
+    monthly = checkpoint(_monthly(spark, sf))
     train, test = M.hold_out(monthly, 1, ["product_id"], "period_end")
     naive = M.forecast_naive(train, 1).select("product_id", F.col("forecast").alias("prediction"))
     target = test.select("product_id", F.col("period_end").alias("target_date"), F.col("quantity").alias("actual_value"))

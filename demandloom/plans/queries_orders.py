@@ -114,7 +114,8 @@ def daily_demand(spark, sf):
     """SELECT 'orders_backlog' AS "table", count(*) AS rows, TRUE AS counted FROM lineitem
        UNION ALL SELECT 'fact_sales', count(*), TRUE FROM items
        UNION ALL SELECT 'dim_customers', count(DISTINCT o_custkey), FALSE FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-       UNION ALL SELECT 'agg_daily_demand', count(*), FALSE FROM (SELECT DISTINCT product_id, sale_date FROM items WHERE sale_date IS NOT NULL)""",
+       UNION ALL SELECT 'agg_daily_demand', count(*), FALSE FROM (SELECT DISTINCT product_id, sale_date FROM items WHERE sale_date IS NOT NULL)
+       UNION ALL SELECT 'dead_letters', count(*), FALSE FROM lineitem WHERE l_linenumber IN (4, 7)""",
     ["items"],
 )
 def load_orders(spark, sf):
@@ -357,21 +358,93 @@ def build_orders(spark, sf):
     return orders.withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd")).drop("customer_id")
 
 
+def _two_loads(spark, sf):
+    """The feed in two loads: every third line comes late, and the second load repeats the first.
+
+    Both loads hold lines of the same orders. Returns the folder.
+    """
+    feed, out = V.order_feed(spark, sf), scratch_path(spark, "loads")
+    O.load_orders(feed.filter("line_no % 3 <> 0"), out, V.FEED_MAPPING, 7, "a")
+    O.load_orders(feed, out, V.FEED_MAPPING, 7, "b")
+    return out
+
+
+@query("two_loads_facts", ITEM_SQL, ["items"])
+def two_loads_facts(spark, sf):
+    return _shown(O.read_loaded(spark, _two_loads(spark, sf), "fact_sales"))
+
+
+@query("two_loads_demand", DEMAND_SQL, ["items"])
+def two_loads_demand(spark, sf):
+    return _demand_shown(O.read_loaded(spark, _two_loads(spark, sf), "agg_daily_demand"))
+
+
+@query(
+    "two_loads_backlog",
+    """SELECT l_orderkey AS order_id, o_custkey AS customer_id, strftime(o_orderdate, '%Y-%m-%d') AS order_date, count(*) AS messages,
+              count(*) FILTER (l_linenumber IN (4, 7)) AS dead
+       FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3""",
+)
+def two_loads_backlog(spark, sf):
+    out = _two_loads(spark, sf)
+    dead = O.read_loaded(spark, out, "dead_letters").groupBy("order_id").agg(F.count("*").alias("dead"))
+    backlog = O.read_loaded(spark, out, "orders_backlog").groupBy("order_id", "customer_id", F.date_format("order_date", "yyyy-MM-dd").alias("order_date"))
+    counts = backlog.agg(F.count("*").alias("messages"))
+    return counts.join(dead.withColumn("order_id", F.col("order_id").cast("bigint")), "order_id", "left").withColumn("dead", F.coalesce("dead", F.lit(0)))
+
+
+@query(
+    "two_loads_customers",
+    """SELECT customer_id, name, CAST(NULL AS VARCHAR) AS email, segment, CAST(NULL AS VARCHAR) AS region FROM (
+         SELECT o_custkey AS customer_id, concat(name, '/', o_orderpriority) AS name, segment,
+                row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn
+         FROM orders JOIN customers ON o_custkey = id WHERE o_orderkey % 11 <> 0) WHERE rn = 1""",
+    ["customers"],
+)
+def two_loads_customers(spark, sf):
+    """Customers whose earliest order is in either load."""
+    orders, out = _order_customers(spark, sf), scratch_path(spark, "loads")
+    O.load_orders(orders.filter("ord % 2 = 0"), out, V.FEED_MAPPING, 7, "a")
+    O.load_orders(orders.filter("ord % 2 = 1"), out, V.FEED_MAPPING, 7, "b")
+    return O.read_loaded(spark, out, "dim_customers")
+
+
 @query(
     "incremental_sync",
-    """SELECT l_orderkey AS order_id, product_id, quantity FROM (
-         SELECT ord AS l_orderkey, product_id, quantity, sale_date FROM items) WHERE sale_date > TIMESTAMP '1998-06-30'""",
-    ["items"],
+    """SELECT CASE WHEN sale_date IS NULL THEN 'dead' ELSE 'loaded' END AS state, l_orderkey AS order_id, count(*) AS messages
+       FROM (SELECT l_orderkey, CASE WHEN l_linenumber <> 2 THEN o_orderdate END AS sale_date FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey)
+       GROUP BY 1, 2""",
 )
 def incremental_sync(spark, sf):
-    """Two runs: the first loads the older half, the second only what is newer than the mark."""
-    feed, out = V.order_feed(spark, sf), scratch_path(spark, "sync")
-    marks = spark.createDataFrame([], Y.MARK_SCHEMA)
-    old = feed.filter(F.col("placed") <= F.lit(dt.datetime(1998, 6, 30)).cast("timestamp_ntz"))
-    _, marks = Y.incremental_sync(old, marks, 7, out, "order_date", V.FEED_MAPPING)
-    second = scratch_path(spark, "sync")
-    Y.incremental_sync(feed, marks, 7, second, "order_date", V.FEED_MAPPING)
-    return O.read_loaded(spark, second, "fact_sales").select("order_id", "product_id", "quantity")
+    """Three syncs into one folder: half the messages up to a day, the others up to it, then all.
+
+    Every second line is without a date. Messages loaded and dead letters make up the input.
+    """
+    feed = V.order_feed(spark, sf).withColumn("placed", F.when(F.col("line_no") != 2, F.col("placed")))
+    out, marks = scratch_path(spark, "sync"), spark.createDataFrame([], Y.MARK_SCHEMA)
+    newest = F.lit(dt.datetime(1998, 6, 30)).cast("timestamp_ntz")
+    early = feed.filter((F.col("placed") <= newest) | F.col("placed").isNull())
+    at_mark = F.col("placed") == early.agg(F.max("placed").alias("m")).first()["m"]
+    first = early.filter(~F.coalesce(at_mark, F.lit(False)) | (F.col("line_no") % 3 == 0))  # others of the mark's day come later
+    for arrived in (first.unionByName(feed.filter(at_mark & (F.col("line_no") == 1))), early, feed):
+        _, marks = Y.incremental_sync(arrived, marks, 7, out, "order_date", V.FEED_MAPPING)
+    loaded = O.read_loaded(spark, out, "orders_backlog").select(F.lit("loaded").alias("state"), F.col("order_id").cast("bigint").alias("order_id"))
+    dead = O.read_loaded(spark, out, "dead_letters").filter(F.col("reason") == O.UNDATED)
+    dead = dead.select(F.lit("dead").alias("state"), F.col("order_id").cast("bigint").alias("order_id"))
+    return loaded.unionByName(dead).groupBy("state", "order_id").agg(F.count("*").alias("messages"))
+
+
+@query(
+    "explode_orders_trailing_text",
+    """SELECT o_orderkey AS order_id, CAST(o_custkey AS VARCHAR) AS product_id, CAST(1 AS DOUBLE) AS quantity FROM orders WHERE o_orderkey % 5 = 0""",
+)
+def explode_orders_trailing_text(spark, sf):
+    """Item lists with more text after the array are no item lists."""
+    key = F.col("o_orderkey")
+    array = F.concat(F.lit('[{"product_id": '), F.col("o_custkey").cast("string"), F.lit(', "quantity": 1, "unit_price": 2}]'))
+    tail = F.when(key % 5 == 1, " []").when(key % 5 == 2, ", []").when(key % 5 == 3, "]").when(key % 5 == 4, ' {"a": 1}]').otherwise(" \n")
+    rows = V.table(spark, sf, "orders").select(key.alias("order_id"), F.col("o_orderdate").alias("order_date"), F.concat(array, tail).alias("items"))
+    return O.explode_orders(rows).select("order_id", "product_id", "quantity")
 
 
 @query(
@@ -409,7 +482,8 @@ def sources_due(spark, sf):
     """SELECT 'orders_backlog' AS "table", count(*) AS rows, TRUE AS counted FROM lineitem
        UNION ALL SELECT 'fact_sales', count(*), TRUE FROM items
        UNION ALL SELECT 'dim_customers', count(DISTINCT o_custkey), FALSE FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-       UNION ALL SELECT 'agg_daily_demand', count(*), FALSE FROM (SELECT DISTINCT product_id, sale_date FROM items WHERE sale_date IS NOT NULL)""",
+       UNION ALL SELECT 'agg_daily_demand', count(*), FALSE FROM (SELECT DISTINCT product_id, sale_date FROM items WHERE sale_date IS NOT NULL)
+       UNION ALL SELECT 'dead_letters', count(*), FALSE FROM lineitem WHERE l_linenumber IN (4, 7)""",
     ["items"],
 )
 def ingest_orders(spark, sf):

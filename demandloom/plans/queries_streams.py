@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from demandloom.operators import orders as O
 from demandloom.plans import views as V
 from demandloom.plans.queries_decisions import HITS_SQL, MESSAGE
-from demandloom.plans.queries_orders import DEMAND_SQL, ITEM_SQL
+from demandloom.plans.queries_orders import DEMAND_SQL, ITEM_SQL, _demand_shown
 from demandloom.plans.registry import query
 from demandloom.session import scratch_path
 from demandloom.streaming import jobs as J
@@ -22,7 +22,7 @@ def _order_stream(spark, sf):
 def stream_orders(spark, sf):
     out = scratch_path(spark, "stream-orders")
     J.finish(J.stream_orders(_order_stream(spark, sf), out, scratch_path(spark, "ckpt"), V.FEED_MAPPING, 7))
-    facts = J.read_facts(spark, out)
+    facts = J.read_facts(spark, out).drop("message_id", "item_no")
     return facts.withColumns(
         {
             "gross_sale": F.round("gross_sale", 4),
@@ -52,29 +52,54 @@ def stream_quarantine(spark, sf):
     return failed.select("order_id", F.array_join("violations", ",").alias("violations"))
 
 
+@query(
+    "stream_dead_letters",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS order_id, strftime(o_orderdate, '%Y-%m-%d') AS sale_date, 'items:json_array' AS violations, TRUE AS has_items
+       FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber IN (4, 7)""",
+)
+def stream_dead_letters(spark, sf):
+    """Orders whose items cannot be read are quarantined as a whole."""
+    out = scratch_path(spark, "stream-orders")
+    J.finish(J.stream_orders(_order_stream(spark, sf), out, scratch_path(spark, "ckpt"), V.FEED_MAPPING, 7))
+    lost = J.read_quarantine(spark, out)
+    return lost.select(
+        F.col("order_id").cast("string").alias("order_id"),
+        F.date_format("sale_date", "yyyy-MM-dd").alias("sale_date"),
+        F.array_join("violations", ",").alias("violations"),
+        F.col("raw_items").isNotNull().alias("has_items"),
+    )
+
+
 @query(
     "stream_daily_demand",
-    """SELECT product_id, strftime(d, '%Y-%m-%d') AS sale_date, sum(q) AS total_qty, count(*) AS order_count
-       FROM (SELECT DISTINCT l_orderkey, l_partkey AS product_id, CAST(l_shipdate AS DATE) AS d, CAST(1 AS DOUBLE) AS q FROM lineitem) GROUP BY 1, 2""",
+    """SELECT product_id, strftime(d, '%Y-%m-%d') AS sale_date, round(sum(q), 4) AS total_qty, round(sum(v), 2) AS total_revenue, count(DISTINCT ord) AS order_count
+       FROM (SELECT DISTINCT l_orderkey // 3 AS ord, l_orderkey, l_linenumber, l_partkey AS product_id, CAST(l_shipdate AS DATE) AS d, l_quantity AS q, l_extendedprice AS v
+             FROM lineitem) GROUP BY 1, 2""",
 )
 def stream_daily_demand(spark, sf):
-    """One unit per (order, product, day): arrives twice, is counted once."""
+    """Every line arrives twice, in order of time; three order keys make one order, so that an order has
+    several lines of one product."""
     li = V.table(spark, sf, "lineitem")
-    day = F.to_date("l_shipdate")
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity"]
     rows = li.select(
-        F.concat_ws("/", "l_orderkey", day).alias("order_id"),
+        F.floor(F.col("l_orderkey") / 3).alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.lit(1).alias("source_id"),
-        F.lit(1.0).alias("quantity"),
+        F.concat_ws("/", *key).alias("message_id"),
+        F.lit(0).alias("item_no"),
+        F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("gross_sale"),
         F.col("l_shipdate").alias("sale_date"),
     )
-    folder = V.folder_of(spark, rows.unionAll(rows), "facts")
+    folder = scratch_path(spark, "facts")
+    year = F.year("sale_date")
+    for low, high in ((None, 1997), (1997, 1999), (1999, None)):  # a file each, the next one later in time
+        part = rows.filter((F.lit(True) if low is None else year >= low) & (F.lit(True) if high is None else year < high))
+        part.unionAll(part).coalesce(1).write.mode("append").parquet(folder)
     out = scratch_path(spark, "stream-demand")
-    demand = J.stream_daily_demand(J.file_stream(spark, folder), "3650 days")
+    demand = J.stream_daily_demand(J.file_stream(spark, folder, max_files=1), "2 days")
     J.finish(J.write_batches(demand, out, scratch_path(spark, "ckpt"), "update"))
-    state = J.read_latest(spark, out, ["product_id", "sale_date"])
-    return state.select("product_id", F.date_format("sale_date", "yyyy-MM-dd").alias("sale_date"), "total_qty", "order_count")
+    return _demand_shown(J.read_demand(spark, out))
 
 
 def _metric_sql(unit: str) -> str:
@@ -106,18 +131,11 @@ def stream_metric_cache_daily(spark, sf):
     return _metric_cache(spark, sf, "1 day")
 
 
-@query("stream_sync", DEMAND_SQL.replace("count(DISTINCT ord) AS order_count", "count(DISTINCT ord) > 0 AS has_orders"), ["items"])
+@query("stream_sync", DEMAND_SQL, ["items"])
 def stream_sync(spark, sf):
     out = scratch_path(spark, "stream-sync")
     J.finish(J.stream_sync(_order_stream(spark, sf), out, scratch_path(spark, "ckpt"), V.FEED_MAPPING, 7))
-    table = O.read_loaded(spark, out, "agg_daily_demand")
-    return table.select(
-        "product_id",
-        F.date_format("sale_date", "yyyy-MM-dd").alias("sale_date"),
-        F.round("total_qty", 4).alias("total_qty"),
-        F.round("total_revenue", 2).alias("total_revenue"),
-        (F.col("order_count") > 0).alias("has_orders"),
-    )
+    return _demand_shown(O.read_loaded(spark, out, "agg_daily_demand"))
 
 
 @query(
@@ -130,7 +148,7 @@ def stream_alerts(spark, sf):
     big = F.when(F.col("line_no") == 7, F.col("quantity") * 4).otherwise(F.col("quantity"))
     folder = V.folder_of(spark, V.sales(spark, sf).withColumn("quantity", big), "sales", files=3)
     ledger = scratch_path(spark, "alerts")
-    products = V.products(spark, sf).filter(F.col("id") % 10 != 4)
+    products = V.with_shifted_key(V.products(spark, sf), "id", 10, 4)
     J.finish(J.stream_alerts(J.file_stream(spark, folder), products, ledger, scratch_path(spark, "ckpt")))
     return spark.read.parquet(ledger).select("product_id", "severity", "message")
 

@@ -130,6 +130,16 @@ def order_feed(spark: SparkSession, sf: str) -> DataFrame:
     return messages.join(headers, on="ord", how="left")
 
 
+def with_shifted_key(df: DataFrame, key: str, every: int, rest: int = 0) -> DataFrame:
+    """All rows, with the keys that leave ``rest`` modulo ``every`` moved so far that they match nothing."""
+    c = F.col(key)
+    return df.withColumn(key, F.when(c % every == rest, c + SHIFT).otherwise(c).cast(df.schema[key].dataType))
+
+
+#: Added to keys that shall match nothing.
+SHIFT = 1_000_000_000
+
+
 def folder_of(spark: SparkSession, df: DataFrame, name: str, files: int | None = None) -> str:
     """The frame written as a parquet folder in the shared scratch space."""
     path = scratch_path(spark, name)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,7 @@ def build_session(app_name: str = "demandloom", master: str | None = None, **con
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -29,13 +33,13 @@ def build_session(app_name: str = "demandloom", master: str | None = None, **con
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) is a temporary folder made and
-    remembered in the session.
+    Only a local session that does not name one gets a temporary folder, remembered in the session.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("demandloom.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("demandloom.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[\d*,]+\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = tempfile.mkdtemp(prefix="demandloom-")
         spark.conf.set("demandloom.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -48,12 +52,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "demandloom", f"{name}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The frame written once to the shared folder and read back.
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on whatever file system the path names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def materialize(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """The frame written once to the shared folder and read back, for as long as the block runs.
 
     For a result that several branches of a plan use: column pruning gives each branch a slightly
-    different plan, so Spark would scan and shuffle the source again for every one of them.
+    different plan, so Spark would scan and shuffle the source again for every one of them. Results
+    that outlive the block go through ``checkpoint``.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove_path(df.sparkSession, path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """The frame with its lineage cut, its rows in the shared checkpoint folder.
+
+    For a lazy result that several branches of a plan use. Spark removes the files with the frame
+    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as ``build_session`` does.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

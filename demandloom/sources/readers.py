@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 from demandloom.functions import name_col
 from demandloom.operators.relational import scan
 
-# Batch bounds of the message source.
-KAFKA_DEFAULTS = {"startingOffsets": "earliest", "max_messages": 1000}
+KAFKA_DEFAULTS = {"startingOffsets": "earliest"}
 
 
 def read_csv(
@@ -72,12 +71,13 @@ def read_jdbc(
 
 
 def kafka_options(topic: str, servers: str, max_messages: int | None = None) -> dict[str, str]:
-    return {
+    """``max_messages`` bounds a micro-batch; by default a batch takes all there is."""
+    options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": KAFKA_DEFAULTS["startingOffsets"],
-        "maxOffsetsPerTrigger": str(max_messages or KAFKA_DEFAULTS["max_messages"]),
     }
+    return options | ({"maxOffsetsPerTrigger": str(max_messages)} if max_messages else {})
 
 
 def read_kafka_json(
@@ -86,17 +86,25 @@ def read_kafka_json(
     servers: str,
     schema: str | T.StructType,
     max_messages: int | None = None,
+    malformed_col: str | None = None,
 ) -> DataFrame:
     """A streaming frame of the JSON message values of a topic."""
     raw = spark.readStream.format("kafka").options(**kafka_options(topic, servers, max_messages)).load()
-    return parse_json_values(raw, schema)
+    return parse_json_values(raw, schema, malformed_col=malformed_col)
 
 
-def parse_json_values(raw: DataFrame, schema: str | T.StructType, value_col: str = "value") -> DataFrame:
-    """The ``value`` column as JSON of the given schema, one column per field."""
+def parse_json_values(raw: DataFrame, schema: str | T.StructType, value_col: str = "value", malformed_col: str | None = None) -> DataFrame:
+    """The ``value`` column as JSON of the given schema, one column per field.
+
+    Messages that do not parse are rows of NULLs. With ``malformed_col`` their text is in a column of
+    that name, which is NULL for all others, so they can be told apart and kept as dead letters.
+    """
     ddl = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    parsed = F.from_json(name_col(value_col).cast("string"), ddl)
-    return raw.select(parsed.alias("v")).select("v.*")
+    text = name_col(value_col).cast("string")
+    if malformed_col is None:
+        return raw.select(F.from_json(text, ddl).alias("v")).select("v.*")
+    wide = T.StructType([*ddl.fields, T.StructField(malformed_col, T.StringType())])
+    return raw.select(F.from_json(text, wide, {"columnNameOfCorruptRecord": malformed_col}).alias("v")).select("v.*")
 
 
 def read_json_path(

@@ -6,18 +6,20 @@ its own output and nothing else.
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from demandloom.functions import name_col
 from demandloom.operators.alerts import LEDGER_FIELDS, anomaly_scan, emit_alerts
-from demandloom.operators.orders import explode_orders, load_orders
+from demandloom.operators.orders import daily_demand, explode_orders, load_orders, unparsed_orders
 from demandloom.operators.quality import with_violations
+from demandloom.session import path_exists
 
 
 def file_stream(
@@ -89,11 +91,24 @@ def stream_orders(
     mapping: Mapping[str, str] | None = None,
     source_id: int = 0,
 ) -> StreamingQuery:
-    """Explode arriving orders and check the items; one write per batch, split by ``passed``."""
+    """Explode arriving orders and check the items; one write per batch, split by ``passed``.
+
+    An order whose items cannot be read has no facts; it is quarantined as a whole, with its items
+    as they came in ``raw_items``.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        checked = with_violations(explode_orders(batch, mapping, source_id), "order_items")
-        checked.withColumn("passed", F.size("violations") == 0).write.mode("overwrite").partitionBy(
+        checked = with_violations(explode_orders(batch, mapping, source_id, tracked=True), "order_items")
+        lost = unparsed_orders(batch, mapping, source_id).select(
+            F.col("order_id").cast(checked.schema["order_id"].dataType).alias("order_id"),
+            "source_id",
+            F.col("order_date").cast(checked.schema["sale_date"].dataType).alias("sale_date"),
+            "message_id",
+            "raw_items",
+            F.array("reason").alias("violations"),
+        )
+        rows = checked.unionByName(lost, allowMissingColumns=True)
+        rows.withColumn("passed", F.size("violations") == 0).write.mode("overwrite").partitionBy(
             "passed"
         ).parquet(f"{out_dir}/batch_id={batch_id}")
 
@@ -107,7 +122,7 @@ def stream_orders(
 
 def read_facts(spark: SparkSession, out_dir: str) -> DataFrame:
     """The items that passed."""
-    return spark.read.option("basePath", out_dir).parquet(out_dir).filter(F.col("passed").cast("boolean")).drop("passed", "batch_id", "violations")
+    return spark.read.option("basePath", out_dir).parquet(out_dir).filter(F.col("passed").cast("boolean")).drop("passed", "batch_id", "violations", "raw_items")
 
 
 def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -115,31 +130,56 @@ def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
     return spark.read.option("basePath", out_dir).parquet(out_dir).filter(~F.col("passed").cast("boolean")).drop("passed", "batch_id")
 
 
+#: What the state of the streamed demand is kept by.
+DEMAND_KEYS = ("product_id", "sale_date", "order_id", "source_id")
+
+
 def stream_daily_demand(facts: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """Daily demand as orders arrive; rows later than ``lateness`` are dropped and counted by the query.
+    """Quantity and revenue per product, day and order as facts arrive; run it in update mode.
 
-    Each (order, product, source) is taken once within the watermark, so counting rows counts orders.
+    Facts of a message that is delivered again within the watermark are taken once; further lines of
+    the same product in an order are other items and count. The order stays a key, since a stream
+    can sum but not count distinct orders: ``read_demand`` takes them together. Rows later than
+    ``lateness`` are dropped and counted by ``LateRows``.
     """
-    unique = facts.withWatermark("sale_date", lateness).dropDuplicatesWithinWatermark(
-        ["order_id", "product_id", "source_id"]
-    )
-    days = unique.groupBy("product_id", F.window("sale_date", "1 day").alias("w")).agg(
-        F.sum("quantity").alias("total_qty"),
-        F.sum("gross_sale").alias("total_revenue"),
-        F.count(F.lit(1)).alias("order_count"),
-    )
-    return days.select(
-        "product_id", F.to_date("w.start").alias("sale_date"), "total_qty", "total_revenue", "order_count"
+    unique = facts.withWatermark("sale_date", lateness).dropDuplicatesWithinWatermark(["source_id", "order_id", "message_id", "item_no"])
+    days = unique.groupBy("product_id", F.window("sale_date", "1 day").alias("w"), "order_id", "source_id").agg(
+        F.sum("quantity").alias("quantity"), F.sum("gross_sale").alias("gross_sale")
     )
+    return days.select("product_id", F.to_date("w.start").alias("sale_date"), "order_id", "source_id", "quantity", "gross_sale")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the watermark dropped over the whole run."""
-    return sum(
-        int(op["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for op in progress["stateOperators"]
-    )
+def read_demand(spark: SparkSession, path: str) -> DataFrame:
+    """Daily demand from the folders of ``stream_daily_demand``, as ``daily_demand`` gives it."""
+    return daily_demand(read_latest(spark, path, DEMAND_KEYS))
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks drop, over all batches of the session's queries.
+
+    A query's own progress list only holds its last batches.
+    """
+
+    def __init__(self) -> None:
+        self.by_run: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(int(op.numRowsDroppedByWatermark) for op in event.progress.stateOperators)
+        run = str(event.progress.runId)
+        self.by_run[run] = self.by_run.get(run, 0) + late
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()
+
+    def total(self, query: StreamingQuery, timeout: float = 60) -> int:
+        """Rows dropped over the whole run of a query that has ended."""
+        if not self.ended[str(query.runId)].wait(timeout):
+            raise TimeoutError("the query's last events have not come")
+        return self.by_run.get(str(query.runId), 0)
 
 
 def stream_metric_cache(
@@ -181,10 +221,9 @@ def stream_sync(
 
 def open_alerts(spark: SparkSession, ledger: str, before_batch: int | None = None) -> DataFrame:
     """Product ids with an unresolved alert in the ledger, optionally of earlier batches only."""
-    try:
-        rows = spark.read.option("basePath", ledger).parquet(ledger)
-    except AnalysisException:  # nothing written yet
+    if not path_exists(spark, ledger):  # nothing written yet
         return spark.createDataFrame([], "product_id int")
+    rows = spark.read.option("basePath", ledger).parquet(ledger)
     if before_batch is not None:
         rows = rows.filter(F.col("batch_id") < before_batch)
     return rows.filter(~F.col("is_resolved")).select("product_id").distinct()

@@ -64,12 +64,41 @@ def test_load_is_repeatable_and_additive(spark, tmp_path):
     first, second = orders_of(spark, [item]), orders_of(spark, [item, item]).filter("order_id = 'o1'")
     for _ in range(2):
         counts = O.load_orders(first, out, load_id="a")
-    assert dict((r["table"], r["rows"]) for r in counts.collect()) == dict.fromkeys(O.LOAD_TABLES, 1)
+    assert dict((r["table"], r["rows"]) for r in counts.collect()) == dict.fromkeys(O.LOAD_TABLES, 1) | {"dead_letters": 0}
     O.load_orders(second.withColumn("order_date", F.lit(dt.datetime(2024, 1, 1))), out, load_id="b")
     assert O.read_loaded(spark, out, "fact_sales").count() == 2
     assert rows(O.read_loaded(spark, out, "agg_daily_demand")) == [("5", dt.date(2024, 1, 1), 4.0, 12.0, 2)]
 
 
+def test_loads_share_orders_and_repeat_messages(spark, tmp_path):
+    out = str(tmp_path)
+    item = lambda q: f'[{{"product_id": 5, "quantity": {q}, "unit_price": 3}}, {{"product_id": 5, "quantity": 1, "unit_price": 3}}]'
+    day = dt.datetime(2024, 1, 1)
+    schema = "order_id string, order_date timestamp, customer_id string, customer_name string, items string"
+    first = [("a", day, "c", "late", item(2)), ("a", day, "c", "late", item(7)), ("b", day, "c", "x", "[1"), ("b", day, "c", "x", "[1")]
+    second = [("a", day, "c", "late", item(2)), ("a", day - dt.timedelta(1), "c", "early", "[]"), ("z", day, "d", "z", '[{"quantity": 1}] []')]
+    O.load_orders(spark.createDataFrame(first, schema), out, load_id="1")
+    O.load_orders(spark.createDataFrame(second, schema), out, load_id="2")
+    assert rows(O.read_loaded(spark, out, "agg_daily_demand")) == [("5", dt.date(2024, 1, 1), 11.0, 33.0, 1)]
+    assert rows(O.read_loaded(spark, out, "dim_customers"), "customer_id", "name") == [("c", "early"), ("d", "z")]
+    assert rows(O.read_loaded(spark, out, "dead_letters"), "order_id", "reason") == [("b", O.UNPARSED), ("z", O.UNPARSED)]
+    assert O.read_loaded(spark, out, "orders_backlog").count() == 5
+
+
+def test_sync_takes_ties_and_keeps_undated_rows(spark, tmp_path):
+    item = '[{"product_id": 5, "quantity": 2, "unit_price": 3}]'
+    out, schema = str(tmp_path), "order_id string, order_date timestamp, items string"
+    day = dt.datetime(2024, 1, 2)
+    marks = spark.createDataFrame([], Y.MARK_SCHEMA)
+    data = [("a", day, item), ("u", None, item)]
+    for more in ([], [("b", day, item)], [("b", day, item), ("v", None, item)], [("c", day + dt.timedelta(1), item)], []):
+        data += more
+        _, marks = Y.incremental_sync(spark.createDataFrame(data, schema), marks, 1, out)
+    assert rows(O.read_loaded(spark, out, "orders_backlog"), "order_id") == [("a",), ("b",), ("c",)]
+    assert rows(O.read_loaded(spark, out, "dead_letters"), "order_id", "reason") == [("u", O.UNDATED), ("v", O.UNDATED)]
+    assert marks.first()["last_synced_at"] == day + dt.timedelta(1)
+
+
 PRODUCTS = "id int, sku_code string, name string, category_id int, base_price double, unit_cost double, current_stock int, safety_stock int, status string, weight double, dimensions string"
 
 

@@ -30,25 +30,39 @@ def test_orders_arrive_once(spark, tmp_path):
 
 
 def test_demand_equals_batch_and_late_rows_are_dropped(spark, tmp_path):
+    """An order with two lines of one product, a message delivered twice, and a late row."""
     src, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
-    schema = "order_id string, product_id string, source_id int, quantity double, gross_sale double, sale_date timestamp"
+    schema = "order_id string, product_id string, source_id int, message_id string, item_no int, quantity double, gross_sale double, sale_date timestamp"
 
     def facts(*data):
-        return spark.createDataFrame([(o, "p", 1, q, q * 2, dt.datetime(2024, 1, d, h)) for o, q, d, h in data], schema)
-
-    early = facts(("a", 1.0, 1, 3), ("b", 2.0, 1, 9), ("a", 1.0, 1, 3), ("c", 4.0, 2, 1))
-    write(early, src)
-    run = lambda: J.finish(J.write_batches(J.stream_daily_demand(J.file_stream(spark, src), "2 days"), out, ckpt, "update"))
-    run()
-    expected = rows(O.daily_demand(early.dropDuplicates(["order_id"])))
-    assert rows(J.read_latest(spark, out, ["product_id", "sale_date"])) == expected
-    write(facts(("d", 1.0, 20, 0)), src)
-    run()
-    write(facts(("late", 9.0, 1, 5), ("e", 1.0, 20, 1)), src)
-    query = run()
-    assert J.late_rows(query) == 1
-    got = {str(r["sale_date"]): r["total_qty"] for r in J.read_latest(spark, out, ["product_id", "sale_date"]).collect()}
-    assert got == {"2024-01-01": 3.0, "2024-01-02": 4.0, "2024-01-20": 2.0}
+        return spark.createDataFrame([(o, "p", 1, o + str(h), n, q, q * 2, dt.datetime(2024, 1, d, h)) for o, n, q, d, h in data], schema)
+
+    early = facts(("a", 0, 1.0, 1, 3), ("a", 1, 5.0, 1, 3), ("b", 0, 2.0, 1, 9), ("a", 0, 1.0, 1, 3), ("c", 0, 4.0, 2, 1), ("c", 0, 3.0, 2, 2))
+    listener = J.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        write(early, src)
+        run = lambda: J.finish(J.write_batches(J.stream_daily_demand(J.file_stream(spark, src), "2 days"), out, ckpt, "update"))
+        run()
+        expected = rows(O.daily_demand(early.dropDuplicates()))
+        assert rows(J.read_demand(spark, out)) == expected
+        assert [r[2:] for r in expected] == [(8.0, 16.0, 2), (7.0, 14.0, 1)]
+        write(facts(("d", 0, 1.0, 20, 0)), src)
+        run()
+        write(facts(("late", 0, 9.0, 1, 5), ("e", 0, 1.0, 20, 1)), src)
+        assert listener.total(run()) == 1
+    finally:
+        spark.streams.removeListener(listener)
+    got = {str(r["sale_date"]): r["total_qty"] for r in J.read_demand(spark, out).collect()}
+    assert got == {"2024-01-01": 8.0, "2024-01-02": 7.0, "2024-01-20": 2.0}
+
+
+def test_unreadable_orders_are_quarantined(spark, tmp_path):
+    src, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    write(orders(spark, ["a"]).union(orders(spark, ["b"]).withColumn("items", F.lit("[{"))), src)
+    J.finish(J.stream_orders(J.file_stream(spark, src), out, ckpt))
+    assert J.read_facts(spark, out).count() == 1
+    assert [(r["order_id"], r["violations"], r["raw_items"]) for r in J.read_quarantine(spark, out).collect()] == [("b", [O.UNPARSED], "[{")]
 
 
 def test_sync_loads_each_file_once(spark, tmp_path):
@@ -88,3 +102,5 @@ def test_kafka_messages_parse(spark):
     raw = spark.createDataFrame([(b'{"order_id": "a", "n": {"x": 1}}',), (b"junk",)], "value binary")
     got = parse_json_values(raw, "order_id string, n struct<x int>").select("order_id", F.col("n.x").alias("x"))
     assert rows(got) == [("a", 1), (None, None)]
+    kept = parse_json_values(raw, "order_id string, n struct<x int>", malformed_col="bad").select("order_id", "bad")
+    assert rows(kept) == [("a", None), (None, "junk")]
