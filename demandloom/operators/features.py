@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from demandloom.functions import name_col, null_if_nan
 from demandloom.functions.expr import numeric_columns
 
-MAX_ONE_HOT = 10_000
 ORDER_FIELDS = {
     "required": ("order_id", "order_date"),
     "optional": ("customer_id", "status", "total_amount"),
@@ -77,18 +76,24 @@ def date_from_parts(df: DataFrame, year: str = "year", month: str = "month", int
 def one_hot(df: DataFrame, column: str, values: Sequence | None = None) -> DataFrame:
     """One 0/1 column ``column_value`` per distinct value, sorted; the original is dropped.
 
-    The values become column names, so more than MAX_ONE_HOT of them is an error.
+    The values become names of columns, so they are part of the plan. ``one_hot_long`` has no such
+    limit.
     """
     if values is None:
         distinct = df.select(name_col(column).alias("v")).filter(F.col("v").isNotNull()).distinct()
-        values = sorted(r["v"] for r in distinct.limit(MAX_ONE_HOT + 1).collect())
-        if len(values) > MAX_ONE_HOT:
-            raise ValueError(f"{column} has more than {MAX_ONE_HOT} values")
+        values = sorted(r["v"] for r in distinct.collect())
     c = name_col(column)
     flags = [F.coalesce((c == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in values]
     return df.select(*[name_col(x) for x in df.columns if x != column], *flags)
 
 
+def one_hot_long(df: DataFrame, column: str) -> DataFrame:
+    """The same as rows (other columns, feature, hot), only those with a 1, for any number of values."""
+    c = name_col(column)
+    others = [name_col(x) for x in df.columns if x != column]
+    return df.filter(c.isNotNull()).select(*others, F.concat(F.lit(f"{column}_"), c.cast("string")).alias("feature"), F.lit(1).alias("hot"))
+
+
 def row_sum_features(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
     """Named sums of column groups."""
     return df.withColumns({n: reduce(lambda a, b: a + b, [name_col(c) for c in cs]) for n, cs in groups.items()})

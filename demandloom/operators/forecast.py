@@ -45,7 +45,7 @@ def kpss_statistic(y: np.ndarray) -> float:
 
 def choose_difference(y: np.ndarray) -> int:
     d = 0
-    while d < MAX_D and len(y) > 4 and np.ptp(y) > 0 and kpss_statistic(y) > KPSS_CRITICAL:
+    while d < MAX_D and len(y) > MIN_POINTS and np.ptp(y) > 0 and kpss_statistic(y) > KPSS_CRITICAL:
         y = np.diff(y)
         d += 1
     return d
@@ -66,9 +66,8 @@ def _inside(c: np.ndarray) -> bool:
     return np.max(np.abs(np.roots(np.concatenate(([1.0], -c))))) < 0.999
 
 
-def fit_arma(w: np.ndarray, p: int, q: int, shocks: np.ndarray):
-    """Hannan-Rissanen: regress on own lags and lagged shocks of a long autoregression."""
-    start = max(p, q) + (np.flatnonzero(~np.isnan(shocks))[0] if q else 0)
+def fit_arma(w: np.ndarray, p: int, q: int, shocks: np.ndarray, start: int):
+    """Hannan-Rissanen: regress on own lags and lagged shocks of a long autoregression, from ``start`` on."""
     target = w[start:]
     columns = [np.ones(len(target)), *_lagged(w, p, start), *_lagged(shocks, q, start)]
     design = np.column_stack(columns)
@@ -87,37 +86,64 @@ def fit_arma(w: np.ndarray, p: int, q: int, shocks: np.ndarray):
     return score, beta[0], phi, theta, sigma2, residuals
 
 
-def search_orders(w: np.ndarray, shocks: np.ndarray):
-    """(fit, p, q) of the lowest criterion, walking from the best small model to better neighbours."""
+def order_limits(n: int, long_order: int) -> tuple[int, int]:
+    """Highest p and q whose models leave enough of ``n`` points to be compared on one sample."""
+    for limit in range(max(MAX_P, MAX_Q), 0, -1):
+        p, q = min(limit, MAX_P), min(limit, MAX_Q)
+        if n - max(p, long_order + q) >= p + q + 4:
+            return p, q
+    return (1, 0) if n >= 6 else (0, 0)
+
+
+def search_orders(w: np.ndarray, shocks: np.ndarray, long_order: int):
+    """(fit, p, q) of the lowest criterion, walking from the best small model to better neighbours.
+
+    All models are scored on the same points, those that the largest one leaves; the one chosen is
+    then fitted to all the points it can use.
+    """
     tried: dict[tuple[int, int], object] = {}
+    max_p, max_q = order_limits(len(w), long_order)
+    common = max(max_p, long_order + max_q if max_q else 0)
 
     def score(order):
         if order not in tried:
-            tried[order] = fit_arma(w, *order, shocks)
+            tried[order] = fit_arma(w, *order, shocks, common)
         return tried[order][0] if tried[order] is not None else np.inf
 
-    here = min([(0, 0), (1, 0), (0, 1), (2, 2)], key=score)
+    def fitted(p, q):
+        if tried[p, q] is None:
+            return None
+        fit = fit_arma(w, p, q, shocks, max(p, long_order + q if q else 0))
+        return (fit or tried[p, q], p, q)
+
+    here = min([o for o in [(0, 0), (1, 0), (0, 1), (2, 2)] if o[0] <= max_p and o[1] <= max_q], key=score)
     while True:
         p, q = here
         near = [(p + i, q + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        best = min([o for o in near if 0 <= o[0] <= MAX_P and 0 <= o[1] <= MAX_Q], key=score)
+        best = min([o for o in near if 0 <= o[0] <= max_p and 0 <= o[1] <= max_q], key=score)
         if score(best) >= score(here):
-            return (tried[here], *here) if tried[here] is not None else None
+            return fitted(*here)
         here = best
 
 
 def arima_path(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, str]:
-    """(point forecasts, standard errors, method). Falls back to the last value when nothing fits."""
+    """(point forecasts, standard errors, method).
+
+    The shorter the series, the smaller the models that are tried, down to the mean of the
+    differences. A series without variation repeats its last value.
+    """
     d = choose_difference(y)
     w = np.diff(y, d) if d else y
     best = None
-    if len(w) >= 8 and np.ptp(w) > 0:
+    if d or np.ptp(w) > 0:
         long_order = max(1, min(int(10 * np.log10(len(w))), len(w) // 4))
         design = np.column_stack([np.ones(len(w) - long_order), *_lagged(w, long_order, long_order)])
         beta, *_ = np.linalg.lstsq(design, w[long_order:], rcond=None)
         shocks = np.full(len(w), np.nan)
         shocks[long_order:] = w[long_order:] - design @ beta
-        best = search_orders(w, shocks)
+        best = search_orders(w, shocks, long_order)
+        if best is None:  # too few points to compare models
+            best = (0.0, w.mean(), np.zeros(0), np.zeros(0), float(np.var(w)), w - w.mean()), 0, 0
     if best is None:
         steps = np.sqrt(np.arange(1, horizon + 1))
         spread = np.std(np.diff(y)) if len(y) > 1 else 0.0

@@ -25,11 +25,22 @@ def revenue_column() -> Column:
 
 def _split_group(sums: DataFrame, keys: Sequence[str], need: int) -> Row:
     """The group in which row number ``need`` (from 0) lies when groups are laid end to end in key
-    order: its keys, its ``n`` and ``rev``, and the rows and revenue before it."""
-    w = Window.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).rowsBetween(Window.unboundedPreceding, 0)
-    running = sums.withColumns({"_rows": F.sum("n").over(w), "_rev": F.sum("rev").over(w)})
+    order: its keys, its ``n`` and ``rev``, and the rows and revenue before it.
+
+    The groups are dealt out by ranges of their keys. One sum per range tells in which the row lies,
+    and only that range is put in order.
+    """
+    order = [F.col(k).asc_nulls_last() for k in keys]
+    ranged = checkpoint(sums.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    rows_before, rev_before = 0, 0.0
+    for r in ranged.groupBy("_range").agg(F.sum("n").alias("n"), F.sum("rev").alias("rev")).orderBy("_range").collect():  # a row per partition
+        if rows_before + r["n"] > need:
+            break
+        rows_before, rev_before = rows_before + r["n"], rev_before + r["rev"]
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = ranged.filter(F.col("_range") == r["_range"]).withColumns({"_rows": F.sum("n").over(w) + rows_before, "_rev": F.sum("rev").over(w) + rev_before})
     placed = running.withColumns({"rows_before": F.col("_rows") - F.col("n"), "rev_before": F.col("_rev") - F.col("rev")})
-    return placed.filter((F.col("_rows") > need) & (F.col("rows_before") <= need)).drop("_rows", "_rev").first()
+    return placed.filter((F.col("_rows") > need) & (F.col("rows_before") <= need)).drop("_rows", "_rev", "_range").first()
 
 
 def _earlier_revenue(rows: DataFrame, per_day: DataFrame, half: int, keys: Sequence[str]) -> float:
@@ -37,9 +48,8 @@ def _earlier_revenue(rows: DataFrame, per_day: DataFrame, half: int, keys: Seque
 
     Instead of numbering all rows, the split row is found from group sums: its day, then its second,
     then its (instant, product), then its key. Each step sums in parallel, and its literal bounds on
-    ``ds`` let the next one read that part of the table only. The ordered windows run over the groups
-    of one step: days, seconds of a day, instants and products of a second, keys of one product at one
-    instant.
+    ``ds`` let the next one read that part of the table only. No step puts all its groups in order
+    in one task, so a day of one product may hold any number of rows.
     """
     ds_type = rows.schema["ds"].dataType
     earlier, need, inside = 0.0, half, rows

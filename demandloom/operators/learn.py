@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandloom.functions import name_col
@@ -78,6 +78,21 @@ def train_gbt(
     return TrainedModel(model, tuple(features), params, error_metrics(scored, "label", "prediction", ["split"]))
 
 
+def save_model(trained: TrainedModel, path: str) -> None:
+    """The model, its features, parameters and errors below a folder, replacing what is there."""
+    spark = trained.metrics.sparkSession
+    trained.model.write().overwrite().save(f"{path}/model")
+    trained.metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    facts = [(list(trained.features), {k: float(v) for k, v in trained.params.items()})]
+    spark.createDataFrame(facts, "features array<string>, params map<string,double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def load_model(spark: SparkSession, path: str) -> TrainedModel:
+    """What ``save_model`` has written."""
+    facts = spark.read.parquet(f"{path}/facts").first()
+    return TrainedModel(PipelineModel.load(f"{path}/model"), tuple(facts["features"]), dict(facts["params"]), spark.read.parquet(f"{path}/metrics"))
+
+
 def predict_demand(trained: TrainedModel, features: DataFrame, requested: DataFrame, key: str = "product_id") -> DataFrame:
     """One prediction per requested id; ids without features get 0.0 and status no_data."""
     usable = features.select(key, *[name_col(c).cast("double").alias(c) for c in trained.features]).na.drop()

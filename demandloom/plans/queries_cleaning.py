@@ -225,6 +225,15 @@ def date_from_parts(spark, sf):
     return out.select("o_orderkey", F.date_format("first_day", "yyyy-MM-dd").alias("first_day"))
 
 
+@query(
+    "one_hot_long",
+    "SELECT l_orderkey, l_linenumber, concat('l_partkey_', l_partkey) AS feature, 1 AS hot FROM lineitem",
+)
+def one_hot_long(spark, sf):
+    """A feature with a value per product."""
+    return X.one_hot_long(V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey")
+
+
 @query(
     "one_hot",
     """SELECT l_orderkey, l_linenumber, CAST(l_returnflag = 'A' AS INT) AS "l_returnflag_A", CAST(l_returnflag = 'N' AS INT) AS "l_returnflag_N",

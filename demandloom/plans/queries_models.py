@@ -10,7 +10,7 @@ from demandloom.operators import learn as L
 from demandloom.operators import series as S
 from demandloom.plans import views as V
 from demandloom.plans.registry import query
-from demandloom.session import checkpoint
+from demandloom.session import checkpoint, scratch_path
 
 
 def _monthly(spark, sf):
@@ -97,13 +97,13 @@ def split_time(spark, sf):
     return out.select("product_id", F.date_format("period_end", "yyyy-MM-dd").alias("period_end"), "split")
 
 
-def _trained(spark, sf, rounds):
-    return L.train_gbt(L.split_time(_features(spark, sf)), FEATURES, rounds=rounds)
+def _trained(spark, sf):
+    return L.train_gbt(L.split_time(_features(spark, sf)), FEATURES)
 
 
 @query("train_gbt")
 def train_gbt(spark, sf):
-    return _trained(spark, sf, 10).metrics
+    return _trained(spark, sf).metrics
 
 
 @query("predict_demand")
@@ -111,7 +111,9 @@ def predict_demand(spark, sf):
     """The newest month of each product as features; every product asked for."""
     features = _features(spark, sf)
     newest = S.last_n(features, 1)
-    trained = _trained(spark, sf, 5)
+    path = scratch_path(spark, "model")
+    L.save_model(_trained(spark, sf), path)
+    trained = L.load_model(spark, path)
     requested = V.products(spark, sf).select(F.col("id").alias("product_id"))
     return L.predict_demand(trained, newest, requested)
 

@@ -55,7 +55,35 @@ def test_arima_short_and_constant(spark):
         by.setdefault(r["product_id"], []).append(r)
     assert [(r["status"], r["forecast"], r["data_points"]) for r in by[1]] == [("no_data", None, 2)]
     assert [r["forecast"] for r in by[2]] == [5.0, 5.0] and [r["forecast"] for r in by[3]] == [7.0, 7.0]
-    assert all(r["method"] == "naive" for k in (2, 3, 4) for r in by[k])
+    assert all(r["method"] == "naive" for k in (2, 3) for r in by[k])
+    assert all(r["method"].startswith("arima(") for r in by[4])
+
+
+def test_orders_are_compared_on_one_sample():
+    """A first-order autoregression is found and its coefficient is that of least squares."""
+    rng = np.random.default_rng(3)
+    y = np.zeros(400)
+    for t in range(1, 400):
+        y[t] = 2 + 0.6 * y[t - 1] + rng.normal()
+    fit, p, q = M.search_orders(y, np.r_[np.full(26, np.nan), rng.normal(size=374)], 26)
+    assert (p, q) == (1, 0)
+    slope, constant = np.polyfit(y[:-1], y[1:], 1)
+    assert fit[2][0] == pytest.approx(slope) and fit[1] == pytest.approx(constant)
+    for n in range(3, 30):
+        path, spread, method = M.arima_path(rng.normal(10, 1, n).cumsum(), 3)
+        assert np.isfinite(path).all() and np.isfinite(spread).all() and method.startswith("arima(")
+
+
+def test_models_are_saved(spark, tmp_path):
+    data = [(i % 3, float(i), float(i * 2 % 7), "train" if i < 40 else "test") for i in range(50)]
+    df = spark.createDataFrame(data, "product_id int, x double, quantity double, split string")
+    trained = L.train_gbt(df, ["x"], rounds=3, depth=2)
+    L.save_model(trained, str(tmp_path / "m"))
+    loaded = L.load_model(spark, str(tmp_path / "m"))
+    assert (loaded.features, loaded.params) == (trained.features, {k: float(v) for k, v in trained.params.items()})
+    assert rows(loaded.metrics) == rows(trained.metrics)
+    wanted = df.filter("split = 'test'").select("product_id", "x").dropDuplicates(["product_id"])
+    assert rows(L.predict_demand(loaded, wanted, wanted)) == rows(L.predict_demand(trained, wanted, wanted))
 
 
 def test_arimax_uses_the_future_values(spark):

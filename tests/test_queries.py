@@ -1,16 +1,10 @@
 """Every registered query against its SQL at the smallest scale."""
 
-import os
-
 import pytest
 
 import __spark_entry__ as spark_entry
 from tools.check_queries import compare, connect
 
-# Minutes of model fitting; their parts are tested on small frames.
-SLOW = {"train_gbt", "predict_demand"}
-
-
 @pytest.fixture(scope="module")
 def duck(sf):
     return connect(sf)
@@ -18,8 +12,6 @@ def duck(sf):
 
 @pytest.mark.parametrize("name", sorted(spark_entry.queries()))
 def test_query(spark, duck, sf, name):
-    if name in SLOW and not os.environ.get("RUN_SLOW"):
-        pytest.skip("slow; set RUN_SLOW=1")
     result = compare(spark, duck, name, sf)
     assert result.startswith(("ok", "rows-only")), result
 
