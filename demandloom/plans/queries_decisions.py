@@ -14,7 +14,7 @@ ALERT_KEYS = ("order_id", "line_no")
 HITS_SQL = """hits AS (SELECT * FROM (
     SELECT s.product_id, s.ds, s.quantity * CASE WHEN line_no = 7 THEN 4 ELSE 1 END AS quantity, coalesce(p.safety_stock, 20) AS threshold,
            row_number() OVER (PARTITION BY s.product_id ORDER BY ds, order_id, line_no, s.quantity * CASE WHEN line_no = 7 THEN 4 ELSE 1 END) AS rn
-    FROM sales s LEFT JOIN (SELECT * FROM products WHERE id % 10 <> 4) p ON s.product_id = p.id
+    FROM sales s LEFT JOIN (SELECT * REPLACE (CASE WHEN id % 10 = 4 THEN id + 1000000000 ELSE id END AS id) FROM products) p ON s.product_id = p.id
     WHERE s.quantity * CASE WHEN line_no = 7 THEN 4 ELSE 1 END > coalesce(p.safety_stock, 20) * 3) WHERE rn = 1)"""
 MESSAGE = "concat('Anomaly: Product ''', CAST(product_id AS VARCHAR), ''' sales velocity exceeds safety threshold (', CAST(quantity AS VARCHAR), ' units).')"
 
@@ -26,7 +26,7 @@ def _sales(spark, sf):
 
 
 def _products(spark, sf):
-    return V.products(spark, sf).filter(F.col("id") % 10 != 4)
+    return V.with_shifted_key(V.products(spark, sf), "id", 10, 4)
 
 
 def _hits(spark, sf):
@@ -54,9 +54,9 @@ def emit_alerts(spark, sf):
 
 
 def _ledger(spark, sf):
-    """Error and purchase events as an alert table."""
+    """The events as an alert table."""
     e = V.events(spark, sf)
-    return e.filter(F.col("event_type").isin("error", "purchase", "signup")).select(
+    return e.select(
         F.col("event_id").cast("string").alias("alert_id"),
         F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "purchase", "warning").otherwise("info").alias("severity"),
         F.lit("EVENT").alias("event_type"),
@@ -68,7 +68,7 @@ def _ledger(spark, sf):
 
 LEDGER_SQL = """ledger AS (SELECT CAST(event_id AS VARCHAR) AS alert_id, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'warning' ELSE 'info' END AS severity,
     'EVENT' AS event_type, ts AS alert_ts, concat('user ', CAST(user_id AS VARCHAR)) AS message, event_id % 3 = 0 AS is_resolved
-    FROM events WHERE event_type IN ('error', 'purchase', 'signup'))"""
+    FROM events)"""
 
 
 @query(
@@ -106,11 +106,11 @@ def resolve_all_alerts(spark, sf):
     return A.resolve_alerts(_ledger(spark, sf)).select("alert_id", "is_resolved")
 
 
-COVER_SQL = """avgs AS (SELECT product_id, avg(quantity) AS daily_avg, sum(sale_rows) AS sale_rows FROM daily WHERE product_id % 7 <> 0 GROUP BY 1)"""
+COVER_SQL = """avgs AS (SELECT product_id, avg(quantity) AS daily_avg, sum(sale_rows) AS sale_rows FROM (SELECT * REPLACE (CASE WHEN product_id % 7 = 0 THEN product_id + 1000000000 ELSE product_id END AS product_id) FROM daily) GROUP BY 1)"""
 
 
 def _sold(spark, sf):
-    return V.sales(spark, sf).filter(F.col("product_id") % 7 != 0)
+    return V.with_shifted_key(V.sales(spark, sf), "product_id", 7)
 
 
 @query(

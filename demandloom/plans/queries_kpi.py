@@ -50,21 +50,21 @@ def revenue_breakdown(spark, sf):
 
 
 def _some_products(spark, sf):
-    return V.products(spark, sf).filter(F.col("id") % 10 != 4)
+    return V.with_shifted_key(V.products(spark, sf), "id", 10, 4)
 
 
 INVENTORY_SQL = """SELECT b.id, b.name, coalesce(c.name, 'Uncategorized') AS category, stock, CAST(printf('%.2f', velocity) AS DOUBLE) AS velocity,
            CASE WHEN stock <= safety THEN 'High' WHEN velocity > 15 THEN 'Monitor' ELSE 'Low' END AS risk
     FROM (SELECT coalesce(p.id, v.product_id) AS id, coalesce(p.name, concat('Unknown SKU #', CAST(v.product_id AS VARCHAR))) AS name, p.category_id,
                  coalesce(p.current_stock, 0) AS stock, coalesce(p.safety_stock, 0) AS safety, coalesce(v.velocity, 0) AS velocity
-          FROM (SELECT * FROM products WHERE id % 10 <> 4) p
-          FULL OUTER JOIN (SELECT product_id, avg(quantity) AS velocity FROM sales WHERE product_id % 7 <> 0 GROUP BY 1) v ON p.id = v.product_id) b
+          FROM (SELECT * REPLACE (CASE WHEN id % 10 = 4 THEN id + 1000000000 ELSE id END AS id) FROM products) p
+          FULL OUTER JOIN (SELECT product_id, avg(quantity) AS velocity FROM (SELECT * REPLACE (CASE WHEN product_id % 7 = 0 THEN product_id + 1000000000 ELSE product_id END AS product_id) FROM sales) GROUP BY 1) v ON p.id = v.product_id) b
     LEFT JOIN categories c ON b.category_id = c.id"""
 
 
 @query("inventory_status", INVENTORY_SQL, ["products", "categories", "sales"])
 def inventory_status(spark, sf):
-    sold = V.sales(spark, sf).filter(F.col("product_id") % 7 != 0)
+    sold = V.with_shifted_key(V.sales(spark, sf), "product_id", 7)
     return K.inventory_status(_some_products(spark, sf), V.categories(spark, sf), sold)
 
 

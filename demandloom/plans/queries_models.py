@@ -35,13 +35,15 @@ def forecast_arima(spark, sf):
 @query(
     "forecast_arima_steps",
     """SELECT product_id, CASE WHEN count(*) < 3 THEN 'no_data' ELSE 'success' END AS status, count(*) AS data_points,
-              CASE WHEN count(*) < 3 THEN 1 ELSE 2 END AS steps FROM (SELECT DISTINCT product_id, year(ds) AS y FROM sales WHERE product_id % 4 = 0 OR year(ds) < 1997)
+              CASE WHEN count(*) < 3 THEN 1 ELSE 2 END AS steps FROM (SELECT DISTINCT CASE WHEN product_id % 4 = 0 OR year(ds) < 1997 THEN product_id ELSE product_id + 1000000000 END AS product_id, year(ds) AS y FROM sales)
        GROUP BY 1""",
     ["sales"],
 )
 def forecast_arima_steps(spark, sf):
     """Which products get a forecast, from how many points: most have two years only."""
-    sales = V.sales(spark, sf).filter((F.col("product_id") % 4 == 0) | (F.year("ds") < 1997))
+    early = (F.col("product_id") % 4 == 0) | (F.year("ds") < 1997)
+    moved = F.when(early, F.col("product_id")).otherwise(F.col("product_id") + V.SHIFT).cast("int")  # three of four products end early, and as others begin late
+    sales = V.sales(spark, sf).withColumn("product_id", moved)
     out = M.forecast_arima(S.scope_series(sales, "year"), 2)
     return out.groupBy("product_id", "status").agg(
         F.max("data_points").alias("data_points"), F.count(F.lit(1)).alias("steps")
@@ -147,7 +149,7 @@ SCORE_SQL = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY product_id O
 def _scored(spark, sf):
     naive, target = _naive_log(spark, sf)
     log = L.log_predictions(naive, "naive", "v1").join(target.select("product_id", "target_date"), on="product_id")
-    return L.score_predictions(log, target.filter(F.col("product_id") % 6 != 0))
+    return L.score_predictions(log, V.with_shifted_key(target, "product_id", 6))
 
 
 @query(

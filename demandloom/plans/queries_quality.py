@@ -342,3 +342,22 @@ def empty_cells(spark, sf):
     return df.groupBy("l_linenumber").agg(
         F.count_if(is_empty(df, "number")).alias("empty_numbers"), F.count_if(is_empty(df, "text")).alias("empty_texts")
     )
+
+
+@query(
+    "duplicate_rows_exact",
+    """SELECT count(*) AS record_count, count(*) - count(DISTINCT (user_id, us, v, p)) AS duplicate_count
+       FROM (SELECT user_id % 20 AS user_id, epoch_us(date_trunc('day', ts)) + event_id % 2 AS us, CASE WHEN event_id % 3 = 0 THEN round(value) END AS v,
+                    [event_id % 2, NULL, 1] AS p FROM events)""",
+)
+def duplicate_rows_exact(spark, sf):
+    """Instants one microsecond apart, NaN beside NULL, lists with missing elements."""
+    e, no = V.events(spark, sf), F.col("event_id")
+    value = F.when(no % 3 == 0, F.round("value")).when(no % 3 == 1, F.lit(float("nan")))
+    rows = e.select(
+        (F.col("user_id") % 20).alias("user_id"),
+        F.timestamp_micros(F.unix_micros(F.date_trunc("day", "ts").cast("timestamp")) + no % 2).alias("ts"),
+        value.alias("value"),
+        F.array(no % 2, F.lit(None), F.lit(1)).alias("parts"),
+    )
+    return Q.duplicate_rows(rows)
