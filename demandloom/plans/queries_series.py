@@ -116,6 +116,34 @@ def scope_series_month(spark, sf):
     return S.scope_series(V.sales(spark, sf), "month")
 
 
+def _history_sql(unit: str, step: str, end: str) -> str:
+    return f"""WITH r AS (SELECT product_id, CAST(date_trunc('{unit}', ds) AS DATE) AS p, sum(quantity) AS q, sum(quantity * price_at_sale) AS rev FROM sales GROUP BY 1, 2),
+            s AS (SELECT product_id, CAST(unnest(generate_series(min(p), max(p), INTERVAL {step})) AS DATE) AS p FROM r GROUP BY 1)
+       SELECT s.product_id, strftime({end}, '%Y-%m-%d') AS date, CAST(trunc(coalesce(q, 0)) AS BIGINT) AS quantity, round(coalesce(rev, 0), 2) AS revenue
+       FROM s LEFT JOIN r ON s.product_id = r.product_id AND s.p = r.p"""
+
+
+@query("product_sales_history_week", _history_sql("week", "7 DAY", "s.p + INTERVAL 6 DAY"), ["sales"])
+def product_sales_history_week(spark, sf):
+    return S.product_sales_history(V.sales(spark, sf), "week")
+
+
+@query("product_sales_history_5years", _history_sql("year", "1 YEAR", "s.p + INTERVAL 1 YEAR - INTERVAL 1 DAY"), ["sales"])
+def product_sales_history_5years(spark, sf):
+    return S.product_sales_history(V.sales(spark, sf), "5years")
+
+
+@query("scope_series_day", "SELECT product_id, strftime(ds, '%Y-%m-%d') AS bucket, sum(quantity) AS quantity FROM sales GROUP BY 1, 2", ["sales"])
+def scope_series_day(spark, sf):
+    """An unknown scope means day."""
+    return S.scope_series(V.sales(spark, sf), "fortnight")
+
+
+@query("scope_series_year", "SELECT product_id, strftime(ds, '%Y') AS bucket, sum(quantity) AS quantity FROM sales GROUP BY 1, 2", ["sales"])
+def scope_series_year(spark, sf):
+    return S.scope_series(V.sales(spark, sf), "year")
+
+
 def _monthly(spark, sf):
     return S.resample(V.sales(spark, sf), "M", by=["product_id"]).drop("period_start")
 

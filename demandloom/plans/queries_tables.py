@@ -256,3 +256,28 @@ def sync_dimension(spark, sf):
     target = V.customers(spark, sf).select("id", "name", "ltv")
     updates = _customer_updates(spark, sf).withColumn("ltv", F.coalesce("ltv", F.lit(float("nan"))))
     return M.sync_dimension(updates, target, "id", "seq")
+
+
+@query(
+    "describe_columns",
+    """SELECT name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type,
+              CAST(filled AS BIGINT) AS filled
+       FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM lineitem) ON COLUMNS(*) INTO NAME name VALUE filled) JOIN (DESCRIBE lineitem) ON name = column_name""",
+)
+def describe_columns(spark, sf):
+    """Names and types of the columns, with how many values each has."""
+    li = V.table(spark, sf, "lineitem")
+    counts = li.agg(*[F.count(c).alias(c) for c in li.columns])
+    filled = counts.unpivot([], li.columns, "name", "filled")
+    return R.describe_columns(spark, li).join(filled, on="name")
+
+
+@query("list_tables", "SELECT 'listed_orders' AS name, count(*) AS record_count FROM orders UNION ALL SELECT 'listed_parts', count(*) FROM part")
+def list_tables(spark, sf):
+    """Tables of the folder, made known to the session under names of their own, with their sizes."""
+    sizes = None
+    for name, source in (("listed_orders", "orders"), ("listed_parts", "part")):
+        V.table(spark, sf, source).createOrReplaceTempView(name)
+        size = spark.table(name).agg(F.lit(name).alias("name"), F.count("*").alias("record_count"))
+        sizes = size if sizes is None else sizes.unionAll(size)
+    return R.list_tables(spark).join(sizes, on="name")

@@ -277,3 +277,23 @@ def test_moments_without_filling(spark):
     expected = rows(full.groupBy("product_id").agg(F.count("*"), F.avg("quantity"), F.round(F.stddev_samp("quantity"), 9), F.max_by("quantity", "period_end")))
     got = S.filled_moments(S.resample(sales, "M", by=["product_id"], fill=False), "M", ["product_id"])
     assert rows(got.withColumn("scope_std", F.round("scope_std", 9))) == expected
+
+
+def test_kpis_of_a_hot_day(spark):
+    """One product holds a third of all rows on one date; no step sorts its rows in one task."""
+    n = 30_000
+    day = F.when(F.col("id") % 3 == 0, F.lit("2024-01-02")).otherwise(F.concat(F.lit("2024-01-0"), (F.col("id") % 2 * 2 + 1).cast("string")))
+    sales = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50 + 2).cast("int").alias("product_id"),
+        day.cast("timestamp").alias("ds"),
+        F.col("id").alias("order_id"),
+        (F.col("id") % 7).cast("double").alias("quantity"),
+        (F.col("id") % 11).cast("double").alias("price_at_sale"),
+    )
+    data = sorted((r["ds"], r["product_id"], r["order_id"], r["quantity"] * r["price_at_sale"]) for r in sales.collect())
+    early, late = sum(r[3] for r in data[: n // 2]), sum(r[3] for r in data[n // 2 :])
+    got = K.business_kpis(sales, spark.createDataFrame([(1, 1.0)], "id int, unit_cost double"), ["order_id"]).first()
+    assert abs(got["growth_pct"] - (late - early) / early * 100) < 1e-9
+    groups = sales.groupBy("order_id").agg(F.count("*").alias("n"), F.sum(F.lit(1.0)).alias("rev"))
+    found = K._split_group(groups, ["order_id"], 12_345)
+    assert (found["order_id"], found["rows_before"]) == (12_345, 12_345)
