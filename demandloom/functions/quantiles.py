@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from demandloom.functions.expr import null_if_nan
 
-# Values one `percentile` buffer may see per column. Above it the wanted ranks are bracketed first.
-BUFFER_ROWS = 1_000_000
+# Values that are gathered for a wanted rank; the bracket around it is narrowed until it holds no more.
+BUFFER_ROWS = 20_000
 SKETCH_ACCURACY = 10_000
 # Bracket half-width in shares of the rows: twice the error of the sketch.
 PAD = 2.0 / SKETCH_ACCURACY
@@ -65,24 +65,19 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, as ``{column: [value, ...]}``.
 
-    ``percentile`` is exact but merges all distinct values of a column into one buffer. That is fine
-    while a column has at most ``buffer_rows`` values. In longer columns the wanted ranks are narrowed
-    first, all of them in the same scans: a pass sketches the rows still in each bracket and counts
-    the rows below it, so a bracket shrinks by the sketch accuracy per pass. Two passes reach from
-    10^11 rows to some ten thousand, and only those are gathered.
+    ``percentile`` merges all distinct values of a column into one buffer. Instead the ranks next to
+    each quantile are bracketed, all of them in the same scans: a pass sketches the rows still in each
+    bracket and counts the rows below it, so a bracket shrinks by the sketch accuracy per pass, until
+    it holds at most ``buffer_rows``. Two passes reach from 10^11 rows to some ten thousand, and only
+    those are gathered.
     """
     names = {f"v{i}": c for i, c in enumerate(columns)}
     narrow = df.select(*[null_if_nan(df, c).cast("double").alias(v) for v, c in names.items()])
     counts = narrow.agg(*[F.count(v).alias(v) for v in names]).first()
-    result: dict[str, list[float | None]] = {}
-    small = [v for v in names if counts[v] <= buffer_rows]
-    if small:
-        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = narrow.agg(*[F.percentile(v, wanted).alias(v) for v in small]).first()
-        for v in small:
-            result[names[v]] = list(row[v]) if row[v] is not None else [None] * len(probabilities)
+    result: dict[str, list[float | None]]
     ranks: dict[tuple[str, int], _Rank] = {}
-    positions = {v: [p * (counts[v] - 1) for p in probabilities] for v in names if v not in small}
+    result = {names[v]: [None] * len(probabilities) for v in names if not counts[v]}
+    positions = {v: [p * (counts[v] - 1) for p in probabilities] for v in names if counts[v]}
     for v, places in positions.items():
         for place in places:
             for k in (math.floor(place), math.ceil(place)):

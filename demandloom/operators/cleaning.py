@@ -172,40 +172,37 @@ MAX_EXPONENT = 30
 def fit_power(df: DataFrame, columns: Sequence[str], method: str = "box-cox", passes: int = 4) -> dict[str, float]:
     """The exponent per column with the highest normal log-likelihood.
 
-    Each pass scores a grid of exponents for all columns in one aggregation keyed by (column,
-    exponent), combined per task before the shuffle; the next pass searches between the neighbours of
-    the best one. The driver sees one short row per exponent.
+    Each pass scores a grid of exponents for all columns in one aggregation without keys, so that each
+    task sends one row; the next pass searches between the neighbours of the best one, or beyond it
+    at an edge. A column without a best exponent up to ``MAX_EXPONENT`` is an error.
     """
     transform, jacobian = POWER_METHODS[method]
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("i"), null_if_nan(df, c).cast("double").alias("x")) for i, c in enumerate(columns)]
-    )
-    long = df.select(F.inline(cells)).filter(F.col("x").isNotNull())
-    sums = {r["i"]: (r["n"], r["j"]) for r in long.groupBy("i").agg(F.count("x").alias("n"), F.sum(jacobian(F.col("x"))).alias("j")).collect()}
+    values = df.select(*[null_if_nan(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    facts = [a for i in range(len(columns)) for a in (F.count(f"x{i}").alias(f"n{i}"), F.sum(jacobian(F.col(f"x{i}"))).alias(f"j{i}"))]
+    row = values.agg(*facts).first()
+    sums = {i: (row[f"n{i}"], row[f"j{i}"]) for i in range(len(columns)) if row[f"n{i}"]}
     spans = {i: (-2.0, 2.0) for i in sums}
     best = {i: 1.0 for i in range(len(columns))}
     done = 0
     while spans and done < passes:
         grids = {i: [a + (b - a) * k / (GRID_POINTS - 1) for k in range(GRID_POINTS)] for i, (a, b) in spans.items()}
-        lists = F.array(*[F.array(*[F.lit(round(v, 12)) for v in grids.get(i, [])]).cast("array<double>") for i in range(len(columns))])
-        scored = (
-            long.select("i", "x", F.posexplode(F.get(lists, F.col("i"))).alias("k", "lam"))
-            .groupBy("i", "k")
-            .agg(F.var_pop(transform(F.col("x"), F.col("lam"))).alias("var"))
-        )
+        cells = [(i, k, round(lam, 12)) for i, grid in grids.items() for k, lam in enumerate(grid)]
+        scored = values.agg(*[F.var_pop(transform(F.col(f"x{i}"), F.lit(lam))).alias(f"v{i}_{k}") for i, k, lam in cells]).first()
         top: dict[int, tuple[float, int]] = {}
-        for r in scored.collect():
-            if r["var"] is not None and 0 < r["var"] < math.inf:
-                n, j = sums[r["i"]]
-                score = -n / 2 * math.log(r["var"]) + (grids[r["i"]][r["k"]] - 1) * j
-                top[r["i"]] = max(top.get(r["i"], (-math.inf, 0)), (score, r["k"]))
+        for i, k, _ in cells:
+            var = scored[f"v{i}_{k}"]
+            if var is not None and 0 < var < math.inf:
+                n, j = sums[i]
+                top[i] = max(top.get(i, (-math.inf, 0)), (-n / 2 * math.log(var) + (grids[i][k] - 1) * j, k))
         spans = {i: s for i, s in spans.items() if i in top}
         at_edge = False
         for i, (_, k) in top.items():
             grid = grids[i]
             best[i] = round(grid[k], 12)
             step, half = grid[1] - grid[0], (grid[-1] - grid[0]) / 2
-            edge = k in (0, GRID_POINTS - 1) and abs(grid[k]) < MAX_EXPONENT
+            edge = k in (0, GRID_POINTS - 1)
+            if edge and abs(grid[k]) >= MAX_EXPONENT:
+                raise ValueError(f"{columns[i]} has no best exponent up to {MAX_EXPONENT}")
             at_edge |= edge
             spans[i] = (grid[k] - half, grid[k] + half) if edge else (grid[k] - step, grid[k] + step)
         if not at_edge:

@@ -39,11 +39,16 @@ ID_BUCKETS = 1024
 
 @dataclass(frozen=True)
 class ImportResult:
-    """Tables after the import, the rows not taken, and one row of counts."""
+    """Tables after the import, the rows not taken, one row of counts, and what was odd by row.
+
+    ``warnings`` has (row_num, warning): cells of taken rows that were left out, and the reasons of
+    rows not taken.
+    """
 
     tables: dict[str, DataFrame]
     rejects: DataFrame
     summary: DataFrame
+    warnings: DataFrame
 
 
 def _cells(rows: DataFrame, columns: Sequence[str], row_col: str) -> DataFrame:
@@ -166,7 +171,8 @@ def import_products(
         "rows_skipped",
         "warnings",
     )
-    return ImportResult({"products": after, "categories": categories_after}, rejects, summary)
+    odd = valid.select("row_num", F.explode("warnings").alias("warning"))
+    return ImportResult({"products": after, "categories": categories_after}, rejects, summary, odd.unionAll(rejects.select("row_num", "reason")))
 
 
 # (outcome, reason) in the order the checks apply
@@ -307,5 +313,8 @@ def import_orders(
         F.count_if(F.col("outcome") == "skipped").alias("rows_skipped"),
     )
     return ImportResult(
-        {"orders": build_orders(lines), "sales": sales, "customers": new_customers}, rejects, summary
+        {"orders": build_orders(lines), "sales": sales, "customers": new_customers},
+        rejects,
+        summary,
+        rejects.select("row_num", F.col("reason").alias("warning")),
     )

@@ -201,6 +201,18 @@ def import_products_summary(spark, sf):
     return _import_products(spark, sf).summary
 
 
+@query(
+    "import_products_warnings",
+    PRODUCT_ROWS_SQL
+    + """odd AS (SELECT row_num, 'invalid base_price' AS warning FROM valid WHERE row_num < 10000000 AND (row_num - 1) % 5 = 0
+             UNION ALL SELECT row_num, 'invalid status' FROM valid WHERE row_num < 10000000 AND (row_num - 1) % 4 = 1
+             UNION ALL SELECT row_num, 'sku_code and name are required' FROM raw WHERE sku_code IS NULL OR name IS NULL)
+    SELECT row_num, warning FROM odd""",
+)
+def import_products_warnings(spark, sf):
+    return _import_products(spark, sf).warnings
+
+
 @query(
     "import_products_ids",
     PRODUCT_ROWS_SQL

@@ -361,3 +361,23 @@ def duplicate_rows_exact(spark, sf):
         F.array(no % 2, F.lit(None), F.lit(1)).alias("parts"),
     )
     return Q.duplicate_rows(rows)
+
+
+@query(
+    "gatekeeper_orders",
+    """SELECT CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS order_id,
+              CASE WHEN o_orderkey % 11 = 0 THEN 'order_date:coerce' WHEN o_orderkey % 13 = 0 THEN 'order_date:not_null' ELSE '' END AS date_violation,
+              o_orderkey % 7 = 0 AS lacks_id FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0
+       UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'passed', FALSE FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0""",
+)
+def gatekeeper_orders(spark, sf):
+    """The rules of order headers: a number and a readable date; the customer may be missing."""
+    key = F.col("o_orderkey")
+    date = F.when(key % 11 == 0, "junk").when(key % 13 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = V.table(spark, sf, "orders").select(
+        F.when(key % 7 != 0, key.cast("string")).alias("order_id"), date.alias("order_date"), F.lit(None).cast("string").alias("customer_id")
+    )
+    passed, failed = Q.gatekeeper(rows, "orders", strict=False)
+    dates = F.filter("violations", lambda v: v.startswith("order_date"))
+    bad = failed.select("order_id", F.coalesce(F.get(dates, F.lit(0)), F.lit("")).alias("date_violation"), F.array_contains("violations", "order_id:not_null").alias("lacks_id"))
+    return bad.unionAll(passed.select("order_id", F.lit("passed"), F.lit(False)))

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,10 +88,17 @@ def jdbc_ready(df: DataFrame) -> DataFrame:
     return complex_as_json(normalize_nulls(df))
 
 
-def write_jdbc(df: DataFrame, uri: str, table: str, batch_size: int = 500, **options: str) -> None:
-    """Append to a relational table in batches, one connection per partition."""
-    writer = jdbc_ready(df).write.format("jdbc").mode("append")
-    writer.options(url=uri, dbtable=table, batchsize=str(batch_size), **options).save()
+def write_jdbc(df: DataFrame, uri: str, table: str, batch_size: int = 500, **options: str) -> dict[str, Any]:
+    """Append to a relational table in batches, one connection per partition.
+
+    Returns table, total, inserted and failed. Rows are counted as they are written; a write that
+    fails raises, so what is returned has been inserted whole.
+    """
+    seen = Observation("write_jdbc")
+    rows = jdbc_ready(df).observe(seen, F.count(F.lit(1)).alias("total"))
+    rows.write.format("jdbc").mode("append").options(url=uri, dbtable=table, batchsize=str(batch_size), **options).save()
+    total = seen.get["total"]
+    return {"table": table, "total": total, "inserted": total, "failed": 0}
 
 
 def run_log(profile: DataFrame, issues: DataFrame, source_name: str, params: Mapping[str, Any] | None = None) -> DataFrame:
