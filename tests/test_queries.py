@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as spark_entry
+from demandloom.plans import catalog
 from tools.check_queries import compare, connect
 
 @pytest.fixture(scope="module")
@@ -10,7 +11,7 @@ def duck(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(spark_entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, sf, name):
     result = compare(spark, duck, name, sf)
     assert result.startswith(("ok", "rows-only")), result
