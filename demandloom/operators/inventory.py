@@ -166,3 +166,33 @@ def insight_facts(products: DataFrame, sales: DataFrame, scope: str = "week", di
     ).withColumn(
         "trend_description", F.coalesce("trend_description", F.lit("Insufficient data to determine trend"))
     ).withColumn("lead_time_days", F.lit(LEAD_DAYS))
+
+
+def insight_features(sales: DataFrame, scope: str = "week", horizon: int = 4) -> DataFrame:
+    """One row per product: the features of its recent buckets, newest first, and of the next ones.
+
+    ``historical_features`` are structs (date, quantity, calendar columns of the scope,
+    prev_period_sales, rollback_n) of at most the scope's limit of buckets; ``future_features`` hold
+    what is known of the next ``horizon`` buckets; ``weekday_means`` is filled for the scope day.
+    """
+    daily = checkpoint(S.daily_totals(sales))
+    scope, wanted, one = S.base_scope(scope), S.max_values(scope), ["product_id"]
+    # as many more buckets as the first one's rolling sum looks back at
+    margin = S.ROLLING_LENGTH.get(scope, 1) + 1
+    buckets = S.resample(daily, S.FORECAST_FREQ.get(scope, "D"), by=one, date_col="day", last=wanted + margin).select(*one, "period_end", "quantity")
+    lagged = S.last_n(S.calendar_for_scope(S.lag_features(buckets, scope), scope, "period_end"), wanted, most_recent_first=True)
+    calendar = S.SCOPE_CALENDAR[scope]
+    row = F.struct(
+        "position",
+        F.date_format("period_end", "yyyy-MM-dd").alias("date"),
+        *[round_half_even(F.col(c), 1).alias(c) for c in ("quantity", "prev_period_sales", "rollback_n")],
+        *calendar,
+    )
+    history = lagged.groupBy(*one).agg(F.sort_array(F.collect_list(row)).alias("historical_features"))
+    future = S.future_features(buckets, horizon, scope)
+    ahead = F.struct("period", F.date_format("date", "yyyy-MM-dd").alias("date"), *calendar, "prev_period_sales", "rollback_n")
+    out = history.join(future.groupBy(*one).agg(F.sort_array(F.collect_list(ahead)).alias("future_features")), on=one)
+    if scope != "day":
+        return out.withColumn("weekday_means", F.lit(None).cast("map<string,double>"))
+    days = S.dow_averages(daily).groupBy(*one).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("day_name", "average")))).alias("weekday_means"))
+    return out.join(days, on=one)

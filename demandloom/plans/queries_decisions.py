@@ -194,3 +194,31 @@ def insight_facts(spark, sf):
     )
 
 
+@query(
+    "insight_features_month",
+    """WITH h AS (SELECT product_id, last_day(mo) AS e, quantity AS q, lag(quantity) OVER w AS prev, CASE WHEN count(*) OVER r = 3 THEN sum(quantity) OVER r END AS roll,
+                         row_number() OVER (PARTITION BY product_id ORDER BY mo DESC) AS rn FROM monthly_filled
+                  WINDOW w AS (PARTITION BY product_id ORDER BY mo), r AS (PARTITION BY product_id ORDER BY mo ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+            t AS (SELECT product_id, string_agg(concat_ws('/', strftime(e, '%Y-%m-%d'), printf('%.1f', q), coalesce(printf('%.1f', prev), '-'), coalesce(printf('%.1f', roll), '-'),
+                         month(e), quarter(e)), ',' ORDER BY rn) AS history FROM h WHERE rn <= 24 GROUP BY 1),
+            f AS (SELECT product_id, p, e + to_months(CAST(p AS INT)) AS d, q, roll FROM h, (SELECT unnest(generate_series(1, 3)) AS p) WHERE rn = 1),
+            a AS (SELECT product_id, string_agg(concat_ws('/', p, strftime(d, '%Y-%m-%d'), month(d), quarter(d), CASE WHEN p = 1 THEN printf('%.1f', q) ELSE '-' END,
+                         CASE WHEN p = 1 THEN coalesce(printf('%.1f', roll), '-') ELSE '-' END), ',' ORDER BY p) AS future FROM f GROUP BY 1)
+       SELECT t.product_id, history, future FROM t JOIN a ON t.product_id = a.product_id""",
+    ["monthly_filled"],
+)
+def insight_features_month(spark, sf):
+    out = N.insight_features(V.sales(spark, sf), "month", 3)
+
+    def shown(c):
+        return F.when(c.isNull(), "-").otherwise(F.format_string("%.1f", c))
+
+    past = F.transform(
+        "historical_features",
+        lambda h: F.concat_ws("/", h["date"], shown(h["quantity"]), shown(h["prev_period_sales"]), shown(h["rollback_n"]), h["month"].cast("string"), h["quarter"].cast("string")),
+    )
+    ahead = F.transform(
+        "future_features",
+        lambda h: F.concat_ws("/", h["period"].cast("string"), h["date"], h["month"].cast("string"), h["quarter"].cast("string"), shown(h["prev_period_sales"]), shown(h["rollback_n"])),
+    )
+    return out.select("product_id", F.array_join(past, ",").alias("history"), F.array_join(ahead, ",").alias("future"))

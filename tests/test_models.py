@@ -140,3 +140,19 @@ def test_scoring(spark):
     scored = L.score_predictions(log, actuals)
     assert rows(scored, "product_id", "status", "drift_detected") == [(1, "completed", False), (2, "completed", True), (3, "pending", False)]
     assert L.accuracy_by_version(scored).first()["drift_share"] == 0.5
+
+
+def test_features_of_days(spark):
+    """The scope day: weekday means, a rolling week, and the days to come."""
+    import datetime as dt
+
+    from demandloom.operators import inventory as N
+
+    first = dt.datetime(2024, 2, 20)
+    sales = spark.createDataFrame([(1, first + dt.timedelta(d), float(d + 1)) for d in range(9)], "product_id int, ds timestamp, quantity double")
+    got = N.insight_features(sales, "day", 2).first()
+    past, ahead = got["historical_features"], got["future_features"]
+    assert [h["quantity"] for h in past] == [9.0, 8.0, 7.0, 6.0, 5.0, 4.0, 3.0, 2.0, 1.0]
+    assert (past[0]["date"], past[0]["prev_period_sales"], past[0]["rollback_n"], past[-1]["rollback_n"]) == ("2024-02-28", 8.0, 35.0, None)
+    assert [(f["date"], f["prev_period_sales"]) for f in ahead] == [("2024-02-29", 9.0), ("2024-03-01", None)]
+    assert got["weekday_means"]["Tue"] == 4.5 and got["weekday_means"]["Mon"] == 7.0
