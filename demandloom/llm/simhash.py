@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.functions.expr import digest
 from demandloom.llm.components import components, keep
 
 SEED = 42
@@ -52,17 +53,21 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return small.sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row; null text counts as empty, fp is a signed 64-bit value."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: F.Column | None = None) -> DataFrame:
+    """(doc_id, key, fp): one row per input row; null text counts as empty, fp is a signed 64-bit value.
+
+    ``key`` is a text by which the caller finds the row again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             found = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    key = F.lit(None).cast("string") if key is None else key
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
+    return source.mapInArrow(run, "doc_id long, key string, fp long")
 
 
 def band_columns(fp: str, radius: int = RADIUS, parts: int = PARTS) -> F.Column:
@@ -223,8 +228,8 @@ def links(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS, piece: in
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): one row per input row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, key: F.Column | None = None) -> DataFrame:
+    """(doc_id, key, fp, root, component_id): one row per input row; root is the group's smallest fp.
 
     Two documents are linked if their fingerprints differ in at most ``radius`` bits; component_id
     is the smallest doc_id of all that are reachable over links. Equal fingerprints are compared
@@ -232,13 +237,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id belong to a component but do not name it; a component of such rows only has a null id.
     Repeated rows give repeated results; an empty table gives an empty result.
     """
-    prints = keep(fingerprints(docs, id_col, text_col))
+    prints = keep(fingerprints(docs, id_col, text_col, key))
     heads = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("head")))
     roots = keep(components(links(heads.select("fp"), radius), "a", "b"))
     linked = heads.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = linked.groupBy("root").agg(F.min("head").alias("component_id"))
-    named = keep(linked.join(keep(names), "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = keep(linked.join(keep(names), "root").select("fp", "root", "component_id"))
+    return prints.join(named, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The input rows, with their columns, of which each group of near-duplicates keeps one.
+
+    It is the row with the smallest doc_id; a row without one stays only if no row of its group has
+    one. Of several such rows the one with the smallest digest of all its columns stays, once if it
+    is repeated.
+    """
+    found = near_duplicates(docs, id_col, text_col, radius, digest(docs))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    rows = docs.select(F.struct("*").alias("row"), digest(docs).alias("key"))
+    kept = rows.join(first.select(F.col("first.key").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def hex_digits(fp: str) -> F.Column:

@@ -72,6 +72,23 @@ def test_near_duplicates(request, which):
 
 def test_near_duplicates_of_nothing(none):
     assert simhash.near_duplicates(none).collect() == []
+    assert simhash.one_per_group(none).collect() == []
+
+
+@pytest.mark.parametrize("which", ["odd", "documents"])
+def test_one_row_of_each_group_stays(request, which):
+    df = request.getfixturevalue(which)
+    rows = df.collect()
+    parts = groups_brute([(i, fingerprint_brute(r.text)) for i, r in enumerate(rows)])
+    want = {}
+    for i, _, root in parts:
+        ids = (rows[i].doc_id is None, rows[i].doc_id or 0)
+        want[root] = min(want.get(root, ids), ids)
+    kept = simhash.one_per_group(df)
+    assert kept.schema == df.schema
+    got = kept.collect()
+    assert set(got) <= set(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want.values())
 
 
 @pytest.mark.parametrize("piece", [4096, 16])
