@@ -49,12 +49,58 @@ def token_files_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(table(spark, sf_dir, "documents"), token_files.vocabulary())
 
 
-@query("op1_quality_rules")
+def _quality_sql(limits: quality.Limits = quality.Limits()) -> str:
+    """The rules as SQL, with the operator's word lists and character classes."""
+    bins = [w for words in quality.COMMON_WORDS.values() for w in words]
+    classes = [r"[a-z]", r"[A-Z]", r"[\x20\x09-\x0D]", r"[!\x22\x27(),\-./:;?@\[\\\]^_`{}~+=]", r"[0-9]", r"[#*$%&|<>]"]
+    chars = ", ".join(f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))" for c in classes)
+    common = ", ".join(f"len([x FOR x IN words IF lower(x) = '{w}'])" for w in bins)
+    sums = lambda name, n: "[" + ", ".join(f"sum({name}[{i}])" for i in range(1, n + 1)) + "]"
+    share = lambda name: f"[x / CAST(list_sum({name}) AS DOUBLE) FOR x IN {name}]"
+    half = lambda i: f"(CASE WHEN z[{i}] > 0 THEN z[{i}] * log2(2 * z[{i}] / (z[1] + z[2])) ELSE 0 END)"
+    distance = lambda name: f"sqrt(greatest(0, list_sum([({half(1)} + {half(2)}) / 2 FOR z IN list_zip({share('d.' + name)}, {share('r.' + name)})])))"
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), counted AS (
+  SELECT doc_id, lang, t, words, len(words) AS n, [{chars}] AS known, [{common}] AS listed,
+         [l FOR l IN string_split(t, chr(10)) IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS lines
+  FROM docs
+), histograms AS (
+  SELECT doc_id, lang, words, n, lines, list_append(known, length(t) - list_sum(known)) AS chars, list_append(listed, n - list_sum(listed)) AS common FROM counted
+), refs AS (
+  SELECT lang, {sums("chars", len(classes) + 1)} AS chars, {sums("common", len(bins) + 1)} AS common FROM histograms
+  WHERE lang IN ({", ".join(f"'{x}'" for x in quality.COMMON_WORDS)}) GROUP BY lang HAVING sum(n) > 0
+), distances AS (
+  SELECT doc_id, min(CASE WHEN list_sum(d.chars) > 0 THEN {distance("chars")} END) AS cd, min(CASE WHEN list_sum(d.common) > 0 THEN {distance("common")} END) AS wd
+  FROM histograms d, refs r GROUP BY doc_id
+), places AS (
+  SELECT doc_id, words, unnest(generate_series(1, n - 7)) AS p FROM histograms WHERE n >= 8
+), grams AS (
+  SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(words[p:p + 7], ' ')) AS times FROM places
+), covered AS (
+  SELECT doc_id, count(DISTINCT i) AS n_repeat FROM (SELECT doc_id, unnest(generate_series(p, p + 7)) AS i FROM grams WHERE times > 1) GROUP BY doc_id
+), facts AS (
+  SELECT h.doc_id, CAST(n AS BIGINT) AS n_words, CAST(list_sum(chars) - chars[3] AS BIGINT) AS word_chars, CAST(chars[6] AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, cd, wd
+  FROM histograms h LEFT JOIN distances d ON h.doc_id = d.doc_id LEFT JOIN covered c ON h.doc_id = c.doc_id
+), judged AS (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM facts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance, base_failed,
+       NOT base_failed AND NOT (word_chars >= {limits.min_chars} AND coalesce(cd, 0) > {limits.char_distance})
+       AND NOT (n_words >= {limits.min_words} AND coalesce(wd, 0) > {limits.word_distance}) AS kept
+FROM judged
+"""
+
+
+@query("op1_quality_rules", _quality_sql())
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, distances from the language references and verdict of each document."""
     found = quality.assess(table(spark, sf_dir, "documents"))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance"]
-    return found.select(F.col("source").getField("doc_id").alias("doc_id"), *counts, "base_failed", "kept")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    distances = [F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")]
+    return found.select(F.col("source").getField("doc_id").alias("doc_id"), *counts, *distances, "base_failed", "kept")
 
 
 OP6_SQL = r"""
