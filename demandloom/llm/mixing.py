@@ -24,6 +24,8 @@ WEIGHTS = (1, 2, 3)
 #: Most times that a source is gone through.
 MAX_EPOCHS = 3
 BLOCK_WORDS = 32
+#: Size up to which the table of sources is sent to all tasks.
+BROADCAST_BYTES = 4 << 20
 #: Least cells of [0, 1), as a power of two, by which points meet the shares they fall in.
 CELL_BITS = 10
 
@@ -79,7 +81,11 @@ def placed(sized: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     buckets = max(1, math.isqrt(rows.count()))
     share = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("bucket", F.shiftright(share * buckets, 32).cast("int"))
-    rows = rows.join(sources.select("source", "no", "source_size", "target"), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    facts = sources.select("source", "no", "source_size", "target")
+    weight = facts.agg(F.count("*").alias("n"), F.sum(F.octet_length("source")).alias("b")).first()
+    if 32 * weight["n"] + (weight["b"] or 0) <= BROADCAST_BYTES:  # else the rows are shuffled by source
+        facts = F.broadcast(facts)
+    rows = rows.join(facts, rows["source"].eqNullSafe(facts["source"])).drop(facts["source"])
     sums = rows.groupBy("no", "bucket").agg(F.sum("size").alias("words"))
     base = keep(sums.select("no", "bucket", (F.sum("words").over(Window.partitionBy("no").orderBy("bucket")) - F.col("words")).alias("base")))
     inner = Window.partitionBy("no", "bucket").orderBy("order", key, "size").rowsBetween(Window.unboundedPreceding, 0)
