@@ -5,17 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.session import shared_dir
+from demandloom.session import checkpoint as keep
 
 ROUNDS = 60
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut, its rows in the shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _lowest(edges: DataFrame) -> DataFrame:
     """Each edge with the smallest neighbour of its first end.
 
