@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -88,7 +89,7 @@ class Encoder:
         plain = type(self.tokenizer.pre_tokenizer) is ByteLevel and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.pieces = plain and self.tokenizer.normalizer is None and self.tokenizer.post_processor is None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
         self.hasher = Hasher()
         if self.pieces:  # the byte alphabet, as the library itself writes it
             splitter = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -96,7 +97,8 @@ class Encoder:
             for c in map(chr, range(LATIN)):
                 self.letters |= zip(c.encode(), splitter.pre_tokenize_str(c)[0][0], strict=True)
 
-    def _encode(self, piece: bytes) -> np.ndarray:
+    def _encode(self, piece: bytes) -> bytes:
+        """The piece's ids as four bytes each."""
         ids = self.known.get(piece)
         if ids is None:
             text = piece.decode()
@@ -106,7 +108,7 @@ class Encoder:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            ids = self.known[piece] = np.array(ids, dtype=np.uint32)
+            ids = self.known[piece] = array("I", ids).tobytes()
         return ids
 
     def batch(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -128,10 +130,12 @@ class Encoder:
         raw = data.tobytes()
         bounds = cuts(data, offsets)
         starts, ends = bounds[:-1], bounds[1:]
-        _, first, which = np.unique(self.hasher.words(data, starts, ends), return_index=True, return_inverse=True)
+        which = pa.array(self.hasher.words(data, starts, ends)).dictionary_encode().indices.to_numpy()
+        highest = np.maximum.accumulate(which)  # numbers are given in the order of the first places
+        first = np.flatnonzero(np.r_[True, highest[1:] > highest[:-1]])
         lists = [self._encode(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        sizes = np.array([len(x) for x in lists])
-        flat, begins = np.concatenate(lists), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        flat, begins = np.frombuffer(b"".join(lists), np.uint32), np.cumsum(sizes) - sizes
         counts = sizes[which]
         upto = np.cumsum(counts)
         ids = flat[np.repeat(begins[which] - (upto - counts), counts) + np.arange(upto[-1])]
