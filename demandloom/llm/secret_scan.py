@@ -171,9 +171,9 @@ def literal_spans(text: str) -> list[Span]:
 
 
 def scan(text: str) -> list[Span]:
-    """All spans by start, then by kind; literals inside a pattern's match are not told twice."""
+    """All spans by start, then by kind; literals wholly inside one match of a pattern are not told twice."""
     base = base_spans(text)
-    more = [s for s in literal_spans(text) if not any(b.start < s.end and s.start < b.end for b in base)]
+    more = [s for s in literal_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
     return sorted(base + more, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 

@@ -150,6 +150,23 @@ def test_secret_scan_of_odd_rows(odd, none):
     assert secret_scan.redacted("a password = hunter2222 b", "[X]") == "a [X] b"
 
 
+@pytest.mark.parametrize(
+    "text,value",
+    [
+        ('password = "hunter22@db!Prod#9"', "hunter22@db!Prod#9"),
+        ('api_key: "k9$0123456789abcdef01234567zz!Q"', "k9$0123456789abcdef01234567zz!Q"),
+        ('SIGNING_KEY = "Zq!0123456789abcdef01234567#tail"', "Zq!0123456789abcdef01234567#tail"),
+    ],
+)
+def test_secret_longer_than_a_pattern(text, value):
+    """The patterns match a part of the value; nothing of it may stay."""
+    at = text.index(value)
+    assert ("literal", at, at + len(value)) in [(s.kind, s.start, s.end) for s in secret_scan.scan(text)]
+    clean = secret_scan.redacted(text, "[X]")
+    assert clean.count("[X]") == 1 and not any(value[i : i + 3] in clean for i in range(len(value) - 2))
+    assert len([s for s in secret_scan.scan('password = "hunter2222"') if s.kind == "literal"]) == 0
+
+
 def test_secret_lexer_is_linear():
     for t in ("a" * 300_000, "token" + " " * 300_000, "auth " + "x.y-" * 100_000, "key='" * 50_000, "auth <a>" * 50_000):
         secret_scan.scan(t)
