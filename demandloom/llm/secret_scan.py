@@ -44,6 +44,8 @@ ABOUT = {
 }
 HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "bearer", "auth", "signature")
 THRESHOLD = 0.5
+#: Names of this score keep a value that reads as prose: a passphrase is made of words.
+STRONG = 0.9
 MIN_LITERAL = 6
 
 NAME = r"[A-Za-z_$][\w$.\-]*"
@@ -60,6 +62,10 @@ PLUS = re.compile(r"[ \t]*\+[ \t]*")
 PLACEHOLDER = re.compile(
     r"^(?:[xX*.\-_#?]+|\$\{.*|\{\{.*|%.*%|<.*|(?:your|my|the|some|an?)[\s_-].*|(?:change|replace|insert|example|dummy|sample|placeholder|redacted).*|none|null|true|false|undefined|string)$", re.IGNORECASE
 )
+PEM = re.compile(r"\s*-----BEGIN [A-Z0-9 ]+-----")
+SCHEME = re.compile(r"\s*(?:bearer|basic|token|apikey|negotiate|ntlm)[ \t]+(?=\S)", re.IGNORECASE | re.ASCII)
+#: A word of a sentence, with its quotes and marks.
+PROSE = re.compile(r"""["'(]?[^\W\d_]*(?:['\u2019-][^\W\d_]+)*[)"']?[.,;:!?]?["')]?$""")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -100,10 +106,24 @@ def name_score(name: str) -> float:
     return best * 0.3 if words and words[-1] in ABOUT else best
 
 
-def value_score(value: str) -> float:
-    """How much a literal looks like a secret: not short, no placeholder, varied characters."""
+def value_score(value: str, weight: float = 1.0) -> float:
+    """How much a literal looks like a secret: not short, no placeholder, varied characters.
+
+    A private key's header and what follows an authentication scheme count by themselves. Other
+    values with blanks score as their best part without one; those that read as prose score little,
+    unless ``weight``, the score of the name, is that of a name which can only hold a secret.
+    """
     if len(value) < MIN_LITERAL or PLACEHOLDER.match(value):
         return 0.0
+    if header := PEM.match(value):
+        return 1.0 if "PRIVATE" in header[0] else 0.0
+    if scheme := SCHEME.match(value):
+        return value_score(value[scheme.end() :].strip(), weight)
+    parts = value.split()
+    if len(parts) > 1:
+        if all(PROSE.match(x) for x in parts):
+            return 0.7 if weight >= STRONG and len(value) >= 16 else 0.4
+        return max(value_score(x, weight) for x in parts)
     counts = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
     if entropy < 1.5:
@@ -111,8 +131,6 @@ def value_score(value: str) -> float:
     kinds = sum((any(c.islower() for c in counts), any(c.isupper() for c in counts), any(c.isdigit() for c in counts), any(not c.isalnum() for c in counts)))
     if kinds == 1 and not value.isdigit():
         return 0.7 if len(value) >= 16 else 0.55
-    if any(c.isspace() for c in counts):
-        return 0.4
     return 1.0
 
 
@@ -164,7 +182,7 @@ def literal_spans(text: str) -> list[Span]:
         scored = name_score(name)
         if scored:
             for r in ranges:
-                score = scored * value_score(text[slice(*r)])
+                score = scored * value_score(text[slice(*r)], scored)
                 if score >= THRESHOLD and score > best.get(r, (0.0, ""))[0]:
                     best[r] = (score, name)
     return [Span("literal", a, b, name, round(score, 3)) for (a, b), (score, name) in sorted(best.items())]
