@@ -57,7 +57,19 @@ CALL = re.compile(rf"""(?<![\w$.\-])(?P<name>{NAME})\([ \t]*(?=["'])""", re.ASCI
 ELEMENT = re.compile(rf"<(?P<name>{NAME})>(?P<value>[^<>\n]+)</", re.ASCII)
 STRING = re.compile(r"""[bruf]?(?:"((?:\\.|[^"\\\n])*)"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`)""", re.ASCII)
 WORD = re.compile(rf"{NAME}(?![\w$(/+=@%])", re.ASCII)
-BARE = re.compile(r"""[^\s,;'"()\[\]{}<>&|`]+""")
+#: Where a word that stands for a value ends; before anything else it is the beginning of the value.
+END = re.compile(r"[ \t]*(?:[\r\n,;)\]}+]|\Z|(?<=[ \t])(?:#|//))")
+BARE = re.compile(r"""(?:[^\s,;'"()\[\]{}<>&|`]|&(?![\w.%\-]+=))+""")
+LINE_START = re.compile(r"[ \t]*(?:(?:export|set|env|-)[ \t]+)*", re.IGNORECASE | re.ASCII)
+TOKEN = re.compile(r"(?:[^\s&]|&(?![\w.%\-]+=))+")
+REST = re.compile(r"[ \t]+[^\n]+")
+COMMENT = re.compile(r"[ \t](?:#|//)")
+#: A line of words that is a value rather than a sentence.
+PHRASE = re.compile(r"[a-z]+(?:[ \t]+[a-z]+){2,11}")
+KEYWORDS = re.compile(r"\b(?:if|else|or|not|await|new)\b")
+CODE = re.compile(r"[A-Za-z_][A-Za-z_.]*[(\[]", re.ASCII)
+BEGIN_KEY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+END_KEY = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
 PLUS = re.compile(r"[ \t]*\+[ \t]*")
 PLACEHOLDER = re.compile(
     r"^(?:[xX*.\-_#?]+|\$\{.*|\{\{.*|%.*%|<.*|(?:your|my|the|some|an?)[\s_-].*|(?:change|replace|insert|example|dummy|sample|placeholder|redacted).*|none|null|true|false|undefined|string)$", re.IGNORECASE
@@ -134,12 +146,58 @@ def value_score(value: str, weight: float = 1.0) -> float:
     return 1.0
 
 
+class Unquoted:
+    """Reads values without quotes. The run of a value is kept, as the next assignment may begin inside it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.run = (0, 0)
+
+    def read(self, at: int, name_at: int) -> tuple[int, int] | None:
+        """The range of the value at ``at`` of a name that begins at ``name_at``; None for code.
+
+        After a name at the start of a line it is what a configuration file takes: all up to a
+        blank, and further blank-free parts that are no words of prose; a line of lower-case words
+        under a sensitive name is a passphrase. Elsewhere brackets, quotes, commas and the ``&`` of
+        a query string end it too. An authentication scheme before it is left out.
+        """
+        text = self.text
+        if key := BEGIN_KEY.match(text, at):
+            end = END_KEY.search(text, key.end())
+            return at, end.end() if end else key.end()
+        if scheme := SCHEME.match(text, at):
+            at = scheme.end()
+        if CODE.match(text, at):
+            return None
+        if not self.run[0] <= at < self.run[1]:
+            line = text.rfind("\n", max(0, name_at - 200), name_at) + 1
+            own_line = (line or name_at <= 200) and LINE_START.fullmatch(text, line, name_at)
+            m = (TOKEN if own_line else BARE).match(text, at)
+            if not m:
+                return None
+            self.run = m.span()
+            if own_line:
+                end = at + len(m[0].rstrip(",;"))
+                more = REST.match(text, m.end())
+                if more and (rest := COMMENT.split(more[0], maxsplit=1)[0].rstrip()):
+                    if PHRASE.fullmatch(text[at : m.end()] + rest) and not KEYWORDS.search(rest):
+                        end = m.end() + len(rest)
+                    elif not PROSE.match(m[0]):
+                        for part in re.finditer(r"\S+", rest):
+                            if not PROSE.match(part[0]):
+                                end = m.end() + part.end()
+                end -= (text[end - 1] in ")]}" and not any(c in text[at:end] for c in "([{")) if end > at else 0
+                self.run = (at, end)
+        return (at, self.run[1]) if at < self.run[1] else None
+
+
 def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
     """(name, literal ranges, names referred to) of each assignment, in the order of the text."""
-    found = [(m.end(), m["name"], False) for m in TARGET.finditer(text)]
-    found += [(m.end(), m["name"], True) for pattern in (PUT, CALL) for m in pattern.finditer(text)]
-    found += [(m.start("value"), m["name"], None) for m in ELEMENT.finditer(text)]
-    for at, name, called in sorted(found, key=lambda f: f[0]):
+    found = [(m.end(), m["name"], False, m.start()) for m in TARGET.finditer(text)]
+    found += [(m.end(), m["name"], True, m.start()) for pattern in (PUT, CALL) for m in pattern.finditer(text)]
+    found += [(m.start("value"), m["name"], None, m.start()) for m in ELEMENT.finditer(text)]
+    unquoted = Unquoted(text)
+    for at, name, called, start in sorted(found, key=lambda f: f[0]):
         if called is None:
             end = text.find("<", at)
             yield name, [(at, end)], []
@@ -149,12 +207,17 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
             if m := STRING.match(text, at):
                 literals.append(m.span(m.lastindex))
             elif m := WORD.match(text, at):
-                references.append(m[0])
-                if not called and not literals and len(references) == 1:
+                if not called and not literals and not references:
                     literals_if_unknown = m.span()
+                    if not END.match(text, m.end()):
+                        literals_if_unknown = unquoted.read(at, start)
+                        if literals_if_unknown != m.span():  # the word is only the beginning of a value
+                            literals += [literals_if_unknown] if literals_if_unknown else []
+                            break
+                references.append(m[0])
             else:
-                if not called and not literals and not references and (m := BARE.match(text, at)):
-                    literals.append(m.span())
+                if not called and not literals and not references and (r := unquoted.read(at, start)):
+                    literals.append(r)
                 break
             plus = PLUS.match(text, m.end())
             if not plus:
@@ -173,6 +236,7 @@ def literal_spans(text: str) -> list[Span]:
         return []
     known: dict[str, list[tuple[int, int]]] = {}
     best: dict[tuple[int, int], tuple[float, str]] = {}
+    told = (0, 0)  # the last range that was found; what is assigned inside it is a part of it
     for name, literals, references in pairs(text):
         flows = [known[r] for r in references if r in known]
         if flows and references and len(literals) == 1 and text[slice(*literals[0])] == references[0]:
@@ -182,9 +246,12 @@ def literal_spans(text: str) -> list[Span]:
         scored = name_score(name)
         if scored:
             for r in ranges:
+                if told[0] <= r[0] and r[1] <= told[1] and r != told:
+                    continue
                 score = scored * value_score(text[slice(*r)], scored)
                 if score >= THRESHOLD and score > best.get(r, (0.0, ""))[0]:
                     best[r] = (score, name)
+                    told = r
     return [Span("literal", a, b, name, round(score, 3)) for (a, b), (score, name) in sorted(best.items())]
 
 
