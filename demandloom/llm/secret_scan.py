@@ -3,9 +3,10 @@
 The lexer reads assignments of source and configuration text as pairs of a name and a value: ``name
 = value``, ``name: value`` (also with a quoted name or a type), ``name := value``, ``name =>
 value``, ``setName("value")``, ``put("name", "value")`` and ``<name>value</name>``. A value is a
-chain of literals and names joined by ``+``; a name stands for the literals it was last given, so a
-constant is followed to where it is used. Each literal is scored by the most sensitive name that
-gets it and by its own look.
+chain of literals and names joined by ``+``; a name stands for what it was last given. The
+assignments make a graph whose edges lead back to earlier ones, so the most sensitive name that each
+gets to is found in one pass from the last to the first, and a constant is followed to where it is
+used at a cost linear in the text. Each literal is scored by that name and by its own look.
 """
 
 from __future__ import annotations
@@ -36,7 +37,10 @@ SENSITIVE = {
     "apikey": 1.0, "credential": 0.8, "credentials": 0.8, "bearer": 0.8, "auth": 0.6, "authorization": 0.7, "signature": 0.6,
 }
 #: Words that make a key sensitive when they stand before it.
-KEY_KINDS = {"api", "private", "access", "secret", "signing", "encryption", "auth", "master", "service", "account", "shared", "ssh"}
+KEY_KINDS = {
+    "api", "private", "access", "secret", "signing", "encryption", "auth", "master", "service", "account", "shared", "ssh", "client", "session",
+    "storage", "webhook", "deploy", "hmac", "aes", "rsa",
+}
 #: Words that tell of something about a secret rather than the secret.
 ABOUT = {
     "count", "length", "len", "max", "min", "id", "name", "type", "url", "uri", "path", "file", "hint", "label", "field", "regex",
@@ -53,9 +57,10 @@ TARGET = re.compile(
     rf"""(?<![\w$.\-])(?P<name>{NAME})["']?\]?(?:[ \t]*:[ \t]*[A-Za-z_][\w.<>\[\]|?]*(?=[ \t]*=))?[ \t]*(?::=|=>|=(?![=>~])|:(?![:=/]))[ \t]*""", re.ASCII
 )
 PUT = re.compile(rf"""(?<![\w$\-])(?:put|set\w*|add\w*|define|header|config)\([ \t]*["'](?P<name>{NAME})["'][ \t]*,[ \t]*""", re.ASCII)
-CALL = re.compile(rf"""(?<![\w$.\-])(?P<name>{NAME})\([ \t]*(?=["'])""", re.ASCII)
+CALL = re.compile(rf"""(?<![\w$.\-])(?P<name>{NAME})\([ \t]*(?=["'A-Za-z_$])""", re.ASCII)
 ELEMENT = re.compile(rf"<(?P<name>{NAME})>(?P<value>[^<>\n]+)</", re.ASCII)
 STRING = re.compile(r"""[bruf]?(?:"((?:\\.|[^"\\\n])*)"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`)""", re.ASCII)
+TRIPLE = re.compile(r"""[bruf]?("{3}|'{3})""", re.ASCII)
 WORD = re.compile(rf"{NAME}(?![\w$(/+=@%])", re.ASCII)
 #: Where a word that stands for a value ends; before anything else it is the beginning of the value.
 END = re.compile(r"[ \t]*(?:[\r\n,;)\]}+]|\Z|(?<=[ \t])(?:#|//))")
@@ -152,6 +157,15 @@ class Unquoted:
     def __init__(self, text: str):
         self.text = text
         self.run = (0, 0)
+        self.key_end: tuple[int, int] = (-1, -1)  # from where an end was looked for, and where it begins or the text's end
+
+    def end_of_key(self, at: int) -> int:
+        """Where the private key whose header ends at ``at`` ends; each end is looked for once."""
+        if not self.key_end[0] <= at <= self.key_end[1]:
+            end = END_KEY.search(self.text, at)
+            self.key_end = (at, end.start() if end else len(self.text))
+        end = END_KEY.match(self.text, self.key_end[1])
+        return end.end() if end else at
 
     def read(self, at: int, name_at: int) -> tuple[int, int] | None:
         """The range of the value at ``at`` of a name that begins at ``name_at``; None for code.
@@ -163,8 +177,7 @@ class Unquoted:
         """
         text = self.text
         if key := BEGIN_KEY.match(text, at):
-            end = END_KEY.search(text, key.end())
-            return at, end.end() if end else key.end()
+            return at, self.end_of_key(key.end())
         if scheme := SCHEME.match(text, at):
             at = scheme.end()
         if CODE.match(text, at):
@@ -204,6 +217,13 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[str]]]:
             continue
         literals, references = [], []
         while True:
+            if (m := TRIPLE.match(text, at)) and (end := text.find(m[1], m.end())) >= 0:
+                literals.append((m.end(), end))
+                at = end + 3
+                if not (plus := PLUS.match(text, at)):
+                    break
+                at = plus.end()
+                continue
             if m := STRING.match(text, at):
                 literals.append(m.span(m.lastindex))
             elif m := WORD.match(text, at):
@@ -234,25 +254,36 @@ def literal_spans(text: str) -> list[Span]:
     lower = text.lower()
     if not any(h in lower for h in HINTS):
         return []
-    known: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    told = (0, 0)  # the last range that was found; what is assigned inside it is a part of it
+    last: dict[str, int] = {}  # the newest assignment to each name
+    made: list[tuple[list[tuple[int, int]], set[int]]] = []
+    weights: list[tuple[float, int]] = []  # the best name score, and minus the assignment that has it
+    names: list[str] = []
     for name, literals, references in pairs(text):
-        flows = [known[r] for r in references if r in known]
-        if flows and references and len(literals) == 1 and text[slice(*literals[0])] == references[0]:
+        used = {last[r] for r in references if r in last}
+        if used and len(literals) == 1 and text[slice(*literals[0])] == references[0]:
             literals = []  # the word is a constant's name, not a value
-        ranges = literals + [r for flow in flows for r in flow]
-        known[name] = ranges
-        scored = name_score(name)
-        if scored:
-            for r in ranges:
-                if told[0] <= r[0] and r[1] <= told[1] and r != told:
-                    continue
-                score = scored * value_score(text[slice(*r)], scored)
-                if score >= THRESHOLD and score > best.get(r, (0.0, ""))[0]:
-                    best[r] = (score, name)
-                    told = r
-    return [Span("literal", a, b, name, round(score, 3)) for (a, b), (score, name) in sorted(best.items())]
+        last[name] = len(made)
+        weights.append((name_score(name), -len(made)))
+        names.append(name)
+        made.append((literals, used))
+    for i in range(len(made) - 1, -1, -1):
+        for j in made[i][1]:
+            weights[j] = max(weights[j], weights[i])
+    found: list[Span] = []
+    told, weak = (0, 0), (0, 0)  # the last ranges that were found and not; what is assigned inside one is a part of it
+    for (literals, _), (weight, by) in zip(made, weights, strict=True):
+        if weight < THRESHOLD:
+            continue
+        for r in literals:
+            if told[0] <= r[0] and r[1] <= told[1] or weak[0] <= r[0] and r[1] == weak[1] and 2 * (r[1] - r[0]) > weak[1] - weak[0]:
+                continue
+            score = weight * value_score(text[slice(*r)], weight)
+            if score >= THRESHOLD:
+                found.append(Span("literal", *r, names[-by], round(score, 3)))
+                told = r
+            else:
+                weak = r
+    return sorted(found, key=lambda s: (s.start, s.end))
 
 
 def scan(text: str) -> list[Span]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -217,9 +218,39 @@ def test_words_at_their_end_are_names():
         secret_scan.scan(t)
 
 
-def test_secret_lexer_is_linear():
-    for t in ("a" * 300_000, "token" + " " * 300_000, "auth " + "x.y-" * 100_000, "key='" * 50_000, "auth <a>" * 50_000):
-        secret_scan.scan(t)
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a" * 300_000,
+        "token" + " " * 300_000,
+        "auth " + "x.y-" * 100_000,
+        "key='" * 50_000,
+        "auth <a>" * 50_000,
+        'x = "pwd1!x"\n' + "x = x + x\n" * 1000 + "db_pwd = x\n",
+        'q = "key!"\n' + 'q = q + "line of 4 words"\n' * 16_000,
+        "auth: -----BEGIN PRIVATE KEY-----\n" * 8000,
+        "x: -----BEGIN PRIVATE KEY-----\n" * 8000 + "-----END PRIVATE KEY-----",
+        'pwd = """' * 20_000,
+        ("pwd=" + "a" * 1000) * 300,
+        "setPassword(" * 30_000,
+    ],
+    ids=range(12),
+)
+def test_secret_lexer_is_linear(text):
+    began = time.perf_counter()
+    secret_scan.scan(text)
+    assert time.perf_counter() - began < 1.5  # the quadratic ones took from 2 seconds to hours
+
+
+def test_secret_constants_flow():
+    found = lambda t: [t[s.start : s.end] for s in secret_scan.scan(t) if s.kind == "literal"]
+    assert found('K = "s3cr3tV4l!x"; client.setPassword(K)') == ["s3cr3tV4l!x"]
+    assert found('a = "s3cr3tV4l!x"\nb = a + a\na = "other one"\ndb_pwd = b') == ["s3cr3tV4l!x"]
+    assert found('x = "Ab1!Ab1!"\n' + "x = x + x\n" * 40 + "db_pwd = x") == ["Ab1!Ab1!"]
+    assert found('a = "Zx9!kk2pQ"\na = a\nprint(a)') == []
+    assert found('db_pwd = """Zx9!kk2pQ"""') == ["Zx9!kk2pQ"]
+    assert found("db_pwd = '''line one\nZx9!kk2pQ'''\n") == ["line one\nZx9!kk2pQ"]
+    assert found('put("db_pwd", K)\nK = "Zx9!kk2pQ"') == []  # K has no value yet
 
 
 def test_language_on_held_out(spark, sf):
