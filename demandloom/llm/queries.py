@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import cover_tree, language, mixing, packing, preference, quality, relative_lz, secret_scan, simhash, token_files
+from demandloom.llm import cover_tree, language, mixing, packing, preference, quality, relative_lz, secret_scan, simhash, token_files, winnowing
 from demandloom.llm.registry import query, table
 
 
@@ -236,3 +236,37 @@ FROM scores QUALIFY rank <= 5
 def dual_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors with the highest inner products with each query."""
     return cover_tree.nearest(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark
+), sized AS (
+  SELECT item_id, w, least(len(w), 10) AS n FROM items WHERE len(w) > 0
+), wins AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM sized)
+), places AS (
+  SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM docs, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)
+), hits AS (
+  SELECT doc_id, item_id, n, p FROM places JOIN wins USING (n, g)
+), covered AS (
+  SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS i FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query("op11_winnowing", OP11_SQL)
+def winnowing_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each document that stand in a benchmark item, and a digest of the items."""
+    found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))

@@ -40,11 +40,15 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte positions where words start and end; no word runs over a text's end."""
-    space = np.zeros(256, bool)
-    space[list(SPACES)] = True
-    blank = space[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, between: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Byte positions where words start and end; no word runs over a text's end.
+
+    ``between`` tells for each of the 256 bytes whether it separates words; the white space if None.
+    """
+    if between is None:
+        between = np.zeros(256, bool)
+        between[list(SPACES)] = True
+    blank = between[data]
     if not len(blank):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     full = offsets[:-1] < offsets[1:]
