@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import cover_tree, language, mixing, packing, preference, quality, relative_lz, secret_scan, simhash, token_files, winnowing
+from demandloom.llm import cover_tree, language, mixing, packing, phrases, preference, quality, relative_lz, secret_scan, simhash, token_files, winnowing
 from demandloom.llm.registry import query, table
 
 
@@ -270,3 +270,42 @@ def winnowing_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sizes AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, w[p:p + m - 1] AS g
+  FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS p FROM words, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)
+), phrases AS (
+  SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, g, f AS a, unnest(generate_series(1, len(g) - 1)) AS k FROM phrases WHERE len(g) >= 2
+), scored AS (
+  SELECT c.lang, c.g, c.k, c.a, l.f AS l, r.f AS r, n, CAST(CAST(1000 AS HUGEINT) * c.a * n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN phrases l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN phrases r ON r.lang = c.lang AND r.g = c.g[k + 1:] JOIN sizes s ON s.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT DISTINCT lang, f, g[i:j] AS g
+  FROM (SELECT lang, f, g, i, unnest(generate_series(i + 1, len(g))) AS j FROM (SELECT lang, f, g, unnest(generate_series(1, len(g) - 1)) AS i FROM phrases WHERE len(g) >= 3)) WHERE j - i + 1 < len(g)
+), kept AS (
+  SELECT * FROM lowest c WHERE NOT EXISTS (SELECT 1 FROM inner_parts i WHERE i.lang = c.lang AND i.g = c.g AND 100 * i.f >= 100 * c.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+       array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+@query("op12_phrase_mining", OP12_SQL)
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents")).drop("k")

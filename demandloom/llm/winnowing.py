@@ -20,16 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.llm.components import keep
-from demandloom.llm.words import PRIME, Hasher, flat_text, mix, slices, word_bounds
+from demandloom.llm.words import LOWER, PRIME, Hasher, bit_filter, flat_text, has_bit, mix, slices, word_bounds
 
 WINDOW = 10
 #: Word grams of a window among which the least hash is looked for, at most.
 GRAMS = 5
-#: Bits of the filter that the fingerprints of the items set: so many for each, and the most there are.
-BITS_PER_FINGERPRINT, MOST_BITS = 16, 1 << 24
-#: Bytes that separate words: all ASCII but digits and letters; and bytes as they are compared.
+#: Most bits of the filter that the fingerprints of the items set.
+MOST_BITS = 1 << 24
+#: Bytes that separate words: all ASCII but digits and letters.
 BETWEEN = np.array([b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F for b in range(256)])
-LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
 
 def gram_words(window: int) -> int:
@@ -100,26 +99,11 @@ def item_windows(items: DataFrame, item: Column, text: Column, window: int = WIN
     return rows.mapInArrow(run, "size int, hash long, words string, item string").distinct()
 
 
-def bit_filter(windows: DataFrame) -> np.ndarray:
-    """A bit for each fingerprint of the items; at most ``MOST_BITS``, then it lets more pass."""
-    prints = windows.select("hash").distinct()
-    bits = 1 << 10
-    while bits < min(MOST_BITS, BITS_PER_FINGERPRINT * prints.count()):
-        bits *= 2
-    place = prints.select(F.col("hash").bitwiseAND(F.lit(bits - 1)).alias("place"))
-    words = place.groupBy(F.expr("place >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("set"))
-    found = words.toArrow()  # at most MOST_BITS / 64 rows
-    table = np.zeros(bits // 64, np.int64)
-    table[found.column("word").to_numpy()] = found.column("set").to_numpy()
-    return table.view(np.uint64)
-
-
 def candidates(docs: DataFrame, doc: Column, text: Column, sizes: list[int], known: np.ndarray) -> DataFrame:
     """(doc_id, n_words, found): each row with its distinct windows whose fingerprint an item may have.
 
     ``found`` has size, hash and words of a window and the words ``at`` which it begins.
     """
-    top = np.uint64(64 * len(known) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -129,8 +113,7 @@ def candidates(docs: DataFrame, doc: Column, text: Column, sizes: list[int], kno
                 counts[low:high] = words.counts
                 for size in sizes:
                     first, hashes = words.windows(size)
-                    place = hashes & top
-                    hit = np.flatnonzero(known[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+                    hit = np.flatnonzero(has_bit(known, hashes))
                     texts = words.text[first[hit]]
                     for f, h, t, at in zip(first[hit].tolist(), hashes[hit].view(np.int64).tolist(), texts.tolist(), (first[hit] - words.first[texts]).tolist(), strict=True):
                         found[low + t].setdefault((size, h, words.spelled(f, size)), []).append(at)
@@ -179,7 +162,7 @@ def contamination(
     """
     windows = keep(item_windows(items, F.col(item_col), F.col(item_text_col), window))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # 1 to window
-    scanned = candidates(docs, F.col(doc_col), F.col(text_col), sizes, bit_filter(windows))
+    scanned = candidates(docs, F.col(doc_col), F.col(text_col), sizes, bit_filter(windows, "hash", MOST_BITS))
     scanned = keep(scanned.withColumn("row", F.monotonically_increasing_id()))
 
     key = ["size", "hash", "words"]

@@ -7,9 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: What separates words: blank and the ASCII controls tab to carriage return.
 SPACES = (9, 10, 11, 12, 13, 32)
+#: What a byte becomes in lower case, A to Z only.
+LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 #: Bytes of text that are hashed at once; bounds the eight-byte arrays made for them.
 SLICE_BYTES = 1 << 20
 PRIME = 0x9E3779B97F4A7C15 | 1
@@ -79,6 +83,29 @@ def powers(n: int, base: int = PRIME) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def bit_filter(hashes: DataFrame, column: str, most_bits: int, bits_each: int = 16) -> np.ndarray:
+    """A table of bits, one set for each distinct hash of the column; ``has_bit`` looks them up.
+
+    It never has more than ``most_bits`` bits: with more hashes it lets more others pass, and a
+    caller which then looks exactly loses nothing.
+    """
+    found = hashes.select(F.col(column).alias("h")).distinct()
+    bits = 1 << 10
+    while bits < min(most_bits, bits_each * found.count()):
+        bits *= 2
+    place = found.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("place"))
+    cells = place.groupBy(F.expr("place >> 6").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("set"))
+    rows = cells.toArrow()  # at most most_bits / 64 rows
+    table = np.zeros(bits // 64, np.int64)
+    table[rows.column("cell").to_numpy()] = rows.column("set").to_numpy()
+    return table.view(np.uint64)
+
+
+def has_bit(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & np.uint64(64 * len(table) - 1)
+    return (table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 class Hasher:
     """Polynomial hashes modulo 2^64 of byte ranges and of word windows."""
 
