@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import cover_tree, language, mixing, packing, phrases, preference, quality, relative_lz, secret_scan, simhash, token_files, winnowing
+from demandloom.llm import conversation_repair, cover_tree, language, mixing, packing, phrases, preference, quality, relative_lz, secret_scan, simhash, token_files, winnowing
 from demandloom.llm.registry import query, table
 
 
@@ -309,3 +309,74 @@ FROM kept QUALIFY rank <= 2000
 def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of each language."""
     return phrases.collocations(table(spark, sf_dir, "documents")).drop("k")
+
+
+def _repair_sql() -> str:
+    """Damage, faults, and the cheapest edits by a fold over the rows that keeps the best parse up to each state."""
+    crc_table = "[list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) FOR b IN range(0, 256)]"
+    crc = "xor(list_reduce(list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, table_of[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+    none = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR, n BIGINT))"
+    line = lambda s, role, text: f"{s}.t || CASE WHEN {s}.n > 0 THEN chr(10) ELSE '' END || {role} || ':' || {text}"
+    way = lambda s, when, cost, edit, role, text: f"CASE WHEN {s}.c IS NOT NULL AND {when} THEN {{c: {s}.c + {cost}, a: {s}.a || '{edit}', t: {line(s, role, text)}, n: {s}.n + 1}} END"
+    least = lambda ways: f"list_sort(list_filter([{', '.join(ways)}], lambda w: w.c IS NOT NULL))[1]"
+    steps = [(0, "s", 1, "system"), (0, "u", 2, "user"), (1, "u", 2, "user"), (2, "a", 3, "assistant"), (3, "u", 2, "user")]
+
+    def edited(q: int) -> str:
+        ways = [f"CASE WHEN s[{q + 1}].c IS NOT NULL THEN {{c: s[{q + 1}].c + 3, a: s[{q + 1}].a || 'D', t: s[{q + 1}].t, n: s[{q + 1}].n}} END"]
+        for p, letter, to, role in steps:
+            if to == q:
+                ways.append(way(f"s[{p + 1}]", f"NOT r.gone AND r.role[1] = '{letter}'", "r.cut", "K", "r.role", "r.text"))
+                if letter != "s":
+                    ways.append(way(f"s[{p + 1}]", "NOT r.gone", "r.cut + 2", "R", f"'{role}'", "r.text"))
+        return least(ways)
+
+    def inserted(s: str) -> str:
+        """One more turn inserted, or none."""
+        user = least([f"{s}[3]", *[way(f"{s}[{p + 1}]", "true", 2, "I", "'user'", "''") for p in (0, 1, 3)]])
+        assistant = least([f"{s}[4]", way(f"{s}[3]", "true", 2, "I", "'assistant'", "''")])
+        return f"[{s}[1], {s}[2], {user}, {assistant}]"
+
+    closed = lambda s: f"list_transform(list_transform([{s}], lambda z: {inserted('z')}), lambda y: {inserted('y')})[1]"
+    start = f"[CAST({{c: 0, a: '', t: '', n: 0}} AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR, n BIGINT)), {none}, {none}, {none}]"
+    fold = closed("[" + ", ".join(edited(q) for q in range(4)) + "]")
+    return rf"""
+WITH checked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key, {crc_table} AS table_of
+  FROM conversations
+), drawn AS (
+  SELECT conv_id, turn, role, text, {crc} % 20 AS d FROM checked
+), rows AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM drawn WHERE d > 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM rows
+), faults AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][ 	-]*$') AS open, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS two
+  FROM ordered
+), judged AS (
+  SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND open AS truncated FROM faults
+), convs AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate, count_if(truncated) AS truncated,
+         count_if(i > 1 AND two NOT IN ('su', 'ua', 'au')) AS illegal,
+         list({{role: role, text: text, gone: blank OR duplicate, cut: CAST(truncated AS INT)}} ORDER BY i) AS rows
+  FROM judged GROUP BY conv_id
+), parsed AS (
+  SELECT *, list_reduce(list_prepend(CAST(NULL AS STRUCT(role VARCHAR, text VARCHAR, gone BOOLEAN, cut INT)), rows)[2:], lambda s, r: {fold}, {closed(start)}) AS s FROM convs
+), best AS (
+  SELECT *, list_sort(list_filter([s[1], s[4]], lambda w: w.c IS NOT NULL))[1] AS b FROM parsed
+)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit,
+       sha256(coalesce(b.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN (SELECT conv_id AS id, * EXCLUDE (conv_id) FROM best) ON id IS NOT DISTINCT FROM conv_id
+"""
+
+
+@query("op13_conversation_repair", _repair_sql())
+def conversation_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of each damaged conversation and its cheapest repair."""
+    turns = table(spark, sf_dir, "conversations")
+    columns = [F.col(c) for c in ("conv_id", "turn", "role", "text")]
+    return conversation_repair.repair(conversation_repair.damaged(conversation_repair.plain_rows(turns, *columns)))
