@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from demandloom.llm import mixing, near_copies, packing, quality, secret_scan
+from demandloom.llm import mixing, packing, quality, secret_scan, simhash
 from demandloom.session import scratch_path
 
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8), the one with the smallest doc_id."""
-    return near_copies.one_per_group(docs)
+    """One document of each SimHash group (3-word shingles, 3 bits at most), the one with the smallest doc_id."""
+    return simhash.one_per_group(docs, radius=simhash.RADIUS)
 
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
