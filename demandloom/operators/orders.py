@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 
 from demandloom.functions import name_col, to_number
 from demandloom.functions.expr import digest
+from demandloom.operators import demand
+from demandloom.operators.demand import MESSAGE_KEY, MONTH, daily_demand, once, with_month  # noqa: F401  (daily_demand is one of the operators here)
 from demandloom.session import materialize
+from demandloom.sources import ledger
 
 HEADER_FIELDS = ("order_id", "customer_id", "order_date", "status", "total_amount")
 CUSTOMER_FIELDS = {
@@ -22,8 +25,6 @@ CUSTOMER_FIELDS = {
 ITEM_NUMBERS = ("quantity", "unit_price", "discount")
 LOAD_TABLES = ("orders_backlog", "fact_sales", "dim_customers", "agg_daily_demand", "dead_letters")
 COUNTED_TABLES = ("orders_backlog", "fact_sales")
-#: What a re-delivered message and its items have in common with the first delivery.
-MESSAGE_KEY = ("source_id", "order_id", "message_id")
 UNPARSED, UNDATED = "items:json_array", "order_date:missing"
 
 
@@ -39,15 +40,16 @@ def _items(df: DataFrame, name: str) -> Column:
     """The item list as an array; text that is not one JSON array and nothing else gives NULL.
 
     The parser stops after the first value, so the text is parsed as the first of two elements: more
-    text, or a bracket too many, spoils the second, which is an empty array.
+    text, or a bracket too many, spoils the second, which is an empty array. The lambda binds what is
+    parsed to a name; written out, each use of it would parse the text again.
     """
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.StringType):
         text = F.btrim(name_col(name), F.lit(" \t\r\n"))
         both = F.concat(F.lit("["), text, F.lit(",[]]"))
         parsed = F.from_json(both, "array<array<map<string,string>>>", {"allowSingleQuotes": "false"})
-        whole = (F.size(parsed) == 2) & (F.size(F.get(parsed, F.lit(1))) == 0)
-        return F.when(text.startswith("[") & text.endswith("]") & whole, F.get(parsed, F.lit(0)))
+        first = F.transform(F.array(parsed), lambda p: F.when((F.size(p) == 2) & (F.size(F.get(p, F.lit(1))) == 0), F.get(p, F.lit(0))))
+        return F.when(text.startswith("[") & text.endswith("]"), F.get(first, F.lit(0)))
     if isinstance(dtype, T.ArrayType):
         return name_col(name)
     return F.lit(None).cast("array<map<string,string>>")
@@ -211,72 +213,59 @@ def extract_customers(df: DataFrame, mapping: Mapping[str, str] | None = None) -
     return _customer_details(_first_orders(_customer_rows(df, mapping)))
 
 
-def daily_demand(fact: DataFrame) -> DataFrame:
-    """Quantity, revenue and number of orders per product and day."""
-    day = F.to_date("sale_date")
-    return (
-        fact.filter(F.col("product_id").isNotNull() & F.col("sale_date").isNotNull())
-        .groupBy("product_id", day.alias("sale_date"))
-        .agg(
-            F.sum("quantity").alias("total_qty"),
-            F.sum("gross_sale").alias("total_revenue"),
-            F.count_distinct("order_id").alias("order_count"),
-        )
-    )
-
-
 def load_orders(
     df: DataFrame,
     out_dir: str,
     mapping: Mapping[str, str] | None = None,
     source_id: int = 0,
-    load_id: str = "0",
+    load_id: str | None = None,
     dead: DataFrame | None = None,
 ) -> DataFrame:
-    """Write backlog, facts, customers, daily demand and dead letters; returns (table, rows, counted).
-
-    Each table gets the folder ``load_id=...``, which a repeated load replaces. The source is read
-    once, the demand table is built from the facts as written. Orders whose items are no JSON array
-    are in the backlog and in the dead letters, together with ``dead``, rows that the caller does
-    not load. ``counted`` tells whether a table adds to the inserted total.
+    """Load backlog, facts, customers, daily demand and dead letters; returns (table, rows, counted).
+
+    Each load has folders of its own, which readers see once all of them are written
+    (``sources.ledger``). ``load_id`` names what is loaded: loading it again replaces the older rows;
+    without one nothing is replaced. The source is read once, and rows are counted as they are
+    written. Orders whose items are no JSON array are in the backlog and in the dead letters,
+    together with ``dead``, rows that the caller does not load. Then the demand of the products and
+    days that the load touches is brought up to date. ``counted`` tells whether a table adds to the
+    inserted total.
     """
     spark = df.sparkSession
     names = dict(mapping or {})
-    paths = {t: f"{out_dir}/{t}/load_id={load_id}" for t in LOAD_TABLES}
+    load = ledger.begin(out_dir, source_id, load_id)
+    counts = {}
     with materialize(df, "orders") as source:
-
-        def put(table: str, frame: DataFrame) -> None:
-            frame.write.mode("overwrite").parquet(paths[table])
-
-        put("orders_backlog", order_backlog(source, names, source_id, tracked=True))
-        put("fact_sales", explode_orders(source, names, source_id, tracked=True))
-        put("dim_customers", _first_orders(_customer_rows(source, names)))
         letters = unparsed_orders(source, names, source_id)
-        put("dead_letters", letters if dead is None else letters.unionByName(dead))
-    put("agg_daily_demand", daily_demand(_once(spark.read.parquet(paths["fact_sales"]))))
-    counts = [(t, spark.read.parquet(p).count(), t in COUNTED_TABLES) for t, p in paths.items()]
-    return spark.createDataFrame(counts, "table string, rows bigint, counted boolean")
-
-
-def _once(facts: DataFrame) -> DataFrame:
-    """The facts with re-delivered messages counted once."""
-    return facts.dropDuplicates([*MESSAGE_KEY, "item_no"])
+        frames = {
+            "orders_backlog": with_month(order_backlog(source, names, source_id, tracked=True), "order_date"),
+            "fact_sales": with_month(explode_orders(source, names, source_id, tracked=True), "sale_date"),
+            "dim_customers": _first_orders(_customer_rows(source, names)),
+            "dead_letters": letters if dead is None else letters.unionByName(dead),
+        }
+        for table, frame in frames.items():
+            counts[table] = ledger.write_counted(frame, load.path(table), partition_by=MONTH if MONTH in frame.columns else None)
+    ledger.commit(spark, load, counts)
+    counts["agg_daily_demand"] = demand.refresh(spark, out_dir)
+    rows = [(t, counts[t], t in COUNTED_TABLES) for t in LOAD_TABLES]
+    return spark.createDataFrame(rows, "table string, rows bigint, counted boolean")
 
 
 def read_loaded(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
-    """A loaded table over all its loads, each key once.
+    """A loaded table over all its committed loads, each key once.
 
     A message that was delivered again, in the same load or another, counts once; a further line of
     the same product in an order is another message and counts. Customers have the details of their
-    earliest order of all loads. Daily demand is summed from the facts of all loads, since the lines
-    of one order may be spread over several.
+    earliest order of all loads. Daily demand is the maintained table, see ``operators.demand``.
     """
-    path = f"{out_dir}/{'fact_sales' if table == 'agg_daily_demand' else table}"
-    frame = spark.read.option("basePath", path).parquet(path).drop("load_id")
+    if table == "agg_daily_demand":
+        return demand.read_demand(spark, out_dir)
+    frame = ledger.read(spark, out_dir, table)
+    if frame is None:
+        raise ValueError(f"nothing was loaded into {table} of {out_dir}")
+    frame = frame.drop("load_id", MONTH)
     if table == "dim_customers":
         return _customer_details(_first_orders(frame))
-    if table == "agg_daily_demand":
-        return daily_demand(_once(frame))
     if table == "fact_sales":
-        return _once(frame).drop("message_id", "item_no")
+        return once(frame).drop("message_id", "item_no")
     return frame.dropDuplicates(list(MESSAGE_KEY))

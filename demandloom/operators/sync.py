@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import time
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -12,8 +11,9 @@ from pyspark.sql import functions as F
 
 from demandloom.functions import name_col
 from demandloom.operators.maintenance import upsert
-from demandloom.operators.orders import load_orders, message_id, read_loaded, undated_orders
-from demandloom.session import path_exists
+from demandloom.operators.demand import MONTH, with_month
+from demandloom.operators.orders import load_orders, message_id, undated_orders
+from demandloom.sources import ledger
 
 MARK_SCHEMA = "source_id int, last_synced_at timestamp, rows_synced bigint, sync_duration_s double, updated_at timestamp"
 DEFAULT_INTERVAL_HOURS = 6
@@ -29,24 +29,30 @@ def high_water_mark(marks: DataFrame, source_id: int) -> str | None:
     return row["m"]
 
 
-def since(df: DataFrame, mark: str | None, date_col: str) -> DataFrame:
-    """Dated rows from the mark on. The mark is a literal, so the comparison reaches the scan.
+def since(df: DataFrame, mark: str | None, date_col: str, lookback_days: int | None = None) -> DataFrame:
+    """Dated rows, from ``lookback_days`` before the mark on. The bound is a literal, so it reaches the scan.
 
-    Rows at the mark itself are included: others of the same instant may have come after the load.
+    None looks back over everything.
     """
-    if mark is None:
-        return df.filter(name_col(date_col).isNotNull())
-    return df.filter(name_col(date_col) >= F.lit(mark).cast(df.schema[date_col].dataType))
+    dated = df.filter(name_col(date_col).isNotNull())
+    if mark is None or lookback_days is None:
+        return dated
+    oldest = F.lit(mark).cast("timestamp") - F.expr(f"INTERVAL {int(lookback_days)} DAYS")
+    return dated.filter(name_col(date_col) >= oldest.cast(df.schema[date_col].dataType))
 
 
-def not_loaded(df: DataFrame, out_dir: str, table: str, source_id: int, mapping: Mapping[str, str], at: str | None = None) -> DataFrame:
-    """Rows whose message is not in a loaded table yet; ``at`` limits the look to one order date."""
-    spark = df.sparkSession
-    if not path_exists(spark, f"{out_dir}/{table}"):
+def not_loaded(df: DataFrame, out_dir: str, table: str, source_id: int, mapping: Mapping[str, str], months: Sequence[int] | None = None) -> DataFrame:
+    """Rows whose message is not in a loaded table yet.
+
+    ``months`` are those of the rows' dates, if they have some: other months of the table, which are
+    folders, are not read. A message's digest holds its date, so no other month can have it.
+    """
+    known = ledger.read(df.sparkSession, out_dir, table)
+    if known is None:
         return df
-    known = read_loaded(spark, out_dir, table).filter(F.col("source_id") == source_id)
-    if at is not None:
-        known = known.filter(F.col("order_date") == F.lit(at).cast(known.schema["order_date"].dataType))
+    known = known.filter(F.col("source_id") == source_id)
+    if months is not None:
+        known = known.filter(F.col(MONTH).isin(list(months)))
     message = message_id(df, mapping)
     return df.join(known.select(F.col("message_id").alias("_known")).distinct(), message == F.col("_known"), "left_anti")
 
@@ -77,33 +83,38 @@ def incremental_sync(
     out_dir: str,
     date_col: str = "order_date",
     mapping: Mapping[str, str] | None = None,
+    lookback_days: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Load what the source's mark has not seen. Returns (rows per table, new control table).
+    """Load what is not loaded yet. Returns (rows per table, new control table).
 
     The newest event time is read first and bounds the load, so rows that arrive meanwhile are left
-    for the next run and the new mark never passes a row that was not loaded. Rows at the old mark
-    are loaded unless their message is in the backlog, so a row that comes later with the same event
-    time is not missed. Rows without a date go to the dead letters, once.
+    for the next run and the new mark never passes a row that was not loaded. Rows after the mark
+    are loaded as they are. Rows up to it are loaded unless the backlog has their message, so rows
+    that come late, in whatever order, are loaded once. Rows without a date go to the dead letters,
+    once. Each sync is a load of its own: none ever takes the place of another.
+
+    ``lookback_days`` spares the scan of what lies further before the mark; rows that arrive later
+    than that are then left for a sync without it. The default leaves out nothing.
     """
     begun = time.monotonic()
     names = dict(mapping or {})
     mark = high_water_mark(marks, source_id)
     column = names.get(date_col, date_col)
-    dated = since(source, mark, column)
+    kind = source.schema[column].dataType
+    dated = since(source, mark, column, lookback_days)
     newest = dated.agg(F.max(name_col(column)).cast("string").alias("m")).first()["m"]
-    fresh = dated.filter(name_col(column) <= F.lit(newest).cast(source.schema[column].dataType))
+    fresh = dated.filter(name_col(column) <= F.lit(newest).cast(kind))
     if mark is not None:
-        limit = F.lit(mark).cast(source.schema[column].dataType)
-        fresh = fresh.filter(name_col(column) > limit).unionByName(
-            not_loaded(fresh.filter(name_col(column) == limit), out_dir, "orders_backlog", source_id, names, mark)
-        )
+        limit = F.lit(mark).cast(kind)
+        old = fresh.filter(name_col(column) <= limit)
+        months = [r[MONTH] for r in with_month(old, column).select(MONTH).distinct().collect()]  # bounded by the calendar
+        fresh = fresh.filter(name_col(column) > limit).unionByName(not_loaded(old, out_dir, "orders_backlog", source_id, names, months))
     undated = not_loaded(source.filter(name_col(column).isNull()), out_dir, "dead_letters", source_id, names)
-    load_id = re.sub(r"\W+", "", f"{source_id}x{mark or 'first'}x{newest}")
-    counts = load_orders(fresh, out_dir, names, source_id, load_id, undated_orders(undated, names, source_id))
+    counts = load_orders(fresh, out_dir, names, source_id, None, undated_orders(undated, names, source_id))
     inserted = counts.filter("counted").agg(F.sum("rows").alias("n")).first()["n"]
-    if newest is None or newest == mark and not inserted:
+    if not inserted:
         return counts, marks
-    return counts, advance_marks(marks, source_id, newest, inserted, time.monotonic() - begun)
+    return counts, advance_marks(marks, source_id, max(mark or newest, newest), inserted, time.monotonic() - begun)
 
 
 def sources_due(sources: DataFrame, marks: DataFrame, now: Any) -> DataFrame:

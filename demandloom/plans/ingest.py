@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -41,17 +42,19 @@ def ingest(
     columns: list[str] | None = None,
     mapping: Mapping[str, str] | None = None,
     source_id: int = 0,
-    load_id: str = "0",
+    load_id: str | None = None,
     check_drift: bool = True,
 ) -> IngestResult:
     """Run the chain on one source and write below ``out_dir``.
 
     ``mode="table"`` cleans, scales and casts ``columns`` and writes one table; ``mode="orders"``
-    explodes orders into the order tables and the dead letters.
+    explodes orders into the order tables and the dead letters. ``load_id`` names what is loaded:
+    again under the same name it replaces the older rows; without one nothing is replaced.
     """
     if mode not in ("table", "orders"):
         raise ValueError("mode must be table or orders")
     spark = source.sparkSession
+    run = load_id or uuid.uuid4().hex + "~"
     history = f"{out_dir}/schema_history"
     before = latest_profile(spark, history, source_name) if check_drift and path_exists(spark, history) else None
     save_profile(profile(source), history, source_name)
@@ -59,7 +62,7 @@ def ingest(
     drift = None
     if before is not None:
         # the comparison is a few rows per column; kept as a table since the history moves on
-        path = f"{out_dir}/schema_drift/load_id={load_id}"
+        path = f"{out_dir}/schema_drift/load_id={run}"
         drift_report(schema_drift(before, current)).write.mode("overwrite").parquet(path)
         drift = spark.read.parquet(path)
     issues = schema_issues(current)
@@ -68,15 +71,15 @@ def ingest(
         loaded = load_orders(source, out_dir, mapping, source_id, load_id)
     else:
         passed, failed = gatekeeper(source, rules, strict)
-        quarantine_path = f"{out_dir}/quarantine/load_id={load_id}"
+        quarantine_path = f"{out_dir}/quarantine/load_id={run}"
         failed.write.mode("overwrite").parquet(quarantine_path)
         quarantine = spark.read.parquet(quarantine_path)
         shaped = normalize(clean(passed, missing, outliers, columns), scaling, columns)
         typed = require_quality(cast_to_profile(shaped, {r["name"]: r["inferred_type"] for r in _types(current, columns)}))
-        path = write_parquet(typed, f"{out_dir}/{source_name}/load_id={load_id}", mode="overwrite")
+        path = write_parquet(typed, f"{out_dir}/{source_name}/load_id={run}", mode="overwrite")
         loaded = spark.createDataFrame([(source_name, spark.read.parquet(path).count(), True)], "table string, rows bigint, counted boolean")
     log_path = f"{out_dir}/run_log"
-    entry = run_log(current, issues, source_name, {"mode": mode, "rules": rules, "load_id": load_id})
+    entry = run_log(current, issues, source_name, {"mode": mode, "rules": rules, "load_id": run})
     entry.write.mode("append").parquet(log_path)
     log = spark.read.parquet(log_path).filter(F.col("source_name") == source_name)
     return IngestResult(current, issues, drift, quarantine, loaded, log)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.operators import imports as I
@@ -421,29 +423,81 @@ def two_loads_customers(spark, sf):
     return O.read_loaded(spark, out, "dim_customers")
 
 
-@query(
-    "incremental_sync",
-    """SELECT CASE WHEN sale_date IS NULL THEN 'dead' ELSE 'loaded' END AS state, l_orderkey AS order_id, count(*) AS messages
+SYNCED_SQL = """SELECT CASE WHEN sale_date IS NULL THEN 'dead' ELSE 'loaded' END AS state, l_orderkey AS order_id, count(*) AS messages
        FROM (SELECT l_orderkey, CASE WHEN l_linenumber <> 2 THEN o_orderdate END AS sale_date FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey)
-       GROUP BY 1, 2""",
-)
+       GROUP BY 1, 2"""
+
+
+def _partly_undated(spark, sf):
+    return V.order_feed(spark, sf).withColumn("placed", F.when(F.col("line_no") != 2, F.col("placed")))
+
+
+def _synced(spark, arrivals):
+    """What is loaded and what is a dead letter after syncs of each arrival into one folder."""
+    out, marks = scratch_path(spark, "sync"), spark.createDataFrame([], Y.MARK_SCHEMA)
+    for arrived in arrivals:
+        _, marks = Y.incremental_sync(arrived, marks, 7, out, "order_date", V.FEED_MAPPING)
+    loaded = O.read_loaded(spark, out, "orders_backlog").select(F.lit("loaded").alias("state"), F.col("order_id").cast("bigint").alias("order_id"))
+    dead = O.read_loaded(spark, out, "dead_letters").filter(F.col("reason") == O.UNDATED)
+    dead = dead.select(F.lit("dead").alias("state"), F.col("order_id").cast("bigint").alias("order_id"))
+    return loaded.unionByName(dead).groupBy("state", "order_id").agg(F.count("*").alias("messages"))
+
+
+@query("incremental_sync_one_mark", SYNCED_SQL)
+def incremental_sync_one_mark(spark, sf):
+    """Three syncs between which the mark does not move: of the newest day, and of the undated rows, a third comes each time."""
+    feed = _partly_undated(spark, sf)
+    newest = F.lit(feed.agg(F.max("placed").cast("string").alias("m")).first()["m"]).cast("timestamp_ntz")
+    there = F.coalesce(F.col("placed") < newest, F.lit(False))
+    return _synced(spark, [feed.filter(there | (F.col("ord") % 3 <= k)) for k in range(3)])
+
+
+@query("incremental_sync_out_of_order", SYNCED_SQL)
+def incremental_sync_out_of_order(spark, sf):
+    """The newest years come first, then the oldest, then those between, then everything again."""
+    feed = _partly_undated(spark, sf)
+    year = F.year("placed")
+    return _synced(spark, [feed.filter(year >= 1997), feed.filter(year < 1995), feed.filter(year.between(1995, 1996)), feed])
+
+
+@query("incremental_sync", SYNCED_SQL)
 def incremental_sync(spark, sf):
     """Three syncs into one folder: half the messages up to a day, the others up to it, then all.
 
     Every second line is without a date. Messages loaded and dead letters make up the input.
     """
-    feed = V.order_feed(spark, sf).withColumn("placed", F.when(F.col("line_no") != 2, F.col("placed")))
-    out, marks = scratch_path(spark, "sync"), spark.createDataFrame([], Y.MARK_SCHEMA)
+    feed = _partly_undated(spark, sf)
     newest = F.lit(dt.datetime(1998, 6, 30)).cast("timestamp_ntz")
     early = feed.filter((F.col("placed") <= newest) | F.col("placed").isNull())
     at_mark = F.col("placed") == early.agg(F.max("placed").alias("m")).first()["m"]
     first = early.filter(~F.coalesce(at_mark, F.lit(False)) | (F.col("line_no") % 3 == 0))  # others of the mark's day come later
-    for arrived in (first.unionByName(feed.filter(at_mark & (F.col("line_no") == 1))), early, feed):
-        _, marks = Y.incremental_sync(arrived, marks, 7, out, "order_date", V.FEED_MAPPING)
-    loaded = O.read_loaded(spark, out, "orders_backlog").select(F.lit("loaded").alias("state"), F.col("order_id").cast("bigint").alias("order_id"))
-    dead = O.read_loaded(spark, out, "dead_letters").filter(F.col("reason") == O.UNDATED)
-    dead = dead.select(F.lit("dead").alias("state"), F.col("order_id").cast("bigint").alias("order_id"))
-    return loaded.unionByName(dead).groupBy("state", "order_id").agg(F.count("*").alias("messages"))
+    return _synced(spark, [first.unionByName(feed.filter(at_mark & (F.col("line_no") == 1))), early, feed])
+
+
+def _demand_stage(number: int, which: str) -> str:
+    return f"""SELECT {number} AS stage, product_id, strftime(sale_date, '%Y-%m-%d') AS sale_date, round(sum(quantity), 4) AS total_qty,
+        round(sum(gross_sale), 2) AS total_revenue, count(DISTINCT ord) AS order_count
+        FROM items WHERE product_id IS NOT NULL AND sale_date IS NOT NULL AND {which} GROUP BY 2, 3"""
+
+
+@query(
+    "demand_after_loads",
+    " UNION ALL ".join(
+        _demand_stage(i, which) for i, which in enumerate(["ord % 3 <> 0", "(ord % 3 <> 0 OR ord % 2 = 0)", "(ord % 5 = 0 OR ord % 2 = 0)", "TRUE"], 1)
+    ),
+    ["items"],
+)
+def demand_after_loads(spark, sf):
+    """The demand table after each of four loads; the second overlaps with the first, the third replaces the first."""
+    feed, out = V.order_feed(spark, sf), scratch_path(spark, "demand")
+    stages = []
+    for number, (key, which) in enumerate([("a", "ord % 3 <> 0"), ("b", "ord % 2 = 0"), ("a", "ord % 5 = 0"), ("c", "TRUE")], 1):
+        O.load_orders(feed.filter(which), out, V.FEED_MAPPING, 7, key)
+        shown = _demand_shown(O.read_loaded(spark, out, "agg_daily_demand")).select(F.lit(number).alias("stage"), "*")
+        path = scratch_path(spark, "stage")
+        shown.write.parquet(path)  # the table moves on
+        stages.append(spark.read.parquet(path))
+    return reduce(DataFrame.unionByName, stages)
 
 
 @query(

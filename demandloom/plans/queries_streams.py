@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from demandloom.operators import orders as O
 from demandloom.plans import views as V
 from demandloom.plans.queries_decisions import HITS_SQL, MESSAGE
-from demandloom.plans.queries_orders import DEMAND_SQL, ITEM_SQL, _demand_shown
+from demandloom.plans.queries_orders import DEMAND_SQL, ITEM_SQL, _demand_shown, _shown
 from demandloom.plans.registry import query
 from demandloom.session import scratch_path
 from demandloom.streaming import jobs as J
@@ -138,6 +138,42 @@ def stream_sync(spark, sf):
     return _demand_shown(O.read_loaded(spark, out, "agg_daily_demand"))
 
 
+SOURCES_SQL = ITEM_SQL.replace("7 AS source_id", "CASE WHEN ord % 2 = 0 THEN 1 ELSE 2 END AS source_id")
+
+
+def _two_sources(spark, sf):
+    """(source, its messages): even orders come from source 1, odd ones from source 2, and source 1 begins anew once."""
+    feed = V.order_feed(spark, sf)
+    folders = {source: V.folder_of(spark, feed.filter(F.col("ord") % 2 == source - 1), f"source-{source}", files=2) for source in (1, 2)}
+    return [(source, J.file_stream(spark, folders[source], max_files=1)) for source in (1, 2, 1)]
+
+
+@query("stream_sync_two_sources", SOURCES_SQL, ["items"])
+def stream_sync_two_sources(spark, sf):
+    """Two sources, one of them twice under different checkpoints, into one folder."""
+    out = scratch_path(spark, "stream-sync")
+    for source, stream in _two_sources(spark, sf):
+        J.finish(J.stream_sync(stream, out, scratch_path(spark, "ckpt"), V.FEED_MAPPING, source))
+    return _shown(O.read_loaded(spark, out, "fact_sales"))
+
+
+@query("stream_sync_two_sources_demand", DEMAND_SQL, ["items"])
+def stream_sync_two_sources_demand(spark, sf):
+    out = scratch_path(spark, "stream-sync")
+    for source, stream in _two_sources(spark, sf):
+        J.finish(J.stream_sync(stream, out, scratch_path(spark, "ckpt"), V.FEED_MAPPING, source))
+    return _demand_shown(O.read_loaded(spark, out, "agg_daily_demand"))
+
+
+@query("stream_orders_two_sources", SOURCES_SQL + " WHERE sale_date IS NOT NULL", ["items"])
+def stream_orders_two_sources(spark, sf):
+    """Both sources' items that passed; those of the source that begins anew count once by message and item."""
+    out = scratch_path(spark, "stream-orders")
+    for source, stream in _two_sources(spark, sf):
+        J.finish(J.stream_orders(stream, out, scratch_path(spark, "ckpt"), V.FEED_MAPPING, source))
+    return _shown(O.once(J.read_facts(spark, out)).drop("message_id", "item_no")).withColumn("order_id", F.col("order_id").cast("bigint"))
+
+
 @query(
     "stream_alerts",
     f"WITH {HITS_SQL} SELECT product_id, CASE WHEN quantity > 100 THEN 'critical' ELSE 'warning' END AS severity, {MESSAGE} AS message FROM hits",

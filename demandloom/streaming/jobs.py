@@ -1,14 +1,16 @@
 """Streaming forms of the order load, daily demand, metrics, sync and alerts.
 
-Sinks are folders ``batch_id=N`` written with overwrite, so a batch replayed after a failure replaces
-its own output and nothing else.
+Each micro-batch is a load of its query in the folder's manifest (``sources.ledger``): its key is the
+query's id, which the checkpoint keeps, and the batch. A batch replayed after a failure is loaded once,
+and several sources, or a source with a new checkpoint, share a folder without touching each other's
+rows.
 """
 
 from __future__ import annotations
 
 import threading
 from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from demandloom.operators.alerts import LEDGER_FIELDS, anomaly_scan, emit_alerts
 from demandloom.operators.orders import daily_demand, explode_orders, load_orders, unparsed_orders
 from demandloom.operators.quality import with_violations
 from demandloom.session import path_exists
+from demandloom.sources import ledger as loads
 
 
 def file_stream(
@@ -58,28 +61,42 @@ def finish(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
-def write_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what is available, each micro-batch into its own folder below ``path``."""
+def load_batches(df: DataFrame, out_dir: str, checkpoint: str, load: Callable[[DataFrame, str], None], source_id: int = 0, mode: str = "append") -> StreamingQuery:
+    """Process what is available: ``load(batch, key)`` for each micro-batch that is not committed yet."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        key = loads.stream_key(spark, checkpoint, batch_id)
+        if not loads.is_committed(spark, out_dir, source_id, key):
+            load(batch, key)
+
+    return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
 
-    return (
-        df.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(put)
-        .start()
-    )
+
+def commit_batch(batch: DataFrame, out_dir: str, table: str, key: str, source_id: int = 0, partition_by: str | None = None) -> None:
+    """One table's rows as a load of their own."""
+    load = loads.begin(out_dir, source_id, key)
+    rows = loads.write_counted(batch, load.path(table), partition_by=partition_by)
+    loads.commit(batch.sparkSession, load, {table: rows})
+
+
+#: The table that ``write_batches`` writes below its folder.
+STATE = "state"
+
+
+def write_batches(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Process what is available, each micro-batch a load of its own below ``path``."""
+    return load_batches(df, path, checkpoint, lambda batch, key: commit_batch(batch, path, STATE, key), mode=mode)
 
 
 def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The last state of each key from the folders of an update-mode query."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    """The last state of each key that the update-mode queries below ``path`` have written."""
+    order = loads.committed(spark, path).select("load_id", "sequence")
+    rows = loads.raw(spark, path, STATE).join(order, "load_id")
+    values = [c for c in rows.columns if c not in (*keys, "load_id", "sequence")]
     return (
         rows.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
+        .agg(F.max_by(F.struct(*values), "sequence").alias("v"))
         .select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
     )
 
@@ -97,7 +114,7 @@ def stream_orders(
     as they came in ``raw_items``.
     """
 
-    def put(batch: DataFrame, batch_id: int) -> None:
+    def put(batch: DataFrame, key: str) -> None:
         checked = with_violations(explode_orders(batch, mapping, source_id, tracked=True), "order_items")
         lost = unparsed_orders(batch, mapping, source_id).select(
             F.col("order_id").cast(checked.schema["order_id"].dataType).alias("order_id"),
@@ -107,27 +124,24 @@ def stream_orders(
             "raw_items",
             F.array("reason").alias("violations"),
         )
-        rows = checked.unionByName(lost, allowMissingColumns=True)
-        rows.withColumn("passed", F.size("violations") == 0).write.mode("overwrite").partitionBy(
-            "passed"
-        ).parquet(f"{out_dir}/batch_id={batch_id}")
+        rows = checked.unionByName(lost, allowMissingColumns=True).withColumn("passed", F.size("violations") == 0)
+        commit_batch(rows, out_dir, CHECKED_ITEMS, key, source_id, "passed")
 
-    return (
-        orders.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(put)
-        .start()
-    )
+    return load_batches(orders, out_dir, checkpoint, put, source_id)
+
+
+#: The table that ``stream_orders`` writes.
+CHECKED_ITEMS = "checked_items"
 
 
 def read_facts(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The items that passed."""
-    return spark.read.option("basePath", out_dir).parquet(out_dir).filter(F.col("passed").cast("boolean")).drop("passed", "batch_id", "violations", "raw_items")
+    """The items that passed, of all committed batches of all sources."""
+    return loads.read(spark, out_dir, CHECKED_ITEMS).filter(F.col("passed").cast("boolean")).drop("passed", "load_id", "violations", "raw_items")
 
 
 def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
     """The items that failed, with the reasons."""
-    return spark.read.option("basePath", out_dir).parquet(out_dir).filter(~F.col("passed").cast("boolean")).drop("passed", "batch_id")
+    return loads.read(spark, out_dir, CHECKED_ITEMS).filter(~F.col("passed").cast("boolean")).drop("passed", "load_id")
 
 
 #: What the state of the streamed demand is kept by.
@@ -206,17 +220,12 @@ def stream_sync(
     mapping: Mapping[str, str] | None = None,
     source_id: int = 0,
 ) -> StreamingQuery:
-    """The incremental order load with the checkpoint as the mark: every file is loaded once."""
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        load_orders(batch, out_dir, mapping, source_id, load_id=f"batch-{batch_id}")
+    """The incremental order load with the checkpoint as the mark: every file is loaded once.
 
-    return (
-        orders.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(put)
-        .start()
-    )
+    With a new checkpoint the source is loaded anew; its messages are in the tables already and
+    count once there.
+    """
+    return load_batches(orders, out_dir, checkpoint, lambda batch, key: load_orders(batch, out_dir, mapping, source_id, key), source_id)
 
 
 def open_alerts(spark: SparkSession, ledger: str, before_batch: int | None = None) -> DataFrame:
@@ -229,15 +238,27 @@ def open_alerts(spark: SparkSession, ledger: str, before_batch: int | None = Non
     return rows.filter(~F.col("is_resolved")).select("product_id").distinct()
 
 
+def claim(spark: SparkSession, folder: str, owner: str) -> None:
+    """Note a folder's owner beside it; raises if it has another one."""
+    path = f"{folder}.owner"
+    if not path_exists(spark, path):
+        spark.createDataFrame([(owner,)], "owner string").coalesce(1).write.mode("error").parquet(path)
+    known = spark.read.parquet(path).first()["owner"]
+    if known != owner:
+        raise ValueError(f"{folder} belongs to another query ({known}); give this one a folder of its own")
+
+
 def stream_alerts(sales: DataFrame, products: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
     """Spike alerts on arriving sales, one open alert per product.
 
     The ledger itself is the state: a product whose alert was resolved can raise a new one, and a
-    replayed batch only looks at the batches before it.
+    replayed batch only looks at the batches before it. The batches of one query are the ledger's
+    history, so another query cannot write to it.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        claim(spark, ledger, loads.stream_key(spark, checkpoint, 0))
         new = emit_alerts(anomaly_scan(batch, products)).select(*LEDGER_FIELDS)
         known = open_alerts(spark, ledger, batch_id)
         new.join(known, on="product_id", how="left_anti").select(*LEDGER_FIELDS).write.mode("overwrite").parquet(
