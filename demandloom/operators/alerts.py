@@ -46,6 +46,11 @@ def anomaly_scan(sales: DataFrame, products: DataFrame, order_keys: Sequence[str
     keys = [k for k in order_keys if k in sales.columns]
     first = F.min(F.struct("ds", *keys, F.col("quantity"), "threshold")).alias("hit")
     hits = spikes(sales, products).groupBy("product_id").agg(first).select("product_id", "hit.*")
+    return described(hits).select("product_id", "ds", "quantity", "threshold", "severity", "message")
+
+
+def described(hits: DataFrame) -> DataFrame:
+    """Spikes with the severity and the message of their alerts."""
     text = F.concat(
         F.lit("Anomaly: Product '"),
         F.col("product_id").cast("string"),
@@ -53,14 +58,7 @@ def anomaly_scan(sales: DataFrame, products: DataFrame, order_keys: Sequence[str
         F.col("quantity").cast("string"),
         F.lit(" units)."),
     )
-    return hits.select(
-        "product_id",
-        "ds",
-        "quantity",
-        "threshold",
-        F.when(F.col("quantity") > CRITICAL_ABOVE, "critical").otherwise("warning").alias("severity"),
-        text.alias("message"),
-    )
+    return hits.withColumns({"severity": F.when(F.col("quantity") > CRITICAL_ABOVE, "critical").otherwise("warning"), "message": text})
 
 
 def alert_id(*parts: Column) -> Column:

@@ -10,6 +10,7 @@ from demandloom.plans.queries_decisions import HITS_SQL, MESSAGE
 from demandloom.plans.queries_orders import DEMAND_SQL, ITEM_SQL, _demand_shown, _shown
 from demandloom.plans.registry import query
 from demandloom.session import scratch_path
+from demandloom.streaming import alert_state as S
 from demandloom.streaming import jobs as J
 
 
@@ -189,3 +190,29 @@ def stream_alerts(spark, sf):
     return spark.read.parquet(ledger).select("product_id", "severity", "message")
 
 
+REARMED_SQL = f"""WITH spikes AS (
+    SELECT s.product_id, s.ds, s.order_id, s.line_no, s.quantity * CASE WHEN line_no = 7 THEN 4 ELSE 1 END AS quantity
+    FROM sales s LEFT JOIN (SELECT * REPLACE (CASE WHEN id % 10 = 4 THEN id + 1000000000 ELSE id END AS id) FROM products) p ON s.product_id = p.id
+    WHERE s.quantity * CASE WHEN line_no = 7 THEN 4 ELSE 1 END > coalesce(p.safety_stock, 20) * 3),
+eras AS (SELECT *, product_id % 2 = 0 AND ds > TIMESTAMP '1995-06-30' AS later FROM spikes),
+alerts AS (SELECT *, row_number() OVER (PARTITION BY product_id, later ORDER BY ds, order_id, line_no, quantity) AS rn FROM eras)
+SELECT product_id, strftime(ds, '%Y-%m-%d') AS ds, CASE WHEN quantity > 100 THEN 'critical' ELSE 'warning' END AS severity, {MESSAGE} AS message,
+       product_id % 2 = 0 AND NOT later AS is_resolved
+FROM alerts WHERE rn = 1"""
+
+
+@query("stream_alerts_rearmed", REARMED_SQL, ["products", "sales"])
+def stream_alerts_rearmed(spark, sf):
+    """All sales in order of time; the alerts of even products are resolved in the middle, after which a spike opens another."""
+    big = F.when(F.col("line_no") == 7, F.col("quantity") * 4).otherwise(F.col("quantity"))
+    sales = V.sales(spark, sf).withColumn("quantity", big)
+    middle = F.to_timestamp_ntz(F.lit("1995-06-30 00:00:00"))
+    folder, closing = scratch_path(spark, "sales"), scratch_path(spark, "resolutions")
+    for part in (F.col("ds") <= middle, (F.col("ds") > middle) & (F.year("ds") < 1997), F.year("ds") >= 1997):
+        sales.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    products = V.products(spark, sf).filter("id % 2 = 0").select(F.col("id").alias("product_id"), middle.alias("resolved_at"))
+    products.coalesce(1).write.parquet(closing)
+    out, known = scratch_path(spark, "alerts"), V.with_shifted_key(V.products(spark, sf), "id", 10, 4)
+    J.finish(S.stream_alert_events(J.file_stream(spark, folder, max_files=1), known, out, scratch_path(spark, "ckpt"), J.file_stream(spark, closing)))
+    found = S.alert_ledger(spark, out)
+    return found.select("product_id", F.date_format("alert_ts", "yyyy-MM-dd").alias("ds"), "severity", "message", "is_resolved")

@@ -1,10 +1,13 @@
 import datetime as dt
 
+import pytest
 from tests.conftest import rows
 from pyspark.sql import functions as F
 
 from demandloom.operators import orders as O
 from demandloom.operators.alerts import resolve_alerts
+from demandloom.sources import ledger
+from demandloom.streaming import alert_state as S
 from demandloom.streaming import jobs as J
 
 
@@ -96,6 +99,49 @@ def test_one_open_alert_per_product(spark, tmp_path):
     assert rows(spark.read.parquet(ledger).filter("not is_resolved"), "product_id") == [(1,), (2,)]
 
 
+def test_alerts_rearm_from_the_state_store(spark, tmp_path):
+    """One open alert per product over batches and restarts; a resolution lets the next spike open another."""
+    src, closing, out, ckpt = (str(tmp_path / n) for n in ("in", "closing", "out", "ckpt"))
+    products = spark.createDataFrame([(1, 10), (2, 10)], "id int, safety_stock int")
+    sale = "product_id int, ds timestamp, order_id int, line_no int, quantity double"
+
+    def run(sales, resolved):
+        write(spark.createDataFrame([(p, dt.datetime(2024, 1, d), d, 1, float(q)) for p, d, q in sales], sale), src)
+        write(spark.createDataFrame([(p, dt.datetime(2024, 1, d)) for p, d in resolved], "product_id int, resolved_at timestamp"), closing)
+        J.finish(S.stream_alert_events(J.file_stream(spark, src), products, out, ckpt, J.file_stream(spark, closing)))
+        return sorted((r["product_id"], r["alert_ts"].day, r["is_resolved"], r["severity"]) for r in S.alert_ledger(spark, out).collect())
+
+    assert run([(1, 2, 50), (1, 1, 200), (2, 1, 5)], []) == [(1, 1, False, "critical")]
+    assert run([(1, 3, 60), (2, 2, 40)], []) == [(1, 1, False, "critical"), (2, 2, False, "warning")]
+    # the spike of day 4 is dealt with by the resolution of day 5, that of day 6 opens another alert
+    assert run([(1, 6, 70), (1, 4, 80)], [(1, 5), (2, 1)]) == [(1, 1, True, "critical"), (1, 6, False, "warning"), (2, 2, False, "warning")]
+    assert run([(2, 9, 1)], [(2, 8), (2, 8)]) == [(1, 1, True, "critical"), (1, 6, False, "warning"), (2, 2, True, "warning")]
+    assert run([(2, 7, 99)], []) == [(1, 1, True, "critical"), (1, 6, False, "warning"), (2, 2, True, "warning")]
+    ids = [r["alert_id"] for r in S.alert_ledger(spark, out).collect()]
+    assert len(set(ids)) == 3
+
+
+def test_sources_share_a_folder(spark, tmp_path):
+    """Two sources, a new checkpoint of one, and a load that died before its entry."""
+    out = str(tmp_path / "out")
+    for source, ids in ((1, ["a", "b"]), (2, ["a", "c"])):
+        write(orders(spark, ids), tmp_path / f"in{source}")
+    for source, ckpt in ((1, "x"), (2, "y"), (1, "z")):
+        J.finish(J.stream_sync(J.file_stream(spark, str(tmp_path / f"in{source}")), out, str(tmp_path / ckpt), source_id=source))
+        J.finish(J.stream_orders(J.file_stream(spark, str(tmp_path / f"in{source}")), out, str(tmp_path / f"o{ckpt}"), source_id=source))
+    every = [("a", 1), ("a", 2), ("b", 1), ("c", 2)]
+    assert rows(O.read_loaded(spark, out, "fact_sales"), "order_id", "source_id") == every
+    assert sorted({(r["order_id"], r["source_id"]) for r in J.read_facts(spark, out).collect()}) == every
+    demand = O.read_loaded(spark, out, "agg_daily_demand").first()
+    assert (demand["total_qty"], demand["order_count"]) == (8.0, 3)
+    dead = ledger.begin(out, 3)
+    O.explode_orders(orders(spark, ["lost"]), source_id=3, tracked=True).withColumn("month_no", F.lit(202401)).write.partitionBy("month_no").parquet(dead.path("fact_sales"))
+    assert rows(O.read_loaded(spark, out, "fact_sales"), "order_id", "source_id") == every
+    with pytest.raises(ValueError, match="another query"):
+        J.claim(spark, str(tmp_path / "alerts"), "one")
+        J.claim(spark, str(tmp_path / "alerts"), "two")
+
+
 def test_kafka_messages_parse(spark):
     from demandloom.sources.readers import parse_json_values
 
