@@ -1,18 +1,20 @@
 """Phrases that occur together more often than their parts would: partitioned mining (SON).
 
-A shard is some tens of megabytes of whole texts. The first pass mines each shard completely at a
-support lowered to the shard's share of its language, so a phrase that is frequent in the language
-is frequent in some shard. The union of the shards' phrases are the candidates; the second pass
-counts all of them in all shards, and sums the counts. Both passes go up by length: a phrase can
-only be frequent, or a candidate, where both phrases one word shorter are.
-
-Inside a shard phrases are numbers: a phrase is the pair of the two shorter ones in it. Between
-shards they are told apart by a 64-bit hash of language and words.
+The texts are dealt by hash into a fixed number of shards. Each shard is mined completely at a support
+lowered to its share of the language, so a phrase that is frequent in the language is frequent in some
+shard. The union of the shards' phrases are the candidates; a last pass counts all of them in all
+texts. A shard may be of any size: it is mined by length, each length in one pass of all shards, and
+a phrase is only looked at where both phrases one word shorter are frequent in its shard.
+
+The passes read texts in blocks, count inside a block and send the sorted hashes and counts on, cut
+by hash range. Phrases are told apart by a 64-bit hash of language and words; what a filter of bits
+lets through by chance is counted too and falls out by its count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,14 @@ TOP = 2000
 COVER_PERCENT = 100
 #: The language of texts without one.
 NO_LANG = "und"
-#: Bytes of text after which a shard is closed.
-SHARD_BYTES = 32 << 20
-#: Languages whose size the tasks know; phrases of smaller ones are all candidates.
+#: Parts of the texts that are mined on their own.
+SHARDS = 4
+#: Bytes of text that are counted at once, and for which the counts of a group get one more range of hashes.
+BLOCK_BYTES, RANGE_BYTES = 16 << 20, 64 << 20
+#: Languages whose size the tasks know; in smaller ones each phrase counts as frequent in its shard.
 KNOWN_LANGS = 1000
-#: Most bits of the filter for candidates.
-MOST_BITS = 1 << 25
+#: Most bits of the filters.
+MOST_BITS = 1 << 26
 #: Parts in which the phrases of a language are ranked first.
 RANK_PARTS = 64
 #: Bytes at which a text is cut into pieces, and bytes between words.
@@ -44,17 +48,27 @@ CUTS = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 BETWEEN = CUTS | np.isin(np.arange(256), list(b" \t"))
 
 
-class Shard:
+def hash_of(name: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(name.encode(), 1) & MASK
+
+
+def group_of(lang: str, shard: int) -> int:
+    return (hash_of(lang) + shard * PRIME) & MASK
+
+
+class Block:
     """The words of whole texts: hashes with their language, places, and whether the next is in the same piece."""
 
-    def __init__(self, texts: list[pa.Array], langs: list[pa.Array]):
-        names = pc.fill_null(pa.chunked_array(langs).cast(pa.string()), NO_LANG).dictionary_encode().combine_chunks()
-        names = names if isinstance(names, pa.DictionaryArray) else pa.concat_arrays(names.chunks)
+    def __init__(self, texts: list[pa.Array], langs: list[pa.Array], shards: list[pa.Array]):
+        names = pa.concat_arrays([pc.fill_null(x.cast(pa.string()), NO_LANG) for x in langs]).dictionary_encode()
         self.langs = names.dictionary.to_pylist()
         lang = names.indices.to_numpy(zero_copy_only=False)
+        shard = pa.concat_arrays(shards).to_numpy(zero_copy_only=False)
         data, offsets = flat_text(pa.chunked_array(texts))
-        self.sizes = np.bincount(lang, weights=np.diff(offsets), minlength=len(self.langs)).astype(np.int64)
         salt = np.array([hash_of(x) for x in self.langs], dtype=np.uint64)
+        self.group_of_text = salt[lang] + shard.astype(np.uint64) * np.uint64(PRIME)
         self.data, hasher = LOWER[data], Hasher()
         parts: list[tuple[np.ndarray, ...]] = []
         for low, high in slices(offsets):
@@ -64,123 +78,165 @@ class Shard:
             cut = np.cumsum(CUTS[part])[starts] if len(starts) else starts
             joined = np.zeros(len(starts), bool)
             joined[:-1] = (text[1:] == text[:-1]) & (cut[1:] == cut[:-1])
-            of = lang[low:high][text]
-            parts.append((mix(hasher.words(part, starts, ends) ^ salt[of]), starts + offsets[low], ends + offsets[low], joined, of.astype(np.int32)))
-        kinds = (np.uint64, np.int64, np.int64, bool, np.int32)
+            hashes = mix(hasher.words(part, starts, ends) ^ salt[lang[low:high][text]])
+            places = [(x + offsets[low]).astype(np.uint32) for x in (starts, ends)]
+            parts.append((hashes, *places, joined, np.bincount(text, minlength=high - low)))
+        kinds = (np.uint64, np.uint32, np.uint32, bool, np.int64)
         found = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind) for i, kind in enumerate(kinds)]
-        self.hashes, self.starts, self.ends, self.joined, self.lang = found
-        self.bytes = self.data.tobytes()
+        self.hashes, self.starts, self.ends, self.joined, words_of_text = found
+        self.groups = np.repeat(self.group_of_text, words_of_text)
+        self.words_of_lang = np.bincount(lang, weights=words_of_text, minlength=len(self.langs)).astype(np.int64)
 
     def spelled(self, at: np.ndarray, size: int) -> list[str]:
         """The words from each place on, with one blank between them."""
-        ends = [self.ends[at + i].tolist() for i in range(size)]
-        starts = [self.starts[at + i].tolist() for i in range(size)]
-        return [b" ".join([self.bytes[a:b] for a, b in zip(s, e, strict=True)]).decode() for s, e in zip(zip(*starts, strict=True), zip(*ends, strict=True), strict=True)]
-
-    def longer(self, ok: np.ndarray, size: int) -> np.ndarray:
-        """Places of phrases of ``size`` words whose two shorter phrases are ``ok``."""
-        both = ok[:-1] & ok[1:]
-        return np.flatnonzero(both & self.joined[:-1] if size == 2 else both)
-
-    def grown(self, hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-        """Hashes of the phrases at the places, from those of the phrases one word shorter there."""
-        return mix(hashes[at] * np.uint64(PRIME) + self.hashes[at + size - 1])
-
+        view = memoryview(self.data)
+        columns = [x[at + i].tolist() for i in range(size) for x in (self.starts, self.ends)]
+        return [b" ".join([view[a:b] for a, b in zip(row[::2], row[1::2], strict=True)]).decode() for row in zip(*columns, strict=True)]
+
+    def phrases(self, longest: int, known: np.ndarray | None, by_shard: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(words, places, hashes) of the phrases of each length whose shorter ones are all ``known``."""
+        hashes, ok = self.hashes, np.ones(len(self.hashes), bool)
+        at = np.arange(len(hashes))
+        for size in range(1, longest + 1):
+            if size > 1:
+                both = ok[:-1] & ok[1:]
+                at = np.flatnonzero(both & self.joined[:-1] if size == 2 else both)
+                if size == 2:
+                    hashes = hashes.copy()
+                hashes[at] = mix(hashes[at] * np.uint64(PRIME) + self.hashes[at + size - 1])
+            if not len(at):
+                return
+            yield size, at, hashes[at]
+            if size < longest:
+                ok = np.zeros(len(hashes), bool)
+                ok[at] = True if known is None else has_bit(known, keys_of(hashes[at], self.groups[at] if by_shard else None))
 
-def hash_of(name: str) -> int:
-    import xxhash
 
-    return xxhash.xxh64_intdigest(name.encode(), 1) & MASK
+def keys_of(hashes: np.ndarray, groups: np.ndarray | None) -> np.ndarray:
+    """What a phrase has a bit for: itself, or itself in its shard."""
+    return hashes if groups is None else mix(hashes ^ groups)
 
 
-def shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[Shard]:
-    """The batches' texts (column 0) and languages (column 1), in shards."""
-    texts, langs, held = [], [], 0
+def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Block]:
+    """The batches' columns text, language and shard in blocks, which end with the text that fills them."""
+    held: list[list[pa.Array]] = [[], [], []]
+    size = 0
     for batch in batches:
-        if batch.num_rows:
-            texts.append(batch.column(0).cast(pa.large_binary()))
-            langs.append(batch.column(1))
-            held += texts[-1].nbytes
-        if held >= shard_bytes:
-            yield Shard(texts, langs)
-            texts, langs, held = [], [], 0
-    if texts:
-        yield Shard(texts, langs)
-
-
-def frequent(shard: Shard, support: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, hashes, first places) of the phrases with at least the support of their language."""
-    n = len(shard.hashes)
-    hashes = shard.hashes.copy()
-    at, key = np.arange(n), shard.hashes
-    for size in range(1, longest + 1):
-        if size > 1:
-            at = shard.longer(number >= 0, size)
-            hashes[at] = shard.grown(hashes, at, size)
-            key = number[at].astype(np.int64) * n + number[at + 1]
-        if not len(at):
-            return
-        _, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        kept = counts >= support[shard.lang[at[first]]]
-        yield size, hashes[at[first[kept]]], at[first[kept]]
-        again = (np.cumsum(kept) - 1)[inverse]
-        number = np.full(n, -1, np.int32)
-        mine = kept[inverse]
-        number[at[mine]] = again[mine]
-
-
-def candidates(rows: DataFrame, totals: dict[str, int], min_count: int, longest: int, shard_bytes: int) -> DataFrame:
-    """(lang, size, hash, words, n): the phrases frequent in each shard, and rows of size 0 with the words of a language."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, shard_bytes):
-            support = np.array([-(-min_count * int(b) // totals[x]) if totals.get(x) else 1 for x, b in zip(shard.langs, shard.sizes, strict=True)])
-            names = np.array(shard.langs, dtype=object)
-            words = np.bincount(shard.lang, minlength=len(names))
-            yield batch_of(names, 0, np.zeros(len(names), np.uint64), [None] * len(names), words)
-            for size, hashes, at in frequent(shard, np.maximum(support, 1), longest):
-                yield batch_of(names[shard.lang[at]], size, hashes, shard.spelled(at, size), np.zeros(len(at), np.int64))
-
-    def batch_of(langs: np.ndarray, size: int, hashes: np.ndarray, words: list, n: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(langs.tolist(), pa.string()), pa.array([size] * len(langs), pa.int32()), pa.array(hashes.view(np.int64)), pa.array(words, pa.string()), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "size", "hash", "words", "n"])
-
-    return rows.mapInArrow(run, "lang string, size int, hash long, words string, n long")
-
-
-def counts(rows: DataFrame, known: np.ndarray, longest: int, shard_bytes: int) -> DataFrame:
-    """(hash, n): how often each shard has each phrase whose bit the candidates set."""
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first, before = 0, 0
+        while first < batch.num_rows:
+            last = min(int(np.searchsorted(upto, before + block_bytes - size)) + 1, batch.num_rows)
+            for column, kept in zip(batch.columns, held, strict=True):
+                kept.append(column.slice(first, last - first))
+            size += int(upto[last - 1]) - before
+            first, before = last, int(upto[last - 1])
+            if size >= block_bytes:
+                block = Block([x.cast(pa.large_binary()) for x in held[0]], *held[1:])
+                held, size = [[], [], []], 0
+                yield block
+                del block
+    if held[0]:
+        yield Block([x.cast(pa.large_binary()) for x in held[0]], *held[1:])
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Sorted numbers by byte planes: their high bytes hardly change, which the shuffle's codec uses."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unplaned(columns: pa.ChunkedArray, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(width, -1).T.copy().view(kind)[:, 0] for x in columns])
+
+
+def frequent(rows: DataFrame, sizes: list[int], known: np.ndarray | None, by_shard: bool, support: dict[int, int], otherwise: int, ranges: int, block_bytes: int) -> DataFrame:
+    """(key, hash, n): the phrases of some lengths with at least the support of their group, or ``otherwise``.
+
+    Groups are languages, or languages in shards. Only phrases whose shorter ones are all ``known``
+    are counted.
+    """
+    shift = np.uint64(64 - max(1, (ranges - 1).bit_length()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, block_bytes):
+            for size, at, hashes in block.phrases(max(sizes), known, by_shard):
+                if size not in sizes:
+                    continue
+                mine = block.groups[at]
+                for group in np.unique(mine).tolist():
+                    found, times = np.unique(hashes[mine == np.uint64(group)], return_counts=True)
+                    edges = np.searchsorted(found >> shift, np.arange(1 << (64 - int(shift)), dtype=np.uint64))
+                    cuts = [c for c in zip(range(len(edges)), edges.tolist(), [*edges.tolist()[1:], len(found)], strict=True) if c[1] < c[2]]
+                    signed = group - (1 << 64) if group >> 63 else group
+                    columns = [
+                        pa.array([signed] * len(cuts), pa.int64()),
+                        pa.array([r for r, _, _ in cuts], pa.int32()),
+                        pa.array([planes(found[a:b]) for _, a, b in cuts], pa.binary()),
+                        pa.array([planes(times[a:b].astype(np.uint32)) for _, a, b in cuts], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "cut", "hashes", "times"])
+
+    def total(table: pa.Table) -> pa.Table:
+        group = table.column("part")[0].as_py() & MASK
+        hashes, times = unplaned(table.column("hashes"), np.uint64), unplaned(table.column("times"), np.uint32)
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        begins = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        sums = np.add.reduceat(times[order].astype(np.int64), begins)
+        kept = sums >= support.get(group, otherwise)
+        found = hashes[begins[kept]]
+        keys = keys_of(found, np.uint64(group) if by_shard else None)
+        return pa.table({"key": keys.view(np.int64), "hash": found.view(np.int64), "n": sums[kept]})
+
+    counted = rows.mapInArrow(count, "part long, cut int, hashes binary, times binary")
+    return counted.groupBy("part", "cut").applyInArrow(total, "key long, hash long, n long")
+
+
+def spelled(rows: DataFrame, known: np.ndarray, longest: int, block_bytes: int) -> DataFrame:
+    """(lang, hash, words, size, n): each block's known phrases, and a row without words for the words of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, shard_bytes):
-            hashes, at = shard.hashes.copy(), np.arange(len(shard.hashes))
-            for size in range(1, longest + 1):
-                if size > 1:
-                    at = shard.longer(ok, size)
-                    hashes[at] = shard.grown(hashes, at, size)
-                if not len(at):
-                    break
-                at = at[has_bit(known, hashes[at])]
-                ok = np.zeros(len(hashes), bool)
-                ok[at] = True
-                found, times = np.unique(hashes[at], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times, pa.int64())], names=["hash", "n"])
-
-    return rows.mapInArrow(run, "hash long, n long")
-
-
-def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+        for block in blocks(batches, block_bytes):
+            yield batch_of(block.langs, [0] * len(block.langs), [None] * len(block.langs), 0, block.words_of_lang.tolist())
+            names = dict(zip([hash_of(x) for x in block.langs], block.langs, strict=True))
+            for size, at, hashes in block.phrases(longest, known, False):
+                hashes, first = np.unique(hashes, return_index=True)
+                told = has_bit(known, hashes)
+                hashes, at = hashes[told], at[first[told]]
+                langs = [names[g] for g in block.groups[at].tolist()]
+                yield batch_of(langs, hashes.view(np.int64).tolist(), block.spelled(at, size), size, [0] * len(at))
+
+    def batch_of(langs: list, hashes: list, words: list, size: int, n: list) -> pa.RecordBatch:
+        columns = [pa.array(langs, pa.string()), pa.array(hashes, pa.int64()), pa.array(words, pa.string()), pa.array([size] * len(langs), pa.int32()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "hash", "words", "size", "n"])
+
+    return rows.mapInArrow(run, "lang string, hash long, words string, size int, n long")
+
+
+def frequent_phrases(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, longest: int = LONGEST, shards: int = SHARDS, block_bytes: int = BLOCK_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """(lang, size, words, f) of all phrases up to ``longest`` words with f >= ``min_count``, and (lang, n)."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).orderBy(F.desc_nulls_last("b")).limit(KNOWN_LANGS)
-    totals = {r["lang"]: int(r["b"] or 0) for r in sizes.collect()}
-    mined = candidates(rows, totals, min_count, longest, shard_bytes)
-    union = keep(mined.groupBy("lang", "size", "hash").agg(F.min("words").alias("words"), F.sum("n").alias("n")))
-    wanted = union.filter("size > 0")
-    counted = counts(rows, bit_filter(wanted, "hash", MOST_BITS, 8), longest, shard_bytes)
-    total = counted.groupBy("hash").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-    found = keep(wanted.join(total, "hash").select("lang", "size", "words", "f"))
-    return found, union.filter("size = 0").select("lang", "n")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(text.alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.pmod(F.xxhash64(text), F.lit(shards)).cast("int").alias("shard"))
+    bytes_of = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), *[F.sum(F.when(F.col("shard") == i, F.octet_length("text"))).alias(f"b{i}") for i in range(shards)])
+    sizes = keep(bytes_of)
+    largest = sizes.orderBy(F.desc_nulls_last("b"), "lang").limit(KNOWN_LANGS).filter("b > 0").collect()
+    support = {group_of(r["lang"], i): max(1, -(-min_count * (r[f"b{i}"] or 0) // r["b"])) for r in largest for i in range(shards)}
+    ranges = max(1, (sizes.agg(F.sum("b")).first()[0] or 0) // RANGE_BYTES)
+
+    mined, known = [], None
+    for size in range(1, longest + 1):
+        mined.append(keep(frequent(rows, [size], known, True, support, 1, ranges, block_bytes)))
+        if size < longest:
+            known = bit_filter(reduce(DataFrame.union, mined), "key", MOST_BITS, 8)
+    candidates = bit_filter(reduce(DataFrame.union, mined), "hash", MOST_BITS, 8)
+    plain = rows.withColumn("shard", F.lit(0))
+    total = keep(frequent(plain, list(range(1, longest + 1)), candidates, False, {}, min_count, ranges, block_bytes).select("hash", F.col("n").alias("f")))
+    texts = spelled(plain, bit_filter(total, "hash", MOST_BITS, 8), longest, block_bytes)
+    texts = keep(texts.groupBy("lang", "hash", "size").agg(F.min("words").alias("words"), F.sum("n").alias("n")))
+    found = keep(texts.filter("size > 0").join(total, "hash").select("lang", "size", "words", "f"))
+    return found, texts.filter("size = 0").select("lang", "n")
 
 
 def collocations(
@@ -191,7 +247,8 @@ def collocations(
     longest: int = LONGEST,
     top: int = TOP,
     cover_percent: int = COVER_PERCENT,
-    shard_bytes: int = SHARD_BYTES,
+    shards: int = SHARDS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(lang, rank, phrase, k, a, l, r, n, score): the best phrases of 2 to ``longest`` words of each language.
 
@@ -202,7 +259,7 @@ def collocations(
     left out. Equal scores are ordered by a, then by phrase. Null texts have no words, texts without
     a language are ``und``; repeated rows count again; a table without words gives no rows.
     """
-    phrases, words = frequent_phrases(docs, text_col, lang_col, min_count, longest, shard_bytes)
+    phrases, words = frequent_phrases(docs, text_col, lang_col, min_count, longest, shards, block_bytes)
     parts = F.split("words", " ")
     joined = lambda first, n: F.array_join(F.slice(parts, first, n), " ")
     long = phrases.filter("size >= 2")
