@@ -8,14 +8,17 @@ enter the plan as literals that reach the scan.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.functions import exact_quantiles, name_col, null_if_nan
 from demandloom.functions.expr import numeric_columns
+from demandloom.session import checkpoint
 
 MAD_TO_SIGMA = 1.4826
 
@@ -166,50 +169,101 @@ POWER_METHODS = {
     "yeo-johnson": (_yeo_johnson, lambda x: F.signum(x) * F.log1p(F.abs(x))),
 }
 GRID_POINTS = 41
+#: Points of the grids that follow the first one.
+FINE_POINTS = 9
 MAX_EXPONENT = 30
 
 
+def _powers(method: str, x: np.ndarray, lam: float) -> np.ndarray:
+    """The transforms above, for an array."""
+    if method == "box-cox":
+        return np.log(x) if lam == 0 else (np.power(x, lam) - 1) / lam
+    up, down = np.maximum(x, 0), np.minimum(x, 0)
+    high = np.log1p(up) if lam == 0 else (np.power(up + 1, lam) - 1) / lam
+    low = -np.log1p(-down) if lam == 2 else -(np.power(1 - down, 2 - lam) - 1) / (2 - lam)
+    return np.where(x >= 0, high, low)
+
+
+def _variances(values: DataFrame, method: str, cells: list[tuple[int, int, float]]) -> dict[tuple[int, int], float]:
+    """The variance of column x<i> under each exponent of the cells (i, k, exponent).
+
+    One scan: a task sends number, mean and sum of squares of each cell. Squares are about the task's
+    own mean and then moved to the common one, so large values lose no digits.
+    """
+    columns = sorted({i for i, _, _ in cells})
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {(i, k): (0, 0.0, 0.0) for i, k, _ in cells}
+        for batch in batches:
+            for place, i in enumerate(columns):
+                x = batch.column(place).drop_null().to_numpy(zero_copy_only=False)
+                for lam, k in [(c[2], c[1]) for c in cells if c[0] == i and len(x)]:
+                    with np.errstate(all="ignore"):  # a sum beyond all numbers makes its exponent useless, see below
+                        y = _powers(method, x, lam)
+                        n, mean, square = sums[i, k]
+                        new = y.mean()
+                        total, off = n + len(y), new - mean
+                        sums[i, k] = (total, mean + off * len(y) / total, square + ((y - new) ** 2).sum() + off * off * n * len(y) / total)
+        found = [(i, k, *v) for (i, k), v in sums.items() if v[0]]
+        yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], kind) for c, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()))], names=["i", "k", "n", "mean", "square"])
+
+    parts = checkpoint(values.select(*[f"x{i}" for i in columns]).mapInArrow(partial, "i int, k int, n long, mean double, square double"))
+    means = parts.groupBy("i", "k").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("common"))
+    moved = F.sum(F.col("square") + F.col("n") * F.pow(F.col("mean") - F.col("common"), F.lit(2.0))) / F.sum("n")
+    return {(r["i"], r["k"]): r["v"] for r in parts.join(means, ["i", "k"]).groupBy("i", "k").agg(moved.alias("v")).collect()}
+
+
 def fit_power(df: DataFrame, columns: Sequence[str], method: str = "box-cox", passes: int = 4) -> dict[str, float]:
     """The exponent per column with the highest normal log-likelihood.
 
-    Each pass scores a grid of exponents for all columns in one aggregation without keys, so that each
-    task sends one row; the next pass searches between the neighbours of the best one, or beyond it
-    at an edge. A column without a best exponent up to ``MAX_EXPONENT`` is an error.
+    Each pass scores a grid of exponents for all columns in one scan. The first grid is moved on while
+    its best point is at an edge; from then on a few points lie about the top of the parabola through
+    the best point and its neighbours, closer each time. A column without a best exponent up to
+    ``MAX_EXPONENT`` is an error.
     """
-    transform, jacobian = POWER_METHODS[method]
+    jacobian = POWER_METHODS[method][1]
     values = df.select(*[null_if_nan(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     facts = [a for i in range(len(columns)) for a in (F.count(f"x{i}").alias(f"n{i}"), F.sum(jacobian(F.col(f"x{i}"))).alias(f"j{i}"))]
     row = values.agg(*facts).first()
     sums = {i: (row[f"n{i}"], row[f"j{i}"]) for i in range(len(columns)) if row[f"n{i}"]}
-    spans = {i: (-2.0, 2.0) for i in sums}
+    grids = {i: [round(-2.0 + 4.0 * k / (GRID_POINTS - 1), 12) for k in range(GRID_POINTS)] for i in sums}
     best = {i: 1.0 for i in range(len(columns))}
-    done = 0
-    while spans and done < passes:
-        grids = {i: [a + (b - a) * k / (GRID_POINTS - 1) for k in range(GRID_POINTS)] for i, (a, b) in spans.items()}
-        cells = [(i, k, round(lam, 12)) for i, grid in grids.items() for k, lam in enumerate(grid)]
-        scored = values.agg(*[F.var_pop(transform(F.col(f"x{i}"), F.lit(lam))).alias(f"v{i}_{k}") for i, k, lam in cells]).first()
-        top: dict[int, tuple[float, int]] = {}
-        for i, k, _ in cells:
-            var = scored[f"v{i}_{k}"]
-            if var is not None and 0 < var < math.inf:
-                n, j = sums[i]
-                top[i] = max(top.get(i, (-math.inf, 0)), (-n / 2 * math.log(var) + (grids[i][k] - 1) * j, k))
-        spans = {i: s for i, s in spans.items() if i in top}
-        at_edge = False
-        for i, (_, k) in top.items():
-            grid = grids[i]
-            best[i] = round(grid[k], 12)
-            step, half = grid[1] - grid[0], (grid[-1] - grid[0]) / 2
-            edge = k in (0, GRID_POINTS - 1)
-            if edge and abs(grid[k]) >= MAX_EXPONENT:
-                raise ValueError(f"{columns[i]} has no best exponent up to {MAX_EXPONENT}")
-            at_edge |= edge
-            spans[i] = (grid[k] - half, grid[k] + half) if edge else (grid[k] - step, grid[k] + step)
-        if not at_edge:
-            done += 1
+    done = dict.fromkeys(sums, 0)
+    while grids:
+        found = _variances(values, method, [(i, k, lam) for i, grid in grids.items() for k, lam in enumerate(grid)])
+        for i, grid in list(grids.items()):
+            n, j = sums[i]
+            score = {k: -n / 2 * math.log(v) + (lam - 1) * j for k, lam in enumerate(grid) if (v := found.get((i, k))) is not None and 0 < v < math.inf}
+            if not score:
+                del grids[i]
+                continue
+            k = max(score, key=lambda k: (score[k], -k))
+            best[i], step = grid[k], grid[1] - grid[0]
+            if not done[i] and k in (0, len(grid) - 1):
+                if abs(grid[k]) >= MAX_EXPONENT:
+                    raise ValueError(f"{columns[i]} has no best exponent up to {MAX_EXPONENT}")
+                half = (grid[-1] - grid[0]) / 2
+                grids[i] = [round(grid[k] - half + 2 * half * p / (GRID_POINTS - 1), 12) for p in range(GRID_POINTS)]
+                continue
+            done[i] += 1
+            if passes > 1:
+                best[i] = grid[k] + _top(score, k) * step
+            if done[i] >= passes:
+                del grids[i]
+            else:
+                half = step if done[i] == 1 else step / 4
+                grids[i] = [best[i] - half + 2 * half * p / (FINE_POINTS - 1) for p in range(FINE_POINTS)]
     return {c: best[i] for i, c in enumerate(columns)}
 
 
+def _top(score: Mapping[int, float], k: int) -> float:
+    """Where the parabola through a best point and its neighbours is highest, in steps from the point."""
+    if k - 1 not in score or k + 1 not in score:
+        return 0.0
+    bend = score[k - 1] - 2 * score[k] + score[k + 1]
+    return max(-1.0, min(1.0, (score[k - 1] - score[k + 1]) / (2 * bend))) if bend < 0 else 0.0
+
+
 def power_transform(df: DataFrame, columns: Sequence[str] | None = None, method: str = "box-cox") -> DataFrame:
     """Box-Cox or Yeo-Johnson with the fitted exponent, then standardised."""
     names = list(columns or numeric_columns(df))

@@ -168,6 +168,22 @@ def power_exponents(spark, sf):
     return spark.createDataFrame(list(best.items()), "name string, exponent double")
 
 
+def _fine_exponent_sql(column: str) -> str:
+    """Three grids, each about the best point of the one before."""
+    score = f"-count(*) / 2 * ln(var_pop(CASE WHEN lam = 0 THEN ln({column}) ELSE (pow({column}, lam) - 1) / lam END)) + (lam - 1) * sum(ln({column}))"
+    grid = lambda around, step, half: f"SELECT arg_max(lam, score) AS lam FROM (SELECT lam, {score} AS score FROM lineitem, (SELECT {around} + {step} * unnest(generate_series(-{half}, {half})) AS lam) GROUP BY lam)"
+    first = grid("0.0", 0.1, 20)
+    second = grid(f"({first})", 0.005, 20)
+    return f"SELECT '{column}' AS name, round(lam, 3) AS exponent FROM ({grid(f'({second})', 0.0002, 25)})"
+
+
+@query("power_exponents_fine", _fine_exponent_sql("l_extendedprice") + " UNION ALL " + _fine_exponent_sql("l_quantity"))
+def power_exponents_fine(spark, sf):
+    """The best exponents to three digits."""
+    best = C.fit_power(V.table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"], "box-cox")
+    return spark.createDataFrame([(c, round(lam, 3)) for c, lam in best.items()], "name string, exponent double")
+
+
 @query(
     "power_transform_moments",
     "SELECT count(*) AS n, round(count(*) * 0.0, 6)::DOUBLE AS mean, round(count(*) / count(*), 6)::DOUBLE AS spread FROM customer",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from demandloom.operators import maintenance as M
 from demandloom.operators import relational as R
+from demandloom.operators import versioned as W
 from demandloom.plans import views as V
 from demandloom.plans.registry import query
 from demandloom.session import scratch_path
@@ -258,6 +259,54 @@ def sync_dimension(spark, sf):
     return M.sync_dimension(updates, target, "id", "seq")
 
 
+@query(
+    "versioned_update",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' AND o_totalprice < 100000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+              CASE WHEN o_orderstatus = 'P' AND o_totalprice < 100000 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders""",
+)
+def versioned_update(spark, sf):
+    path = scratch_path(spark, "versioned")
+    W.create(V.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path, "o_orderkey", 8)
+    W.update_where(spark, path, {"o_orderstatus": "P", "o_totalprice__lt": 100000}, {"o_orderstatus": "X", "o_totalprice": 0})
+    return W.read(spark, path)
+
+
+@query(
+    "versioned_delete",
+    "SELECT id, name FROM customers WHERE id NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
+    ["customers"],
+)
+def versioned_delete(spark, sf):
+    path = scratch_path(spark, "versioned")
+    W.create(V.customers(spark, sf).select("id", "name"), path, "id", 8)
+    W.delete_keys(spark, path, V.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey"))
+    return W.read(spark, path)
+
+
+@query("versioned_upsert", UPSERT_SQL, ["customers"])
+def versioned_upsert(spark, sf):
+    path = scratch_path(spark, "versioned")
+    W.create(V.customers(spark, sf).select("id", "name", "ltv"), path, "id", 8)
+    W.upsert_rows(spark, path, _customer_updates(spark, sf), "seq")
+    return W.read(spark, path)
+
+
+@query(
+    "versioned_parts",
+    """WITH cut AS (SELECT quantile_disc(o_orderkey, 0.9) AS k FROM orders)
+       SELECT o_orderkey, CASE WHEN o_orderkey > k AND o_orderkey % 2 = 0 THEN 'late' ELSE o_orderstatus END AS o_orderstatus FROM orders, cut
+       WHERE NOT (o_orderkey > k AND o_orderkey % 5 = 0)""",
+)
+def versioned_parts(spark, sf):
+    """Updates of the last tenth of the keys only, of which an upsert, a delete and the parts in between make three versions."""
+    path, orders = scratch_path(spark, "versioned"), V.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    W.create(orders, path, "o_orderkey", 8)
+    late = orders.filter(F.col("o_orderkey") > orders.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY o_orderkey)").alias("k")).scalar())
+    W.upsert_rows(spark, path, late.filter("o_orderkey % 2 = 0").select("o_orderkey", F.lit("late").alias("o_orderstatus")))
+    W.delete_keys(spark, path, late.filter("o_orderkey % 5 = 0").select("o_orderkey"))
+    return W.read(spark, path)
+
+
 @query(
     "describe_columns",
     """SELECT name, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type,

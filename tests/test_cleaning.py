@@ -61,6 +61,11 @@ def test_power_transform(spark):
     assert abs(out.mean()) < 1e-9 and abs(out.std() - 1) < 1e-9
     lam = C.fit_power(df.withColumn("x", F.col("x") - 3), ["x"], "yeo-johnson")["x"]
     assert -2 < lam < 2
+    for method, values, found in (("box-cox", data, C.fit_power(df, ["x"])["x"]), ("yeo-johnson", data - 3, lam)):
+        log_of = np.log(values).sum() if method == "box-cox" else (np.sign(values) * np.log1p(np.abs(values))).sum()
+        score = lambda t: -len(values) / 2 * np.log(C._powers(method, values, t).var()) + (t - 1) * log_of  # noqa: B023, E731
+        fine = found + np.arange(-200, 201) * 1e-6
+        assert abs(fine[np.argmax([score(t) for t in fine])] - found) < 3e-6
     with pytest.raises(ValueError, match="positive"):
         C.power_transform(df.withColumn("x", -F.col("x")))
     with pytest.raises(ValueError, match="numeric"):

@@ -121,3 +121,30 @@ def test_writers(spark, people, tmp_path):
 def test_search_any_ignores_nulls(people):
     assert R.search_any(people, "null").count() == 0
     assert people.filter(F.lit(True)).count() == 4
+
+
+def test_updates_leave_untouched_parts_alone(spark, tmp_path):
+    from demandloom.operators import versioned as W
+
+    path = str(tmp_path / "t")
+    W.create(spark.range(1000).select("id", (F.col("id") * 2).alias("v"), F.lit("a").alias("s")), path, "id", 10)
+    first = W.latest(spark, path)
+    assert len(first.folders) == 10 and W.read(spark, path).count() == 1000
+    files = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "t" / "data").rglob("*.parquet")}
+    before = files()
+    assert W.update_where(spark, path, {"id__gte": 995}, {"s": "b"}) == 1
+    assert W.upsert_rows(spark, path, spark.createDataFrame([(5, -1, None), (5000, 1, "new")], "id long, v long, s string")) == 2
+    assert W.delete_keys(spark, path, spark.createDataFrame([(5,), (77777,)], "key long")) == 1
+    assert W.delete_keys(spark, path, spark.createDataFrame([(77777,)], "key long")) == 0
+    after = files()
+    assert all(after[f] == t for f, t in before.items())  # old files stay, and as they were
+    last = W.latest(spark, path)
+    assert last.number == 4 and sum(last.folders[p] == first.folders[p] for p in first.folders) == 8
+    got = {r.id: (r.v, r.s) for r in W.read(spark, path).collect()}
+    assert got == {i: (i * 2, "b" if i >= 995 else "a") for i in range(1000) if i != 5} | {5000: (1, "new")}
+    with pytest.raises(W.Conflict):
+        W._commit(spark, first, first.rows(spark, [0]), [0])
+    assert W.delete_keys(spark, path, W.read(spark, path).select("id")) == 10
+    assert W.read(spark, path).count() == 0 and W.read(spark, path).columns == ["id", "v", "s"]
+    assert W.upsert_rows(spark, path, spark.createDataFrame([(3, 1, "x")], "id long, v long, s string")) == 1
+    assert rows(W.read(spark, path)) == [(3, 1, "x")]
