@@ -37,6 +37,10 @@ SHRINK = 1.4
 PIECE = 1024
 #: Candidate centres whose distances are taken at once.
 BATCH = 64
+#: Inner products below this are whole numbers in floating point; larger ones are taken in Python's integers.
+EXACT = 2.0**53
+#: What stands for no score, and the largest that is told; a score beyond 64 bits is cut to it.
+NONE, MOST = -(2**63), 2**63 - 1
 
 
 @dataclass
@@ -121,8 +125,11 @@ class Search:
     def __init__(self, queries: Tree, data: Tree, query_ids: np.ndarray, data_ids: np.ndarray, k: int):
         self.queries, self.data, self.k = queries, data, k
         self.query_ids, self.data_ids = query_ids, data_ids
+        self.repeated = len(np.unique(data_ids)) < len(data_ids)
         n = len(query_ids)
-        self.scores = np.full((n, k), -np.inf)
+        self.exact = float(np.abs(queries.points).max()) * float(np.abs(data.points).max()) * queries.points.shape[1] < EXACT
+        self.none = -np.inf if self.exact else NONE
+        self.scores = np.full((n, k), self.none, dtype=np.float64 if self.exact else np.int64)
         self.found = np.zeros((n, k), np.int64)
         self.query_norm = np.sqrt((queries.points[queries.centre] ** 2).sum(axis=1))
         self.data_norm = np.sqrt((data.points[data.centre] ** 2).sum(axis=1))
@@ -130,25 +137,43 @@ class Search:
         self.slack = 1e-9 * (1 + float(np.abs(queries.points).max()) * float(np.abs(data.points).max()) * queries.points.shape[1])
 
     def offer(self, queries: np.ndarray, rows: np.ndarray) -> None:
-        """Put the scores of the rows into the best of the queries; equal scores go to smaller ids."""
-        scores = self.queries.points[queries] @ self.data.points[rows].T
+        """Put the scores of the rows into the best of the queries; equal scores go to smaller ids.
+
+        An id with several vectors takes one place, by its best score.
+        """
+        scores = self.products(queries, rows)
         ids = np.broadcast_to(self.data_ids[rows], scores.shape)
-        scores = np.where(ids == self.query_ids[queries][:, None], -np.inf, scores)
+        scores = np.where(ids == self.query_ids[queries][:, None], self.none, scores)
         scores = np.concatenate([self.scores[queries], scores], axis=1)
         ids = np.concatenate([self.found[queries], ids], axis=1)
+        if self.repeated:
+            order = np.lexsort((self.falling(scores), ids), axis=1)
+            scores, ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+            scores[:, 1:][ids[:, 1:] == ids[:, :-1]] = self.none
         if scores.shape[1] > 4 * self.k:
-            worst = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
-            wide = int((scores >= worst[:, None]).sum(axis=1).max())
-            pick = np.argpartition(-scores, min(wide, scores.shape[1]) - 1, axis=1)[:, :wide]
+            falling = self.falling(scores)
+            worst = np.partition(falling, self.k - 1, axis=1)[:, self.k - 1]
+            wide = int((falling <= worst[:, None]).sum(axis=1).max())
+            pick = np.argpartition(falling, min(wide, scores.shape[1]) - 1, axis=1)[:, :wide]
             scores, ids = np.take_along_axis(scores, pick, axis=1), np.take_along_axis(ids, pick, axis=1)
-        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
+        order = np.lexsort((ids, self.falling(scores)), axis=1)[:, : self.k]
         self.scores[queries] = np.take_along_axis(scores, order, axis=1)
         self.found[queries] = np.take_along_axis(ids, order, axis=1)
 
+    def products(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        if self.exact:
+            return self.queries.points[queries] @ self.data.points[rows].T
+        whole = [np.array([list(map(int, v)) for v in points.tolist()], dtype=object) for points in (self.queries.points[queries], self.data.points[rows])]
+        return np.clip(whole[0] @ whole[1].T, NONE + 1, MOST).astype(np.int64)
+
+    def falling(self, scores: np.ndarray) -> np.ndarray:
+        """Numbers that order the scores from the highest on."""
+        return -scores if self.exact else ~scores
+
     def prune(self, q: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The data nodes that may improve some query of node q, with their bounds, best first."""
         t, d = self.queries, self.data
-        worst = self.scores[t.members[t.first[q] : t.last[q]], -1].min()
+        worst = float(self.scores[t.members[t.first[q] : t.last[q]], -1].min())
         bound = t.points[t.centre[q]] @ d.points[d.centre[nodes]].T
         bound = bound + t.radius[q] * self.data_norm[nodes] + d.radius[nodes] * self.query_norm[q] + t.radius[q] * d.radius[nodes] + self.slack
         order = np.argsort(-bound, kind="stable")
@@ -194,18 +219,15 @@ def search(query_ids: np.ndarray, queries: np.ndarray, data_ids: np.ndarray, dat
     """(query id, vector id, score) of the k best vectors of each query, other than those of its own id."""
     if not len(query_ids) or not len(data_ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    largest = max(float(np.abs(queries).max()), 1) * max(float(np.abs(data).max()), 1) * queries.shape[1]
-    if largest >= 2**53:
-        raise ValueError("components are too large for exact scores")
     found = Search(build(queries), build(data), query_ids, data_ids, k)
     found.run()
-    row, place = np.nonzero(np.isfinite(found.scores))
+    row, place = np.nonzero(found.scores != found.none)
     return query_ids[row], found.found[row, place], found.scores[row, place].astype(np.int64)
 
 
 def vectors_of(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
-    return np.floor(SCALE * flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY, block_vectors: int = BLOCK_VECTORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -214,19 +236,25 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Components x become floor(256 x). Queries are the rows whose id is divisible by ``every``;
     candidates are all rows of the same length and another id. Equal scores go to smaller ids. Rows
     whose id or vector is null, or whose vector is empty or holds null or non-finite components,
-    take no part. Rows repeated with id and vector count once; of two vectors with one id both are
-    candidates, and the better score counts where that id asks. Fewer candidates give fewer rows; an
-    empty table gives none.
+    take no part. Of several vectors with one id all are candidates, and the best score counts, also
+    where that id asks. Scores are exact; beyond 64 bits they are cut to the largest or least long.
+    Vectors with such large components are searched apart from the others, in Python's integers.
+    Fewer candidates give fewer rows; an empty table gives none.
     """
     kept = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.filter(F.col(id_col).isNotNull() & kept & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = keep(rows.distinct().withColumn("dim", F.size("v")))
-    counts = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
+    whole = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.when(F.abs(x * SCALE) < EXACT, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE))
+    rows = vectors.filter(F.col(id_col).isNotNull() & kept & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
+    rows = rows.filter(F.forall("v", lambda x: F.abs(x) < float("inf"))).distinct().withColumn("dim", F.size("v"))
+    limit = F.sqrt(F.lit(EXACT) / F.col("dim"))
+    rows = keep(rows.withColumn("large", F.exists("v", lambda x: F.abs(x) >= limit)))
+    counts = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q"), F.max("large").alias("large")).first()
     data_blocks, query_blocks = max(1, math.ceil(counts["n"] / block_vectors)), max(1, math.ceil(counts["q"] / block_queries))
     block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.select("dim", block(data_blocks).alias("data_block"), copies(query_blocks).alias("query_block"), "vec_id", "v")
-    queries = rows.filter(F.col("vec_id") % every == 0).select("dim", copies(data_blocks).alias("data_block"), block(query_blocks).alias("query_block"), "vec_id", "v")
+    sizes = F.explode(F.array(*map(F.lit, [False, True] if counts["large"] else [False])))  # that of the other side
+    data = rows.select("dim", F.col("large").alias("data_large"), sizes.alias("query_large"), block(data_blocks).alias("data_block"), "vec_id", "v").withColumn("query_block", copies(query_blocks))
+    asking = rows.filter(F.col("vec_id") % every == 0)
+    queries = asking.select("dim", sizes.alias("data_large"), F.col("large").alias("query_large"), block(query_blocks).alias("query_block"), "vec_id", "v").withColumn("data_block", copies(data_blocks))
 
     def run(asked: pa.Table, given: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64)] * 3
@@ -236,7 +264,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             out = search(ids[0], vectors_of(asked.column("v"), dim), ids[1], vectors_of(given.column("v"), dim), k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out), strict=True)))
 
-    keys = ["dim", "data_block", "query_block"]
+    keys = ["dim", "data_large", "query_large", "data_block", "query_block"]
     found = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
