@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: How a turn is written: role, then text.
 HEAD, MIDDLE, TAIL = "<|", "|>\n", "\n<|end|>\n"
@@ -23,27 +24,26 @@ def rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(head(t), t["text"], F.lit(TAIL))), "")
 
 
-def learned_spans(turns: Column, before: Column) -> Column:
+def learned_spans(turns: Column, ends: Column) -> Column:
     """(start, end) of what is learned of each assistant turn, from its text to the end of its tail.
 
-    Characters are counted from the begin of the prompt, which has ``before`` of them.
+    ``ends`` are where the turns end, counted in characters from the begin of the prompt.
     """
-    lengths = F.transform(turns, lambda t: F.length(head(t)) + F.length(t["text"]) + len(TAIL))
-
-    def span(turn: Column, i: Column) -> Column:
-        start = before + F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, b: a + b)
-        learned = turn["role"] == LEARNED
-        return F.struct(learned.alias("learned"), (start + F.length(head(turn))).cast("long").alias("start"), (start + F.length(head(turn)) + F.length(turn["text"]) + len(TAIL)).cast("long").alias("end"))
-
-    return F.transform(F.filter(F.transform(turns, span), lambda s: s["learned"]), lambda s: F.struct(s["start"], s["end"]))
+    spans = F.zip_with(turns, ends, lambda t, e: F.struct((t["role"] == LEARNED).alias("learned"), (e - F.length(t["text"]) - len(TAIL)).alias("start"), e.alias("end")))
+    return F.transform(F.filter(spans, lambda s: s["learned"]), lambda s: F.struct(s["start"], s["end"]))
 
 
 def conversations(turns: DataFrame, pair: Column, side: Column, turn: Column, role: Column, text: Column) -> DataFrame:
-    """(pair_id, side, turns): the turns of each conversation in order, repeated rows once."""
+    """(pair_id, side, turns, ends): the turns of each conversation in order, repeated rows once, and where each ends.
+
+    The ends are running sums over the sorted rows, before these become an array.
+    """
     rows = turns.select(pair.alias("pair_id"), side.alias("side"), turn.alias("turn"), F.coalesce(role.cast("string"), F.lit("")).alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-    one = F.struct("turn", "role", "text")
-    found = rows.filter("pair_id IS NOT NULL AND side IS NOT NULL").distinct().groupBy("pair_id", "side").agg(F.sort_array(F.collect_list(one)).alias("t"))
-    return found.select("pair_id", "side", F.transform("t", lambda t: F.struct(t["role"], t["text"])).alias("turns"))
+    length = F.length(head(F.struct("role"))) + F.length("text") + len(TAIL)
+    upto = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.filter("pair_id IS NOT NULL AND side IS NOT NULL").distinct().withColumn("end", F.sum(length.cast("long")).over(upto))
+    found = rows.groupBy("pair_id", "side").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "end"))).alias("t"))
+    return found.select("pair_id", "side", F.transform("t", lambda t: F.struct(t["role"], t["text"])).alias("turns"), F.transform("t", lambda t: t["end"]).alias("ends"))
 
 
 def preference_pairs(turns: DataFrame, pair: Column, chosen: Column, turn: Column, role: Column, text: Column) -> DataFrame:
@@ -57,22 +57,23 @@ def preference_pairs(turns: DataFrame, pair: Column, chosen: Column, turn: Colum
     gives an empty result.
     """
     sides = conversations(turns, pair, chosen, turn, role, text)
-    both = sides.groupBy("pair_id").agg(F.max(F.when(F.col("side"), F.col("turns"))).alias("c"), F.max(F.when(~F.col("side"), F.col("turns"))).alias("r"))
-    none = F.array().cast(both.schema["c"].dataType)
-    both = both.select("pair_id", F.coalesce("c", none).alias("c"), F.coalesce("r", none).alias("r"))
+    of = {"c": F.col("side"), "r": ~F.col("side")}
+    both = sides.groupBy("pair_id").agg(*[F.max(F.when(side, F.struct("turns", "ends"))).alias(c) for c, side in of.items()])
+    none = F.array().cast(sides.schema["turns"].dataType)
+    ends = [F.coalesce(F.col(f"{c}.ends"), F.array().cast("array<long>")).alias(f"{c}_ends") for c in of]
+    both = both.select("pair_id", *ends, *[F.coalesce(F.col(f"{c}.turns"), none).alias(c) for c in of])
     differs = F.array_position(F.zip_with("c", "r", lambda a, b: a.eqNullSafe(b)), False)
     both = both.withColumn("n", F.when(differs == 0, F.size("c").cast("long")).otherwise(differs - 1).cast("int"))
     rest = lambda name: F.slice(name, F.col("n") + 1, F.size(name))
-    both = both.select("pair_id", "n", rendered(F.slice("c", 1, F.col("n"))).alias("prompt"), rest("c").alias("c"), rest("r").alias("r"))
-    before = F.length("prompt")
+    both = both.select("pair_id", "n", rendered(F.slice("c", 1, F.col("n"))).alias("prompt"), *[rest(c).alias(c) for c in ("c", "r", "c_ends", "r_ends")])
     return both.select(
         "pair_id",
         F.col("n").cast("long").alias("n_prompt_turns"),
         "prompt",
         rendered(F.col("c")).alias("chosen"),
         rendered(F.col("r")).alias("rejected"),
-        learned_spans(F.col("c"), before).alias("chosen_spans"),
-        learned_spans(F.col("r"), before).alias("rejected_spans"),
+        learned_spans(F.col("c"), F.col("c_ends")).alias("chosen_spans"),
+        learned_spans(F.col("r"), F.col("r_ends")).alias("rejected_spans"),
     )
 
 
