@@ -13,11 +13,13 @@ root of the rows, so that neither a bucket nor the list of buckets of one source
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from demandloom.functions.expr import digest
 from demandloom.llm.components import keep
 
 WEIGHTS = (1, 2, 3)
@@ -61,7 +63,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     total = int(rows.agg(F.sum("source_size")).first()[0] or 0)
     rate: Column = F.lit(0.0)
     stopped, before = F.col("source_size") == 0, -1  # an empty source can take nothing
-    for _ in range(10_000):
+    while True:  # each round stops one more source at least
         free = rows.agg(F.sum(F.when(~stopped, F.col("weight"))), F.sum(F.when(stopped, limit)), F.count(F.when(stopped, 1))).first()
         weight, held, count = int(free[0] or 0), int(free[1] or 0), int(free[2])
         if count == before or not weight:
@@ -72,12 +74,14 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return rows.withColumn("target", F.when(stopped, limit.cast("double")).otherwise(rate)), total
 
 
-def placed(sized: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-    """The rows with ``start``, the words before them in their source's order.
+def placed(counted: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """A row for each of the ``copies`` of the rows, with ``start``, the words before it in its source's order.
 
-    Documents are ordered by the MD5 of ``key``, then by key and size.
+    Documents are ordered by the MD5 of ``key``, then by key and size; source, key and size tell rows
+    apart. So rows of one key, of which there may be very many, are one row for each of their sizes
+    here, and a bucket holds few rows whatever the keys are.
     """
-    rows = sized.withColumn("order", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")))
+    rows = counted.withColumn("order", F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))).withColumn("all", F.col("size") * F.col("copies"))
     buckets = max(1, math.isqrt(rows.count()))
     share = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("bucket", F.shiftright(share * buckets, 32).cast("int"))
@@ -86,11 +90,47 @@ def placed(sized: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     if 32 * weight["n"] + (weight["b"] or 0) <= BROADCAST_BYTES:  # else the rows are shuffled by source
         facts = F.broadcast(facts)
     rows = rows.join(facts, rows["source"].eqNullSafe(facts["source"])).drop(facts["source"])
-    sums = rows.groupBy("no", "bucket").agg(F.sum("size").alias("words"))
+    sums = rows.groupBy("no", "bucket").agg(F.sum("all").alias("words"))
     base = keep(sums.select("no", "bucket", (F.sum("words").over(Window.partitionBy("no").orderBy("bucket")) - F.col("words")).alias("base")))
     inner = Window.partitionBy("no", "bucket").orderBy("order", key, "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("size").over(inner))
-    return rows.join(base, ["no", "bucket"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("base", "upto", "order", "bucket")
+    rows = rows.withColumn("upto", F.sum("all").over(inner)).join(base, ["no", "bucket"])
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    rows = rows.withColumn("copy", copy).withColumn("start", F.col("base") + F.col("upto") - F.col("all") + F.col("copy") * F.col("size"))
+    return rows.drop("base", "upto", "all", "order", "bucket", "copies")
+
+
+def words_of(counted: DataFrame) -> DataFrame:
+    """The words of each row with its copies, as ``targets`` wants them."""
+    return counted.select("source", (F.col("size") * F.col("copies")).alias("size"))
+
+
+def told_apart(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The ``rows`` of ``placed`` with the digest of a document for each copy.
+
+    ``keyed`` has the number of ``copies`` of each digest of a source, key and size. Where there are
+    several digests the copies go to them in their order; it is found by sums per first byte of the
+    digest, since very many documents may have one key.
+    """
+    same = ["source", "key", "size"]
+    many = keyed.join(_named(rows.filter("kinds > 1").select(*same).distinct()), _equal(keyed, same), "left_semi").withColumn("byte", F.substring("digest", 1, 2))
+    sums = many.groupBy(*same, "byte").agg(F.sum("copies").alias("n"))
+    base = sums.select(*same, "byte", (F.sum("n").over(Window.partitionBy(*same).orderBy("byte")) - F.col("n")).alias("base"))
+    inner = F.sum("copies").over(Window.partitionBy(*same, "byte").orderBy("digest")) - F.col("copies")
+    many = many.withColumn("inner", inner)
+    first = many.join(_named(base, "byte", "base"), _equal(many, same) & (many["byte"] == F.col("_byte"))).withColumn("first", F.col("_base") + F.col("inner"))
+    number = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("copy")
+    given = first.select(*same, "digest", number)
+    apart = rows.filter("kinds > 1").drop("digest")
+    apart = apart.join(_named(given, "copy", "digest"), _equal(apart, same) & (apart["copy"] == F.col("_copy")))
+    return rows.filter("kinds = 1").unionByName(apart.select(*[c for c in rows.columns if c != "digest"], F.col("_digest").alias("digest")))
+
+
+def _named(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_{c}") for c in ("source", "key", "size", *more)])
+
+
+def _equal(df: DataFrame, columns: list[str]) -> Column:
+    return reduce(Column.__and__, [df[c].eqNullSafe(F.col(f"_{c}")) for c in columns])
 
 
 def schedule(sources: DataFrame, total: int, block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -155,10 +195,11 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     have no words and are not taken; a null source is a source of its own, the last. Rows with equal
     ids follow each other in the order of their sizes. An empty table gives an empty result.
     """
-    sized = keep(sized_rows(docs, source_col, text_col, {"doc_id": F.col(id_col).cast("long")}))
-    sources, total = targets(sized)
+    sized = sized_rows(docs, source_col, text_col, {"doc_id": F.col(id_col).cast("long")})
+    counted = keep(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies")))
+    sources, total = targets(words_of(counted))
     sources = keep(sources)
-    rows = keep(placed(sized, sources, "doc_id"))
+    rows = keep(placed(counted, sources, "doc_id"))
     if not total:
         return rows.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     mixed = pieces(rows, schedule(sources, total, block_words), [], block_words)
@@ -172,19 +213,21 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
 
     A document that the mix goes through several times gives as many rows. Where the mix ends inside
     a document, its row's text is the words taken with a blank between them; a text taken whole is
-    unchanged. Other columns are unchanged. Documents without words are not in the mix.
+    unchanged. Other columns are unchanged. Documents without words are not in the mix. Rows of one
+    id and size follow each other in the order of a digest of the whole rows.
     """
-    sized = sized_rows(docs, source_col, text_col, {"key": F.col(id_col).cast("string"), "row": F.struct("*")})
-    lean = keep(sized.drop("row"))
-    sources, total = targets(lean)
+    sized = sized_rows(docs, source_col, text_col, {"key": F.col(id_col).cast("long"), "digest": digest(docs), "row": F.struct("*")})
+    keyed = keep(sized.groupBy("source", "key", "size", "digest").agg(F.count("*").alias("copies")))
+    counted = keep(keyed.groupBy("source", "key", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("kinds"), F.min("digest").alias("digest")))
+    sources, total = targets(words_of(counted))
     if not total:
         return docs.limit(0)
     sources = keep(sources)
-    plain = placed(lean, sources, "key")
-    mixed = pieces(plain, schedule(sources, total, block_words), [], block_words)
-    parts = keep(mixed.groupBy("no", "start", "epoch").agg(F.min("first").alias("first"), F.sum("words").alias("words")))
-    parts = parts.groupBy("no", "start").agg(F.sort_array(F.collect_list(F.struct("epoch", "first", "words"))).alias("parts"))  # at most one per epoch
-    rows = placed(sized, sources, "key").filter("size > 0").join(parts, ["no", "start"]).select("row", "size", F.explode("parts").alias("part"))
+    rows = told_apart(keep(placed(counted, sources, "key")), keyed)
+    mixed = pieces(rows, schedule(sources, total, block_words), ["digest"], block_words)
+    parts = keep(mixed.groupBy("no", "start", "epoch", "digest").agg(F.min("first").alias("first"), F.sum("words").alias("words")))
+    parts = parts.select("digest", F.struct("first", "words").alias("part"))
+    rows = sized.filter("size > 0").dropDuplicates(["digest"]).select("digest", "row", "size").join(parts, "digest")
     text = F.col("row").getField(text_col)
     cut = F.array_join(F.slice(F.array_remove(F.split(text, "[ \\t-\\r]+"), ""), F.col("part.first").cast("int") + 1, F.col("part.words").cast("int")), " ")
     kept = {c: F.col("row").getField(c) for c in docs.columns} | {text_col: F.when(F.col("part.words") == F.col("size"), text).otherwise(cut)}

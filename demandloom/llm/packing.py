@@ -155,14 +155,17 @@ def packed_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(bin_id, bin_length, n_words, pieces): a row per sequence, its pieces in their order.
 
     A piece is a struct (bin_offset, doc_id, first, words, text), its text the words with a blank
-    between them. A sequence holds at most the longest length, so a row is bounded.
+    between them. Texts are cut into their pieces before these are joined with their places. A sequence holds at most the longest length, so a row is bounded.
     """
     key = {"doc_id": F.col(id_col).cast("long"), "digest": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)}
     pieces = plan(docs, key, word_count(text_col), lengths, bin_cost, shard_docs).filter("words > 0")
-    texts = docs.select(key["doc_id"].alias("doc_id"), key["digest"].alias("digest"), F.col(text_col).alias("text")).dropDuplicates(["doc_id", "digest"])
-    same = pieces["doc_id"].eqNullSafe(texts["doc_id"]) & (pieces["digest"] == texts["digest"])
-    rows = pieces.join(texts, same).drop(texts["doc_id"], texts["digest"])
-    words = F.slice(F.array_remove(F.split("text", "[ \\t-\\r]+"), ""), F.col("first").cast("int") + 1, F.col("words").cast("int"))
-    piece = F.struct("bin_offset", "doc_id", "first", "words", F.array_join(words, " ").alias("text"))
+    longest = max(lengths)
+    words = F.array_remove(F.split(F.col(text_col), "[ \\t-\\r]+"), "")
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(longest)), lambda a: F.struct(a.cast("long").alias("first"), F.array_join(F.slice("w", a + 1, longest), " ").alias("text")))
+    texts = docs.select(key["doc_id"].alias("doc_id"), key["digest"].alias("digest"), words.alias("w")).select("doc_id", "digest", F.explode(cuts).alias("cut"))
+    texts = texts.select("doc_id", "digest", "cut.*").dropDuplicates(["doc_id", "digest", "first"])
+    same = pieces["doc_id"].eqNullSafe(texts["doc_id"]) & (pieces["digest"] == texts["digest"]) & (pieces["first"] == texts["first"])
+    rows = pieces.join(texts, same).drop(texts["doc_id"], texts["digest"], texts["first"])
+    piece = F.struct("bin_offset", "doc_id", "first", "words", "text")
     found = rows.groupBy("bin_id", "bin_length").agg(F.sum("words").alias("n_words"), F.sort_array(F.collect_list(piece)).alias("pieces"))
     return found.select("bin_id", "bin_length", "n_words", "pieces")
