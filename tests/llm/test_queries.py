@@ -21,4 +21,4 @@ def test_against_sql(spark, duck, sf, name):
 def test_all_are_registered():
     names = set(spark_entry.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
