@@ -119,18 +119,25 @@ def build(points: np.ndarray) -> Tree:
     return Tree(points, members, np.array(centre), np.array(radius), np.array(first), np.array(last), children)
 
 
+def whole(points: np.ndarray) -> Tree:
+    """The points without any nodes."""
+    return Tree(points, np.arange(len(points)), *(np.zeros(0) for _ in range(4)), [])
+
+
 class Search:
     """Best scores of all queries of a block against a block of vectors."""
 
-    def __init__(self, queries: Tree, data: Tree, query_ids: np.ndarray, data_ids: np.ndarray, k: int):
+    def __init__(self, queries: Tree, data: Tree, query_ids: np.ndarray, data_ids: np.ndarray, k: int, exact: bool = True):
         self.queries, self.data, self.k = queries, data, k
         self.query_ids, self.data_ids = query_ids, data_ids
         self.repeated = len(np.unique(data_ids)) < len(data_ids)
         n = len(query_ids)
-        self.exact = float(np.abs(queries.points).max()) * float(np.abs(data.points).max()) * queries.points.shape[1] < EXACT
+        self.exact = exact
         self.none = -np.inf if self.exact else NONE
         self.scores = np.full((n, k), self.none, dtype=np.float64 if self.exact else np.int64)
         self.found = np.zeros((n, k), np.int64)
+        if not exact:
+            return
         self.query_norm = np.sqrt((queries.points[queries.centre] ** 2).sum(axis=1))
         self.data_norm = np.sqrt((data.points[data.centre] ** 2).sum(axis=1))
         # floating-point error of a bound; scores are whole numbers and exact
@@ -180,6 +187,12 @@ class Search:
         order = order[bound[order] >= worst]
         return nodes[order], bound[order]
 
+    def all_pairs(self) -> None:
+        """Every query against every vector, some at a time; for the few too large for floating point, trees included."""
+        for a in range(0, len(self.query_ids), LEAF):
+            for b in range(0, len(self.data_ids), PIECE):
+                self.offer(np.arange(a, min(a + LEAF, len(self.query_ids))), np.arange(b, min(b + PIECE, len(self.data_ids))))
+
     def run(self) -> None:
         """Down both trees at once: what a query node prunes, none of its children looks at."""
         t, d = self.queries, self.data
@@ -219,8 +232,13 @@ def search(query_ids: np.ndarray, queries: np.ndarray, data_ids: np.ndarray, dat
     """(query id, vector id, score) of the k best vectors of each query, other than those of its own id."""
     if not len(query_ids) or not len(data_ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = Search(build(queries), build(data), query_ids, data_ids, k)
-    found.run()
+    largest = float(np.abs(queries).max()) * float(np.abs(data).max()) * queries.shape[1]
+    if largest < EXACT:
+        found = Search(build(queries), build(data), query_ids, data_ids, k)
+        found.run()
+    else:
+        found = Search(whole(queries), whole(data), query_ids, data_ids, k, exact=False)
+        found.all_pairs()
     row, place = np.nonzero(found.scores != found.none)
     return query_ids[row], found.found[row, place], found.scores[row, place].astype(np.int64)
 

@@ -14,7 +14,6 @@ lets through by chance is counted too and falls out by its count.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +84,7 @@ class Block:
         found = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind) for i, kind in enumerate(kinds)]
         self.hashes, self.starts, self.ends, self.joined, words_of_text = found
         self.groups = np.repeat(self.group_of_text, words_of_text)
-        self.words_of_lang = np.bincount(lang, weights=words_of_text, minlength=len(self.langs)).astype(np.int64)
+        self.words_of_lang = np.bincount(lang, weights=words_of_text, minlength=len(self.langs)).astype(np.int64).tolist()
 
     def spelled(self, at: np.ndarray, size: int) -> list[str]:
         """The words from each place on, with one blank between them."""
@@ -197,13 +196,14 @@ def spelled(rows: DataFrame, known: np.ndarray, longest: int, block_bytes: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, block_bytes):
-            yield batch_of(block.langs, [0] * len(block.langs), [None] * len(block.langs), 0, block.words_of_lang.tolist())
-            names = dict(zip([hash_of(x) for x in block.langs], block.langs, strict=True))
+            yield batch_of(block.langs, [0] * len(block.langs), [None] * len(block.langs), 0, block.words_of_lang)
+            groups = np.array([hash_of(x) for x in block.langs], dtype=np.uint64)
+            order = np.argsort(groups)
             for size, at, hashes in block.phrases(longest, known, False):
                 hashes, first = np.unique(hashes, return_index=True)
                 told = has_bit(known, hashes)
                 hashes, at = hashes[told], at[first[told]]
-                langs = [names[g] for g in block.groups[at].tolist()]
+                langs = [block.langs[i] for i in order[np.searchsorted(groups[order], block.groups[at])].tolist()]
                 yield batch_of(langs, hashes.view(np.int64).tolist(), block.spelled(at, size), size, [0] * len(at))
 
     def batch_of(langs: list, hashes: list, words: list, size: int, n: list) -> pa.RecordBatch:
@@ -223,17 +223,17 @@ def frequent_phrases(
     sizes = keep(bytes_of)
     largest = sizes.orderBy(F.desc_nulls_last("b"), "lang").limit(KNOWN_LANGS).filter("b > 0").collect()
     support = {group_of(r["lang"], i): max(1, -(-min_count * (r[f"b{i}"] or 0) // r["b"])) for r in largest for i in range(shards)}
-    ranges = max(1, (sizes.agg(F.sum("b")).first()[0] or 0) // RANGE_BYTES)
+    everything = sizes.agg(F.sum("b")).first()[0] or 0
+    ranges = max(1, everything // RANGE_BYTES)
 
-    mined, known = [], None
+    known = candidates = None
     for size in range(1, longest + 1):
-        mined.append(keep(frequent(rows, [size], known, True, support, 1, ranges, block_bytes)))
-        if size < longest:
-            known = bit_filter(reduce(DataFrame.union, mined), "key", MOST_BITS, 8)
-    candidates = bit_filter(reduce(DataFrame.union, mined), "hash", MOST_BITS, 8)
+        mined = keep(frequent(rows, [size], known, True, support, 1, ranges, block_bytes))
+        bits = [bit_filter(mined, c, MOST_BITS, everything) for c in ("key", "hash")]
+        known, candidates = bits if size == 1 else (known | bits[0], candidates | bits[1])
     plain = rows.withColumn("shard", F.lit(0))
     total = keep(frequent(plain, list(range(1, longest + 1)), candidates, False, {}, min_count, ranges, block_bytes).select("hash", F.col("n").alias("f")))
-    texts = spelled(plain, bit_filter(total, "hash", MOST_BITS, 8), longest, block_bytes)
+    texts = spelled(plain, bit_filter(total, "hash", MOST_BITS, everything), longest, block_bytes)
     texts = keep(texts.groupBy("lang", "hash", "size").agg(F.min("words").alias("words"), F.sum("n").alias("n")))
     found = keep(texts.filter("size > 0").join(total, "hash").select("lang", "size", "words", "f"))
     return found, texts.filter("size = 0").select("lang", "n")

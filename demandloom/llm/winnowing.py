@@ -162,7 +162,7 @@ def contamination(
     """
     windows = keep(item_windows(items, F.col(item_col), F.col(item_text_col), window))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # 1 to window
-    scanned = candidates(docs, F.col(doc_col), F.col(text_col), sizes, bit_filter(windows, "hash", MOST_BITS))
+    scanned = candidates(docs, F.col(doc_col), F.col(text_col), sizes, bit_filter(windows, "hash", MOST_BITS, 16 * windows.count()))
     scanned = keep(scanned.withColumn("row", F.monotonically_increasing_id()))
 
     key = ["size", "hash", "words"]

@@ -83,19 +83,18 @@ def powers(n: int, base: int = PRIME) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def bit_filter(hashes: DataFrame, column: str, most_bits: int, bits_each: int = 16) -> np.ndarray:
-    """A table of bits, one set for each distinct hash of the column; ``has_bit`` looks them up.
+def bit_filter(hashes: DataFrame, column: str, most_bits: int, wanted: int) -> np.ndarray:
+    """A table of about ``wanted`` bits, one set for each hash of the column; ``has_bit`` looks them up.
 
     It never has more than ``most_bits`` bits: with more hashes it lets more others pass, and a
     caller which then looks exactly loses nothing.
     """
-    found = hashes.select(F.col(column).alias("h")).distinct()
     bits = 1 << 10
-    while bits < min(most_bits, bits_each * found.count()):
+    while bits < min(most_bits, wanted):
         bits *= 2
-    place = found.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("place"))
+    place = hashes.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("place"))
     cells = place.groupBy(F.expr("place >> 6").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("set"))
-    rows = cells.toArrow()  # at most most_bits / 64 rows
+    rows = cells.toArrow()  # at most most_bits / 64 rows, which tasks make before they are shuffled
     table = np.zeros(bits // 64, np.int64)
     table[rows.column("cell").to_numpy()] = rows.column("set").to_numpy()
     return table.view(np.uint64)
