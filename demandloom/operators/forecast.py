@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -297,11 +297,14 @@ def backtest(
     order: str = "bucket",
     value: str = "quantity",
     extra: Mapping[str, DataFrame] | None = None,
+    more: Mapping[str, Callable[[DataFrame, int, list[str], str, str], DataFrame]] | None = None,
 ) -> DataFrame:
     """Errors of each model on the last ``horizon`` buckets per key, and the best model.
 
-    ``extra`` adds forecasts made elsewhere, as (keys, step, forecast). The series is kept in a table,
-    since the split and every model start from it.
+    ``extra`` adds forecasts made elsewhere, as (keys, step, forecast); ``more`` adds models, which get
+    the training buckets, the horizon, the keys and the names of order and value, like
+    ``learn.forecast_trees``. The series is kept in a table, since the split and every model start
+    from it.
     """
     keys = list(by)
     train, test = hold_out(checkpoint(series), horizon, keys, order)
@@ -309,6 +312,7 @@ def backtest(
         "naive": forecast_naive(train, horizon, keys, order, value),
         "arima": forecast_arima(train, horizon, keys, order, value).filter("status = 'success'"),
         **(extra or {}),
+        **{name: model(train, horizon, keys, order, value) for name, model in (more or {}).items()},
     }
     forecasts = None
     for name, frame in models.items():

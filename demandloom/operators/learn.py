@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from demandloom.functions import name_col
 from demandloom.operators.accuracy import error_metrics
 from demandloom.operators.series import ordered_by
-from demandloom.session import shared_dir
+from demandloom.session import checkpoint, shared_dir
 
 # The training parameters.
 ROUNDS, DEPTH, RATE, EVAL_SHARE = 100, 5, 0.1, 0.2
@@ -108,6 +109,52 @@ def predict_demand(trained: TrainedModel, features: DataFrame, requested: DataFr
     )
 
 
+#: Past buckets that a recursive forecast looks at.
+LAGS = 3
+
+
+def lag_rows(series: DataFrame, by: Sequence[str], order: str, value: str, lags: int = LAGS) -> DataFrame:
+    """Each bucket with the values of the ``lags`` buckets before it and its place in the series, from 0."""
+    w = ordered_by(by, order)
+    past = {f"lag_{k}": F.lag(name_col(value).cast("double"), k).over(w) for k in range(1, lags + 1)}
+    return series.withColumns({**past, "place": F.row_number().over(w) - 1})
+
+
+def forecast_trees(
+    series: DataFrame,
+    horizon: int,
+    by: Sequence[str] = ("product_id",),
+    order: str = "bucket",
+    value: str = "quantity",
+    lags: int = LAGS,
+    rounds: int = ROUNDS,
+    depth: int = DEPTH,
+) -> DataFrame:
+    """(keys, step, forecast) of one boosted-tree model over all series, step after step.
+
+    The model learns a bucket from the ``lags`` before it. A step is predicted for all series at once;
+    the lags of the next step come from these predictions. Negative predictions count as 0. Series
+    with fewer buckets than lags have no forecast, nor has a table in which no series is longer.
+    """
+    keys = list(by)
+    names = [f"lag_{k}" for k in range(1, lags + 1)]
+    rows = checkpoint(lag_rows(series, keys, order, value, lags))
+    known = rows.na.drop(subset=[*names, value])
+    none = rows.select(*keys, F.lit(1).alias("step"), F.lit(0.0).alias("forecast")).limit(0)
+    if known.isEmpty():
+        return none
+    model = train_gbt(known.withColumn("split", F.lit("train")), names, value, rounds, depth).model
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(name_col(value).cast("double").alias("lag_1"), *[F.col(f"lag_{k}").alias(f"lag_{k + 1}") for k in range(1, lags)]), "place").alias("s"))
+    state = last.select(*keys, "s.*").na.drop(subset=names)
+    steps = []
+    for step in range(1, horizon + 1):
+        # each step is kept, else the model of the last one would run over all steps before it again
+        scored = checkpoint(model.transform(state).select(*keys, *names, F.greatest("prediction", F.lit(0.0)).alias("forecast")))
+        steps.append(scored.select(*keys, F.lit(step).alias("step"), "forecast"))
+        state = scored.select(*keys, F.col("forecast").alias("lag_1"), *[F.col(f"lag_{k}").alias(f"lag_{k + 1}") for k in range(1, lags)])
+    return reduce(DataFrame.unionByName, steps)
+
+
 def log_predictions(
     predictions: DataFrame, model_name: str = MODEL_NAME, model_version: str = "v1.0.0", key: str = "product_id"
 ) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from demandloom.operators.cleaning import clean, normalize
 from demandloom.operators.orders import load_orders
 from demandloom.operators.profiling import drift_report, latest_profile, profile, save_profile, schema_drift, schema_issues
-from demandloom.operators.quality import cast_to_profile, gatekeeper, require_quality
+from demandloom.operators.quality import cast_to_profile, gatekeeper, require_quality, with_violations
 from demandloom.session import path_exists
-from demandloom.sources.writers import run_log, write_parquet
+from demandloom.sources.ledger import write_counted
+from demandloom.sources.writers import run_log
 
 
 @dataclass(frozen=True)
@@ -70,14 +71,18 @@ def ingest(
     if mode == "orders":
         loaded = load_orders(source, out_dir, mapping, source_id, load_id)
     else:
-        passed, failed = gatekeeper(source, rules, strict)
-        quarantine_path = f"{out_dir}/quarantine/load_id={run}"
-        failed.write.mode("overwrite").parquet(quarantine_path)
-        quarantine = spark.read.parquet(quarantine_path)
+        if strict:
+            gatekeeper(source, rules, strict)  # raises
+        # the rows are checked and written once, split by the outcome; all that follows starts from there
+        checked = f"{out_dir}/checked/load_id={run}"
+        judged = with_violations(source, rules).withColumn("passed", F.size("violations") == 0)
+        write_counted(judged, checked, "overwrite", "passed")
+        rows = spark.read.schema(judged.schema).parquet(checked)
+        passed, quarantine = rows.filter("passed").drop("passed", "violations"), rows.filter("NOT passed").drop("passed")
         shaped = normalize(clean(passed, missing, outliers, columns), scaling, columns)
         typed = require_quality(cast_to_profile(shaped, {r["name"]: r["inferred_type"] for r in _types(current, columns)}))
-        path = write_parquet(typed, f"{out_dir}/{source_name}/load_id={run}", mode="overwrite")
-        loaded = spark.createDataFrame([(source_name, spark.read.parquet(path).count(), True)], "table string, rows bigint, counted boolean")
+        count = write_counted(typed, f"{out_dir}/{source_name}/load_id={run}", "overwrite")
+        loaded = spark.createDataFrame([(source_name, count, True)], "table string, rows bigint, counted boolean")
     log_path = f"{out_dir}/run_log"
     entry = run_log(current, issues, source_name, {"mode": mode, "rules": rules, "load_id": run})
     entry.write.mode("append").parquet(log_path)

@@ -174,7 +174,7 @@ def _fine_exponent_sql(column: str) -> str:
     grid = lambda around, step, half: f"SELECT arg_max(lam, score) AS lam FROM (SELECT lam, {score} AS score FROM lineitem, (SELECT {around} + {step} * unnest(generate_series(-{half}, {half})) AS lam) GROUP BY lam)"
     first = grid("0.0", 0.1, 20)
     second = grid(f"({first})", 0.005, 20)
-    return f"SELECT '{column}' AS name, round(lam, 3) AS exponent FROM ({grid(f'({second})', 0.0002, 25)})"
+    return f"SELECT '{column}' AS name, CAST(round(lam, 3) AS DOUBLE) AS exponent FROM ({grid(f'({second})', 0.0002, 25)})"
 
 
 @query("power_exponents_fine", _fine_exponent_sql("l_extendedprice") + " UNION ALL " + _fine_exponent_sql("l_quantity"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from demandloom.operators import features as X
@@ -201,3 +203,31 @@ def backtest_naive(spark, sf):
     series = S.scope_series(V.sales(spark, sf), "month")
     out = M.backtest(series, 3).filter("model = 'naive'")
     return out.select("product_id", F.round("mae", 6).alias("mae"), F.round("mape", 6).alias("mape"), "n")
+
+
+@query(
+    "backtest_trees",
+    """WITH b AS (SELECT product_id, strftime(ds, '%Y-%m') AS bucket, sum(quantity) AS q FROM sales GROUP BY 1, 2),
+            c AS (SELECT product_id, count(*) AS n FROM b GROUP BY 1)
+       SELECT product_id, model, 3 AS n, TRUE AS has_errors FROM c, (SELECT unnest(['naive', 'boosted_trees']) AS model)
+       WHERE n > 3 AND (model = 'naive' OR n >= 6)""",
+    ["sales"],
+)
+def backtest_trees(spark, sf):
+    """Boosted trees beside the other models: which products they forecast, and for how many steps."""
+    series = S.scope_series(V.sales(spark, sf), "month")
+    trees = partial(L.forecast_trees, rounds=3, depth=3)
+    out = M.backtest(series, 3, more={"boosted_trees": trees}).filter("model <> 'arima'")
+    return out.select("product_id", "model", "n", (F.col("mae") >= 0).alias("has_errors"))
+
+
+@query(
+    "lag_rows",
+    """WITH b AS (SELECT product_id, strftime(ds, '%Y-%m') AS bucket, sum(quantity) AS quantity FROM sales GROUP BY 1, 2)
+       SELECT *, lag(quantity, 1) OVER w AS lag_1, lag(quantity, 2) OVER w AS lag_2, lag(quantity, 3) OVER w AS lag_3,
+              CAST(row_number() OVER w - 1 AS INT) AS place FROM b WINDOW w AS (PARTITION BY product_id ORDER BY bucket)""",
+    ["sales"],
+)
+def lag_rows(spark, sf):
+    """What the recursive forecast learns from."""
+    return L.lag_rows(S.scope_series(V.sales(spark, sf), "month"), ["product_id"], "bucket", "quantity")

@@ -113,6 +113,20 @@ def test_backtest(spark):
     assert best[1] == "arima" and len(got) == 4 and all(r["n"] == 4 for r in got)
 
 
+def test_recursive_trees(spark):
+    """A repeating series is learned; each step goes on from the step before; short series have no forecast."""
+    cycle = [float(10 * (i % 4)) for i in range(48)]
+    series = series_of(spark, {1: cycle, 2: cycle[2:], 3: [5.0, 5.0]})
+    got = {}
+    for r in L.forecast_trees(series, 6, rounds=20, depth=4).collect():
+        got[r["product_id"], r["step"]] = r["forecast"]
+    assert sorted(got) == [(p, s) for p in (1, 2) for s in range(1, 7)]
+    assert all(abs(got[p, s] - 10 * ((s - 1 + len(series_)) % 4)) < 3 for p, series_ in ((1, cycle), (2, cycle)) for s in range(1, 7))
+    assert L.forecast_trees(series.filter("product_id = 3"), 6).collect() == []
+    best = M.backtest(series.filter("product_id < 3"), 4, more={"boosted_trees": lambda *a: L.forecast_trees(*a, rounds=20, depth=4)}).collect()
+    assert {r["model"] for r in best} == {"naive", "arima", "boosted_trees"} and all(r["n"] == 4 for r in best)
+
+
 def test_split_is_in_time_order(spark):
     df = L.split_time(series_of(spark, {1: range(11)}), order="bucket")
     got = [r["split"] for r in df.orderBy("bucket").collect()]

@@ -182,6 +182,61 @@ def test_incremental_sync(spark, tmp_path):
     assert sum(r["rows"] for r in counts.collect()) == 0 and O.read_loaded(spark, out, "fact_sales").count() == 3
 
 
+def test_syncs_at_one_mark_and_late_rows(spark, tmp_path):
+    """Rows at the unchanged mark, undated rows and rows older than the mark are all loaded, once."""
+    item, out = '[{"product_id": 5, "quantity": 2, "unit_price": 3}]', str(tmp_path)
+    marks = spark.createDataFrame([], Y.MARK_SCHEMA)
+
+    def sync(*given, **more):
+        nonlocal marks
+        df = spark.createDataFrame([(i, d and dt.datetime(2024, 1, d), item) for i, d in given], "order_id string, order_date timestamp, items string")
+        counts, marks = Y.incremental_sync(df, marks, 1, out, **more)
+        return {r["table"]: r["rows"] for r in counts.collect()}
+
+    first = [("a", 5), ("b", 9)]
+    sync(*first)
+    assert sync(*first, ("c", 9), ("u", None))["orders_backlog"] == 1
+    assert sync(*first, ("c", 9), ("d", 9), ("u", None), ("v", None)) == {"orders_backlog": 1, "fact_sales": 1, "dim_customers": 0, "agg_daily_demand": 1, "dead_letters": 1}
+    assert sync(("late", 2), ("b", 9))["orders_backlog"] == 1
+    assert sync(("older", 1), ("near", 8), lookback_days=3)["orders_backlog"] == 1  # the other waits for a sync without the bound
+    assert sync(("older", 1), ("near", 8))["orders_backlog"] == 1
+    loaded = ["a", "b", "c", "d", "late", "near", "older"]
+    assert [r[0] for r in rows(O.read_loaded(spark, out, "orders_backlog"), "order_id")] == loaded
+    assert [r[0] for r in rows(O.read_loaded(spark, out, "dead_letters"), "order_id")] == ["u", "v"]
+    assert marks.first()["last_synced_at"] == dt.datetime(2024, 1, 9)
+    assert O.read_loaded(spark, out, "agg_daily_demand").agg(F.sum("order_count")).first()[0] == 7
+
+
+def test_demand_versions(spark, tmp_path, monkeypatch):
+    """Each version holds the touched keys, reads the touched months only, and now and then all keys."""
+    from demandloom.operators import demand as D
+    from demandloom.sources import ledger
+    from tests.conftest import plan_text
+
+    out = str(tmp_path)
+    monkeypatch.setattr(D, "COMPACT_AFTER", 3)
+
+    def load(key, *given):
+        item = lambda q: f'[{{"product_id": 5, "quantity": {q}, "unit_price": 3}}]'
+        df = spark.createDataFrame([(i, dt.datetime(2024, m, 1), item(q)) for i, m, q in given], "order_id string, order_date timestamp, items string")
+        counts = {r["table"]: r["rows"] for r in O.load_orders(df, out, source_id=1, load_id=key).collect()}
+        every = O.daily_demand(ledger.read(spark, out, "fact_sales").transform(O.once))
+        assert rows(O.read_loaded(spark, out, "agg_daily_demand")) == rows(every)
+        return counts["agg_daily_demand"]
+
+    assert load("x", ("a", 1, 1), ("b", 2, 1), ("c", 3, 1)) == 3
+    assert load("y", ("d", 2, 5)) == 1
+    assert load("x", ("a", 1, 1)) == 3  # replaced: two days lose rows, one of them all
+    assert load(None, ("e", 4, 2)) == 3  # all keys there are
+    assert load(None, ("f", 4, 2)) == 1
+    keys = D.touched_keys(ledger.raw(spark, out, "fact_sales"), ledger.committed(spark, out).filter("load_key LIKE '%-y'"))
+    plan = plan_text(D.demand_of(ledger.read(spark, out, "fact_sales"), keys))
+    assert "month_no" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0] or "month_no" in plan and "202402" in plan
+    lost = ledger.begin(out, 1)
+    ledger.commit(spark, lost, {})  # committed by another job, not yet in any version
+    assert D.changed_loads(spark, out).count() == 1
+
+
 def test_sources_due(spark):
     sources = spark.createDataFrame([(1, None), (2, 6), (3, 0), (4, 6), (5, 1)], "id int, sync_interval_hours int")
     marks = spark.createDataFrame(
