@@ -162,7 +162,7 @@ def frequent(rows: DataFrame, sizes: list[int], known: np.ndarray | None, by_sha
                 if size not in sizes:
                     continue
                 mine = block.groups[at]
-                for group in np.unique(mine).tolist():
+                for group in np.unique(block.group_of_text).tolist():
                     found, times = np.unique(hashes[mine == np.uint64(group)], return_counts=True)
                     edges = np.searchsorted(found >> shift, np.arange(1 << (64 - int(shift)), dtype=np.uint64))
                     cuts = [c for c in zip(range(len(edges)), edges.tolist(), [*edges.tolist()[1:], len(found)], strict=True) if c[1] < c[2]]
