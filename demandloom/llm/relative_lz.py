@@ -1,16 +1,19 @@
 """Substring de-duplication by factoring documents against reference blocks (relative Lempel-Ziv).
 
-The documents are cut into blocks of ascending doc_id. Every block is a reference: it is indexed by
-the hashes of its windows of ``window`` words, the shortest factor that counts. A document is parsed
-from left to right against the indexes of all earlier blocks and the earlier documents of its own;
-a factor grows while each next window is found, and where it ends the windows across the boundary
-are looked up like any other, so adjoining factors leave no gap. The factors' words are the
-duplicate spans.
+The documents are cut into blocks of ascending doc_id. Every block is a reference: its words are
+numbered, and its index gives for each different window of ``window`` words, the shortest factor
+that counts, the first place of that window. A document is parsed from left to right against the
+indexes of all earlier blocks and the earlier documents of its own. Where the index knows the window
+at a word, a factor begins: it copies from that place and grows by a word as long as the next window
+is known at the next place of the same block. Where it ends, the windows across its end are looked
+up in turn, and the next known one begins the next factor, so adjoining or overlapping factors leave
+no gap; between factors stand literal words. The factors' words are the duplicate spans.
 
 No block is compared with every other: the sorted window hashes of a block are cut by hash range
-into buckets, one group per bucket finds the hashes that an earlier block has, and sends back one
-bit per hash. So what is shuffled is the text once, and about eight bytes for each distinct window
-of a block; the most frequent passage appears once per block.
+into buckets, one group per bucket finds the earliest place of each hash, and sends it back to the
+later blocks that have the hash too. So what is shuffled is the text once, about ten bytes for each
+different window of a block, and a place for each window that was seen before; the most frequent
+passage appears once per block.
 """
 
 from __future__ import annotations
@@ -94,6 +97,20 @@ def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.r_[np.searchsorted(hashes, limits), len(hashes)]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers by byte planes: the high bytes of sorted hashes and of places hardly change, which the shuffle's codec uses."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unplaned(part: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(part.as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind)[:, 0]
+
+
+def numbered(table: pa.Table) -> pa.Table:
+    """The rows in the order in which a block's words are numbered; rows without doc_id come last."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def remove_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -102,76 +119,120 @@ def remove_repeats(
     block_bytes: int = BLOCK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
-    """(doc_id, n_words, n_removed, spans, kept_text): one row per input row.
+    """(doc_id, n_words, n_removed, spans, factors, kept_text): one row per input row.
 
-    ``spans`` are the (first word, words) of the duplicate spans: all words in a window whose words
-    also begin a window in a document with a smaller doc_id. ``kept_text`` is the other words,
-    unchanged, with one blank between them. Null and empty texts have no words. Rows without doc_id
-    neither lose words nor make others lose any; rows with equal ids are not compared with each
-    other. Windows are told apart by 64-bit hashes. An empty table gives an empty result.
+    ``factors`` is the parse, without its literal words: (first word, words, block, position), where
+    the same words stand from ``position`` on in the reference ``block``, whose words are numbered
+    from 0 in the order of doc_id and text. ``spans`` are the (first word, words) that factors cover:
+    all words in a window whose words also begin a window in a document with a smaller doc_id.
+    ``kept_text`` is the other words, unchanged, with one blank between them. Null and empty texts
+    have no words. Rows without doc_id neither lose words nor make others lose any; rows with equal
+    ids are not compared with each other. Windows are told apart by 64-bit hashes. An empty table
+    gives an empty result.
     """
     source, buckets = blocks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), block_bytes, bucket_bytes)
 
     def index(table: pa.Table) -> pa.Table:
-        known = table.filter(table.column("doc_id").is_valid())
-        hashes = np.unique(windows(known.column("text"), window)[1])
+        known = numbered(table.filter(table.column("doc_id").is_valid()))
+        _, found, places = windows(known.column("text"), window)
+        hashes, first = np.unique(found, return_index=True)
+        places = places[first].astype(np.uint32)
         edges = bucket_edges(hashes, buckets)
         used = np.flatnonzero(np.diff(edges))
-        # byte planes: the high bytes of sorted hashes hardly change, which the shuffle's codec uses
-        planes = [hashes[edges[b] : edges[b + 1]].view(np.uint8).reshape(-1, 8).T.tobytes() for b in used]
         block = table.column("block")[0].as_py()
-        return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int64()), "hashes": pa.array(planes, pa.binary())})
+        columns = {"bucket": pa.array(used, pa.int32()), "block": pa.array([block] * len(used), pa.int64())}
+        for name, values in (("hashes", hashes), ("places", places)):
+            columns[name] = pa.array([planes(values[edges[b] : edges[b + 1]]) for b in used], pa.binary())
+        return pa.table(columns)
 
-    def seen_before(table: pa.Table) -> pa.Table:
+    def earliest(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        parts = [np.frombuffer(h.as_buffer(), np.uint8).reshape(8, -1).T.copy().view(np.uint64)[:, 0] for h in table.column("hashes")]
+        parts = [unplaned(h, np.uint64) for h in table.column("hashes")]
         sizes = [len(p) for p in parts]
         values = np.concatenate(parts)
         order = np.argsort(values, kind="stable")  # equal hashes stay in the order of their blocks
         values = values[order]
         again = np.zeros(len(values), bool)
-        again[order[1:]] = values[1:] == values[:-1]
-        rows = [(block, np.packbits(flags).tobytes()) for block, flags in zip(table.column("block").to_pylist(), np.split(again, np.cumsum(sizes)[:-1]), strict=True) if flags.any()]
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "seen": pa.array([r[1] for r in rows], pa.binary())})
+        again[1:] = values[1:] == values[:-1]
+        first = np.empty(len(values), np.int64)  # where each hash stands in the earliest block
+        first[order] = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(values))))]
+        seen = first != np.arange(len(values))
+        block_of = np.repeat(table.column("block").to_numpy().astype(np.uint32), sizes)
+        place_of = np.concatenate([unplaned(x, np.uint32) for x in table.column("places")])
+        out = {"block": [], "bucket": [], "seen": [], "from_block": [], "from_place": []}
+        upto = np.cumsum(sizes)
+        for block, a, b in zip(table.column("block").to_pylist(), upto - sizes, upto, strict=True):
+            if seen[a:b].any():
+                source_of = first[a:b][seen[a:b]]
+                row = (block, table.column("bucket")[0].as_py(), np.packbits(seen[a:b]).tobytes(), planes(block_of[source_of]), planes(place_of[source_of]))
+                for column, value in zip(out.values(), row, strict=True):
+                    column.append(value)
+        return pa.table(out, schema=pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("seen", "from_block", "from_place"))]))
 
     def parse(table: pa.Table, seen: pa.Table) -> pa.Table:
         return factored(table, seen, window, buckets)
 
-    hashes = source.groupBy("block").applyInArrow(index, "bucket int, block long, hashes binary")
-    seen = hashes.groupBy("bucket").applyInArrow(seen_before, "block long, bucket int, seen binary")
-    schema = "doc_id long, n_words long, n_removed long, spans array<struct<first:long, words:long>>, kept_text string"
+    hashes = source.groupBy("block").applyInArrow(index, "bucket int, block long, hashes binary, places binary")
+    seen = hashes.groupBy("bucket").applyInArrow(earliest, "block long, bucket int, seen binary, from_block binary, from_place binary")
+    schema = "doc_id long, n_words long, n_removed long, spans array<struct<first:long, words:long>>, factors array<struct<first:long, words:long, block:long, position:long>>, kept_text string"
     return source.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(parse, schema)
 
 
-def factored(table: pa.Table, seen: pa.Table, window: int, buckets: int) -> pa.Table:
-    """The parse of a block's documents, given which of its window hashes earlier blocks have."""
+def places_of(table: pa.Table, seen: pa.Table, window: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text of a block, and for each word the block and place that the indexes give for the window there, else -1."""
     ids = table.column("doc_id").combine_chunks()
     known = ids.is_valid().to_numpy(zero_copy_only=False)
     doc_ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
     counts, hashes, first_words = windows(table.column("text"), window)
-    ends = np.cumsum(counts)
-    doc = np.searchsorted(ends, first_words, "right")
-    inside = known[doc] if len(doc) else np.zeros(0, bool)
-    hashes, first_words, doc = hashes[inside], first_words[inside], doc[inside]
-    order = np.argsort(hashes)
-    ordered = hashes[order]
-    begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
-    before = np.zeros(len(begins), bool)
+    doc = np.searchsorted(np.cumsum(counts), first_words, "right")
+    from_block, from_place = (np.full(int(counts.sum()), -1, np.int64) for _ in range(2))
+    if len(doc):
+        inside = known[doc]
+        hashes, first_words, doc = hashes[inside], first_words[inside], doc[inside]
+    if not len(hashes):
+        return counts, from_block, from_place
+    order = np.argsort(hashes, kind="stable")  # equal hashes stay in the order of their places, so of their doc_ids
+    ordered, at = hashes[order], first_words[order]
+    begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    block, place = np.full(len(begins), -1, np.int64), np.full(len(begins), -1, np.int64)
     edges = bucket_edges(ordered[begins], buckets)
-    for bucket, flags in zip(seen.column("bucket").to_pylist(), seen.column("seen"), strict=True):
-        a, b = edges[bucket], edges[bucket + 1]
-        before[a:b] = np.unpackbits(np.frombuffer(flags.as_buffer(), np.uint8), count=b - a)
-    removed = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
-    if len(begins):
-        owner = doc_ids[doc[order]]
-        least = np.minimum.reduceat(owner, begins)
-        group = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(ordered)]))
-        found = first_words[order[before[group] | (owner > least[group])]]
-        depth = np.zeros(len(removed) + 1, np.int32)
-        np.add.at(depth, found, 1)
-        np.add.at(depth, found + window, -1)
-        removed = np.cumsum(depth[:-1]) > 0
+    for bucket, flags, blocks_, places in zip(*(seen.column(c) for c in ("bucket", "seen", "from_block", "from_place")), strict=True):
+        a, b = edges[bucket.as_py()], edges[bucket.as_py() + 1]
+        told = a + np.flatnonzero(np.unpackbits(np.frombuffer(flags.as_buffer(), np.uint8), count=b - a))
+        block[told], place[told] = unplaned(blocks_, np.uint32), unplaned(places, np.uint32)
+    group = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(ordered)]))
+    owner = doc_ids[doc[order]]
+    here = (block[group] < 0) & (owner > owner[begins][group])  # first seen in an earlier document of this block
+    from_block[at] = np.where(here, table.column("block")[0].as_py(), block[group])
+    from_place[at] = np.where(here, at[begins][group], place[group])
+    return counts, from_block, from_place
+
+
+def factors_of(from_block: np.ndarray, from_place: np.ndarray, window: int) -> list[np.ndarray]:
+    """First word, words, block and position of the factors, from the place of the window at each word.
+
+    A factor goes on while the next window has the next place of its block. No factor runs over the
+    end of a text: the words there begin no window.
+    """
+    known = from_block >= 0
+    goes_on = np.zeros(len(known), bool)
+    goes_on[1:] = known[1:] & (from_block[1:] == from_block[:-1]) & (from_place[1:] == from_place[:-1] + 1)
+    first = np.flatnonzero(known & ~goes_on)
+    last = np.flatnonzero(known & ~np.r_[goes_on[1:], False])
+    return [first, last - first + window, from_block[first], from_place[first]]
+
+
+def factored(table: pa.Table, seen: pa.Table, window: int, buckets: int) -> pa.Table:
+    """The parse of a block's documents, given where earlier blocks have the windows it shares with them."""
+    table = numbered(table)
+    counts, from_block, from_place = places_of(table, seen, window, buckets)
+    ends = np.cumsum(counts)
+    factors = factors_of(from_block, from_place, window)
+    depth = np.zeros(int(counts.sum()) + 1, np.int64)
+    np.add.at(depth, factors[0], 1)
+    np.add.at(depth, factors[0] + factors[1], -1)
+    removed = np.cumsum(depth[:-1]) > 0
+    factor_edges = np.searchsorted(factors[0], np.r_[0, ends])
     texts, spans, gone = [], [], []
     for text, n, end in zip(table.column("text"), counts, ends, strict=True):
         mask = removed[end - n : end]
@@ -184,5 +245,15 @@ def factored(table: pa.Table, seen: pa.Table, window: int, buckets: int) -> pa.T
             spans.append([])
         gone.append(int(mask.sum()))
         texts.append(b" ".join(words))
+    factors[0] = factors[0] - np.repeat(ends - counts, np.diff(factor_edges))
+    parts = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in factors], names=["first", "words", "block", "position"])
     kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
-    return pa.table({"doc_id": ids, "n_words": counts, "n_removed": pa.array(gone, pa.int64()), "spans": pa.array(spans, kind), "kept_text": pa.array(texts, pa.binary()).cast(pa.string())})
+    columns = {
+        "doc_id": table.column("doc_id"),
+        "n_words": counts,
+        "n_removed": pa.array(gone, pa.int64()),
+        "spans": pa.array(spans, kind),
+        "factors": pa.ListArray.from_arrays(pa.array(factor_edges, pa.int32()), parts),
+        "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
+    }
+    return pa.table(columns)

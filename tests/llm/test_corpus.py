@@ -180,6 +180,50 @@ def test_many_blocks_and_boundaries(spark):
     assert by_str((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found) == by_str(repeats_brute([(r[0], r[1]) for r in rows]))
 
 
+def check_factors(df, found, size=13, **limits):
+    """Each factor's words stand at its place of its block; no word before a factor could begin one; factors cover the spans."""
+    numbered, _ = relative_lz.blocks(df.select("doc_id", "text"), *limits.values())
+    texts = {}
+    for r in sorted((r for r in numbered.collect() if r.doc_id is not None), key=lambda r: (r.block, r.doc_id, r.text is None, r.text or "")):
+        texts.setdefault(r.block, []).extend((r.doc_id, w) for w in words(r.text))
+    source = {}
+    for r in df.collect():
+        source.setdefault((r.doc_id, len(words(r.text))), []).append(words(r.text))
+    for r in found:
+        fits = []
+        for mine in source[r.doc_id, r.n_words]:
+            same = [[x for _, x in texts[f.block][f.position : f.position + f.words]] == mine[f.first : f.first + f.words] for f in r.factors]
+            fits.append(all(same))
+        assert any(fits)
+        assert all(f.words >= size and all(d < r.doc_id for d, _ in texts[f.block][f.position : f.position + f.words]) for f in r.factors)
+        covered = {i for f in r.factors for i in range(f.first, f.first + f.words)}
+        assert covered == {i for s in r.spans for i in range(s.first, s.first + s.words)}
+        starts = [f.first for f in r.factors]
+        assert starts == sorted(set(starts))
+    return sum(len(r.factors) for r in found)
+
+
+def test_factors(spark, odd):
+    for limits in ({"block_bytes": 1 << 22, "bucket_bytes": 1 << 24}, {"block_bytes": 500, "bucket_bytes": 700}):
+        assert check_factors(odd, relative_lz.remove_repeats(odd, **limits).collect(), **limits) > 0
+
+
+def test_factor_of_two_references(spark):
+    """A document of two earlier passages, joined, has one factor for each, and one across a shared middle."""
+    first, second, middle = prose(21, 30), prose(22, 30), prose(23, 8)
+    rows = [(1, f"{first} {middle}", "en", "a"), (2, f"{middle} {second}", "en", "a"), (3, f"zz {first} {middle} {second} yy", "en", "a")]
+    df = table_of(spark, rows)
+    for block in (100, 1 << 20):
+        limits = {"block_bytes": block, "bucket_bytes": 1 << 20}
+        found = relative_lz.remove_repeats(df, **limits).collect()
+        check_factors(df, found, **limits)
+        by = {r.doc_id: r for r in found}
+        n, m = 30, 8
+        assert by[1].factors == [] and by[2].factors == []
+        assert [(f.first, f.words) for f in by[3].factors] == [(1, n + m), (1 + n, m + n)]
+        assert [(s.first, s.words) for s in by[3].spans] == [(1, n + m + n)] and by[3].kept_text == "zz yy"
+
+
 def test_repeats_of_nothing(none):
     assert relative_lz.remove_repeats(none).collect() == []
 
