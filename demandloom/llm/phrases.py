@@ -8,7 +8,9 @@ a phrase is only looked at where both phrases one word shorter are frequent in i
 
 The passes read texts in blocks, count inside a block and send the sorted hashes and counts on, cut
 by hash range. Phrases are told apart by a 64-bit hash of language and words; what a filter of bits
-lets through by chance is counted too and falls out by its count.
+lets through by chance is counted too and falls out by its count. The last count also names, for each
+phrase, the class of one text that holds it, classes being hashes of whole texts; a phrase is written
+out from the texts of that class only, so about once, whatever the number of blocks that have it.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ KNOWN_LANGS = 1000
 MOST_BITS = 1 << 26
 #: Parts in which the phrases of a language are ranked first.
 RANK_PARTS = 64
+#: Classes of texts, in one of which a frequent phrase is written out.
+TEXT_CLASSES = 1 << 16
 #: Bytes at which a text is cut into pieces, and bytes between words.
 CUTS = np.isin(np.arange(256), list(b".,;:!?\n\x0b\x0c\r"))
 BETWEEN = CUTS | np.isin(np.arange(256), list(b" \t"))
@@ -60,7 +64,7 @@ def group_of(lang: str, shard: int) -> int:
 class Block:
     """The words of whole texts: hashes with their language, places, and whether the next is in the same piece."""
 
-    def __init__(self, texts: list[pa.Array], langs: list[pa.Array], shards: list[pa.Array]):
+    def __init__(self, texts: list[pa.Array], langs: list[pa.Array], shards: list[pa.Array], classes: list[pa.Array]):
         names = pa.concat_arrays([pc.fill_null(x.cast(pa.string()), NO_LANG) for x in langs]).dictionary_encode()
         self.langs = names.dictionary.to_pylist()
         lang = names.indices.to_numpy(zero_copy_only=False)
@@ -84,6 +88,7 @@ class Block:
         found = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kind) for i, kind in enumerate(kinds)]
         self.hashes, self.starts, self.ends, self.joined, words_of_text = found
         self.groups = np.repeat(self.group_of_text, words_of_text)
+        self.classes = np.repeat(pa.concat_arrays(classes).to_numpy(zero_copy_only=False).astype(np.uint16), words_of_text)
         self.words_of_lang = np.bincount(lang, weights=words_of_text, minlength=len(self.langs)).astype(np.int64).tolist()
 
     def spelled(self, at: np.ndarray, size: int) -> list[str]:
@@ -116,9 +121,14 @@ def keys_of(hashes: np.ndarray, groups: np.ndarray | None) -> np.ndarray:
     return hashes if groups is None else mix(hashes ^ groups)
 
 
+def keys_in(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """What a phrase has bits for in the class of texts from which it is written out."""
+    return mix(hashes ^ (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(PRIME))
+
+
 def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Block]:
-    """The batches' columns text, language and shard in blocks, which end with the text that fills them."""
-    held: list[list[pa.Array]] = [[], [], []]
+    """The batches' columns text, language, shard and class in blocks, which end with the text that fills them."""
+    held: list[list[pa.Array]] = [[], [], [], []]
     size = 0
     for batch in batches:
         upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -131,7 +141,7 @@ def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Bloc
             first, before = last, int(upto[last - 1])
             if size >= block_bytes:
                 block = Block([x.cast(pa.large_binary()) for x in held[0]], *held[1:])
-                held, size = [[], [], []], 0
+                held, size = [[], [], [], []], 0
                 yield block
                 del block
     if held[0]:
@@ -140,7 +150,7 @@ def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Bloc
 
 def planes(values: np.ndarray) -> bytes:
     """Sorted numbers by byte planes: their high bytes hardly change, which the shuffle's codec uses."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def unplaned(columns: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -151,8 +161,9 @@ def unplaned(columns: pa.ChunkedArray, kind: type) -> np.ndarray:
 def frequent(rows: DataFrame, sizes: list[int], known: np.ndarray | None, by_shard: bool, support: dict[int, int], otherwise: int, ranges: int, block_bytes: int) -> DataFrame:
     """(key, hash, n): the phrases of some lengths with at least the support of their group, or ``otherwise``.
 
-    Groups are languages, or languages in shards. Only phrases whose shorter ones are all ``known``
-    are counted.
+    Groups are languages in shards if ``by_shard``; else languages, and the key is that of the
+    phrase in the class of one text which holds it. Only phrases whose shorter ones are all
+    ``known`` are counted.
     """
     shift = np.uint64(64 - max(1, (ranges - 1).bit_length()))
 
@@ -163,7 +174,13 @@ def frequent(rows: DataFrame, sizes: list[int], known: np.ndarray | None, by_sha
                     continue
                 mine = block.groups[at]
                 for group in np.unique(block.group_of_text).tolist():
-                    found, times = np.unique(hashes[mine == np.uint64(group)], return_counts=True)
+                    inside = mine == np.uint64(group)
+                    if by_shard:
+                        found, times = np.unique(hashes[inside], return_counts=True)
+                        classes = np.zeros(0, np.uint16)
+                    else:
+                        found, first, times = np.unique(hashes[inside], return_index=True, return_counts=True)
+                        classes = block.classes[at[inside][first]]
                     edges = np.searchsorted(found >> shift, np.arange(1 << (64 - int(shift)), dtype=np.uint64))
                     cuts = [c for c in zip(range(len(edges)), edges.tolist(), [*edges.tolist()[1:], len(found)], strict=True) if c[1] < c[2]]
                     signed = group - (1 << 64) if group >> 63 else group
@@ -172,8 +189,9 @@ def frequent(rows: DataFrame, sizes: list[int], known: np.ndarray | None, by_sha
                         pa.array([r for r, _, _ in cuts], pa.int32()),
                         pa.array([planes(found[a:b]) for _, a, b in cuts], pa.binary()),
                         pa.array([planes(times[a:b].astype(np.uint32)) for _, a, b in cuts], pa.binary()),
+                        pa.array([planes(classes[a:b]) for _, a, b in cuts], pa.binary()),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["part", "cut", "hashes", "times"])
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "cut", "hashes", "times", "classes"])
 
     def total(table: pa.Table) -> pa.Table:
         group = table.column("part")[0].as_py() & MASK
@@ -184,15 +202,22 @@ def frequent(rows: DataFrame, sizes: list[int], known: np.ndarray | None, by_sha
         sums = np.add.reduceat(times[order].astype(np.int64), begins)
         kept = sums >= support.get(group, otherwise)
         found = hashes[begins[kept]]
-        keys = keys_of(found, np.uint64(group) if by_shard else None)
+        if by_shard:
+            keys = keys_of(found, np.uint64(group))
+        else:
+            keys = keys_in(found, unplaned(table.column("classes"), np.uint16)[order[begins[kept]]])
         return pa.table({"key": keys.view(np.int64), "hash": found.view(np.int64), "n": sums[kept]})
 
-    counted = rows.mapInArrow(count, "part long, cut int, hashes binary, times binary")
+    counted = rows.mapInArrow(count, "part long, cut int, hashes binary, times binary, classes binary")
     return counted.groupBy("part", "cut").applyInArrow(total, "key long, hash long, n long")
 
 
-def spelled(rows: DataFrame, known: np.ndarray, longest: int, block_bytes: int) -> DataFrame:
-    """(lang, hash, words, size, n): each block's known phrases, and a row without words for the words of each language."""
+def spelled(rows: DataFrame, known: np.ndarray, chosen: tuple[np.ndarray, np.ndarray], longest: int, block_bytes: int) -> DataFrame:
+    """(lang, hash, words, size, n): phrases in the classes whose key is ``chosen``, and a row without words for the words of each language.
+
+    Both filters look at bits of the key, the low and the high ones; ``known`` has a bit for each
+    chosen phrase and those inside it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, block_bytes):
@@ -200,9 +225,11 @@ def spelled(rows: DataFrame, known: np.ndarray, longest: int, block_bytes: int)
             groups = np.array([hash_of(x) for x in block.langs], dtype=np.uint64)
             order = np.argsort(groups)
             for size, at, hashes in block.phrases(longest, known, False):
-                hashes, first = np.unique(hashes, return_index=True)
-                told = has_bit(known, hashes)
-                hashes, at = hashes[told], at[first[told]]
+                keys = keys_in(hashes, block.classes[at])
+                told = np.flatnonzero(has_bit(chosen[0], keys))
+                told = told[has_bit(chosen[1], keys[told] >> np.uint64(32))]
+                hashes, first = np.unique(hashes[told], return_index=True)
+                at = at[told[first]]
                 langs = [block.langs[i] for i in order[np.searchsorted(groups[order], block.groups[at])].tolist()]
                 yield batch_of(langs, hashes.view(np.int64).tolist(), block.spelled(at, size), size, [0] * len(at))
 
@@ -218,7 +245,7 @@ def frequent_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, size, words, f) of all phrases up to ``longest`` words with f >= ``min_count``, and (lang, n)."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(text.alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.pmod(F.xxhash64(text), F.lit(shards)).cast("int").alias("shard"))
+    rows = docs.select(text.alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), *[F.pmod(F.xxhash64(text), F.lit(n)).cast("int").alias(c) for c, n in (("shard", shards), ("class", TEXT_CLASSES))])
     bytes_of = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), *[F.sum(F.when(F.col("shard") == i, F.octet_length("text"))).alias(f"b{i}") for i in range(shards)])
     sizes = keep(bytes_of)
     largest = sizes.orderBy(F.desc_nulls_last("b"), "lang").limit(KNOWN_LANGS).filter("b > 0").collect()
@@ -232,10 +259,11 @@ def frequent_phrases(
         bits = [bit_filter(mined, c, MOST_BITS, everything) for c in ("key", "hash")]
         known, candidates = bits if size == 1 else (known | bits[0], candidates | bits[1])
     plain = rows.withColumn("shard", F.lit(0))
-    total = keep(frequent(plain, list(range(1, longest + 1)), candidates, False, {}, min_count, ranges, block_bytes).select("hash", F.col("n").alias("f")))
-    texts = spelled(plain, bit_filter(total, "hash", MOST_BITS, everything), longest, block_bytes)
+    total = keep(frequent(plain, list(range(1, longest + 1)), candidates, False, {}, min_count, ranges, block_bytes))
+    chosen = tuple(bit_filter(total.select(c.alias("key")), "key", MOST_BITS, everything) for c in (F.col("key"), F.shiftrightunsigned("key", 32)))
+    texts = spelled(plain, candidates, chosen, longest, block_bytes)
     texts = keep(texts.groupBy("lang", "hash", "size").agg(F.min("words").alias("words"), F.sum("n").alias("n")))
-    found = keep(texts.filter("size > 0").join(total, "hash").select("lang", "size", "words", "f"))
+    found = keep(texts.filter("size > 0").join(total.select("hash", F.col("n").alias("f")), "hash").select("lang", "size", "words", "f"))
     return found, texts.filter("size = 0").select("lang", "n")
 
 
