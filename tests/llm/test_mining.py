@@ -85,13 +85,18 @@ def phrases_brute(docs, min_count, longest, top, cover=100):
             counts[lang].update(" ".join(w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
     out = []
     for lang, f in counts.items():
-        rows = []
+        rows, longer = [], Counter()  # the highest count of a frequent longer phrase that holds it
+        for phrase, a in f.items():
+            w = phrase.split(" ")
+            for k in range(1, len(w) if a >= min_count else 1):
+                for i in range(len(w) - k + 1):
+                    inner = " ".join(w[i : i + k])
+                    longer[inner] = max(longer[inner], a)
         for phrase, a in f.items():
             w = phrase.split(" ")
             if a < min_count or len(w) < 2:
                 continue
-            inside = lambda p: any(p[i : i + len(w)] == w for i in range(len(p) - len(w) + 1))  # noqa: E731, B023
-            if any(c >= min_count and len(p.split(" ")) > len(w) and 100 * c >= cover * a and inside(p.split(" ")) for p, c in f.items()):
+            if 100 * longer[phrase] >= cover * a:
                 continue
             cuts = [(1000 * a * n[lang] // (f[" ".join(w[:k])] * f[" ".join(w[k:])]), k) for k in range(1, len(w))]
             score, k = min(cuts)
