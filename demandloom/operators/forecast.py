@@ -20,6 +20,8 @@ MAX_P, MAX_Q, MAX_D = 5, 5, 3
 MIN_POINTS = 3
 KPSS_CRITICAL = 0.463
 Z_95 = 1.959963984540054
+#: Most rounds of the exact fit, and the relative gain that ends it.
+EXACT_ROUNDS, EXACT_GAIN = 20, 1e-9
 
 FORECAST_SCHEMA = "step int, forecast double, lower double, upper double, status string, method string, data_points int"
 
@@ -126,11 +128,90 @@ def search_orders(w: np.ndarray, shocks: np.ndarray, long_order: int):
         here = best
 
 
-def arima_path(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, str]:
+def filtered(w: np.ndarray, phi: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kalman filter of a stationary ARMA series of mean 0: innovations, their variances (in units of the shocks'), state after the end."""
+    r = max(len(phi), len(theta) + 1)
+    move = np.eye(r, k=1)
+    move[: len(phi), 0] = phi
+    shock = np.zeros(r)
+    shock[0], shock[1 : len(theta) + 1] = 1.0, theta
+    noise = np.outer(shock, shock)
+    cover = np.linalg.solve(np.eye(r * r) - np.kron(move, move), noise.ravel()).reshape(r, r)
+    state, innovations, variances = np.zeros(r), np.empty(len(w)), np.empty(len(w))
+    settled = False
+    for t, value in enumerate(w):
+        if not settled:
+            variance = cover[0, 0]
+            gain = cover[:, 0] / variance
+            cover = move @ (cover - np.outer(gain, cover[0])) @ move.T + noise
+            settled = abs(variance - 1) < 1e-12 and abs(cover[0, 0] - 1) < 1e-12
+        innovations[t], variances[t] = value - state[0], variance
+        state = move @ (state + gain * innovations[t])
+    return innovations, variances, state
+
+
+def exact_likelihood(w: np.ndarray, mean: float, phi: np.ndarray, theta: np.ndarray) -> float:
+    """Log-likelihood of a Gaussian ARMA series, with the shocks' variance that makes it largest."""
+    innovations, variances, _ = filtered(w - mean, phi, theta)
+    n = len(w)
+    sigma2 = np.sum(innovations**2 / variances) / n
+    return float(-0.5 * (n * (np.log(2 * np.pi * sigma2) + 1) + np.log(variances).sum()))
+
+
+def fit_exact(w: np.ndarray, x: np.ndarray, mean: float, phi: np.ndarray, theta: np.ndarray):
+    """(mean, phi, theta, weights of x, sigma2, state after the end) of the largest exact likelihood near a start.
+
+    The likelihood grows as the sum of squares of the scaled innovations falls, so the steps are
+    those of damped least squares. Only steps that gain are taken, so the result is never less
+    likely than the start; None if the start is no stationary and invertible model.
+    """
+    p, q = len(phi), len(theta)
+    at = np.r_[mean, phi, theta, np.zeros(x.shape[1])]
+    unit = np.r_[np.std(w) or 1.0, np.ones(p + q), [(np.std(w) or 1.0) / (np.std(c) or 1.0) for c in x.T]]
+
+    def errors(at):
+        if not (_inside(at[1 : p + 1]) and _inside(-at[p + 1 : p + q + 1])):
+            return None
+        innovations, variances, _ = filtered(w - at[0] - x @ at[p + q + 1 :], at[1 : p + 1], at[p + 1 : p + q + 1])
+        return innovations / np.sqrt(variances) * np.exp(np.log(variances).mean() / 2)
+
+    here, damping = errors(at), 1e-3
+    if here is None:
+        return None
+    for _ in range(EXACT_ROUNDS):
+        slopes = np.zeros((len(w), len(at)))
+        for i in range(len(at)):
+            for step in (1e-6, -1e-6):
+                moved = at.copy()
+                moved[i] += step * unit[i]
+                there = errors(moved)
+                if there is not None:
+                    slopes[:, i] = (there - here) / step
+                    break
+        square, slope, loss = slopes.T @ slopes, slopes.T @ here, here @ here
+        gained = 0.0
+        while damping < 1e8 and gained <= 0:
+            step, *_ = np.linalg.lstsq(square + damping * np.diag(np.diag(square)), -slope, rcond=None)
+            there = errors(at + step * unit)
+            if there is not None and there @ there < loss:
+                gained = loss - there @ there
+                at, here, damping = at + step * unit, there, damping / 10
+            else:
+                damping *= 10
+        if gained <= EXACT_GAIN * loss:
+            break
+    phi, theta, weights = at[1 : p + 1], at[p + 1 : p + q + 1], at[p + q + 1 :]
+    innovations, variances, state = filtered(w - at[0] - x @ weights, phi, theta)
+    return at[0], phi, theta, weights, float(np.mean(innovations**2 / variances)), state
+
+
+def arima_path(y: np.ndarray, horizon: int, exact: bool = False, x: np.ndarray | None = None, x_new: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, str]:
     """(point forecasts, standard errors, method).
 
     The shorter the series, the smaller the models that are tried, down to the mean of the
-    differences. A series without variation repeats its last value.
+    differences. A series without variation repeats its last value. ``exact`` refines the chosen
+    model's least-squares fit by the exact likelihood, jointly with weights of the columns ``x``
+    if given, whose coming values are ``x_new``.
     """
     d = choose_difference(y)
     w = np.diff(y, d) if d else y
@@ -149,13 +230,27 @@ def arima_path(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, str
         spread = np.std(np.diff(y)) if len(y) > 1 else 0.0
         return np.repeat(y[-1], horizon), spread * steps, "naive"
     (_, constant, phi, theta, sigma2, residuals), p, q = best
-    history, errors = list(w), list(residuals)
-    for _ in range(horizon):
-        ar = sum(phi[i] * history[-1 - i] for i in range(p))
-        ma = sum(theta[i] * errors[-1 - i] for i in range(min(q, len(errors))))
-        history.append(constant + ar + ma)
-        errors.append(0.0)
-    path = np.array(history[len(w) :])
+    refined = None
+    if exact:
+        x = np.zeros((len(y), 0)) if x is None else x
+        refined = fit_exact(w, np.diff(x, d, axis=0) if d else x, constant / (1 - phi.sum()), phi, theta)
+    if refined is not None:
+        mean, phi, theta, weights, sigma2, state = refined
+        y = y - x @ weights
+        path = np.empty(horizon)
+        for step in range(horizon):
+            path[step] = mean + state[0]
+            ahead = np.r_[state[1:], 0.0]
+            ahead[:p] += phi * state[0]
+            state = ahead
+    else:
+        history, errors = list(w), list(residuals)
+        for _ in range(horizon):
+            ar = sum(phi[i] * history[-1 - i] for i in range(p))
+            ma = sum(theta[i] * errors[-1 - i] for i in range(min(q, len(errors))))
+            history.append(constant + ar + ma)
+            errors.append(0.0)
+        path = np.array(history[len(w) :])
     psi = np.zeros(horizon)
     psi[0] = 1.0
     for j in range(1, horizon):
@@ -163,6 +258,8 @@ def arima_path(y: np.ndarray, horizon: int) -> tuple[np.ndarray, np.ndarray, str
     for level in range(d - 1, -1, -1):
         path = np.diff(y, level)[-1] + np.cumsum(path) if level else y[-1] + np.cumsum(path)
         psi = np.cumsum(psi)
+    if refined is not None and x_new is not None:
+        path = path + x_new @ weights
     return path, np.sqrt(sigma2 * np.cumsum(psi**2)), f"arima({p},{d},{q})"
 
 
@@ -206,9 +303,13 @@ def _result_rows(keys: tuple, y: np.ndarray, forecast) -> list[tuple]:
 
 
 def forecast_arima(
-    series: DataFrame, horizon: int, by: Sequence[str] = ("product_id",), order: str = "bucket", value: str = "quantity"
+    series: DataFrame, horizon: int, by: Sequence[str] = ("product_id",), order: str = "bucket", value: str = "quantity", exact: bool = False
 ) -> DataFrame:
-    """Automatic ARIMA per key with 95 % intervals; fewer than 3 points give one no_data row."""
+    """Automatic ARIMA per key with 95 % intervals; fewer than 3 points give one no_data row.
+
+    The models are chosen and fitted by least squares; ``exact`` then refines the chosen one by its
+    exact likelihood, at many times the cost.
+    """
     names = list(by)
     schema = _result_schema(series, names)
 
@@ -217,7 +318,7 @@ def forecast_arima(
             out = []
             for *keys, values in pdf.itertuples(index=False, name=None):
                 y = np.asarray(values, dtype=float)
-                out += _result_rows(tuple(keys), y, arima_path(y, horizon) if len(y) >= MIN_POINTS else None)
+                out += _result_rows(tuple(keys), y, arima_path(y, horizon, exact) if len(y) >= MIN_POINTS else None)
             yield pd.DataFrame(out, columns=schema.names)
 
     return _series_arrays(series, names, order, [value]).mapInPandas(run, schema=schema)
@@ -231,8 +332,12 @@ def forecast_arimax(
     order: str = "period_end",
     value: str = "quantity",
     step: str = "period",
+    exact: bool = False,
 ) -> DataFrame:
-    """Regression on exogenous columns with ARIMA errors; ``future`` holds their coming values."""
+    """Regression on exogenous columns with ARIMA errors; ``future`` holds their coming values.
+
+    ``exact`` fits the regression and the errors' model together by their exact likelihood.
+    """
     names, xs = list(by), list(exogenous)
     schema = _result_schema(series, names)
     past = _series_arrays(series.na.drop(subset=[value, *xs]), names, order, [value, *xs])
@@ -241,7 +346,7 @@ def forecast_arimax(
     def fit(y, x, x_new):
         centre = x.mean(axis=0)
         beta, *_ = np.linalg.lstsq(x - centre, y - y.mean(), rcond=None)
-        path, error, method = arima_path(y - (x - centre) @ beta, len(x_new))
+        path, error, method = arima_path(y - (x - centre) @ beta, len(x_new), exact, x - centre, x_new - centre)
         return path + (x_new - centre) @ beta, error, method.replace("arima", "arimax")
 
     def run(batches):

@@ -74,6 +74,53 @@ def test_orders_are_compared_on_one_sample():
         assert np.isfinite(path).all() and np.isfinite(spread).all() and method.startswith("arima(")
 
 
+def test_exact_likelihood():
+    """Equal to the density of the whole series, and no start is more likely than its fit."""
+    rng = np.random.default_rng(5)
+    for phi, theta in (([0.6], []), ([], [0.5]), ([0.5, -0.3], [0.4]), ([], [])):
+        phi, theta = np.array(phi), np.array(theta)
+        w = rng.normal(3, 1, 40)
+        psi = np.zeros(400)  # covariances from the weights of past shocks
+        for j in range(400):
+            psi[j] = (1 if j == 0 else theta[j - 1] if j <= len(theta) else 0) + sum(phi[i] * psi[j - 1 - i] for i in range(min(len(phi), j)))
+        covariance = np.array([[psi[: 400 - abs(i - j)] @ psi[abs(i - j) :] for j in range(40)] for i in range(40)])
+        e = w - 2.5
+        sigma2 = e @ np.linalg.solve(covariance, e) / 40
+        want = -0.5 * (40 * np.log(2 * np.pi * sigma2) + np.linalg.slogdet(covariance)[1] + 40)
+        assert M.exact_likelihood(w, 2.5, phi, theta) == pytest.approx(want)
+        mean, phi_, theta_, weights, sigma2, _ = M.fit_exact(w, np.zeros((40, 0)), 2.5, phi, theta)
+        best = M.exact_likelihood(w, mean, phi_, theta_)
+        assert best >= want - 1e-9 and len(weights) == 0
+        for i in range(1 + len(phi) + len(theta)):
+            for step in (-0.01, 0.01):
+                moved = np.r_[mean, phi_, theta_]
+                moved[i] += step
+                near = moved[1 : len(phi) + 1], moved[len(phi) + 1 :]
+                if M._inside(near[0]) and M._inside(-near[1]):
+                    assert M.exact_likelihood(w, moved[0], *near) <= best + 1e-6
+    assert (mean, sigma2) == pytest.approx((w.mean(), w.var()))
+
+
+def test_exact_forecasts(spark):
+    """An autoregression's forecast follows from its exact fit; a regression is fitted with its errors' model."""
+    rng = np.random.default_rng(6)
+    y = np.zeros(300)
+    for t in range(1, 300):
+        y[t] = 0.7 * y[t - 1] + rng.normal()
+    path, error, method = M.arima_path(10 + y, 30, exact=True)
+    assert method.startswith("arima(") and abs(path[0] - (10 + 0.7 * y[-1])) < 0.5 and error[-1] == pytest.approx(1 / np.sqrt(1 - 0.49), rel=0.2)
+    for n in range(3, 30):
+        path, spread, method = M.arima_path(rng.normal(10, 1, n).cumsum(), 3, exact=True)
+        assert np.isfinite(path).all() and np.isfinite(spread).all()
+    x = rng.normal(size=300)
+    past = spark.createDataFrame([(1, t, float(b), float(a)) for t, (a, b) in enumerate(zip(x, 10 + 5 * x + y))], "product_id int, period_end int, quantity double, x double")
+    future = spark.createDataFrame([(1, 1, 0.0), (1, 2, 2.0)], "product_id int, period int, x double")
+    first, second = (r["forecast"] for r in M.forecast_arimax(past, future, ["x"], exact=True).orderBy("step").collect())
+    assert first == pytest.approx(10 + 0.7 * y[-1], abs=0.6) and second == pytest.approx(20 + 0.49 * y[-1], abs=0.9)
+    short = series_of(spark, {1: [5, 5], 2: [5, 5, 5], 3: [1, 2, 3, 4]})
+    assert {(r["product_id"], r["status"]) for r in M.forecast_arima(short, 2, exact=True).collect()} == {(1, "no_data"), (2, "success"), (3, "success")}
+
+
 def test_models_are_saved(spark, tmp_path):
     data = [(i % 3, float(i), float(i * 2 % 7), "train" if i < 40 else "test") for i in range(50)]
     df = spark.createDataFrame(data, "product_id int, x double, quantity double, split string")
