@@ -25,17 +25,16 @@ class _Rank:
     k: int
     size: int  # rows still in the bracket
     skipped: int = 0  # rows below the bracket
-    low: tuple[float, bool] | None = None  # (bound, bound included)
-    high: tuple[float, bool] | None = None
+    low: float | None = None  # the bracket is between these, without them
+    high: float | None = None
     value: float | None = None
-    stuck: bool = False  # the bracket holds few distinct values, many times each
 
     def inside(self) -> Column:
         v, out = F.col(self.column), F.col(self.column).isNotNull()
         if self.low is not None:
-            out = out & (v >= self.low[0] if self.low[1] else v > self.low[0])
+            out = out & (v > self.low)
         if self.high is not None:
-            out = out & (v <= self.high[0] if self.high[1] else v < self.high[0])
+            out = out & (v < self.high)
         return out
 
     def marks(self) -> Column:
@@ -43,18 +42,23 @@ class _Rank:
         ends = F.array(F.lit(max(0.0, share - PAD)), F.lit(min(1.0, share + PAD)))
         return F.percentile_approx(F.when(self.inside(), F.col(self.column)), ends, SKETCH_ACCURACY)
 
-    def narrow(self, a: float, b: float, less: int, mid: int) -> None:
-        """Go to the part that holds the rank: below ``a``, ``a`` to ``b``, or above ``b``."""
+    def narrow(self, a: float, b: float, less: int, mid: int, at_a: int, at_b: int) -> None:
+        """Go to the part that holds the rank: below ``a``, at ``a``, between, at ``b``, or above ``b``.
+
+        ``a`` and ``b`` are values of the bracket and each part is without them, so it is always
+        smaller than the bracket, however often a value occurs.
+        """
         if self.k < self.skipped + less:
-            self.high, self.size = (a, False), less
+            self.high, self.size = a, less
         elif self.k >= self.skipped + less + mid:
-            self.low, self.skipped, self.size = (b, False), self.skipped + less + mid, self.size - less - mid
-        elif a == b:
+            self.low, self.skipped, self.size = b, self.skipped + less + mid, self.size - less - mid
+        elif a == b or self.k < self.skipped + less + at_a:
             self.value = a
+        elif self.k >= self.skipped + less + mid - at_b:
+            self.value = b
         else:
-            self.stuck = mid == self.size
-            self.low, self.high = (a, True), (b, True)
-            self.skipped, self.size = self.skipped + less, mid
+            self.low, self.high = a, b
+            self.skipped, self.size = self.skipped + less + at_a, mid - at_a - at_b
 
 
 def exact_quantiles(
@@ -93,7 +97,7 @@ def exact_quantiles(
 
 def _search(values: DataFrame, ranks: list[_Rank], buffer_rows: int) -> None:
     """Fill in the value of every rank."""
-    while open_ranks := [r for r in ranks if r.value is None and not r.stuck and r.size > buffer_rows]:
+    while open_ranks := [r for r in ranks if r.value is None and r.size > buffer_rows]:
         ends = values.agg(*[r.marks().alias(f"m{i}") for i, r in enumerate(open_ranks)]).first()
         parts = []
         for i, r in enumerate(open_ranks):
@@ -101,14 +105,16 @@ def _search(values: DataFrame, ranks: list[_Rank], buffer_rows: int) -> None:
             parts += [
                 F.count_if(r.inside() & (v < a)).alias(f"less{i}"),
                 F.count_if(r.inside() & (v >= a) & (v <= b)).alias(f"mid{i}"),
+                F.count_if(r.inside() & (v == a)).alias(f"low{i}"),
+                F.count_if(r.inside() & (v == b)).alias(f"high{i}"),
             ]
         sizes = values.agg(*parts).first()
         for i, r in enumerate(open_ranks):
-            r.narrow(*ends[f"m{i}"], sizes[f"less{i}"], sizes[f"mid{i}"])
+            r.narrow(*ends[f"m{i}"], *(sizes[f"{part}{i}"] for part in ("less", "mid", "low", "high")))
     left = [r for r in ranks if r.value is None]
     if not left:
         return
-    # short brackets, or few distinct values: one row per distinct value of each rank's bracket
+    # one row per distinct value of each rank's bracket, which is short
     cells = F.array_compact(
         F.array(*[F.when(r.inside(), F.struct(F.lit(i).alias("i"), F.col(r.column).alias("v"))) for i, r in enumerate(left)])
     )

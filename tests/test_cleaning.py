@@ -37,6 +37,10 @@ def test_exact_quantiles_beyond_the_buffer(spark):
     got = exact_quantiles(few, ["a", "b"], [0.25, 0.5], buffer_rows=20)
     assert got == {"a": [0.0, 0.5], "b": [99.75, 199.5]}
     assert exact_quantiles(few.filter("a > 5"), ["a"], [0.5]) == {"a": [None]}
+    ends = np.concatenate([np.repeat(1.0, 10_000), [2.0, 3.0, 4.0, 5.0, 6.0], np.repeat(9.0, 10_000)])  # a few values between two frequent ones
+    df = spark.range(len(ends)).select(F.expr("CASE WHEN id < 10000 THEN 1D WHEN id < 10005 THEN id - 9998 ELSE 9D END").cast("double").alias("x"))
+    probs = [0.4, 0.4999, 0.49992, 0.5, 0.50007, 0.6]
+    assert np.allclose(exact_quantiles(df, ["x"], probs, buffer_rows=2)["x"], np.quantile(ends, probs))
 
 
 def test_scalers(spark):
