@@ -5,7 +5,7 @@ from tests.conftest import rows
 from pyspark.sql import functions as F
 
 from demandloom.operators import orders as O
-from demandloom.operators.alerts import resolve_alerts
+from demandloom.operators.alerts import anomaly_scan, resolve_alerts
 from demandloom.sources import ledger
 from demandloom.streaming import alert_state as S
 from demandloom.streaming import jobs as J
@@ -121,6 +121,21 @@ def test_alerts_rearm_from_the_state_store(spark, tmp_path):
     assert len(set(ids)) == 3
 
 
+def test_spikes_of_one_instant_are_ordered(spark, tmp_path):
+    """Of several spikes at one time the first by order, line and quantity opens the alert, missing orders first."""
+    products = spark.createDataFrame([(p, 10) for p in range(1, 5)], "id int, safety_stock int")
+    noon = dt.datetime(2024, 1, 1, 12)
+    data = [(1, noon, 9, 1, 200.0), (1, noon, 3, 2, 50.0), (1, noon, 3, 1, 60.0), (2, noon, 1, 1, 200.0), (2, noon, None, 5, 40.0),
+            (3, noon, 1, 1, 90.0), (3, noon, 1, 1, 80.0), (4, noon, None, None, 70.0), (4, noon, None, 1, 300.0)]
+    sales = spark.createDataFrame(data, "product_id int, ds timestamp, order_id int, line_no int, quantity double")
+    write(sales, tmp_path / "in")
+    out = str(tmp_path / "out")
+    J.finish(S.stream_alert_events(J.file_stream(spark, str(tmp_path / "in")), products, out, str(tmp_path / "ckpt")))
+    got = rows(S.alert_ledger(spark, out), "product_id", "message")
+    assert got == rows(anomaly_scan(sales, products), "product_id", "message")
+    assert [m.split("(")[1] for _, m in got] == ["60.0 units).", "40.0 units).", "80.0 units).", "70.0 units)."]
+
+
 def test_sources_share_a_folder(spark, tmp_path):
     """Two sources, a new checkpoint of one, and a load that died before its entry."""
     out = str(tmp_path / "out")
