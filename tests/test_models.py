@@ -195,6 +195,30 @@ def test_trees_and_ledger(spark):
     assert log.count() == 1 and json.loads(log.first()["features_json"]) == {"a": 3.0}
 
 
+def test_equal_rows_are_learned_from_once(spark, tmp_path, monkeypatch):
+    """From some size on equal rows are one row with a weight, and the model is the same."""
+    data = [(i % 3, float(i % 5), float(i % 30), float((i % 5) * 7 + i % 2), "train" if i % 10 else "test") for i in range(600)]
+    df = spark.createDataFrame(data, "product_id int, a double, b double, quantity double, split string")
+    plain = L.train_gbt(df, ["a", "b"], rounds=4, depth=3)
+    monkeypatch.setattr(L, "GROUP_FROM", 1)
+    given, fit = [], L.Pipeline.fit
+    monkeypatch.setattr(L.Pipeline, "fit", lambda self, frame: given.append(frame.count()) or fit(self, frame))
+    grouped = L.train_gbt(df, ["a", "b"], rounds=4, depth=3)
+    assert given == [df.filter("split = 'train'").select("a", "b", "quantity").distinct().count()] and given[0] < 100
+    asked = df.select("product_id", "a", "b").distinct()
+    scores = [{(r["a"], r["b"]): r["prediction"] for r in t.model.transform(asked).collect()} for t in (plain, grouped)]
+    assert scores[1] == pytest.approx(scores[0])
+    assert grouped.metrics.filter("split = 'test'").first()["n"] == 60
+    # a feature with very many values is learned from in buckets, also after saving
+    monkeypatch.setattr(L, "MANY_VALUES", 20)
+    cut = L.train_gbt(df, ["a", "b"], rounds=4, depth=3)
+    assert cut.model.stages[-2].getInputCols() == ["a", "_bucket_b_no"] and 2 <= len(cut.model.stages[0].getSplitsArray()[0]) <= L.BINS + 1
+    L.save_model(cut, str(tmp_path / "m"))
+    loaded = L.load_model(spark, str(tmp_path / "m"))
+    got = {(r["a"], r["b"]): r["prediction"] for r in loaded.model.transform(asked).collect()}
+    assert got == pytest.approx(scores[0], abs=1.5)
+
+
 def test_scoring(spark):
     log = spark.createDataFrame([(1, "m", "v1", 10.0, "d"), (2, "m", "v1", 10.0, "d"), (3, "m", "v1", 10.0, "d")], "product_id int, model_name string, model_version string, predicted_value double, target_date string")
     actuals = spark.createDataFrame([(1, "d", 11.0), (2, "d", 20.0)], "product_id int, target_date string, actual_value double")
