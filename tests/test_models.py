@@ -174,6 +174,15 @@ def test_recursive_trees(spark):
     assert {r["model"] for r in best} == {"naive", "arima", "boosted_trees"} and all(r["n"] == 4 for r in best)
 
 
+def test_lagged_rows_are_read_as_files(spark, monkeypatch):
+    """Only the steps are checkpoints, whose partitions stay as they are however large; the rows to learn from are files."""
+    kept, checkpoint = [], L.checkpoint
+    monkeypatch.setattr(L, "checkpoint", lambda df: kept.append(df.columns) or checkpoint(df))
+    got = L.forecast_trees(series_of(spark, {1: [1, 2, 3, 4, 5, 6], 2: [1]}), 2, rounds=2, depth=2)
+    assert rows(got, "product_id", "step") == [(1, 1), (1, 2)]
+    assert len(kept) == 2 and all("forecast" in names for names in kept)
+
+
 def test_split_is_in_time_order(spark):
     df = L.split_time(series_of(spark, {1: range(11)}), order="bucket")
     got = [r["split"] for r in df.orderBy("bucket").collect()]
