@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 from tests.conftest import plan_text, rows
 
+from demandloom import session
 from demandloom.operators import demand as D
 from demandloom.plans import views as V
 from demandloom.sources import ledger
@@ -67,3 +68,29 @@ def test_files_grow_with_the_rows(spark, sf, monkeypatch):
     assert V.files_for(spark, sf, "lineitem", 4) == 4
     monkeypatch.setattr(V, "ROWS_PER_FILE", 1000)
     assert V.files_for(spark, sf, "lineitem", 4) == 4 * -(-many // 4000)
+
+
+def test_the_feed_is_joined_before_its_texts_are_made(spark, tmp_path):
+    """The shuffle holds the numbers of a line; its JSON text comes after."""
+    spark.sql("SELECT 1L AS l_orderkey, 2 AS l_linenumber, 3L AS l_partkey, 4D AS l_quantity, 5.5D AS l_extendedprice, 0.1D AS l_discount").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT 1L AS o_orderkey, 6L AS o_custkey, 'O' AS o_orderstatus, 9D AS o_totalprice, DATE'2024-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    feed = V.order_feed(spark, str(tmp_path))
+    assert feed.columns == ["ord", "line_no", "lines", "cust", "state", "total", "placed"]
+    lines = '[{"sku": 3, "qty": 4.0, "price": "5.5", "off": 0.1}, {"sku": "gift", "qty": 1, "price": null}]'
+    assert rows(feed) == [(1, 2, lines, 6, "O", 9.0, dt.date(2024, 1, 1))]
+    after, before = feed._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    assert '{"sku": ' in after and '{"sku": ' not in before
+
+
+def test_digests_are_shuffled_as_bytes(spark):
+    hex_id, other = "0123456789abcdef" * 2, "z" * 32
+    ids = spark.createDataFrame([(hex_id,), (other,), ("41",), ("A",), (None,)], "message_id string")
+    got = [None if r[0] is None else bytes(r[0]) for r in ids.select(D._short(F.col("message_id"))).collect()]
+    assert got == [bytes.fromhex(hex_id), other.encode(), b"41", b"A", None]
+
+
+def test_files_of_a_kept_frame_have_few_rows(spark, monkeypatch):
+    """A task takes some files at most, so its rows are bounded however well they compress."""
+    monkeypatch.setattr(session, "FILE_ROWS", 100)
+    with session.materialize(spark.range(0, 1000, 1, 1), "kept") as kept:
+        assert len(kept.inputFiles()) == 10 and kept.count() == 1000
