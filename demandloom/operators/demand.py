@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.session import checkpoint, path_exists
+from demandloom.session import checkpoint, parts_for, path_exists
 from demandloom.sources import ledger
 
 #: What a re-delivered message and its items have in common with the first delivery.
@@ -51,6 +51,17 @@ def once(facts: DataFrame) -> DataFrame:
     return facts.dropDuplicates([*MESSAGE_KEY, "item_no"])
 
 
+def once_spread(rows: DataFrame, *more: str) -> DataFrame:
+    """The rows of a loaded table with re-delivered messages (and their ``more``) counted once, dealt out first, some to a task.
+
+    Their number is read from the footers of their files. Digests come as bytes, and first in the
+    key: a sort by them is decided by its first eight bytes, whereas all rows may have one source.
+    """
+    keys = ["_message", *more, "order_id", "source_id"]
+    dealt = rows.withColumn("_message", _short(F.col("message_id"))).repartition(parts_for(rows.count()), *keys)
+    return dealt.dropDuplicates(keys).drop("_message")
+
+
 def with_month(df: DataFrame, date_col: str) -> DataFrame:
     day = F.to_date(date_col)
     return df.withColumn(MONTH, F.year(day) * 100 + F.month(day))
@@ -91,17 +102,18 @@ def _short(message_id: Column) -> Column:
     return F.when(F.length(message_id) == 32, F.coalesce(F.unhex(message_id), text)).otherwise(text)
 
 
-def demand_once(facts: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+def demand_once(facts: DataFrame, gone: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """``daily_demand(once(facts))`` of dated facts, which are shuffled once, with whether a key is ``touched``.
 
     A message's digest holds its order and date, so all deliveries of an item, and all lines of an
     order on a day, meet where order and day do. Then an order is one row per key, and orders need
     only be counted. ``gone`` are further touched keys (product_id, day): without facts they get nulls.
+    ``parts`` are the tasks that the facts are dealt out to. The digest leads the key, see ``once_spread``.
     """
     dated = facts.filter(F.col("sale_date").isNotNull()).withColumns({"day": F.to_date("sale_date"), "message_id": _short(F.col("message_id"))})
-    dated = dated.repartition("order_id", "day")
+    dated = dated.repartition(*([] if parts is None else [parts]), "order_id", "day")
     measures = ("quantity", "gross_sale")
-    items = dated.groupBy(*MESSAGE_KEY, "item_no", "day").agg(
+    items = dated.groupBy("message_id", "item_no", "order_id", "source_id", "day").agg(
         *[F.first(c).alias(c) for c in ("product_id", *measures)], F.max("touched").alias("touched")
     )
     sums = [F.sum(c).alias(c) for c in measures]
@@ -132,7 +144,8 @@ def remade(spark: SparkSession, out_dir: str, changed: Sequence[str]) -> DataFra
     if replaced := [c for c in changed if c not in left]:
         old = rows.filter(F.col("load_id").isin(replaced) & F.col("product_id").isNotNull() & F.col("sale_date").isNotNull())
         gone = old.select("product_id", F.to_date("sale_date").alias("day")).distinct()
-    found = demand_once(ledger.of_loads(rows, loads).withColumn("touched", mine), gone)
+    live = ledger.of_loads(rows, loads)
+    found = demand_once(live.withColumn("touched", mine), gone, parts_for(live.count()))  # counted by the files' footers
     return found.filter("touched").select(*KEY, *VALUES)
 
 
@@ -158,7 +171,7 @@ def read_demand(spark: SparkSession, out_dir: str) -> DataFrame:
     if facts is None:
         raise ValueError(f"nothing was loaded into {out_dir}")
     if base is None:
-        return demand_once(facts.withColumn("touched", F.lit(True))).select(*KEY, *VALUES)
+        return demand_once(facts.withColumn("touched", F.lit(True)), None, parts_for(facts.count())).select(*KEY, *VALUES)
     later = checkpoint(remade(spark, out_dir, [r["load_id"] for r in loads.collect()]))
     return base.join(later.select(*KEY), KEY, "left_anti").unionByName(later.filter("order_count IS NOT NULL"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from demandloom.functions import name_col, to_number
 from demandloom.functions.expr import digest
 from demandloom.operators import demand
-from demandloom.operators.demand import MESSAGE_KEY, MONTH, daily_demand, once, with_month  # noqa: F401  (daily_demand is one of the operators here)
+from demandloom.operators.demand import MONTH, daily_demand, once, once_spread, with_month  # noqa: F401  (daily_demand and once are operators here)
 from demandloom.session import materialize
 from demandloom.sources import ledger
 
@@ -231,20 +231,32 @@ def load_orders(
     days that the load touches is brought up to date. ``counted`` tells whether a table adds to the
     inserted total.
     """
-    spark = df.sparkSession
+    with materialize(df, "orders") as source:
+        return load_kept(source, out_dir, mapping, source_id, load_id, dead)
+
+
+def load_kept(
+    source: DataFrame,
+    out_dir: str,
+    mapping: Mapping[str, str] | None = None,
+    source_id: int = 0,
+    load_id: str | None = None,
+    dead: DataFrame | None = None,
+) -> DataFrame:
+    """``load_orders`` of a frame that lies in files already and is read once per table."""
+    spark = source.sparkSession
     names = dict(mapping or {})
     load = ledger.begin(out_dir, source_id, load_id)
     counts = {}
-    with materialize(df, "orders") as source:
-        letters = unparsed_orders(source, names, source_id)
-        frames = {
-            "orders_backlog": with_month(order_backlog(source, names, source_id, tracked=True), "order_date"),
-            "fact_sales": with_month(explode_orders(source, names, source_id, tracked=True), "sale_date"),
-            "dim_customers": _first_orders(_customer_rows(source, names)),
-            "dead_letters": letters if dead is None else letters.unionByName(dead),
-        }
-        for table, frame in frames.items():
-            counts[table] = ledger.write_counted(frame, load.path(table), partition_by=MONTH if MONTH in frame.columns else None)
+    letters = unparsed_orders(source, names, source_id)
+    frames = {
+        "orders_backlog": with_month(order_backlog(source, names, source_id, tracked=True), "order_date"),
+        "fact_sales": with_month(explode_orders(source, names, source_id, tracked=True), "sale_date"),
+        "dim_customers": _first_orders(_customer_rows(source, names)),
+        "dead_letters": letters if dead is None else letters.unionByName(dead),
+    }
+    for table, frame in frames.items():
+        counts[table] = ledger.write_counted(frame, load.path(table), partition_by=MONTH if MONTH in frame.columns else None)
     ledger.commit(spark, load, counts)
     counts["agg_daily_demand"] = demand.refresh(spark, out_dir)
     rows = [(t, counts[t], t in COUNTED_TABLES) for t in LOAD_TABLES]
@@ -267,5 +279,5 @@ def read_loaded(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
     if table == "dim_customers":
         return _customer_details(_first_orders(frame))
     if table == "fact_sales":
-        return once(frame).drop("message_id", "item_no")
-    return frame.dropDuplicates(list(MESSAGE_KEY))
+        return once_spread(frame, "item_no").drop("message_id", "item_no")
+    return once_spread(frame)

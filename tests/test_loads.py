@@ -94,3 +94,17 @@ def test_files_of_a_kept_frame_have_few_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "FILE_ROWS", 100)
     with session.materialize(spark.range(0, 1000, 1, 1), "kept") as kept:
         assert len(kept.inputFiles()) == 10 and kept.count() == 1000
+
+
+def test_rows_of_a_task_are_bounded_by_their_number(spark, monkeypatch):
+    """Facts are dealt out by how many there are, not by how well they compress, and sorted by their digests."""
+    monkeypatch.setattr(session, "TASK_ROWS", 4)
+    given = facts(spark)
+    assert session.parts_for(0) == 1 and session.parts_for(given.count()) == 3
+    got = D.once_spread(given, "item_no")
+    key = [*D.MESSAGE_KEY, "item_no"]
+    assert got.columns == given.columns and rows(got, *key) == rows(D.once(given), *key)
+    assert "_message" in plan_text(got) and ", 3), REPARTITION_BY_NUM" in plan_text(got)
+    dealt = D.demand_once(given.withColumn("touched", F.lit(True)), None, 3)
+    assert rows(dealt, *D.KEY, *D.VALUES) == rows(D.daily_demand(D.once(given)))
+    assert ", 3), REPARTITION_BY_NUM" in plan_text(dealt)
