@@ -7,6 +7,8 @@ from tests.conftest import plan_text, rows
 
 from demandloom import session
 from demandloom.operators import demand as D
+from demandloom.operators import orders as O
+from demandloom.operators import sync as Y
 from demandloom.plans import views as V
 from demandloom.sources import ledger
 from demandloom.streaming import jobs as J
@@ -108,3 +110,33 @@ def test_rows_of_a_task_are_bounded_by_their_number(spark, monkeypatch):
     dealt = D.demand_once(given.withColumn("touched", F.lit(True)), None, 3)
     assert rows(dealt, *D.KEY, *D.VALUES) == rows(D.daily_demand(D.once(given)))
     assert ", 3), REPARTITION_BY_NUM" in plan_text(dealt)
+
+
+def test_a_sync_reads_its_source_once(spark, tmp_path):
+    seen, out, schema = spark.sparkContext.accumulator(0), str(tmp_path), "order_id string, day int, items string"
+
+    @F.udf("timestamp")
+    def date(day):
+        seen.add(1)
+        return day and dt.datetime(2024, 1, day)
+
+    marks = spark.createDataFrame([], Y.MARK_SCHEMA)
+    data = [("a", 1, "[]"), ("b", 2, "[]"), ("u", None, "[]")]
+    for number, more in enumerate(([], [("c", 1, "[]"), ("c", 1, "[]"), ("d", 3, "[]")], [])):
+        data += more
+        before = seen.value
+        counts, marks = Y.incremental_sync(spark.createDataFrame(data, schema).select("order_id", date("day").alias("order_date"), "items"), marks, 1, out)
+        assert seen.value - before == len(data)
+        assert {r["table"]: r["rows"] for r in counts.collect()}["orders_backlog"] == [2, 3, 0][number]
+
+
+def test_messages_not_loaded_yet(spark, tmp_path):
+    """All are new, some (told by a join with the new digests), or none."""
+    out, schema = str(tmp_path), "order_id string, order_date timestamp, items string"
+    frame = lambda names: spark.createDataFrame([(n, dt.datetime(2024, 1, 1), "[]") for n in names], schema)
+    O.load_orders(frame("ab"), out, source_id=1)
+    for given, left in (("ccd", "ccd"), ("abccb", "cc"), ("aab", "")):
+        with Y.not_loaded(frame(given), out, "orders_backlog", 1, {}) as found:
+            assert (found is None) == (not left) and (found is None or rows(found, "order_id") == [(c,) for c in left])
+    with Y.not_loaded(frame("ab"), out, "orders_backlog", 2, {}) as found:
+        assert found.count() == 2  # another source's
