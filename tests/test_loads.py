@@ -140,3 +140,69 @@ def test_messages_not_loaded_yet(spark, tmp_path):
             assert (found is None) == (not left) and (found is None or rows(found, "order_id") == [(c,) for c in left])
     with Y.not_loaded(frame("ab"), out, "orders_backlog", 2, {}) as found:
         assert found.count() == 2  # another source's
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_shuffles_go_with_their_job(spark, tmp_path):
+    """What is in files needs no shuffle any more; the setting is as before afterwards."""
+    before, there = spark.conf.get(session.CLEANUP, None), shuffle_files(spark)
+    summed = spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).count()
+    with session.materialize(summed, "sums") as kept:
+        assert not shuffle_files(spark) - there
+        assert kept.count() == 7
+    there = shuffle_files(spark)
+    assert ledger.write_counted(summed, f"{tmp_path}/sums") == 7 and not shuffle_files(spark) - there
+    assert spark.conf.get(session.CLEANUP, None) == before
+
+
+def test_the_backlog_gives_the_other_tables(spark, tmp_path, monkeypatch):
+    """With items as text and no customer details the source is not kept beside the backlog; the tables are the same."""
+    item = '[{"sku": 1, "qty": "2", "price": 3, "off": 1}, {"sku": 2, "price": "x"}]'
+    data = [("a", dt.datetime(2024, 1, 1), 7, item), ("a", dt.datetime(2024, 1, 1), 7, item), ("b", None, None, item), (None, dt.datetime(2024, 2, 1), 7, "[]"),
+            ("c", dt.datetime(2023, 2, 1), 7, "[{"), ("d", dt.datetime(2024, 2, 1), 8, '{"sku": 1}'), ("e", dt.datetime(2024, 2, 1), 9, None)]
+    names = {"order_id": "ord", "order_date": "placed", "customer_id": "cust", "items_column": "lines", "product_id": "sku", "quantity": "qty", "unit_price": "price", "discount": "off"}
+    df = spark.createDataFrame(data, "ord string, placed timestamp, cust int, lines string")
+    plain, detailed = f"{tmp_path}/plain", f"{tmp_path}/detailed"
+    wanted = O.load_orders(df.withColumn("customer_email", F.lit(None).cast("string")), detailed, names, 3)
+    monkeypatch.setattr(O, "materialize", None)
+    got = O.load_orders(df, plain, names, 3)
+    assert rows(got) == rows(wanted)
+    for table in O.LOAD_TABLES:
+        assert rows(O.read_loaded(spark, plain, table)) == rows(O.read_loaded(spark, detailed, table))
+    assert [r[0] for r in rows(O.read_loaded(spark, plain, "dead_letters"), "order_id")] == ["c", "d"]
+    facts = O.read_loaded(spark, plain, "fact_sales")
+    assert facts.columns == ["order_id", "source_id", "product_id", "quantity", "unit_price", "discount", "gross_sale", "net_sale", "sale_date"]
+    assert rows(facts.filter("product_id = '1' AND order_id = 'a'"), "gross_sale", "net_sale") == [(6.0, 5.0)]
+    scans = [line for line in plan_text(facts).splitlines() if line.startswith("ReadSchema")]
+    assert scans and not any("gross_sale" in line or "net_sale" in line for line in scans)
+
+
+def test_a_run_makes_one_version_of_the_demand(spark, tmp_path):
+    """Each file is a batch; the demand is brought up to date when the run ends, and can be read before."""
+    src, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    frame = spark.createDataFrame([(str(i), dt.datetime(2024, 1, 1), '[{"product_id": 5, "quantity": 2, "unit_price": 3}]') for i in range(3)], "order_id string, order_date timestamp, items string")
+    frame.repartition(3).write.option("maxRecordsPerFile", 1).parquet(src)
+    query = J.stream_sync(J.file_stream(spark, src, max_files=1), out, f"{tmp_path}/ckpt")
+    query.awaitTermination()
+    assert ledger.committed(spark, out).count() >= 3 and D.versions(spark, out).isEmpty()
+    wanted = rows(O.read_loaded(spark, out, "agg_daily_demand"))
+    J.finish(query)
+    assert rows(D.versions(spark, out).select("version").distinct()) == [(1,)] and D.changed_loads(spark, out).isEmpty()
+    assert rows(O.read_loaded(spark, out, "agg_daily_demand")) == wanted == [("5", dt.date(2024, 1, 1), 6.0, 18.0, 3)]
+    J.finish(J.stream_sync(J.file_stream(spark, src, max_files=1), out, f"{tmp_path}/ckpt"))
+    assert D.versions(spark, out).select("version").distinct().count() == 1  # nothing came
+
+
+def test_large_feeds_are_written_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(V, "ROWS_PER_FILE", 10)
+    given = spark.range(0, 95, 1, 2)
+    few = V.folder_of(spark, given, "few", 4, 4)
+    many = V.folder_of(spark, given, "many", 12, 4)
+    assert rows(spark.read.parquet(few)) == rows(spark.read.parquet(many)) == rows(given)
+    assert V.half_of(spark, many) == 5  # 47 and 48 rows, 10 to a file
+    assert spark.read.parquet(many).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] == 10
+    assert spark.read.parquet(many).filter("id < 10").select(F.input_file_name()).distinct().count() == 1  # not dealt out
