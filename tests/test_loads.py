@@ -206,3 +206,13 @@ def test_large_feeds_are_written_without_a_shuffle(spark, monkeypatch):
     assert V.half_of(spark, many) == 5  # 47 and 48 rows, 10 to a file
     assert spark.read.parquet(many).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] == 10
     assert spark.read.parquet(many).filter("id < 10").select(F.input_file_name()).distinct().count() == 1  # not dealt out
+
+
+def test_deliveries_are_kept_as_digests(spark, tmp_path):
+    """The state of the streamed demand has 16 bytes for a delivery, whatever the length of its message's id."""
+    facts(spark).write.parquet(f"{tmp_path}/in")
+    days = J.stream_daily_demand(J.file_stream(spark, f"{tmp_path}/in"))
+    plan = days._jdf.queryExecution().analyzed().toString()
+    assert "DeduplicateWithinWatermark [_delivery#" in plan
+    J.finish(J.write_batches(days, f"{tmp_path}/out", f"{tmp_path}/ckpt", "update"))
+    assert rows(J.read_demand(spark, f"{tmp_path}/out")) == rows(O.daily_demand(D.once(facts(spark))))
