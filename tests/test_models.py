@@ -250,3 +250,31 @@ def test_features_of_days(spark):
     assert (past[0]["date"], past[0]["prev_period_sales"], past[0]["rollback_n"], past[-1]["rollback_n"]) == ("2024-02-28", 8.0, 35.0, None)
     assert [(f["date"], f["prev_period_sales"]) for f in ahead] == [("2024-02-29", 9.0), ("2024-03-01", None)]
     assert got["weekday_means"]["Tue"] == 4.5 and got["weekday_means"]["Mon"] == 7.0
+
+
+def test_features_are_cut_as_the_trees_cut_them(spark):
+    """Mostly zeros: a cut after each value until the counts have caught up with the stride, and none after the last value."""
+    counts = [(0.0, 700), *[(float(v), 10) for v in range(1, 31)]]
+    got = L.tree_cuts(counts)
+    assert len(got) <= L.BINS - 1 and [round(c, 6) for c in got[:3]] == [0.5, 1.5, 2.5] and got == sorted(set(got))
+    even = L.tree_cuts([(float(v), 5) for v in range(64)])
+    assert [round(c, 6) for c in even] == [2 * k + 1.5 for k in range(L.BINS - 1)]
+    assert 1.5 < even[0]  # a value half way between belongs below the cut
+
+
+def test_many_values_make_few_groups(spark, monkeypatch):
+    """A feature with more values than bins is learned from in the ranges that the trees tell apart; the errors are of all rows."""
+    data = [(float(i % 100), float(i % 100 // 25), "train" if i % 10 else "test") for i in range(4000)]
+    df = spark.createDataFrame(data, "a double, quantity double, split string")
+    plain = L.train_gbt(df, ["a"], rounds=4, depth=3)
+    monkeypatch.setattr(L, "GROUP_FROM", 1)
+    given, fit = [], L.Pipeline.fit
+    monkeypatch.setattr(L.Pipeline, "fit", lambda self, frame: given.append((frame.count(), frame.agg(F.sum("_weight")).first()[0])) or fit(self, frame))
+    trained = L.train_gbt(df, ["a"], rounds=4, depth=3)
+    assert given[0][0] <= L.BINS + 3 and given[0][1] == 3600
+    got, wanted = ({r["split"]: (r["n"], r["mae"], r["mse"], r["mape"]) for r in t.metrics.collect()} for t in (trained, plain))
+    assert {s: v[0] for s, v in got.items()} == {"train": 3600, "test": 400}
+    scored = trained.model.transform(df.withColumnRenamed("quantity", "label"))
+    rowwise = {r["split"]: (r["n"], r["mae"], r["mse"], r["mape"]) for r in L.error_metrics(scored, "label", "prediction", ["split"]).collect()}
+    for s in got:
+        assert got[s] == pytest.approx(rowwise[s]) and got[s][1] == pytest.approx(wanted[s][1], abs=0.1)
